@@ -1,4 +1,4 @@
-"""Digamma and log-gamma, which Spark lacks, as Column expressions and as Arrow array functions.
+"""Digamma and log-gamma, which Spark lacks, as SQL expressions and as Arrow array functions.
 
 Both shift the argument up by eight with the recurrence and use the asymptotic series there. The eight
 factors x(x+1)...(x+7) pair up as t, t+6, t+10, t+12 with t = x(x+7), which halves the divisions.
@@ -20,39 +20,46 @@ LGAMMA_SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 HALF_LN_2PI = 0.5 * math.log(2 * math.pi)
 
 
-def _horner(coefficients, x, constant):
-    total = constant(coefficients[-1])
+def _horner(coefficients, x):
+    value = coefficients[-1]
     for c in reversed(coefficients[:-1]):
-        total = total * x + constant(c)
-    return total
+        value = value * x + c
+    return value
 
 
-def digamma(x: Column) -> Column:
-    z = x + 8.0
-    t = x * (x + 7.0)
-    inv2 = F.lit(1.0) / (z * z)
-    return (
-        F.ln(z)
-        - F.lit(0.5) / z
-        - inv2 * _horner(DIGAMMA_SERIES, inv2, F.lit)
-        - (x * 2.0 + 7.0) * (F.lit(1.0) / t + F.lit(1.0) / (t + 6.0) + F.lit(1.0) / (t + 10.0) + F.lit(1.0) / (t + 12.0))
-    )
+def digamma_sql(x: str) -> str:
+    """Digamma of the SQL expression ``x`` as a SQL expression."""
+    z, t = f"(({x}) + 8D)", f"(({x}) * (({x}) + 7D))"
+    series = _horner_sql(DIGAMMA_SERIES, f"{z} * {z}")
+    pairs = " + ".join(f"1D / ({t} + {c}D)" for c in (0, 6, 10, 12))
+    return f"(ln({z}) - 0.5D / {z} - ({series}) / ({z} * {z}) - (2D * ({x}) + 7D) * ({pairs}))"
 
 
-def lgamma(x: Column) -> Column:
-    z = x + 8.0
-    t = x * (x + 7.0)
-    inv = F.lit(1.0) / z
+def lgamma_sql(x: str) -> str:
+    """Log-gamma of the SQL expression ``x`` as a SQL expression."""
+    z, t = f"(({x}) + 8D)", f"(({x}) * (({x}) + 7D))"
+    series = _horner_sql(LGAMMA_SERIES, f"{z} * {z}")
     return (
-        (z - 0.5) * F.ln(z)
-        - z
-        + HALF_LN_2PI
-        + inv * _horner(LGAMMA_SERIES, inv * inv, F.lit)
-        - F.ln(t)
-        - F.ln((t + 6.0) * (t + 10.0) * (t + 12.0))
+        f"(({z} - 0.5D) * ln({z}) - {z} + {HALF_LN_2PI!r}D + ({series}) / {z}"
+        f" - ln({t}) - ln(({t} + 6D) * ({t} + 10D) * ({t} + 12D)))"
     )
 
 
+def _horner_sql(coefficients, divisor: str) -> str:
+    text = f"{coefficients[-1]!r}D"
+    for c in reversed(coefficients[:-1]):
+        text = f"({text}) / ({divisor}) + {c!r}D"
+    return text.replace("+ -", "- ")
+
+
+def digamma(column: str) -> Column:
+    return F.expr(digamma_sql(column))
+
+
+def lgamma(column: str) -> Column:
+    return F.expr(lgamma_sql(column))
+
+
 def np_digamma(x):
     x = np.asarray(x, dtype=float)
     z = x + 8.0
@@ -61,7 +68,7 @@ def np_digamma(x):
     return (
         np.log(z)
         - 0.5 / z
-        - inv2 * _horner(DIGAMMA_SERIES, inv2, float)
+        - inv2 * _horner(DIGAMMA_SERIES, inv2)
         - (2.0 * x + 7.0) * (1.0 / t + 1.0 / (t + 6.0) + 1.0 / (t + 10.0) + 1.0 / (t + 12.0))
     )
 
@@ -75,7 +82,7 @@ def np_lgamma(x):
         (z - 0.5) * np.log(z)
         - z
         + HALF_LN_2PI
-        + inv * _horner(LGAMMA_SERIES, inv * inv, float)
+        + inv * _horner(LGAMMA_SERIES, inv * inv)
         - np.log(t)
         - np.log((t + 6.0) * (t + 10.0) * (t + 12.0))
     )

@@ -9,8 +9,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.special import digamma, digamma_array, lgamma, lgamma_array_sum, np_digamma, np_lgamma
-from topicloom.functions.vectors import dot, expected_log_gamma, expected_rate, literal, total
+from topicloom.functions.special import (
+    digamma_array,
+    digamma_sql,
+    lgamma_array_sum,
+    lgamma_sql,
+    np_digamma,
+    np_lgamma,
+)
+from topicloom.functions.vectors import (
+    dot_sql,
+    expected_log_gamma_sql,
+    expected_rate_sql,
+    literal_sql,
+    number,
+    ratio_sql,
+    total_sql,
+)
 from topicloom.operators.responsibilities import responsibilities
 from topicloom.operators.updates import normal_moments
 
@@ -21,10 +36,10 @@ def bound_tokens(scores: DataFrame, k: int) -> DataFrame:
     The log-likelihood covers words and topic assignments: the expectation of the score.
     """
     r = responsibilities(scores.withColumn("cnt", F.struct("cnt", "score")), k).select("cnt.cnt", "cnt.score", "r")
-    minus_log = total(F.transform("r", lambda x: F.when(x > 0, -x * F.ln(x)).otherwise(0.0)))
-    expected = dot(F.col("r"), F.col("score"))
+    minus_log = total_sql("transform(r, x -> if(x > 0, -x * ln(x), 0D))")
     return r.agg(
-        F.sum(F.col("cnt") * minus_log).alias("token_entropy"), F.sum(F.col("cnt") * expected).alias("token_loglik")
+        F.expr(f"sum(cnt * {minus_log})").alias("token_entropy"),
+        F.expr(f"sum(cnt * {dot_sql('r', 'score')})").alias("token_loglik"),
     )
 
 
@@ -33,11 +48,11 @@ def bound_topics(gam: DataFrame, totals, seen_terms: int, vocab_size: int, gamma
     totals = np.asarray(totals, dtype=float)
     k, flat, unseen = len(totals), gamma / vocab_size, vocab_size - seen_terms
     psi_total = np_digamma(totals)
-    elneta = F.zip_with(F.col("psi"), literal(psi_total), lambda x, s: x - s)
+    elneta = f"zip_with(psi, {literal_sql(psi_total)}, (x, s) -> x - s)"
     rows = gam.select("gam", digamma_array("gam").alias("psi"), lgamma_array_sum("gam").alias("lng"))
     sums = rows.select(
-        total(elneta).alias("elneta"),
-        total(F.zip_with("gam", elneta, lambda g, e: (g - 1.0) * e)).alias("weighted"),
+        F.expr(total_sql(elneta)).alias("elneta"),
+        F.expr(total_sql(f"zip_with(gam, {elneta}, (g, e) -> (g - 1D) * e)")).alias("weighted"),
         "lng",
     ).agg(F.sum("elneta").alias("elneta"), F.sum("weighted").alias("weighted"), F.sum("lng").alias("lng"))
     flat_elneta = float((np_digamma(flat) - psi_total).sum()) * unseen
@@ -51,19 +66,18 @@ def bound_topics(gam: DataFrame, totals, seen_terms: int, vocab_size: int, gamma
 
 def doc_terms_of_bound(docs: DataFrame) -> DataFrame:
     """Per document: ``elnz`` and the gamma entropy, normaliser and rate terms."""
-    mean = F.zip_with("a", "b", lambda a, b: a / b)
+    mean = ratio_sql("a", "b")
+    entropy = f"zip_with(a, b, (x, y) -> x - ln(y) + {lgamma_sql('x')} + (1D - x) * {digamma_sql('x')})"
     return docs.select(
         "doc_id",
         "num_words",
         "n",
         "mu",
         "sig",
-        expected_log_gamma(F.col("a"), F.col("b")).alias("elnz"),
-        total(
-            F.zip_with("a", "b", lambda a, b: a - F.ln(b) + lgamma(a) + (F.lit(1.0) - a) * digamma(a))
-        ).alias("entropy"),
-        (-F.col("num_words") * F.ln(total(mean))).alias("normaliser"),
-        (-dot(mean, expected_rate(F.col("mu"), F.col("sig")))).alias("rate"),
+        F.expr(expected_log_gamma_sql("a", "b")).alias("elnz"),
+        F.expr(total_sql(entropy)).alias("entropy"),
+        F.expr(f"-num_words * ln({total_sql(mean)})").alias("normaliser"),
+        F.expr(f"-{dot_sql(mean, expected_rate_sql('mu', 'sig'))}").alias("rate"),
     )
 
 
@@ -91,13 +105,12 @@ def bound_global(sums: DataFrame, p, v, alpha: float, beta: float) -> DataFrame:
     k = len(p)
     bp = [beta * float(x) for x in p]
     _, stick_prior = global_value(0, np.zeros(k), np.zeros(k), p, v, alpha, beta)
-    per_topic = [
-        F.col(f"mu{i}") * bp[i] - F.col("num_docs") * float(np_lgamma(bp[i])) + F.col(f"lnz{i}") * (bp[i] - 1.0)
-        for i in range(k)
-    ]
-    return sums.select(
-        sum(per_topic[1:], per_topic[0]).alias("weight_prior"), F.lit(stick_prior).alias("stick_prior")
+    constant = number(float(np_lgamma(np.array(bp)).sum()))
+    weight_prior = (
+        f"{dot_sql('mu', literal_sql(bp))} - num_docs * {constant}"
+        f" + {dot_sql('lnz', literal_sql([x - 1.0 for x in bp]))}"
     )
+    return sums.select(F.expr(weight_prior).alias("weight_prior"), F.lit(stick_prior).alias("stick_prior"))
 
 
 def gaussian_value(moments: dict[tuple[int, int], float], center, u, cov, num_docs: int) -> float:
@@ -125,13 +138,11 @@ def bound_gaussian(docs: DataFrame, u, cov) -> DataFrame:
     u, cov = np.asarray(u, dtype=float), np.asarray(cov, dtype=float)
     k, inv = len(u), np.linalg.inv(np.asarray(cov, dtype=float))
     sums = normal_moments(docs, u)
-    precision = literal(inv.ravel())
-    at = F.col("i") * k + F.col("j")
-    part = (
-        F.when(F.col("j") < k, -0.5 * F.get(precision, at) * F.col("value"))
-        .when(F.col("j") == k + 1, -0.5 * F.get(precision, F.col("i") * (k + 1)) * F.col("value"))
-        .when(F.col("j") == k + 2, 0.5 * F.col("value"))
-        .otherwise(0.0)
+    precision = literal_sql(inv.ravel())
+    part = F.expr(
+        f"CASE WHEN j < {k} THEN -0.5D * {precision}[i * {k} + j] * value"
+        f" WHEN j = {k + 1} THEN -0.5D * {precision}[i * {k + 1}] * value"
+        f" WHEN j = {k + 2} THEN 0.5D * value ELSE 0D END"
     )
     count = docs.agg(F.count("*").alias("c")).scalar()
     const = 0.5 * k - 0.5 * float(np.linalg.slogdet(cov)[1])

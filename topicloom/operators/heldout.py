@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.vectors import literal, per_topic, total
+from topicloom.functions.vectors import dot_sql, literal_sql, ratio_sql, sum_vectors, total_sql
 from topicloom.operators.blocks import Block, run_blocks, with_vectors
 from topicloom.operators.lookup import lookup_join
 from topicloom.sources.prepared import DOC, TERM, Corpus
@@ -82,20 +82,19 @@ def plugin_loglik(test: Corpus, topic_mean: DataFrame, doc_mean: DataFrame) -> D
         doc_mean.select("doc_id", F.col("theta").alias("doc_vec")),
         topic_mean.select("term_id", F.col("eta").alias("term_vec")),
     )
-    mixed = total(F.zip_with("doc_vec", "term_vec", lambda x, y: x * y))
     return joined.groupBy("doc_id").agg(
-        F.sum("cnt").alias("words"), F.sum(F.col("cnt") * F.ln(mixed)).alias("loglik")
+        F.sum("cnt").alias("words"), F.expr(f"sum(cnt * ln({dot_sql('doc_vec', 'term_vec')}))").alias("loglik")
     )
 
 
 def mean_topics(gam: DataFrame, totals) -> DataFrame:
-    return gam.select("term_id", F.zip_with("gam", literal(totals), lambda g, t: g / t).alias("eta"))
+    return gam.select("term_id", F.expr(ratio_sql("gam", literal_sql(totals))).alias("eta"))
 
 
 def mean_weights(docs: DataFrame) -> DataFrame:
-    ratio = F.zip_with("a", "b", lambda a, b: a / b)
-    weights = docs.select("doc_id", ratio.alias("z"))
-    return weights.select("doc_id", F.transform("z", lambda z: z / total(F.col("z"))).alias("theta"))
+    weights = docs.select("doc_id", F.expr(ratio_sql("a", "b")).alias("z"))
+    sized = weights.withColumn("size", F.expr(total_sql("z")))
+    return sized.select("doc_id", F.expr("transform(z, x -> x / size)").alias("theta"))
 
 
 def log_mean_exp(values: DataFrame) -> DataFrame:
@@ -155,8 +154,8 @@ def sampled_topic_norms(gam: DataFrame, totals, samples: int, seed: int) -> np.n
     table = np.zeros(samples * k)
     for r in rows:
         table[r["at"]] = r["value"]
-    used = gam.agg(*[F.sum(F.col("gam")[i]).alias(f"t{i}") for i in range(k)]).first()
-    rest = np.maximum(totals - np.array([x or 0.0 for x in used]), 0.0)
+    used = gam.agg(sum_vectors("gam", k).alias("gam")).first()
+    rest = np.maximum(totals - np.array([x or 0.0 for x in used["gam"]]), 0.0)
     return table.reshape(samples, k) + _stream(seed, -1, 0).standard_gamma(rest, (samples, k))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.vectors import literal, per_topic, sum_vectors
+from topicloom.functions.vectors import literal_sql, number, per_topic, sum_vectors
 from topicloom.operators.blocks import Block, run_blocks, vector_table
 from topicloom.operators.lookup import lookup_join
 from topicloom.session import RunFolder, wide_expressions
@@ -35,7 +35,7 @@ def seed_centroids(corpus: Corpus, seeds: DataFrame, k: int) -> DataFrame:
 
 def centroid_vectors(centroids: DataFrame, k: int) -> DataFrame:
     """``(k, term_id, value)`` as one vector per term."""
-    at = lambda i: F.coalesce(F.sum(F.when(F.col("k") == i, F.col("value"))), F.lit(0.0))
+    at = lambda i: f"coalesce(sum(value) FILTER (WHERE k = {i}), 0D)"
     return centroids.groupBy("term_id").agg(per_topic(k, at).alias("vec"))
 
 
@@ -45,9 +45,8 @@ def distances(corpus: Corpus, centroids: DataFrame, k: int, p: float = 1.0) -> D
     Only the terms of a document differ from the sum of the centroid alone, so the pass visits its pairs
     and corrects that sum: no document is ever expanded to the vocabulary.
     """
-    power = lambda i: F.sum(F.pow(F.abs(F.col("vec")[i]), F.lit(float(p)))).alias(f"s{i}")
-    row = centroids.agg(*[power(i) for i in range(k)]).first()
-    alone = literal([row[i] or 0.0 for i in range(k)])
+    row = centroids.agg(per_topic(k, lambda i: f"sum(power(abs(vec[{i}]), {number(p)}))").alias("alone")).first()
+    alone = literal_sql([x or 0.0 for x in row["alone"]])
     lengths = F.array_repeat(F.col("num_words").cast("double"), k)
     vectors = corpus.docs.select(
         F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), lengths.alias("vec")
@@ -55,7 +54,7 @@ def distances(corpus: Corpus, centroids: DataFrame, k: int, p: float = 1.0) -> D
     shares = run_blocks(corpus, vectors, _distance_kernel(k, p), "kind int, id bigint, vec array<double>")
     corrections = shares.groupBy("id").agg(sum_vectors("vec", k).alias("vec"))
     return corrections.select(
-        F.col("id").alias("doc_id"), F.zip_with("vec", alone, lambda x, s: x + s).alias("dist")
+        F.col("id").alias("doc_id"), F.expr(f"zip_with(vec, {alone}, (x, s) -> x + s)").alias("dist")
     )
 
 
@@ -124,5 +123,5 @@ def initial_topics(corpus: Corpus, centroids: DataFrame, order: list[int], gamma
     """``(term_id, gam)`` of every seen term: gamma/D + gamma * centroid, clusters taken in ``order``."""
     flat = gamma / corpus.vocab_size
     seen = corpus.needed.where(F.col("kind") == TERM).select(F.col("id").alias("term_id")).distinct()
-    value = lambda c: F.coalesce(F.col("vec")[c], F.lit(0.0)) * gamma + flat
-    return seen.join(centroids, "term_id", "left").select("term_id", F.array(*[value(c) for c in order]).alias("gam"))
+    value = lambda i: f"coalesce(vec[{order[i]}], 0D) * {number(gamma)} + {number(flat)}"
+    return seen.join(centroids, "term_id", "left").select("term_id", per_topic(len(order), value).alias("gam"))

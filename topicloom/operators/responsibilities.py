@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import digamma_array, np_digamma
-from topicloom.functions.vectors import expected_log_gamma, literal, per_topic, sum_vectors
+from topicloom.functions.vectors import expected_log_gamma_sql, literal_sql, per_topic, sum_vectors
 from topicloom.operators.blocks import VECTOR_SCHEMA, Block, run_blocks, vector_table, with_vectors
 from topicloom.sources.prepared import BLOCK, DOC, TERM, Corpus
 
@@ -21,19 +21,20 @@ UNDERFLOW = 1e-200
 
 def topic_totals(gam: DataFrame, k: int, seen_terms: int, vocab_size: int, prior: float) -> np.ndarray:
     """Sum of each topic's Dirichlet parameters over the whole vocabulary; unseen ids hold the prior."""
-    row = gam.agg(*[F.sum(F.col("gam")[i]).alias(f"t{i}") for i in range(k)]).first()
-    return np.array([row[i] or 0.0 for i in range(k)]) + (vocab_size - seen_terms) * prior
+    row = gam.agg(sum_vectors("gam", k).alias("gam")).first()
+    return np.array([x or 0.0 for x in row["gam"]]) + (vocab_size - seen_terms) * prior
 
 
 def expected_log_topics(gam: DataFrame, totals) -> DataFrame:
     """``(term_id, elneta)``: digamma of the parameter minus digamma of the topic's total."""
-    shift = literal(np_digamma(totals))
-    return gam.select("term_id", F.zip_with(digamma_array("gam"), shift, lambda x, s: x - s).alias("elneta"))
+    shift = literal_sql(np_digamma(totals))
+    psi = gam.select("term_id", digamma_array("gam").alias("psi"))
+    return psi.select("term_id", F.expr(f"zip_with(psi, {shift}, (x, s) -> x - s)").alias("elneta"))
 
 
 def expected_log_weights(docs: DataFrame) -> DataFrame:
     """``(doc_id, elnz)`` of documents with gamma shapes ``a`` and rates ``b``."""
-    return docs.select("doc_id", expected_log_gamma(F.col("a"), F.col("b")).alias("elnz"))
+    return docs.select("doc_id", F.expr(expected_log_gamma_sql("a", "b")).alias("elnz"))
 
 
 def token_scores(corpus: Corpus, elneta: DataFrame, elnz: DataFrame, k: int) -> DataFrame:
@@ -43,18 +44,17 @@ def token_scores(corpus: Corpus, elneta: DataFrame, elnz: DataFrame, k: int) ->
         elnz.select("doc_id", F.col("elnz").alias("doc_vec")),
         elneta.select("term_id", F.col("elneta").alias("term_vec")),
     )
-    score = per_topic(k, lambda i: F.col("doc_vec")[i] + F.col("term_vec")[i])
+    score = per_topic(k, lambda i: f"doc_vec[{i}] + term_vec[{i}]")
     return joined.select("doc_id", "term_id", "cnt", score.alias("score"))
 
 
 def responsibilities(scores: DataFrame, k: int) -> DataFrame:
     """``(doc_id, term_id, cnt, r)``: the softmax of the scores, with the largest score subtracted."""
-    top = F.array_max("score")
-    weights = scores.select(
-        "doc_id", "term_id", "cnt", per_topic(k, lambda i: F.exp(F.col("score")[i] - top)).alias("w")
-    )
-    total = sum((F.col("w")[i] for i in range(1, k)), F.col("w")[0])
-    return weights.select("doc_id", "term_id", "cnt", per_topic(k, lambda i: F.col("w")[i] / total).alias("r"))
+    topped = scores.select("doc_id", "term_id", "cnt", "score", F.array_max("score").alias("top"))
+    weights = topped.select(
+        "doc_id", "term_id", "cnt", per_topic(k, lambda i: f"exp(score[{i}] - top)").alias("w")
+    ).withColumn("size", F.expr(" + ".join(f"w[{i}]" for i in range(k))))
+    return weights.select("doc_id", "term_id", "cnt", per_topic(k, lambda i: f"w[{i}] / size").alias("r"))
 
 
 def log_vectors(elneta: DataFrame, elnz: DataFrame) -> DataFrame:

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import np_digamma, np_lgamma, np_trigamma
-from topicloom.functions.vectors import expected_log_gamma, expected_rate, literal, total
+from topicloom.functions.vectors import (
+    expected_log_gamma_sql,
+    expected_rate_sql,
+    literal_sql,
+    per_topic,
+    ratio_sql,
+    sum_vectors,
+    total_sql,
+)
 
 # Bounds that keep digamma and log-gamma of beta * p finite.
 SMALLEST_WEIGHT = 1e-12
@@ -28,15 +36,13 @@ def gamma_posterior(docs: DataFrame, beta_p) -> DataFrame:
     The old a and b only enter through xi, the expected sum of the weights. A document without words
     keeps its prior: a = beta p, b = exp(mu + sig / 2).
     """
-    bp = literal(beta_p)
-    xi = total(F.zip_with("a", "b", lambda a, b: a / b))
-    per_word = docs.withColumn("_pull", F.col("num_words") / xi)
+    per_word = docs.withColumn("_pull", F.expr(f"num_words / {total_sql(ratio_sql('a', 'b'))}"))
     return per_word.select(
         "doc_id",
         "num_words",
         "n",
-        F.zip_with("n", bp, lambda n, p: n + p).alias("a"),
-        F.transform(expected_rate(F.col("mu"), F.col("sig")), lambda e: e + F.col("_pull")).alias("b"),
+        F.expr(f"zip_with(n, {literal_sql(beta_p)}, (x, y) -> x + y)").alias("a"),
+        F.expr(f"transform({expected_rate_sql('mu', 'sig')}, e -> e + _pull)").alias("b"),
         "mu",
         "sig",
     )
@@ -116,19 +122,17 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def global_sums(docs: DataFrame, k: int) -> DataFrame:
-    """One row: ``num_docs``, and per topic the sums of mu and of E[ln Z] as ``mu0.., lnz0..``."""
-    with_log = docs.select("mu", expected_log_gamma(F.col("a"), F.col("b")).alias("elnz"))
+    """One row: ``num_docs``, and per topic the sums of mu and of E[ln Z] as vectors ``mu`` and ``lnz``."""
+    with_log = docs.select("mu", F.expr(expected_log_gamma_sql("a", "b")).alias("elnz"))
     return with_log.agg(
-        F.count("*").alias("num_docs"),
-        *[F.sum(F.col("mu")[i]).alias(f"mu{i}") for i in range(k)],
-        *[F.sum(F.col("elnz")[i]).alias(f"lnz{i}") for i in range(k)],
+        F.count("*").alias("num_docs"), sum_vectors("mu", k).alias("mu"), sum_vectors("elnz", k).alias("lnz")
     )
 
 
 def topic_mean(docs: DataFrame, k: int) -> DataFrame:
     """``(k, u)``: the mean of mu over the documents."""
-    row = docs.agg(*[F.avg(F.col("mu")[i]).alias(f"u{i}") for i in range(k)])
-    return row.select(F.posexplode(F.array(*[F.col(f"u{i}") for i in range(k)])).alias("k", "u"))
+    row = docs.agg(per_topic(k, lambda i: f"avg(mu[{i}])").alias("u"))
+    return row.select(F.posexplode("u").alias("k", "u"))
 
 
 def normal_moments(docs: DataFrame, center) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import lgamma_array_sum, np_lgamma
-from topicloom.functions.vectors import dot, literal, sum_vectors
+from topicloom.functions.vectors import dot_sql, literal, literal_sql, number, ratio_sql, sum_vectors, total_sql
 from topicloom.operators.bound import doc_terms_of_bound, gaussian_value, global_value
 from topicloom.operators.kmeans import cluster_sizes, fit_kmeans, initial_topics, relabel
 from topicloom.operators.responsibilities import (
@@ -102,7 +102,7 @@ class Model:
     def topic_weights(self) -> DataFrame:
         """``(k, p, mean_share)``: prior weight of a topic and its mean share of the expected words."""
         words = self.doc_topics.agg(sum_vectors("n", self.k).alias("n"))
-        shares = words.select(F.posexplode("n").alias("k", "words"), F.aggregate("n", F.lit(0.0), lambda s, x: s + x).alias("all"))
+        shares = words.select(F.posexplode("n").alias("k", "words"), F.expr(total_sql("n")).alias("all"))
         return self.topics.join(shares, "k").select("k", "p", (F.col("words") / F.col("all")).alias("mean_share"))
 
     def top_terms(self, limit: int = 10) -> DataFrame:
@@ -112,10 +112,8 @@ class Model:
         """
         from pyspark.sql import Window
 
-        norm = literal(self.globals.totals)
-        long = self.topic_terms.select(
-            "term_id", F.posexplode(F.zip_with("gam", norm, lambda g, t: g / t)).alias("k", "weight")
-        )
+        weights = F.expr(ratio_sql("gam", literal_sql(self.globals.totals)))
+        long = self.topic_terms.select("term_id", F.posexplode(weights).alias("k", "weight"))
         best = [F.desc("weight"), F.col("term_id")]
         local = long.withColumn("_part", F.spark_partition_id())
         local_rank = F.row_number().over(Window.partitionBy("k", "_part").orderBy(*best))
@@ -244,7 +242,7 @@ def with_counts(docs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
 
 def document_sums(docs: DataFrame, k: int) -> DataFrame:
     """One row with everything the global updates and the bound need from the documents."""
-    rows = doc_terms_of_bound(docs).withColumn("count_lnz", dot(F.col("n"), F.col("elnz")))
+    rows = doc_terms_of_bound(docs).withColumn("count_lnz", F.expr(dot_sql("n", "elnz")))
     return rows.agg(
         *[F.sum(c).alias(c) for c in ("entropy", "normaliser", "rate", "count_lnz")],
         *[sum_vectors(c, k).alias(c) for c in ("n", "mu", "elnz")],
@@ -256,11 +254,11 @@ def iterate(corpus, terms, docs, state: Globals, gamma, correlated, learn_alpha,
     k, flat = len(state.p), gamma / corpus.vocab_size
     vectors = log_vectors(expected_log_topics(terms, state.totals), expected_log_weights(docs))
     counted = expected_counts(corpus, vectors, k).withColumn(
-        "lng", lgamma_array_sum(F.transform("vec", lambda x: F.when(F.col("kind") == TERM, x + flat).otherwise(1.0)))
+        "lng", lgamma_array_sum(F.expr(f"transform(vec, x -> if(kind = {TERM}, x + {number(flat)}, 1D))"))
     )
     counts = run.write_slot(counted, "counts", step, partition_by="kind")
     terms = counts.where(F.col("kind") == TERM).select(
-        F.col("id").alias("term_id"), F.transform("vec", lambda x: x + flat).alias("gam")
+        F.col("id").alias("term_id"), F.expr(f"transform(vec, x -> x + {number(flat)})").alias("gam")
     )
     moved = gamma_posterior(with_counts(docs, counts, k), state.beta_p)
     if correlated:
