@@ -124,6 +124,34 @@ def lgamma_array_sum(arrays: pa.Array) -> pa.Array:
     return pa.array(_map_chunks(np_lgamma, values).reshape(len(arrays), -1).sum(axis=1))
 
 
+@F.arrow_udf(T.BinaryType())
+def pack(arrays: pa.Array) -> pa.Array:
+    """Each array of doubles as its bytes. Packed vectors move through joins and shuffles as one value."""
+    return pack_rows(arrays.flatten().to_numpy(zero_copy_only=False), len(arrays))
+
+
+@F.arrow_udf(T.BinaryType())
+def digamma_packed(arrays: pa.Array) -> pa.Array:
+    """Digamma of every element, packed."""
+    values = arrays.flatten().to_numpy(zero_copy_only=False)
+    return pack_rows(_map_chunks(np_digamma, values), len(arrays))
+
+
+def pack_rows(values: np.ndarray, rows: int) -> pa.Array:
+    width = 8 * len(values) // rows if rows else 0
+    offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(width)
+    data = np.ascontiguousarray(values, dtype="<f8")
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpack_rows(packed: pa.Array, k: int) -> np.ndarray:
+    """The rows x k matrix of a packed column, all of whose vectors have k entries."""
+    if len(packed) == 0:
+        return np.empty((0, k))
+    offsets = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(packed.buffers()[2][offsets[0] : offsets[-1]], dtype="<f8").reshape(-1, k)
+
+
 def _offsets(arrays: pa.Array) -> pa.Array:
     start = arrays.offsets[0].as_py() if len(arrays) else 0
     return pa.array(arrays.offsets.to_numpy() - start, pa.int32())

@@ -11,8 +11,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from topicloom.functions.special import digamma_sql
-
 
 def number(value: float) -> str:
     return f"{float(value)!r}D"
@@ -48,11 +46,6 @@ def ratio_sql(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, (x, y) -> x / y)"
 
 
-def expected_log_gamma_sql(shape: str, rate: str) -> str:
-    """E[ln Z] = digamma(shape) - ln(rate), element by element."""
-    return f"zip_with({shape}, {rate}, (x, y) -> {digamma_sql('x')} - ln(y))"
-
-
 def expected_rate_sql(mu: str, sig: str) -> str:
     """E[exp(w)] = exp(mu + sig / 2) of a normal with variance sig, element by element."""
     return f"zip_with({mu}, {sig}, (x, y) -> exp(x + 0.5D * y))"

@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.special import unpack_rows
+from topicloom.functions.vectors import sum_vectors
 from topicloom.sources.prepared import DOC, TERM, Corpus
 
 VECTOR_SCHEMA = "kind int, id bigint, vec array<double>"
 
 
 def route(corpus: Corpus, vectors: DataFrame) -> DataFrame:
-    """``(at, kind, id, vec)``: each vector once per block that needs it, placed with the block."""
+    """``(at, kind, id, vec)``: each packed vector once per block that needs it, placed with the block."""
     return (
         corpus.needed.join(vectors, ["kind", "id"])
         .select(F.col("block").alias("at"), "kind", "id", "vec")
@@ -30,12 +32,24 @@ def route(corpus: Corpus, vectors: DataFrame) -> DataFrame:
 def run_blocks(
     corpus: Corpus, vectors: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str
 ) -> DataFrame:
-    """``kernel(pairs, vectors)`` for every block; both sides are already placed by block."""
+    """``kernel(pairs, vectors)`` for every block; both sides are already placed by block.
+
+    ``vectors(kind, id, vec BINARY)`` are packed; the kernel's own rows are plain arrays, ready for sums.
+    """
     return (
         corpus.tokens.groupBy("block").cogroup(route(corpus, vectors).groupBy("at")).applyInArrow(kernel, schema)
     )
 
 
+def add_shares(shares: DataFrame, k: int) -> DataFrame:
+    """``(kind, id, vec)`` added up over the blocks.
+
+    A block sends one row per id, so there is nothing left to combine before the shuffle; placing the
+    rows first spares the map side a useless hash aggregation of wide rows.
+    """
+    return shares.repartition("kind", "id").groupBy("kind", "id").agg(sum_vectors("vec", k).alias("vec"))
+
+
 def with_vectors(corpus: Corpus, doc_vectors: DataFrame, term_vectors: DataFrame) -> DataFrame:
     """``(doc_id, term_id, cnt, doc_vec, term_vec)`` as a relational join inside the blocks.
 
@@ -60,7 +74,7 @@ class Block:
     def __init__(self, pairs: pa.Table, vectors: pa.Table, k: int, sparse_terms: bool = False):
         kinds = vectors["kind"].to_numpy()
         ids = vectors["id"].to_numpy()
-        rows = vectors["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        rows = unpack_rows(vectors["vec"].combine_chunks(), k)
         self.doc_ids, self.doc_vec = _sorted_side(ids, rows, kinds == DOC)
         self.term_ids, self.term_vec = _sorted_side(ids, rows, kinds == TERM)
         doc_id = pairs["doc_id"].to_numpy()

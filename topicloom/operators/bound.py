@@ -11,22 +11,19 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.special import (
     digamma_array,
-    digamma_sql,
     lgamma_array_sum,
-    lgamma_sql,
     np_digamma,
     np_lgamma,
 )
 from topicloom.functions.vectors import (
     dot_sql,
-    expected_log_gamma_sql,
     expected_rate_sql,
     literal_sql,
     number,
     ratio_sql,
     total_sql,
 )
-from topicloom.operators.responsibilities import responsibilities
+from topicloom.operators.responsibilities import LOG_WEIGHT, responsibilities
 from topicloom.operators.updates import normal_moments
 
 
@@ -64,18 +61,23 @@ def bound_topics(gam: DataFrame, totals, seen_terms: int, vocab_size: int, gamma
     )
 
 
+def with_logs(docs: DataFrame) -> DataFrame:
+    """``docs`` with digamma of the shapes and the sum of their log-gamma."""
+    return docs.select("*", digamma_array("a").alias("psi_a"), lgamma_array_sum("a").alias("lng_a"))
+
+
 def doc_terms_of_bound(docs: DataFrame) -> DataFrame:
-    """Per document: ``elnz`` and the gamma entropy, normaliser and rate terms."""
+    """Per document of ``with_logs``: ``elnz`` and the gamma entropy, normaliser and rate terms."""
     mean = ratio_sql("a", "b")
-    entropy = f"zip_with(a, b, (x, y) -> x - ln(y) + {lgamma_sql('x')} + (1D - x) * {digamma_sql('x')})"
+    entropy = total_sql("zip_with(zip_with(a, psi_a, (x, s) -> x + (1D - x) * s), b, (x, y) -> x - ln(y))")
     return docs.select(
         "doc_id",
         "num_words",
         "n",
         "mu",
         "sig",
-        F.expr(expected_log_gamma_sql("a", "b")).alias("elnz"),
-        F.expr(total_sql(entropy)).alias("entropy"),
+        F.expr(LOG_WEIGHT).alias("elnz"),
+        F.expr(f"{entropy} + lng_a").alias("entropy"),
         F.expr(f"-num_words * ln({total_sql(mean)})").alias("normaliser"),
         F.expr(f"-{dot_sql(mean, expected_rate_sql('mu', 'sig'))}").alias("rate"),
     )
@@ -84,7 +86,7 @@ def doc_terms_of_bound(docs: DataFrame) -> DataFrame:
 def bound_docs(docs: DataFrame) -> DataFrame:
     """``(weight_entropy, normaliser, weight_rate)``: gamma entropy, the bound on the log normaliser of each
     document at its tightest point, and minus the expected weight times rate."""
-    return doc_terms_of_bound(docs).agg(
+    return doc_terms_of_bound(with_logs(docs)).agg(
         F.sum("entropy").alias("weight_entropy"),
         F.sum("normaliser").alias("normaliser"),
         F.sum("rate").alias("weight_rate"),

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.functions.special import pack
 from topicloom.functions.vectors import dot_sql, literal_sql, ratio_sql, sum_vectors, total_sql
 from topicloom.operators.blocks import Block, run_blocks, with_vectors
 from topicloom.operators.lookup import lookup_join
@@ -19,6 +20,8 @@ COPIES = 10_000
 SLICE_TOKENS = 1_000_000
 # Numbers that the draws of one group of samples may hold at once.
 SAMPLE_BUDGET = 1 << 24
+# Stream of the draws that stand for all terms that are not scored.
+REST = 3
 
 
 def split_heldout(
@@ -156,7 +159,7 @@ def sampled_topic_norms(gam: DataFrame, totals, samples: int, seed: int) -> np.n
         table[r["at"]] = r["value"]
     used = gam.agg(sum_vectors("gam", k).alias("gam")).first()
     rest = np.maximum(totals - np.array([x or 0.0 for x in used["gam"]]), 0.0)
-    return table.reshape(samples, k) + _stream(seed, -1, 0).standard_gamma(rest, (samples, k))
+    return table.reshape(samples, k) + _stream(seed, REST, 0).standard_gamma(rest, (samples, k))
 
 
 def sampled_loglik(
@@ -170,9 +173,9 @@ def sampled_loglik(
     k = len(np.asarray(totals))
     norms = sampled_topic_norms(gam, totals, samples, seed)
     # shapes and rates travel as one vector, so topics are padded to the same width
-    both = docs.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), F.concat("a", "b").alias("vec"))
+    both = docs.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(F.concat("a", "b")).alias("vec"))
     padded = gam.select(
-        F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), F.concat("gam", "gam").alias("vec")
+        F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), pack(F.concat("gam", "gam")).alias("vec")
     )
     shares = run_blocks(
         test, both.unionAll(padded), _sample_kernel(k, norms, seed), "doc_id bigint, sample int, x double"

@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.vectors import literal_sql, number, per_topic, sum_vectors
-from topicloom.operators.blocks import Block, run_blocks, vector_table
+from topicloom.functions.special import pack
+from topicloom.functions.vectors import literal_sql, number, per_topic
+from topicloom.operators.blocks import VECTOR_SCHEMA, Block, add_shares, run_blocks, vector_table
 from topicloom.operators.lookup import lookup_join
 from topicloom.session import RunFolder, wide_expressions
 from topicloom.sources.prepared import DOC, TERM, Corpus
@@ -49,11 +50,10 @@ def distances(corpus: Corpus, centroids: DataFrame, k: int, p: float = 1.0) -> D
     alone = literal_sql([x or 0.0 for x in row["alone"]])
     lengths = F.array_repeat(F.col("num_words").cast("double"), k)
     vectors = corpus.docs.select(
-        F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), lengths.alias("vec")
-    ).unionAll(centroids.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), "vec"))
-    shares = run_blocks(corpus, vectors, _distance_kernel(k, p), "kind int, id bigint, vec array<double>")
-    corrections = shares.groupBy("id").agg(sum_vectors("vec", k).alias("vec"))
-    return corrections.select(
+        F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(lengths).alias("vec")
+    ).unionAll(centroids.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), pack("vec").alias("vec")))
+    shares = run_blocks(corpus, vectors, _distance_kernel(k, p), VECTOR_SCHEMA)
+    return add_shares(shares, k).select(
         F.col("id").alias("doc_id"), F.expr(f"zip_with(vec, {alone}, (x, s) -> x + s)").alias("dist")
     )
 
@@ -73,8 +73,14 @@ def _distance_kernel(k: int, p: float):
 
 
 def assign(dist: DataFrame) -> DataFrame:
-    """``(doc_id, k)``: the nearest centroid, the lowest index among equals."""
-    return dist.select("doc_id", (F.array_position("dist", F.array_min("dist")) - 1).cast("int").alias("k"))
+    """``(doc_id, k)``: the nearest centroid, the lowest index among equals.
+
+    A document that shares no term with any centroid is equally far from all of them, but for the last
+    bits of the sums. Distances that agree to nine decimals count as equal, so that the order in which
+    rows are added up cannot decide.
+    """
+    rounded = dist.select("doc_id", F.transform("dist", lambda x: F.round(x, 9)).alias("dist"))
+    return rounded.select("doc_id", (F.array_position("dist", F.array_min("dist")) - 1).cast("int").alias("k"))
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:

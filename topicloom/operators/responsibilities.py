@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.special import digamma_array, np_digamma
-from topicloom.functions.vectors import expected_log_gamma_sql, literal_sql, per_topic, sum_vectors
-from topicloom.operators.blocks import VECTOR_SCHEMA, Block, run_blocks, vector_table, with_vectors
+from topicloom.functions.special import digamma_array, np_digamma, pack
+from topicloom.functions.vectors import literal_sql, per_topic, sum_vectors
+from topicloom.operators.blocks import VECTOR_SCHEMA, Block, add_shares, run_blocks, vector_table, with_vectors
 from topicloom.sources.prepared import BLOCK, DOC, TERM, Corpus
 
+# E[ln Z] from digamma of the shape and the rate.
+LOG_WEIGHT = "zip_with(psi_a, b, (x, y) -> x - ln(y))"
 # Below this the plain product of two exponentials may have lost digits; the pair is redone in logs.
 UNDERFLOW = 1e-200
 
@@ -34,7 +36,8 @@ def expected_log_topics(gam: DataFrame, totals) -> DataFrame:
 
 def expected_log_weights(docs: DataFrame) -> DataFrame:
     """``(doc_id, elnz)`` of documents with gamma shapes ``a`` and rates ``b``."""
-    return docs.select("doc_id", F.expr(expected_log_gamma_sql("a", "b")).alias("elnz"))
+    logs = docs.select("doc_id", "b", digamma_array("a").alias("psi_a"))
+    return logs.select("doc_id", F.expr(LOG_WEIGHT).alias("elnz"))
 
 
 def token_scores(corpus: Corpus, elneta: DataFrame, elnz: DataFrame, k: int) -> DataFrame:
@@ -58,27 +61,28 @@ def responsibilities(scores: DataFrame, k: int) -> DataFrame:
 
 
 def log_vectors(elneta: DataFrame, elnz: DataFrame) -> DataFrame:
-    """Both sides of a token pass as one ``(kind, id, vec)`` table."""
-    return elnz.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), F.col("elnz").alias("vec")).unionAll(
-        elneta.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), F.col("elneta").alias("vec"))
-    )
+    """Both sides of a token pass as one packed ``(kind, id, vec)`` table."""
+    docs = elnz.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack("elnz").alias("vec"))
+    terms = elneta.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), pack("elneta").alias("vec"))
+    return docs.unionAll(terms)
 
 
-def expected_counts(corpus: Corpus, vectors: DataFrame, k: int) -> DataFrame:
+def expected_counts(corpus: Corpus, vectors: DataFrame, k: int, shift=0.0) -> DataFrame:
     """``(kind, id, vec)``: expected counts per topic of every document and every term.
 
+    ``vectors`` hold E[ln Z] per document and per term E[ln eta], up to the ``shift`` to be subtracted.
+
     One pass gives both. Rows of kind BLOCK carry two sums of their block instead: the entropy of the
     responsibilities and the expected log-probability of the words. Each block adds up its own share
     first; one shuffle by id adds the shares.
     """
-    shares = run_blocks(corpus, vectors, _count_kernel(k), VECTOR_SCHEMA)
-    return shares.groupBy("kind", "id").agg(sum_vectors("vec", k).alias("vec"))
+    return add_shares(run_blocks(corpus, vectors, _count_kernel(k, shift), VECTOR_SCHEMA), k)
 
 
-def _count_kernel(k: int):
+def _count_kernel(k: int, shift):
     def kernel(pairs, vectors):
         block = Block(pairs, vectors, k)
-        ln_z, ln_eta = block.doc_vec, block.term_vec
+        ln_z, ln_eta = block.doc_vec, block.term_vec - shift
         top_z, top_eta = ln_z.max(axis=1), ln_eta.max(axis=1)
         z, eta = np.exp(ln_z - top_z[:, None]), np.exp(ln_eta - top_eta[:, None])
         doc_counts, term_weights = np.zeros_like(z), np.zeros_like(eta)

@@ -9,17 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.functions.special import lgamma_array_sum, np_lgamma
+from topicloom.functions.special import digamma_packed, lgamma_array_sum, np_digamma, np_lgamma, pack
 from topicloom.functions.vectors import dot_sql, literal, literal_sql, number, ratio_sql, sum_vectors, total_sql
-from topicloom.operators.bound import doc_terms_of_bound, gaussian_value, global_value
+from topicloom.operators.bound import doc_terms_of_bound, gaussian_value, global_value, with_logs
 from topicloom.operators.kmeans import cluster_sizes, fit_kmeans, initial_topics, relabel
-from topicloom.operators.responsibilities import (
-    expected_counts,
-    expected_log_topics,
-    expected_log_weights,
-    log_vectors,
-    topic_totals,
-)
+from topicloom.operators.responsibilities import LOG_WEIGHT, expected_counts, topic_totals
 from topicloom.operators.updates import (
     gamma_posterior,
     normal_moments,
@@ -181,7 +175,8 @@ def fit_topics(
     gamma = gamma if gamma is not None else 0.5 * corpus.vocab_size
     with wide_expressions(spark):
         terms = start_topics(corpus, k, gamma, kmeans_iter, seed, sort_topics, run)
-        docs = run.write_slot(start_documents(corpus.docs, k, correlated), "docs", 0)
+        terms = terms.withColumn("psi", digamma_packed("gam"))
+        docs = run.write_slot(with_logs(start_documents(corpus.docs, k, correlated)), "docs", 0)
         v = uniform_sticks(k)
         totals = topic_totals(terms, k, corpus.seen_terms, corpus.vocab_size, gamma / corpus.vocab_size)
         state = Globals(v, stick_weights(v), np.zeros(k), np.eye(k), alpha, beta, totals)
@@ -195,6 +190,7 @@ def fit_topics(
             trace.append((step, bound, change, time.monotonic() - began))
             if tol is not None and change is not None and change < tol and step >= min_iter:
                 break
+    terms, docs = terms.select("term_id", "gam"), docs.drop("psi_a", "lng_a")
     return Model(spark, terms, docs, state, gamma, corpus.vocab_size, correlated, trace)
 
 
@@ -252,18 +248,15 @@ def document_sums(docs: DataFrame, k: int) -> DataFrame:
 def iterate(corpus, terms, docs, state: Globals, gamma, correlated, learn_alpha, learn_beta, run, step):
     """One iteration: token pass, document pass, sums, global updates. Returns the new tables and bound."""
     k, flat = len(state.p), gamma / corpus.vocab_size
-    vectors = log_vectors(expected_log_topics(terms, state.totals), expected_log_weights(docs))
-    counted = expected_counts(corpus, vectors, k).withColumn(
-        "lng", lgamma_array_sum(F.expr(f"transform(vec, x -> if(kind = {TERM}, x + {number(flat)}, 1D))"))
-    )
-    counts = run.write_slot(counted, "counts", step, partition_by="kind")
+    counted = expected_counts(corpus, packed_logs(terms, docs), k, np_digamma(state.totals))
+    counts = run.write_slot(with_topic_logs(counted, flat), "counts", step, partition_by="kind")
     terms = counts.where(F.col("kind") == TERM).select(
-        F.col("id").alias("term_id"), F.expr(f"transform(vec, x -> x + {number(flat)})").alias("gam")
+        F.col("id").alias("term_id"), F.expr(f"transform(vec, x -> x + {number(flat)})").alias("gam"), "psi"
     )
     moved = gamma_posterior(with_counts(docs, counts, k), state.beta_p)
     if correlated:
         moved = normal_update(moved, state.beta_p, state.u, np.linalg.inv(state.cov))
-    docs = run.write_slot(moved, "docs", step)
+    docs = run.write_slot(with_logs(moved), "docs", step)
 
     sums = document_sums(docs, k).first()
     topic_sums = counts.where(F.col("kind") != DOC).agg(
@@ -279,6 +272,22 @@ def iterate(corpus, terms, docs, state: Globals, gamma, correlated, learn_alpha,
     return terms, docs, bound
 
 
+def packed_logs(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """The vectors of a token pass from ``terms(term_id, psi)`` and documents with digamma at hand."""
+    elnz = docs.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(F.expr(LOG_WEIGHT)).alias("vec"))
+    return elnz.unionAll(terms.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), F.col("psi").alias("vec")))
+
+
+def with_topic_logs(counted: DataFrame, flat: float) -> DataFrame:
+    """Counts with the sum of log-gamma (for the bound) and packed digamma (for the next token pass).
+
+    Both come from one trip through Arrow. Rows of other kinds get a harmless argument.
+    """
+    gam = F.expr(f"transform(vec, x -> if(kind = {TERM}, x + {number(flat)}, 1D))")
+    ready = counted.select("kind", "id", "vec", gam.alias("gam"))
+    return ready.select("kind", "id", "vec", lgamma_array_sum("gam").alias("lng"), digamma_packed("gam").alias("psi"))
+
+
 def update_globals(state: Globals, sums, moments, num_docs, gamma, learn_alpha, learn_beta) -> None:
     k = len(state.p)
     pull = np.array(sums["mu"]) + np.array(sums["elnz"])

@@ -9,17 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.special import digamma_packed, np_digamma
 from topicloom.functions.vectors import literal
-from topicloom.operators.bound import bound_topics, gaussian_value, global_value
+from topicloom.operators.bound import bound_topics, gaussian_value, global_value, with_logs
 from topicloom.operators.heldout import heldout_summary, log_mean_exp, sampled_loglik, split_heldout
-from topicloom.operators.responsibilities import (
-    expected_counts,
-    expected_log_topics,
-    expected_log_weights,
-    log_vectors,
-)
+from topicloom.operators.responsibilities import expected_counts
 from topicloom.operators.updates import gamma_posterior, normal_moments, normal_update
-from topicloom.plans.fit import Model, document_sums, start_documents, with_counts
+from topicloom.plans.fit import Model, document_sums, packed_logs, start_documents, with_counts
 from topicloom.session import RunFolder, wide_expressions
 from topicloom.sources.corpus import doc_stats
 from topicloom.sources.prepared import BLOCK, TERM, Corpus, prepare_corpus
@@ -61,23 +57,25 @@ def fold_in(
     k, g, run = model.k, model.globals, RunFolder(corpus.spark, "fold_in")
     trace: list[tuple] = []
     with wide_expressions(corpus.spark):
-        elneta = run.write(expected_log_topics(model_topics(model, corpus), g.totals), "elneta")
-        docs = run.write_slot(start_documents(corpus.docs, k, model.correlated), "docs", 0)
+        terms = run.write(
+            model_topics(model, corpus).select("term_id", digamma_packed("gam").alias("psi")), "topics"
+        )
+        docs = run.write_slot(with_logs(start_documents(corpus.docs, k, model.correlated)), "docs", 0)
         fixed = frozen_topics_bound(model)
         for step in range(1, max_iter + 1):
             began = time.monotonic()
-            vectors = log_vectors(elneta, expected_log_weights(docs))
-            counts = run.write_slot(expected_counts(corpus, vectors, k), "counts", step, partition_by="kind")
+            counted = expected_counts(corpus, packed_logs(terms, docs), k, np_digamma(g.totals))
+            counts = run.write_slot(counted, "counts", step, partition_by="kind")
             moved = gamma_posterior(with_counts(docs, counts, k), g.beta_p)
             if model.correlated:
                 moved = normal_update(moved, g.beta_p, g.u, np.linalg.inv(g.cov), normal_steps)
-            docs = run.write_slot(moved, "docs", step)
+            docs = run.write_slot(with_logs(moved), "docs", step)
             bound = fixed + _document_bound(model, corpus, counts, docs)
             change = abs((bound - trace[-1][1]) / trace[-1][1]) if trace else None
             trace.append((step, bound, change, time.monotonic() - began))
             if tol is not None and change is not None and change < tol and step >= min_iter:
                 break
-    return FoldIn(docs, trace)
+    return FoldIn(docs.drop("psi_a", "lng_a"), trace)
 
 
 def frozen_topics_bound(model: Model) -> float:

@@ -56,7 +56,7 @@ def parse_lines(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line"
     return lines.select(
         F.col(id_col).alias("doc_id"),
         F.get(parts, F.lit(0)).try_cast("bigint").alias("declared"),
-        F.posexplode_outer(F.filter(F.slice(parts, 2, 2147483647), lambda p: p != "")).alias("position", "pair"),
+        F.posexplode_outer(F.filter(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda p: p != "")).alias("position", "pair"),
     ).select(
         "doc_id",
         "declared",
