@@ -67,7 +67,10 @@ def with_logs(docs: DataFrame) -> DataFrame:
 
 
 def doc_terms_of_bound(docs: DataFrame) -> DataFrame:
-    """Per document of ``with_logs``: ``elnz`` and the gamma entropy, normaliser and rate terms."""
+    """Per document of ``with_logs``: ``elnz`` and the gamma entropy, normaliser and rate terms.
+
+    ``settled`` is the entropy plus (a - 1) E[ln Z]: what is left where a is the prior plus the counts.
+    """
     mean = ratio_sql("a", "b")
     entropy = total_sql("zip_with(zip_with(a, psi_a, (x, s) -> x + (1D - x) * s), b, (x, y) -> x - ln(y))")
     return docs.select(
@@ -78,6 +81,7 @@ def doc_terms_of_bound(docs: DataFrame) -> DataFrame:
         "sig",
         F.expr(LOG_WEIGHT).alias("elnz"),
         F.expr(f"{entropy} + lng_a").alias("entropy"),
+        F.expr(f"{total_sql('zip_with(a, b, (x, y) -> x - x * ln(y))')} + lng_a").alias("settled"),
         F.expr(f"-num_words * ln({total_sql(mean)})").alias("normaliser"),
         F.expr(f"-{dot_sql(mean, expected_rate_sql('mu', 'sig'))}").alias("rate"),
     )
@@ -93,26 +97,20 @@ def bound_docs(docs: DataFrame) -> DataFrame:
     )
 
 
-def global_value(num_docs: int, sum_mu, sum_lnz, p, v, alpha: float, beta: float) -> tuple[float, float]:
-    """``(weight_prior, stick_prior)`` from sums of K numbers."""
-    bp = beta * np.asarray(p, dtype=float)
-    sum_mu, sum_lnz, v = (np.asarray(x, dtype=float) for x in (sum_mu, sum_lnz, v))
-    weight_prior = bp @ sum_mu - num_docs * np_lgamma(bp).sum() + (bp - 1.0) @ sum_lnz
-    stick_prior = (len(v) - 1) * np.log(alpha) + (alpha - 1.0) * np.log1p(-v[:-1]).sum()
-    return float(weight_prior), float(stick_prior)
+def stick_prior(v, alpha: float) -> float:
+    v = np.asarray(v, dtype=float)
+    return float((len(v) - 1) * np.log(alpha) + (alpha - 1.0) * np.log1p(-v[:-1]).sum())
 
 
 def bound_global(sums: DataFrame, p, v, alpha: float, beta: float) -> DataFrame:
     """``(weight_prior, stick_prior)`` over the one row of corpus sums."""
-    k = len(p)
     bp = [beta * float(x) for x in p]
-    _, stick_prior = global_value(0, np.zeros(k), np.zeros(k), p, v, alpha, beta)
     constant = number(float(np_lgamma(np.array(bp)).sum()))
     weight_prior = (
         f"{dot_sql('mu', literal_sql(bp))} - num_docs * {constant}"
         f" + {dot_sql('lnz', literal_sql([x - 1.0 for x in bp]))}"
     )
-    return sums.select(F.expr(weight_prior).alias("weight_prior"), F.lit(stick_prior).alias("stick_prior"))
+    return sums.select(F.expr(weight_prior).alias("weight_prior"), F.lit(stick_prior(v, alpha)).alias("stick_prior"))
 
 
 def gaussian_value(moments: dict[tuple[int, int], float], center, u, cov, num_docs: int) -> float:

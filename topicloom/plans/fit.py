@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import digamma_packed, lgamma_array_sum, np_digamma, np_lgamma, pack
-from topicloom.functions.vectors import dot_sql, literal, literal_sql, number, ratio_sql, sum_vectors, total_sql
-from topicloom.operators.bound import doc_terms_of_bound, gaussian_value, global_value, with_logs
+from topicloom.functions.vectors import literal, literal_sql, number, ratio_sql, sum_vectors, total_sql
+from topicloom.operators.bound import doc_terms_of_bound, gaussian_value, stick_prior, with_logs
 from topicloom.operators.kmeans import cluster_sizes, fit_kmeans, initial_topics, relabel
 from topicloom.operators.responsibilities import LOG_WEIGHT, expected_counts, topic_totals
 from topicloom.operators.updates import (
@@ -238,13 +238,23 @@ def with_counts(docs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
 
 def document_sums(docs: DataFrame, k: int) -> DataFrame:
     """One row with everything the global updates and the bound need from the documents."""
-    rows = doc_terms_of_bound(docs).withColumn("count_lnz", F.expr(dot_sql("n", "elnz")))
-    return rows.agg(
-        *[F.sum(c).alias(c) for c in ("entropy", "normaliser", "rate", "count_lnz")],
+    return doc_terms_of_bound(docs).agg(
+        *[F.sum(c).alias(c) for c in ("settled", "normaliser", "rate")],
         *[sum_vectors(c, k).alias(c) for c in ("n", "mu", "elnz")],
     )
 
 
+def settled_documents_value(sums, num_docs: int, bp_made, bp_now) -> float:
+    """The documents' part of the bound right after their update under ``bp_made``, priced at ``bp_now``.
+
+    With a = n + bp_made the assignments, the gamma prior and the gamma entropy share (a - 1) digamma(a),
+    which is huge for topics of almost no weight. It cancels; written out it would cost digits.
+    """
+    lnz, mu = np.array(sums["elnz"]), np.array(sums["mu"])
+    prior = bp_now @ mu - num_docs * float(np_lgamma(bp_now).sum()) + (bp_now - bp_made) @ lnz
+    return sums["settled"] + sums["normaliser"] + sums["rate"] + float(prior)
+
+
 def iterate(corpus, terms, docs, state: Globals, gamma, correlated, learn_alpha, learn_beta, run, step):
     """One iteration: token pass, document pass, sums, global updates. Returns the new tables and bound."""
     k, flat = len(state.p), gamma / corpus.vocab_size
@@ -266,9 +276,9 @@ def iterate(corpus, terms, docs, state: Globals, gamma, correlated, learn_alpha,
     moments = None
     if correlated:
         moments = {(r["i"], r["j"]): r["value"] for r in normal_moments(docs, state.u).collect()}  # K x (K+3) rows
-    center = state.u
+    center, bp_made = state.u, state.beta_p
     update_globals(state, sums, moments, corpus.num_docs, gamma, learn_alpha, learn_beta)
-    bound = coherent_bound(corpus, state, sums, topic_sums, moments, center, gamma)
+    bound = coherent_bound(corpus, state, sums, topic_sums, moments, center, bp_made, gamma)
     return terms, docs, bound
 
 
@@ -305,7 +315,7 @@ def update_globals(state: Globals, sums, moments, num_docs, gamma, learn_alpha,
         state.cov = m[:, :k] / num_docs - np.outer(delta, delta) + np.diag(m[:, k + 1] / num_docs)
 
 
-def coherent_bound(corpus, state: Globals, sums, topic_sums, moments, center, gamma) -> float:
+def coherent_bound(corpus, state: Globals, sums, topic_sums, moments, center, bp_made, gamma) -> float:
     """The bound at the end of an iteration, from sums that are already there.
 
     The topics were just set to prior + counts, so their expected log-probabilities cancel between the
@@ -319,12 +329,9 @@ def coherent_bound(corpus, state: Globals, sums, topic_sums, moments, center, ga
         + (topic_sums["lng"] or 0.0)
         + unseen * k * float(np_lgamma(flat))
     )
-    tokens = (topic_sums["token_entropy"] or 0.0) + sums["count_lnz"]
-    docs = sums["entropy"] + sums["normaliser"] + sums["rate"]
-    prior = sum(
-        global_value(corpus.num_docs, sums["mu"], sums["elnz"], state.p, state.v, state.alpha, state.beta)
-    )
+    docs = settled_documents_value(sums, corpus.num_docs, bp_made, state.beta_p)
+    sticks = stick_prior(state.v, state.alpha)
     gaussian = 0.0
     if moments is not None:
         gaussian = gaussian_value(moments, center, state.u, state.cov, corpus.num_docs)
-    return topics + tokens + docs + prior + gaussian
+    return topics + (topic_sums["token_entropy"] or 0.0) + docs + sticks + gaussian

@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.special import digamma_packed, np_digamma
 from topicloom.functions.vectors import literal
-from topicloom.operators.bound import bound_topics, gaussian_value, global_value, with_logs
+from topicloom.operators.bound import bound_topics, gaussian_value, with_logs
 from topicloom.operators.heldout import heldout_summary, log_mean_exp, sampled_loglik, split_heldout
 from topicloom.operators.responsibilities import expected_counts
 from topicloom.operators.updates import gamma_posterior, normal_moments, normal_update
-from topicloom.plans.fit import Model, document_sums, packed_logs, start_documents, with_counts
+from topicloom.plans.fit import (
+    Model,
+    document_sums,
+    packed_logs,
+    settled_documents_value,
+    start_documents,
+    with_counts,
+)
 from topicloom.session import RunFolder, wide_expressions
 from topicloom.sources.corpus import doc_stats
 from topicloom.sources.prepared import BLOCK, TERM, Corpus, prepare_corpus
@@ -90,8 +97,7 @@ def _document_bound(model: Model, corpus: Corpus, counts: DataFrame, docs: DataF
     sums = document_sums(docs, model.k).first()
     # the block rows carry the entropy of the responsibilities and the expected log-probability of the words
     tokens = counts.where(F.col("kind") == BLOCK).agg(F.sum(F.col("vec")[0] + F.col("vec")[1]).alias("x")).first()
-    prior, _ = global_value(corpus.num_docs, sums["mu"], sums["elnz"], g.p, g.v, g.alpha, g.beta)
-    value = (tokens["x"] or 0.0) + sums["count_lnz"] + sums["entropy"] + sums["normaliser"] + sums["rate"] + prior
+    value = (tokens["x"] or 0.0) + settled_documents_value(sums, corpus.num_docs, g.beta_p, g.beta_p)
     if model.correlated:
         moments = {(r["i"], r["j"]): r["value"] for r in normal_moments(docs, g.u).collect()}  # K x (K+3) rows
         value += gaussian_value(moments, g.u, g.u, g.cov, corpus.num_docs)
