@@ -19,7 +19,7 @@ from topicloom import RunFolder, build_session, corpus_from_text, fit_topics, fo
 from topicloom.operators import heldout, kmeans  # noqa: E402
 from topicloom.registry.inputs import embedding_matrix  # noqa: E402
 from topicloom.operators.matrix import gram  # noqa: E402
-from topicloom.sources.corpus import doc_stats, encode_terms, vocabulary  # noqa: E402
+from topicloom.sources.corpus import doc_stats, encode_terms, spread_few_files, vocabulary  # noqa: E402
 
 
 def main() -> None:
@@ -46,7 +46,7 @@ def main() -> None:
 
     run = RunFolder(spark, "bench")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
-    pairs = timed("corpus_from_text", lambda: run.write(corpus_from_text(documents), "pairs"))
+    pairs = timed("corpus_from_text", lambda: run.write(corpus_from_text(spread_few_files(documents)), "pairs"))
     vocab = timed("vocabulary", lambda: run.write(vocabulary(pairs, run), "vocabulary"))
     doc_terms = run.write(encode_terms(pairs, vocab), "doc_terms")
     corpus = timed("prepare_corpus", lambda: prepare_corpus(doc_terms, documents.select("doc_id")))
@@ -54,9 +54,9 @@ def main() -> None:
     models = {}
     for name, k, correlated, iterations in (
         ("hdp_k10", 10, False, 3),
-        ("hdp_k50", 50, False, 3),
-        ("correlated_k10", 10, True, 3),
-        ("correlated_k50", 50, True, 3),
+        ("hdp_k50", 50, False, 2),
+        ("correlated_k10", 10, True, 2),
+        ("correlated_k50", 50, True, 2),
     ):
         model = timed(f"fit_{name}", lambda: fit_topics(corpus, k, correlated, max_iter=iterations))
         later = [row[3] for row in model.trace_rows[1:]]

@@ -174,6 +174,17 @@ def corpus_from_text(
     return lookup_join(pairs, kept, "term", "doc_id", spread_of_term)
 
 
+def spread_few_files(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``documents`` over all cores when they sit in fewer files than there are cores.
+
+    A table in many files is returned as it is: moving its text would be a shuffle for nothing.
+    """
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if len(documents.inputFiles()) >= cores:
+        return documents
+    return documents.repartition(cores, id_col)
+
+
 def vocabulary(pairs: DataFrame, run: RunFolder) -> DataFrame:
     """``(term, term_id, n)``: dense ids in byte order of the term, and the documents it occurs in."""
     terms = pairs.groupBy("term").agg(F.count("*").alias("n"))
