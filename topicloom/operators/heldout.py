@@ -103,8 +103,9 @@ def mean_weights(docs: DataFrame) -> DataFrame:
 def log_mean_exp(values: DataFrame) -> DataFrame:
     """``(doc_id, loglik)`` of ``(doc_id, sample, x)``: ln of the mean of exp(x), with the maximum taken out."""
     top = values.groupBy("doc_id").agg(F.max("x").alias("top"), F.count("*").alias("samples"))
+    sizes = top.select("doc_id", F.col("samples").alias("n"))
     return (
-        values.join(top, "doc_id")
+        lookup_join(values, top, "doc_id", "sample", sizes)
         .groupBy("doc_id")
         .agg((F.first("top") + F.ln(F.sum(F.exp(F.col("x") - F.col("top")))) - F.ln(F.first("samples"))).alias("loglik"))
     )

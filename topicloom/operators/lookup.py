@@ -16,7 +16,7 @@ def lookup_join(
     sizes: DataFrame,
     how: str = "inner",
 ) -> DataFrame:
-    """``facts`` joined to the one row of ``dim`` with the same ``key``.
+    """``facts`` joined to the row (or the few rows) of ``dim`` with the same ``key``.
 
     ``sizes(key, n)`` gives the number of fact rows per key. A key is hot when it alone would fill more
     than an average shuffle partition; it is cut into as many parts as partitions it would fill, by the

@@ -136,4 +136,6 @@ def evaluate_heldout(
     words = (test if per == "test" else train).docs.select("doc_id", F.col("num_words").alias("words"))
     scored = log_mean_exp(values).join(words, "doc_id").where("words > 0")
     docs = run.write(scored.withColumn("per_word", F.col("loglik") / F.col("words")), "docs")
+    train.release()
+    test.release()
     return Heldout(docs, heldout_summary(docs), fold)

@@ -86,7 +86,11 @@ def sum_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def write_counts(doc_terms: DataFrame, doc_ids: DataFrame, path: str) -> None:
-    """Write a corpus as count lines in document order; documents without terms become a line ``0``."""
+    """Write a corpus as count lines in document order; documents without terms become a line ``0``.
+
+    The format puts a whole document on one line, so here one task must hold a document's terms. Reading
+    and everything else does not need that.
+    """
     pair = F.concat_ws(COUNT_SEPARATOR, F.col("term_id").cast("string"), F.col("cnt").cast("string"))
     lines = doc_terms.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("term_id", pair.alias("pair")))), lambda x: x["pair"]).alias(
