@@ -75,6 +75,15 @@ def test_text_to_corpus(spark):
     assert rows(stats, "doc_id", "num_words", "num_unique") == [(0, 6, 5), (1, 2, 2), (2, 0, 0), (3, 0, 0)]
 
 
+def test_few_files_are_spread_and_many_are_left_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i)}") for i in range(8)], "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs.repartition(6, "doc_id").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "many"))
+    assert rows(source.spread_few_files(one), "doc_id") == rows(docs, "doc_id")
+    assert source.spread_few_files(many) is many
+
+
 def test_lookup_join_is_exact_when_one_key_is_hot(spark):
     facts = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 50).alias("key"), "id")
     dim = spark.range(60).select(F.col("id").alias("key"), (F.col("id") * 10).alias("value"))

@@ -15,7 +15,6 @@ from topicloom.operators.responsibilities import (
     log_vectors,
     responsibilities,
     token_scores,
-    topic_totals,
 )
 from topicloom.plans.fit import start_topics
 

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import TINY, counts_matrix, doc_ids, doc_terms
+from conftest import counts_matrix, doc_ids, doc_terms
 
 from topicloom import prepare_corpus
 from topicloom.operators import kmeans

@@ -4,7 +4,6 @@ import os
 
 import duckdb
 import pytest
-from conftest import TINY  # noqa: F401
 
 import __spark_entry__ as contract
 
