@@ -269,3 +269,12 @@ def test_moments_and_covariance(spark):
         cov[r["i"], r["j"]] = r["value"]
     assert np.allclose(cov, np.cov(mu.T, bias=True) + np.diag(sig.mean(0)))
     assert np.allclose([r["u"] for r in updates.topic_mean(docs, 3).orderBy("k").collect()], mu.mean(0))
+
+
+def test_pairs_are_not_moved_by_a_token_pass(spark, sampled):
+    data, m, _ = sampled
+    corpus = prepare_corpus(doc_terms(spark, data), doc_ids(spark, m), block_pairs=500)
+    vectors = corpus.needed.select("kind", "id", F.lit(b"\0" * 24).alias("vec")).distinct()
+    plan = expected_counts(corpus, vectors, 3)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapCoGroupsInArrow") :].splitlines()
+    assert "InMemoryTableScan" in below[1], below[1]  # the cached pairs feed the pass without an exchange
