@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.session import RunFolder
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The phrases and their labels.
@@ -38,6 +40,7 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose"),
 )
+VOCABULARY = sorted({w for _, words, _ in TEMPLATES for w in words.split()})
 RARE_WORDS = 5
 SHARE = 0.7
 
@@ -47,10 +50,39 @@ def _spread(phrase: str) -> str:
     return "".join(f" {w} " for w in phrase.split())
 
 
-def _normal(text: str) -> Column:
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.trim(F.regexp_replace(lower, NOT_WORD, "  "))
-    return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+def _may_hold(low: Column) -> Column:
+    """Whether a phrase can stand in a lower-cased text: a cheap test that lets every such text through."""
+    out = F.lit(False)
+    for phrase in sorted({p for p, _ in PHRASES} | {key for _, _, key in TEMPLATES}):
+        longest = max(phrase.split(), key=len)
+        test = F.contains(low, F.lit(longest))
+        if len(longest) < 5:
+            test = test & low.rlike(NOT_WORD.join(phrase.split()))
+        out = out | test
+    return out
+
+
+def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, n_words, held, _n``: one pass over the texts.
+
+    ``held`` are the template words in the text; ``_n`` is the normalised text where a phrase may stand in
+    it, and empty elsewhere. Lower-casing by locale changes bytes beyond ASCII only, and never to a letter
+    of a phrase, so words and places stay as they are.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), low.alias("_low"))
+    rows = rows.select("doc_id", F.split("_low", NOT_WORD).alias("_w"), _may_hold(F.col("_low")).alias("_may"))
+    # only the first and the last piece can be empty
+    empty = F.when(F.get("_w", F.lit(0)) == "", 1).otherwise(0) + F.when(
+        (F.size("_w") > 1) & (F.element_at("_w", -1) == ""), 1
+    ).otherwise(0)
+    joined = F.concat(F.lit(" "), F.array_join(F.filter("_w", lambda w: w != ""), "  "), F.lit(" "))
+    return rows.select(
+        "doc_id",
+        (F.size("_w") - empty).cast("bigint").alias("n_words"),
+        F.array_intersect("_w", F.array(*map(F.lit, VOCABULARY))).alias("held"),
+        F.when(F.col("_may"), joined).otherwise(F.lit("")).alias("_n"),
+    )
 
 
 def _words_in(text: Column) -> Column:
@@ -58,20 +90,17 @@ def _words_in(text: Column) -> Column:
     return F.expr("0L") + ((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / 2).cast("bigint")
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
+def document_frequencies(read: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of rows, and the rows that hold each template word, over all rows. As many numbers as template words."""
-    vocabulary = sorted({w for _, words, _ in TEMPLATES for w in words.split()})
-    held = F.array_intersect(F.split(F.trim(_normal(text)), "  "), F.array(*map(F.lit, vocabulary)))
-    rows = (
-        docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    ).collect()
-    found = {r.word: r.n for r in rows}
-    return found.get("", 0), {w: found.get(w, 0) for w in vocabulary}
+    rows = read.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    found = {r.word: r.n for r in rows.collect()}
+    return found.get("", 0), {w: found.get(w, 0) for w in VOCABULARY}
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row."""
-    total, frequency = document_frequencies(docs, text)
+    read = RunFolder(docs.sparkSession, "licenses").write(_read(docs, doc_id, text), "read")
+    total, frequency = document_frequencies(read)
     idf = {w: math.log((total + 1) / (n + 1)) + 1e-3 for w, n in frequency.items()}
     postings: dict[str, list[tuple[int, int]]] = {}
     weight = []
@@ -83,8 +112,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: flo
                 postings.setdefault(w, []).append((t, place))
         weight.append(sum(idf[w] for w in order if w in rare))
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), _normal(text).alias("_n"))
-    rows = rows.select("doc_id", "_n", _words_in(F.col("_n")).alias("n_words"), *_places())
+    rows = read.select("doc_id", "_n", "n_words", *_places())
     counts = [F.col(f"_c{i}") for i in range(len(PHRASES))]
     keyed = [F.contains(F.col("_n"), F.lit(_spread(key))) for _, _, key in TEMPLATES]
     any_key = keyed[0]
