@@ -103,3 +103,27 @@ def test_blocks_hold_every_pair_once(spark):
     assert (corpus.num_docs, corpus.seen_terms, corpus.vocab_size) == (61, 400, 400)
     with pytest.raises(ValueError):
         prepare_corpus(doc_terms(spark, big), vocab_size=10)
+
+
+def test_any_white_space_and_bad_pairs(spark, tmp_path):
+    (tmp_path / "w").write_text("2\t1:2 \t3:4\n0\n1 5:1 5:2\n")
+    got = sorted(tuple(r) for r in source.read_counts(spark, str(tmp_path / "w")).collect())
+    assert got == [(0, 1, 2), (0, 3, 4), (2, 5, 3)]
+    (tmp_path / "x").write_text("1 1:x\n")
+    with pytest.raises(Exception, match="not term:count"):
+        source.read_counts(spark, str(tmp_path / "x")).collect()
+
+
+def test_repeats_and_empty_corpora(spark):
+    from topicloom import prepare_corpus
+    from topicloom.operators.kmeans import fit_kmeans
+
+    twice = spark.createDataFrame([(0, 0, 3), (0, 0, 3), (0, 1, 2), (1, 2, 1)], "doc_id bigint, term_id bigint, cnt bigint")
+    corpus = prepare_corpus(twice)
+    assert (corpus.num_pairs, corpus.num_words) == (3, 9)
+    first, _ = fit_kmeans(corpus, 2)
+    fit_kmeans(corpus, 2, seed=1)
+    assert first.count() == 3
+    assert prepare_corpus(twice.limit(0), spark.range(3).withColumnRenamed("id", "doc_id")).num_docs == 3
+    with pytest.raises(Exception, match="negative"):
+        prepare_corpus(twice.selectExpr("doc_id", "term_id", "-cnt AS cnt"))

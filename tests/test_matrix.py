@@ -85,3 +85,12 @@ def test_text_round_trip(spark, tmp_path):
     assert tuple(matrix_text.matrix_shape(again).first()) == (2, 3)
     matrix_text.write_vector(vector(spark, [0.25, -7.0]), str(tmp_path / "v"))
     assert back(matrix_text.read_vector(spark, str(tmp_path / "v")), (2,)).tolist() == [0.25, -7.0]
+
+
+def test_sparse_cells_keep_their_place(spark, tmp_path):
+    sparse = spark.createDataFrame([(0, 0, 1.0), (0, 2, 3.0), (2, 1, 5.0)], "i bigint, j bigint, value double")
+    matrix_text.write_matrix(sparse, str(tmp_path / "s"))
+    back = {(r.i, r.j): r.value for r in matrix_text.read_matrix(spark, str(tmp_path / "s")).collect()}
+    assert back == {(i, j): {(0, 0): 1.0, (0, 2): 3.0, (2, 1): 5.0}.get((i, j), 0.0) for i in range(3) for j in range(3)}
+    gap = matrix_text.parse_matrix_lines(spark.createDataFrame([(0, "1,,3,")], "i bigint, line string"))
+    assert sorted((r.j, r.value) for r in gap.collect()) == [(0, 1.0), (2, 3.0)]

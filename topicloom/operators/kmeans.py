@@ -113,7 +113,7 @@ def fit_kmeans(
     corpus: Corpus, k: int, passes: int = 1, seed: int = 0, p: float = 1.0, run: RunFolder | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """A fixed number of passes from hash-drawn seeds: ``(centroids, assigned)``."""
-    run = run or corpus.run
+    run = run or RunFolder(corpus.spark, "kmeans")
     with wide_expressions(corpus.spark):
         seeds = run.write(seed_documents(corpus.docs, k, seed), "kmeans_seeds")
         centroids = run.write(seed_centroids(corpus, seeds, k), "kmeans_centroids-0")

@@ -24,7 +24,7 @@ def lookup_join(
     dimension rows, whatever the data, so broadcasting the list of hot keys is bounded.
     """
     parts = shuffle_partitions(facts.sparkSession)
-    share = sizes.agg((F.sum("n") / parts).alias("share"))
+    share = sizes.agg(F.greatest(F.sum("n") / parts, F.lit(1.0)).alias("share"))
     filled = F.ceil(F.col("n") / share.scalar()).cast("int")
     hot = sizes.select(key, filled.alias("_cuts")).where("_cuts > 1")
     cuts = F.coalesce(F.col("_cuts"), F.lit(1))

@@ -212,29 +212,47 @@ def stick_gradient(v, alpha, beta, sums, num_docs) -> np.ndarray:
 
 
 def update_sticks(v, alpha, beta, sums, num_docs) -> np.ndarray:
-    """Gradient ascent on the stick objective; ``sums`` is the corpus sum of mu + E[ln Z] per topic."""
-    v = v.copy()
-    value = stick_objective(v, alpha, beta, sums, num_docs)
+    """Quasi-Newton ascent on the stick objective; ``sums`` is the corpus sum of mu + E[ln Z] per topic.
+
+    In u = logit(v) every real vector is a valid set of sticks, so no step needs a limit. A step is taken
+    only if it raises the objective by a share of what the slope promises.
+    """
+
+    def sticks(u):
+        return np.r_[np.clip(1.0 / (1.0 + np.exp(-np.clip(u, -700, 700))), 1.0 - LARGEST_STICK, LARGEST_STICK), 1.0]
+
+    def value_at(u):
+        return stick_objective(sticks(u), alpha, beta, sums, num_docs)
+
+    def slope_at(u):
+        x = sticks(u)
+        return stick_gradient(x, alpha, beta, sums, num_docs)[:-1] * x[:-1] * (1.0 - x[:-1])
+
+    def first_scale(slope):
+        return np.eye(len(slope)) / max(np.abs(slope).max(initial=0.0), 1e-12)
+
+    free = np.clip(v[:-1], 1.0 - LARGEST_STICK, LARGEST_STICK)
+    u = np.log(free) - np.log1p(-free)
+    value, slope = value_at(u), slope_at(u)
+    inverse = first_scale(slope)
     for _ in range(STICK_STEPS):
-        d = stick_gradient(v, alpha, beta, sums, num_docs)
-        up, down = d > 0, d < 0
-        limits = np.r_[(LARGEST_STICK - v[:-1])[up[:-1]] / d[:-1][up[:-1]], v[:-1][down[:-1]] / -d[:-1][down[:-1]]]
-        if len(limits) == 0:
-            break
-        step, found = 0.95 * limits.min(), None
-        for _ in range(60):
-            trial = v + step * d
-            trial[-1] = 1.0
-            now = stick_objective(trial, alpha, beta, sums, num_docs)
-            if now > value:
-                value, found = now, trial
-            elif found is not None:
-                break
-            step *= 0.75
-        if found is None:
+        move = inverse @ slope
+        if not np.isfinite(move).all() or slope @ move <= 0:
+            inverse = first_scale(slope)
+            move = inverse @ slope
+        length = 1.0
+        while length > 1e-10 and not value_at(u + length * move) >= value + 1e-4 * length * (slope @ move):
+            length /= 2
+        if length <= 1e-10:
             break
-        v = found
-    return v
+        before, moved = slope, length * move
+        u = u + moved
+        value, slope = value_at(u), slope_at(u)
+        bend = before - slope
+        if moved @ bend > 1e-12:
+            keep = np.eye(len(u)) - np.outer(moved, bend) / (moved @ bend)
+            inverse = keep @ inverse @ keep.T + np.outer(moved, moved) / (moved @ bend)
+    return sticks(u) if value > stick_objective(v, alpha, beta, sums, num_docs) else v.copy()
 
 
 def update_alpha(v) -> float:

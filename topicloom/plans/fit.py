@@ -28,10 +28,9 @@ from topicloom.operators.updates import (
 from topicloom.session import RunFolder, wide_expressions
 from topicloom.sources.prepared import BLOCK, DOC, TERM, Corpus, prepare_corpus
 
-# Starting shape and rate of every document's weights, and the cap on iterations.
+# Starting shape and rate of every document's weights.
 START_SHAPE = 10.0
 START_RATE = 10.0
-ITERATION_CAP = 1000
 
 
 @dataclass
@@ -179,7 +178,7 @@ def fit_topics(
         totals = topic_totals(terms, k, corpus.seen_terms, corpus.vocab_size, gamma / corpus.vocab_size)
         state = Globals(v, stick_weights(v), np.zeros(k), np.eye(k), alpha, beta, totals)
         trace: list[tuple] = []
-        for step in range(1, min(max_iter, ITERATION_CAP) + 1):
+        for step in range(1, max_iter + 1):
             began = time.monotonic()
             terms, docs, bound = iterate(
                 corpus, terms, docs, state, gamma, correlated, learn_alpha, learn_beta, run, step

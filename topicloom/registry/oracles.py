@@ -58,7 +58,8 @@ def with_(*parts: str, select: str) -> str:
 TOPIC_STATE = f"""
 topic AS (SELECT DISTINCT term_id, {each('(1 + (term_id * 7 + 3 * {k}) % 5)::DOUBLE AS g{k}')} FROM tok),
 tots AS (SELECT {each('sum(g{k}) AS t{k}')} FROM topic),
-tlog AS (SELECT term_id, {each(psi('g{k}') + ' - ' + psi('t{k}') + ' AS l{k}')} FROM topic, tots)"""
+tpsi AS MATERIALIZED (SELECT {each(psi('t{k}') + ' AS p{k}')} FROM tots),
+tlog AS (SELECT term_id, {each(psi('g{k}') + ' - p{k} AS l{k}')} FROM topic, tpsi)"""
 
 DOC_STATE = f"""
 doc AS (SELECT doc_id, num_words,
@@ -120,7 +121,8 @@ centred AS (SELECT term_id, {each('coalesce(sum(value) FILTER (WHERE rank = {k})
 topic AS (SELECT term_id, {each('0.5 + gamma * coalesce(c{k}, 0) AS g{k}')}
           FROM (SELECT DISTINCT term_id FROM tok) LEFT JOIN centred USING (term_id), scale),
 tots AS (SELECT {each('sum(g{k}) AS t{k}')} FROM topic),
-tlog AS (SELECT term_id, {each(psi('g{k}') + ' - ' + psi('t{k}') + ' AS l{k}')} FROM topic, tots)"""
+tpsi AS MATERIALIZED (SELECT {each(psi('t{k}') + ' AS p{k}')} FROM tots),
+tlog AS (SELECT term_id, {each(psi('g{k}') + ' - p{k} AS l{k}')} FROM topic, tpsi)"""
 # in the first iteration every document has the same E[ln Z] for all topics, which cancels
 FIRST = f"""
 dlog AS (SELECT doc_id, {each('0::DOUBLE AS z{k}')} FROM docs)"""

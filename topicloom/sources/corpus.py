@@ -5,6 +5,8 @@ A corpus is ``doc_terms(doc_id BIGINT, term_id BIGINT, cnt BIGINT)`` with one ro
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,10 @@ from topicloom.operators.lookup import lookup_join
 from topicloom.session import RunFolder
 
 # A word is a maximal run of Unicode letters, lower-cased; "term:count" pairs are
-# separated by one space after the declared number of pairs.
+# written with one space between and read with any white space, after the declared number.
 NOT_LETTERS = r"[^\p{L}]+"
 PAIR_SEPARATOR = " "
+WHITE_SPACE = r"\s+"
 COUNT_SEPARATOR = ":"
 
 
@@ -51,7 +54,7 @@ def parse_lines(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line"
 
     A document without pairs yields one row with a null position.
     """
-    parts = F.split(F.trim(F.col(line_col)), PAIR_SEPARATOR)
+    parts = F.split(F.regexp_replace(F.col(line_col), r"^\s+|\s+$", ""), WHITE_SPACE)
     pair = F.split(F.col("pair"), COUNT_SEPARATOR)
     return lines.select(
         F.col(id_col).alias("doc_id"),
@@ -67,7 +70,8 @@ def parse_lines(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line"
 
 
 def read_counts(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """``doc_terms`` of a count file. Repeated pairs of a document are added up.
+    """``doc_terms`` of a count file. Repeated pairs of a document are added up; a pair that cannot be read
+    is an error when the result is computed.
 
     With ``strict`` the read fails when any line breaks a rule of the format.
     """
@@ -79,7 +83,13 @@ def read_counts(spark: SparkSession, path: str, strict: bool = False) -> DataFra
 
 def sum_pairs(pairs: DataFrame) -> DataFrame:
     return (
-        pairs.where(F.col("term_id").isNotNull() & F.col("cnt").isNotNull())
+        pairs.where(F.col("position").isNotNull())
+        .withColumn(
+            "cnt",
+            F.when(F.expr("term_id IS NULL OR cnt IS NULL"), F.raise_error(F.lit("a pair is not term:count"))).otherwise(
+                F.col("cnt")
+            ),
+        )
         .groupBy("doc_id", "term_id")
         .agg(F.sum("cnt").alias("cnt"))
     )
@@ -202,7 +212,7 @@ def dense_ids(table: DataFrame, order_col: str, id_col: str, run: RunFolder) ->
     become dense by subtracting each partition's start, which needs one row per partition.
     """
     ordered = run.write(
-        table.orderBy(order_col).withColumn("_running", F.monotonically_increasing_id()), f"ordered_{order_col}"
+        table.orderBy(order_col).withColumn("_running", F.monotonically_increasing_id()), f"ordered_{order_col}-{uuid.uuid4().hex[:8]}"
     )
     part = F.shiftright("_running", 33).alias("_part")
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,10 +18,13 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_matrix_lines(lines: DataFrame) -> DataFrame:
-    """``(i, j, value)`` of ``(i, line)``; the empty piece after a trailing comma is not a column."""
-    pieces = F.filter(F.split(F.col("line"), VALUE_SEPARATOR), lambda x: F.trim(x) != "")
-    cells = lines.select("i", F.posexplode(pieces).alias("j", "text"))
-    return cells.select("i", F.col("j").cast("bigint").alias("j"), F.trim("text").cast("double").alias("value"))
+    """``(i, j, value)`` of ``(i, line)``; the empty piece after a trailing comma is not a column.
+
+    An empty piece elsewhere is a cell without a value: it keeps its column and has no row.
+    """
+    cells = lines.select("i", F.posexplode(F.split(F.col("line"), VALUE_SEPARATOR)).alias("j", "text"))
+    filled = cells.where(F.trim("text") != "")
+    return filled.select("i", F.col("j").cast("bigint").alias("j"), F.trim("text").cast("double").alias("value"))
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
@@ -35,23 +38,33 @@ def matrix_shape(matrix: DataFrame) -> DataFrame:
     return matrix.agg(last("i").alias("num_rows"), last("j").alias("num_cols"))
 
 
-def matrix_lines(matrix: DataFrame) -> DataFrame:
-    """``(i, line)`` of a full matrix: every row's values in column order, a comma after each.
+def matrix_lines(matrix: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """``(i, line)`` of a matrix: every row's values in column order, a comma after each.
 
-    A line is one row of the matrix, K or another model-sized number of values; documents are rows.
+    Absent cells are zero, absent rows are rows of zeros; without ``shape`` the matrix ends at its last
+    row and column. A line is one row of the matrix, K or another model-sized number of values; documents
+    are rows.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("j", "value")))
-    values = F.transform(ordered, lambda x: F.format_string(VALUE_FORMAT, x["value"]))
-    return matrix.groupBy("i").agg(F.concat(F.concat_ws(VALUE_SEPARATOR, values), F.lit(VALUE_SEPARATOR)).alias("line"))
-
-
-def write_matrix(matrix: DataFrame, path: str) -> None:
-    matrix_lines(matrix).orderBy("i").select("line").write.mode("overwrite").text(path)
-
-
-def write_vector(vector: DataFrame, path: str) -> None:
-    text = F.format_string(VALUE_FORMAT, F.col("value")).alias("line")
-    vector.orderBy("i").select(text).write.mode("overwrite").text(path)
+    rows, columns = shape or matrix_shape(matrix).first()
+    cells = matrix.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("cells"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))
+    values = F.transform(places, lambda j: F.format_string(VALUE_FORMAT, F.coalesce(F.try_element_at("cells", j), F.lit(0.0))))
+    line = F.concat(F.concat_ws(VALUE_SEPARATOR, values), F.lit(VALUE_SEPARATOR)) if columns else F.lit("")
+    every = matrix.sparkSession.range(rows).withColumnRenamed("id", "i")
+    return every.join(cells, "i", "left").select("i", line.alias("line"))
+
+
+def write_matrix(matrix: DataFrame, path: str, shape: tuple[int, int] | None = None) -> None:
+    matrix_lines(matrix, shape).orderBy("i").select("line").write.mode("overwrite").text(path)
+
+
+def write_vector(vector: DataFrame, path: str, size: int | None = None) -> None:
+    """One value per line; absent places are zero."""
+    if size is None:
+        size = vector.agg(F.coalesce(F.max("i"), F.lit(-1)) + 1).first()[0]
+    every = vector.sparkSession.range(size).withColumnRenamed("id", "i").join(vector.select("i", "value"), "i", "left")
+    text = F.format_string(VALUE_FORMAT, F.coalesce("value", F.lit(0.0))).alias("line")
+    every.orderBy("i").select(text).write.mode("overwrite").text(path)
 
 
 def array_matrix(table: DataFrame, id_col: str, array_col: str) -> DataFrame:

@@ -52,10 +52,13 @@ def prepare_corpus(
     A block is the unit a pass hands to one task: all pairs of many documents, about ``block_pairs`` of
     them. A document that is itself larger is cut by the hash of the term, so no document and no term
     can overfill a task: a pair occurs once, and a term at most once per document of a block.
+    Repeated pairs are added up first; nulls, negative term ids and negative counts are errors.
     """
     spark = doc_terms.sparkSession
     run = RunFolder(spark, "corpus")
-    pairs = run.write(doc_terms.select("doc_id", "term_id", "cnt"), "doc_terms")
+    wrong = F.expr("doc_id IS NULL OR term_id IS NULL OR cnt IS NULL OR term_id < 0 OR cnt < 0")
+    checked = F.when(wrong, F.raise_error(F.lit("a pair has a null, a negative term or a negative count"))).otherwise(F.col("cnt"))
+    pairs = run.write(doc_terms.groupBy("doc_id", "term_id").agg(F.sum(checked).cast("bigint").alias("cnt")), "doc_terms")
     stats = run.write(doc_stats(pairs, doc_ids), "doc_stats")
     sizes = stats.agg(
         F.count("*").alias("docs"),
