@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.graph import components
+from topicloom.llm.tables import partitions
 from topicloom.llm.text import mix, shingle_hashes, spaced_words, steps, word_hashes
 from topicloom.session import RunFolder
 
@@ -53,15 +54,17 @@ def _fold(bitmap: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bitmap.reshape(-1, width), axis=0)
 
 
-def _candidates(n: np.ndarray, bitmaps: list[bytes], label: np.ndarray, other: slice, percent: int):
-    """Pairs (i, j) of different labels, i anywhere and j in ``other``, that the sizes and bits allow."""
+def _candidates(n: np.ndarray, bitmaps: list[bytes], label: np.ndarray, cut: np.ndarray, percent: int):
+    """Pairs of different labels, and of different chunks if there are two, that sizes and bits allow."""
     out = []
     maps = [np.frombuffer(b, np.uint8) for b in bitmaps]
     cache: dict[int, np.ndarray] = {}
-    span = np.arange(len(n))[other]
+    span, two = np.arange(len(n)), cut.min() != cut.max()
     for i in range(len(n)):
         near = span[(n[span] * 100 >= n[i] * percent) & ((n[span] > n[i]) | ((n[span] == n[i]) & (span > i)))]
         near = near[(n[near] * percent <= n[i] * 100) & (label[near] != label[i])]
+        if two:
+            near = near[cut[near] != cut[i]]
         if not len(near):
             continue
         width = len(maps[i])
@@ -77,6 +80,21 @@ def _candidates(n: np.ndarray, bitmaps: list[bytes], label: np.ndarray, other: s
     return out
 
 
+def _compare(parts: list, percent: int) -> list[tuple[int, int]]:
+    """Candidate pairs of one tile, or of two chunks of it."""
+    if not parts:
+        return []
+    cut, n, label, rep = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    bits = [b for p in parts for b in p[4]]
+    pairs = _candidates(n, bits, label, cut, percent)
+    return [(int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))) for i, j in pairs]
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(sorted(set(rows)), np.int64).reshape(-1, 2)
+    return pa.record_batch({"a": pa.array(at[:, 0].copy()), "b": pa.array(at[:, 1].copy())})
+
+
 def shingle_components(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -174,20 +192,27 @@ def shingle_components(
     ).select("h", "rep", "n", "label", "cut", F.least("cut", "with").alias("c1"), F.greatest("cut", "with").alias("c2"))
     tasks = spread.join(contents.select("rep", "n", "bits"), ["rep", "n"])
 
-    def compare(table: pa.Table) -> pa.Table:
-        cut = np.asarray(table["cut"])
-        order = np.argsort(cut, kind="stable")
-        n, label_, rep = (np.asarray(table[c])[order] for c in ("n", "label", "rep"))
-        bits = [table["bits"][int(i)].as_py() for i in order]
-        pairs = _candidates(n, bits, label_, slice(None), percent)
-        if cut.min() != cut.max():
-            low = cut[order]
-            pairs = [(i, j) for i, j in pairs if low[i] != low[j]]
-        at = np.array(pairs, np.int64).reshape(-1, 2)
-        a, b = rep[at[:, 0]], rep[at[:, 1]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    rest = tasks.groupBy("h", "c1", "c2").applyInArrow(compare, "a bigint, b bigint")
+    def compare(batches):
+        """Tiles one after another; rows arrive sorted by tile, and a tile may go on in the next batch."""
+        kept, at = [], None
+        for batch in batches:
+            key = [np.asarray(batch[c]) for c in ("h", "c1", "c2")]
+            new = np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)]
+            begins = np.flatnonzero(new).tolist()
+            out = []
+            columns = [np.asarray(batch[c]) for c in ("cut", "n", "label", "rep")] + [batch["bits"].to_pylist()]
+            for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
+                tile = tuple(int(k[begin]) for k in key)
+                part = [c[begin:end] for c in columns]
+                if tile != at:
+                    out += _compare(kept, percent)
+                    kept, at = [], tile
+                kept.append(part)
+            yield _pairs(out)
+        yield _pairs(_compare(kept, percent))
+
+    dealt = tasks.repartition(partitions(docs.sparkSession), "h", "c1", "c2").sortWithinPartitions("h", "c1", "c2")
+    rest = dealt.mapInArrow(compare, "a bigint, b bigint")
     links = links.unionByName(verified(rest, "rest"))
     label = components(links, run, "joined")
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
