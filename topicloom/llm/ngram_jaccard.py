@@ -43,8 +43,8 @@ def _sets(part: pa.RecordBatch, size: int):
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    """Parity of the members that fall on each bit; twice as many bits as members, a power of two."""
-    bits = max(1 << (2 * len(values) - 1).bit_length(), 64)
+    """Parity of the members that fall on each bit; four times as many bits as members, a power of two."""
+    bits = max(1 << (4 * len(values) - 1).bit_length(), 64)
     ones = np.bincount((mix(values) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
@@ -80,16 +80,32 @@ def _candidates(n: np.ndarray, bitmaps: list[bytes], label: np.ndarray, cut: np.
     return out
 
 
-def _compare(parts: list, percent: int) -> list[tuple[int, int]]:
-    """Candidate pairs of one tile, or of two chunks of it."""
+def _compare(parts: list, percent: int, forest: bool) -> list[tuple[int, int]]:
+    """Candidate pairs of one tile, or of two chunks of it; as a ``forest`` only those that join labels."""
     if not parts:
         return []
     cut, n, label, rep = (np.concatenate([p[i] for p in parts]) for i in range(4))
     bits = [b for p in parts for b in p[4]]
     pairs = _candidates(n, bits, label, cut, percent)
+    if forest:
+        top = {x: x for x in label.tolist()}
+        chosen = []
+        for i, j in pairs:
+            x, y = _root(top, int(label[i])), _root(top, int(label[j]))
+            if x != y:
+                top[x] = y
+                chosen.append((i, j))
+        pairs = chosen
     return [(int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))) for i, j in pairs]
 
 
+def _root(top: dict[int, int], x: int) -> int:
+    while top[x] != x:
+        top[x] = top[top[x]]
+        x = top[x]
+    return x
+
+
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     at = np.array(sorted(set(rows)), np.int64).reshape(-1, 2)
     return pa.record_batch({"a": pa.array(at[:, 0].copy()), "b": pa.array(at[:, 1].copy())})
@@ -179,20 +195,26 @@ def shingle_components(
     links = verified(stars, "stars")
     label = components(links, run, "labels")
 
-    labelled = tiles.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "h", "rep", "n", F.coalesce("label", "rep").alias("label")
-    )
-    labelled = run.write(labelled, "labelled")
-    mixed = labelled.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    open_tiles = labelled.join(mixed.select("h", F.ceil(F.col("m") / CHUNK).cast("int").alias("cuts")), "h")
-    placed = open_tiles.withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
-    spread = placed.select(
-        "h", "rep", "n", "label", "cut",
-        F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("with"),
-    ).select("h", "rep", "n", "label", "cut", F.least("cut", "with").alias("c1"), F.greatest("cut", "with").alias("c2"))
-    tasks = spread.join(contents.select("rep", "n", "bits"), ["rep", "n"])
-
-    def compare(batches):
+    def open_tiles(label: DataFrame, name: str) -> DataFrame:
+        """Rows of the tiles that hold different labels, one row for each chunk pair that they take part in."""
+        labelled = run.write(
+            tiles.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
+                "h", "rep", "n", F.coalesce("label", "rep").alias("label")
+            ),
+            f"{name}-labelled",
+        )
+        sizes = labelled.groupBy("h").agg(
+            F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"), F.min("label").alias("x"), F.max("label").alias("y")
+        )
+        placed = labelled.join(sizes.where("x <> y").select("h", "cuts"), "h").withColumn(
+            "cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
+        )
+        spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        tasks = spread.select("h", "rep", "n", "label", "cut", F.least("cut", "with").alias("c1"), F.greatest("cut", "with").alias("c2"))
+        with_bits = tasks.join(contents.select("rep", "n", "bits"), ["rep", "n"])
+        return with_bits.repartition(partitions(docs.sparkSession), "h", "c1", "c2").sortWithinPartitions("h", "c1", "c2")
+
+    def compare(batches, forest):
         """Tiles one after another; rows arrive sorted by tile, and a tile may go on in the next batch."""
         kept, at = [], None
         for batch in batches:
@@ -205,16 +227,17 @@ def shingle_components(
                 tile = tuple(int(k[begin]) for k in key)
                 part = [c[begin:end] for c in columns]
                 if tile != at:
-                    out += _compare(kept, percent)
+                    out += _compare(kept, percent, forest)
                     kept, at = [], tile
                 kept.append(part)
             yield _pairs(out)
-        yield _pairs(_compare(kept, percent))
+        yield _pairs(_compare(kept, percent, forest))
 
-    dealt = tasks.repartition(partitions(docs.sparkSession), "h", "c1", "c2").sortWithinPartitions("h", "c1", "c2")
-    rest = dealt.mapInArrow(compare, "a bigint, b bigint")
-    links = links.unionByName(verified(rest, "rest"))
-    label = components(links, run, "joined")
+    # first what would join the labels of a tile if all of it were links, then whatever is left undecided
+    for name, forest in (("forest", True), ("rest", False)):
+        found = open_tiles(label, name).mapInArrow(lambda b, f=forest: compare(b, f), "a bigint, b bigint")
+        links = links.unionByName(verified(found, name))
+        label = components(links, run, f"{name}-joined")
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
         *key, F.coalesce("label", "rep").alias("component")
     )

@@ -186,6 +186,8 @@ class _Reader(DataSourceReader):
         return [_File(f) for f in sorted(files)]
 
     def read(self, partition):
+        if partition is None:  # an archive without files
+            return
         fs, _ = pyarrow.fs.FileSystem.from_uri(self.folder)
         with fs.open_input_stream(partition.file, compression=None) as stream:
             data = stream.read()
