@@ -78,18 +78,15 @@ def read_counts(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     pairs = parse_lines(read_lines(spark, path))
     if strict and not check_pairs(pairs).isEmpty():
         raise ValueError(f"{path} breaks the count format; check_pairs() lists the rows")
-    return sum_pairs(pairs)
+    unread = F.expr("position IS NOT NULL AND (term_id IS NULL OR cnt IS NULL)")
+    number = F.when(unread, F.raise_error(F.lit("a pair is not term:count"))).otherwise(F.col("cnt"))
+    return sum_pairs(pairs.withColumn("cnt", number))
 
 
 def sum_pairs(pairs: DataFrame) -> DataFrame:
+    """``doc_terms`` of the pairs that could be read; :func:`check_pairs` lists the others."""
     return (
-        pairs.where(F.col("position").isNotNull())
-        .withColumn(
-            "cnt",
-            F.when(F.expr("term_id IS NULL OR cnt IS NULL"), F.raise_error(F.lit("a pair is not term:count"))).otherwise(
-                F.col("cnt")
-            ),
-        )
+        pairs.where(F.col("term_id").isNotNull() & F.col("cnt").isNotNull())
         .groupBy("doc_id", "term_id")
         .agg(F.sum("cnt").alias("cnt"))
     )
