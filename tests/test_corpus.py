@@ -127,3 +127,11 @@ def test_repeats_and_empty_corpora(spark):
     assert prepare_corpus(twice.limit(0), spark.range(3).withColumnRenamed("id", "doc_id")).num_docs == 3
     with pytest.raises(Exception, match="negative"):
         prepare_corpus(twice.selectExpr("doc_id", "term_id", "-cnt AS cnt"))
+
+
+def test_partitions_grow_with_the_blocks(spark):
+    pairs = doc_terms(spark, [(d, t, 1) for d in range(100) for t in range(10)])
+    corpus = prepare_corpus(pairs, block_pairs=10)
+    assert corpus.partitions == 25 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(tuple(r) for r in corpus.doc_terms.collect()) == sorted(tuple(r) for r in pairs.collect())
+    corpus.release()

@@ -119,3 +119,13 @@ def test_evaluation_end_to_end(spark, sampled):
     assert -np.log(d) < summary["per_word"] < 0  # better than guessing uniformly
     by_train = evaluate_heldout(model, doc_terms(spark, new), num_samples=20, max_iter=4, per="train")
     assert by_train.docs.agg(F.sum("loglik")).first()[0] == pytest.approx(result.docs.agg(F.sum("loglik")).first()[0])
+
+
+def test_documents_without_test_words_are_returned(spark, tiny):
+    model = fit_topics(tiny, 3, correlated=False, max_iter=1)
+    new = doc_terms(spark, [(0, 0, 4), (1, 3, 1)])
+    result = evaluate_heldout(model, new, num_samples=5, doc_ids=doc_ids(spark, 3), max_iter=1)
+    rows = {r["doc_id"]: r for r in result.docs.collect()}
+    assert set(rows) == {0, 1, 2} and rows[0]["loglik"] < 0
+    assert all((rows[d]["words"], rows[d]["loglik"], rows[d]["per_word"]) == (0, 0.0, None) for d in (1, 2))
+    assert result.summary.first()["per_word"] == rows[0]["per_word"]

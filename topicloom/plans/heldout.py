@@ -111,16 +111,20 @@ def evaluate_heldout(
     num_samples: int = 500,
     seed: int = 0,
     per: str = "test",
+    doc_ids: DataFrame | None = None,
     **fold_args,
 ) -> Heldout:
     """Split the documents' tokens, fold in the train part, score the test part by Monte Carlo.
 
-    ``per`` names the part whose number of words divides a document's log-likelihood.
+    ``per`` names the part whose number of words divides a document's log-likelihood. Every document of
+    ``doc_terms`` and ``doc_ids`` is returned; one without test words has a log-likelihood of 0, no value
+    per word, and is left out of the summary.
     """
     if per not in ("test", "train"):
         raise ValueError("per must be 'test' or 'train'")
     run = RunFolder(doc_terms.sparkSession, "heldout")
-    ids = doc_terms.select("doc_id").distinct()
+    ids = doc_terms.select("doc_id")
+    ids = (ids if doc_ids is None else ids.unionAll(doc_ids.select("doc_id"))).distinct()
     parts = run.write(
         split_heldout(doc_terms, doc_stats(doc_terms), test_fraction, seed), "parts", partition_by="part"
     )
@@ -134,8 +138,12 @@ def evaluate_heldout(
         sampled_loglik(test, gam, fold.docs, model.globals.totals, num_samples, seed), "samples"
     )
     words = (test if per == "test" else train).docs.select("doc_id", F.col("num_words").alias("words"))
-    scored = log_mean_exp(values).join(words, "doc_id").where("words > 0")
-    docs = run.write(scored.withColumn("per_word", F.col("loglik") / F.col("words")), "docs")
+    scored = words.join(log_mean_exp(values), "doc_id", "left")
+    per_word = F.when(F.col("words") > 0, F.col("loglik") / F.col("words"))
+    docs = run.write(
+        scored.select("doc_id", "words", F.coalesce("loglik", F.lit(0.0)).alias("loglik"), per_word.alias("per_word")),
+        "docs",
+    )
     train.release()
     test.release()
-    return Heldout(docs, heldout_summary(docs), fold)
+    return Heldout(docs, heldout_summary(docs.where("per_word IS NOT NULL")), fold)

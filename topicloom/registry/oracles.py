@@ -188,6 +188,44 @@ def bound_total() -> str:
     return with_(*STATE, SCORES, *parts, select=f"SELECT {columns}, {r(' + '.join(names), 2)} AS bound FROM {source}")
 
 
+# --- the normal step of a document -------------------------------------------------------------------
+
+
+def normal_update() -> str:
+    """Every step of the ladder as a row; the first that helps, and shorter ones while they help more."""
+    inv = np.linalg.inv(COVARIANCE)
+    bp = BETA * WEIGHTS
+    pull = [f"(a{k} / b{k} * exp(mu{k} + 0.5 * sig{k}))" for k in KS]
+    back = [" + ".join(f"{num(inv[j, k])} * (mu{j} - {num(MEAN[j])})" for j in KS) for k in KS]
+    slopes = ", ".join(
+        f"{num(bp[k])} - {pull[k]} - ({back[k]}) AS dm{k}, 0.5 - 0.5 * sig{k} * ({pull[k]} + {num(inv[k, k])}) AS ds{k}"
+        for k in KS
+    )
+    terms = " + ".join(
+        f"{num(bp[k])} * m{k} - a{k} / b{k} * exp(least(m{k} + 0.5 * exp(s{k}), 700)) - 0.5 * {num(inv[k, k])} * exp(s{k}) + 0.5 * s{k}"
+        for k in KS
+    )
+    form = " + ".join(f"{num(inv[i, j])} * (m{i} - {num(MEAN[i])}) * (m{j} - {num(MEAN[j])})" for i in KS for j in KS)
+    return with_(
+        *STATE,
+        f"slope AS (SELECT doc_id, {each('a{k}, b{k}, mu{k}, sig{k}')}, {slopes} FROM doc)",
+        "ladder AS (SELECT *, CASE WHEN t = 0 THEN 0 ELSE 2.0::DOUBLE ^ (3 - t) END AS step FROM slope, range(43) AS r(t))",
+        f"""tried AS (SELECT doc_id, t, a0, b0, a1, b1, a2, b2, {each('mu{k} + step * dm{k} AS m{k}')},
+             {each('least(ln(sig{k}) + step * ds{k}, 700) AS s{k}')} FROM ladder)""",
+        f"valued AS (SELECT doc_id, t, {terms} - 0.5 * ({form}) AS value FROM tried)",
+        """seen AS (SELECT doc_id, t, value, lag(value) OVER (PARTITION BY doc_id ORDER BY t) AS before,
+             first_value(value) OVER (PARTITION BY doc_id ORDER BY t) AS start FROM valued)""",
+        "firsts AS (SELECT doc_id, min(t) AS f FROM seen WHERE t > 0 AND value > start GROUP BY doc_id)",
+        """ends AS (SELECT doc_id, min(t) AS e FROM seen JOIN firsts USING (doc_id)
+             WHERE t > f AND NOT value > before GROUP BY doc_id)""",
+        """chosen AS (SELECT doc_id, 2.0::DOUBLE ^ (3 - (coalesce(e, 43) - 1)) AS step
+             FROM firsts LEFT JOIN ends USING (doc_id))""",
+        select=f"SELECT doc_id, {each(r('mu{k} + coalesce(step, 0) * dm{k}') + ' AS mu{k}')},"
+        f" {each(r('exp(ln(sig{k}) + coalesce(step, 0) * ds{k})') + ' AS sig{k}')}"
+        " FROM slope LEFT JOIN chosen USING (doc_id)",
+    )
+
+
 # --- matrices -----------------------------------------------------------------------------------------
 
 CELLS = """
@@ -299,6 +337,7 @@ UNION ALL SELECT doc_id, -1000000, 'declared_differs', n FROM written WHERE decl
             )
             + " FROM doc",
         ),
+        "doc_normal_update": normal_update(),
         "topic_global_stats": with_(
             *STATE,
             select=f"SELECT count(*) AS num_docs, {each(r('sum(mu{k})') + ' AS mu{k}')},"

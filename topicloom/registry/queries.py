@@ -412,7 +412,9 @@ def fold_in_(spark, folder):
 @query
 def heldout_loglik(spark, folder):
     corpus = text_corpus(spark, folder).corpus
-    scored = evaluate_heldout(_state_model(corpus), corpus.doc_terms, num_samples=20, max_iter=2)
+    scored = evaluate_heldout(
+        _state_model(corpus), corpus.doc_terms, num_samples=20, doc_ids=corpus.docs, max_iter=2
+    )
     return scored.docs
 
 

@@ -14,6 +14,7 @@ from topicloom.sources.corpus import doc_stats
 DOC, TERM, BLOCK = 0, 1, 2
 BLOCK_PAIRS = 500_000
 MIN_BLOCK_PAIRS = 20_000
+BLOCKS_PER_TASK = 4
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,8 @@ def prepare_corpus(
     ).first()
     cores = spark.sparkContext.defaultParallelism
     n_blocks = max(-(-sizes.pairs // block_pairs), min(cores, -(-sizes.pairs // MIN_BLOCK_PAIRS)), 1)
-    partitions = min(n_blocks, max(shuffle_partitions(spark), cores))
+    # a task holds a bounded number of blocks, however few partitions the session asks for
+    partitions = min(n_blocks, max(shuffle_partitions(spark), cores, -(-n_blocks // BLOCKS_PER_TASK)))
 
     piece = max(block_pairs // 4, 1)
     pieces = lookup_join(
@@ -85,8 +87,9 @@ def prepare_corpus(
         "term_id",
         "cnt",
     )
-    laid_out = run.write(blocked.repartitionById(partitions, "block").sortWithinPartitions("block", "doc_id"), "tokens")
-    tokens = laid_out.repartitionById(partitions, "block").sortWithinPartitions("block", "doc_id").persist()
+    # written as it comes, then placed once: a layout before the write would have to be shuffled again to be known
+    numbered = run.write(blocked, "tokens")
+    tokens = numbered.repartitionById(partitions, "block").sortWithinPartitions("block", "doc_id").persist()
     ids = tokens.select("block", F.lit(DOC).alias("kind"), F.col("doc_id").alias("id")).unionAll(
         tokens.select("block", F.lit(TERM).alias("kind"), F.col("term_id").alias("id"))
     )
