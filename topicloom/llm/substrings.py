@@ -1,28 +1,42 @@
 """Removal of repeated word windows by level-wise doubling.
 
-Level 1 looks at short windows, and of those only at the ones that are the smallest by hash among all
-short windows of some full window: equal full windows share that one, so no repeat is missed. What is
-repeated there is extended to windows of about twice the length, and what is repeated there to the full
-window. Each level counts hashes and joins the repeated ones back; a hot passage is one hot join key.
-
-Defined results: a null or empty text has no words and keeps none; texts of fewer words than the window
-keep all; equal rows repeat each other; other columns are ignored. Two rows with the same id are told
-apart by a hash of their text.
+Texts are packed once into blocks, compressed, one row each. Level 1 looks at short windows, and of those
+only at the ones that are the smallest by hash among all short windows of some full window: equal full
+windows share that one, so no repeat is missed. What is repeated there is extended to windows of about
+twice the length, and what is repeated there to the full window.
+
+At each level a block sends every distinct hash of its open windows once, cut by ranges of the hash and
+packed, with a bit that says whether the block itself repeats it; a range of hashes is one group, counts
+them and returns one bit per hash. So a hot passage is one value per block, and what moves is 8 bytes per
+open window and a bit back. A block replays the levels before from its bits. Groups grow in number with
+the words. The bits are joined to the blocks as a table: Spark broadcasts it below its size limit and
+shuffles otherwise.
+
+Windows are told apart by 64-bit hashes. Defined results: a null or empty text has no words and keeps none;
+texts of fewer words than the window keep all; equal rows repeat each other, whatever their ids; every row
+of the input has a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.text import shingle_hashes, spaced_words, steps, word_hashes
+from topicloom.llm.tables import pack_fields, partitions, unpack_fields
+from topicloom.llm.text import pair_hash, split, steps, texts_of, word_hashes
 from topicloom.session import RunFolder
 
 WINDOW = 35
+LEVELS = 3
+# Words for each group that counts hashes.
+GROUP_WORDS = 4 << 20
 
 
 def lengths(window: int) -> tuple[int, int]:
@@ -31,117 +45,193 @@ def lengths(window: int) -> tuple[int, int]:
     return (half + 1) // 2, half
 
 
-def _smallest(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Position of the smallest value in each stretch of ``width``."""
-    view = np.lib.stride_tricks.sliding_window_view(hashes, width)
-    return view.argmin(1) + np.arange(len(view))
+def _join(x: np.ndarray, gap: int) -> np.ndarray:
+    """Hashes of the windows that two windows ``gap`` words apart cover together."""
+    return pair_hash(x[: max(len(x) - gap, 0)], x[gap:]) if gap else x
+
+
+def _slide(x: np.ndarray, width: int, what) -> np.ndarray:
+    """``what`` over every stretch of ``width`` values, by stretches of twice the width each time."""
+    have = 1
+    while have < width:
+        gap = min(have, width - have)
+        x = what(x[: max(len(x) - gap, 0)], x[gap:])
+        have += gap
+    return x
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values of ``x`` the sorted array ``known`` holds."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _group(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """Group of each hash: equal ranges, so that sorted hashes have sorted groups."""
+    return ((hashes >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def _repeated(values: np.ndarray, bits: dict[int, bytes], groups: int) -> np.ndarray:
+    """Of a block's candidate hashes those, sorted, that their groups found repeated."""
+    distinct = np.unique(values)
+    edges = np.searchsorted(_group(distinct, groups), np.array(list(bits), np.int64)[:, None] + np.array([0, 1]))
+    flags = np.zeros(len(distinct), bool)
+    for (begin, end), mask in zip(edges.tolist(), bits.values()):
+        flags[begin:end] = np.unpackbits(np.frombuffer(mask, np.uint8), count=end - begin)
+    return distinct[flags]
+
+
+def trace(
+    hashes: np.ndarray, starts: np.ndarray, window: int, done: list[dict[int, bytes]], groups: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which full windows of a block are open after the levels ``done``, and the hashes the next one counts."""
+    short, half = lengths(window)
+    n, rest, width = len(hashes), window - half, window - short + 1
+    if n < window:
+        return np.zeros(0, bool), np.zeros(0, np.uint64)
+    ends = np.repeat(starts[1:], np.diff(starts))
+    full = np.arange(n - window + 1)
+    open_ = full + window <= ends[full]
+
+    first, have = hashes, 1
+    while have < short:
+        gap = min(have, short - have)
+        first, have = _join(first, gap), have + gap
+    least = _slide(first, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    peak = _slide(np.r_[edge, np.where(open_, least, np.uint64(0)), edge], width, np.maximum)
+    values = first[first == peak]
+    if not done:
+        return open_, values
+    open_[open_] = _among(least[open_], _repeated(values, done[0], groups))
+
+    second = _join(first, half - short)
+    wanted = np.zeros(len(second), bool)
+    wanted[: len(full)] |= open_
+    wanted[rest:] |= open_
+    values = second[wanted]
+    if len(done) == 1:
+        return open_, values
+    wanted[wanted] = _among(values, _repeated(values, done[1], groups))
+    open_ &= wanted[: len(full)] & wanted[rest:]
+
+    values = _join(second, rest)[open_]
+    if len(done) > 2:
+        open_[open_] = _among(values, _repeated(values, done[2], groups))
+    return open_, values
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For each block of a group one bit per hash: is it repeated anywhere."""
+    hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+    sizes = [len(x) for x in hashes]
+    more = [np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table["more"].to_pylist(), sizes)]
+    _, where, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    often = (n > 1) | (np.bincount(where, np.concatenate(more)) > 0)
+    parts = np.split(often[where], np.cumsum(sizes)[:-1])
+    some = [i for i, x in enumerate(parts) if x.any()]
+    kept = table.select(["block", "part"]).take(pa.array(some, pa.int64()))
+    return kept.append_column("bits", pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary()))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256, kept`` (the text that is left)."""
-    run = RunFolder(docs.sparkSession, "repeats")
-    short, half = lengths(window)
-    width = window - short + 1
-    rows = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("_row"), F.col(text).alias("text")
-    )
+    spark = docs.sparkSession
+    run = RunFolder(spark, "repeats")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
-    def anchors(batches):
+    def to_blocks(batches):
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in steps(batch, "text"):
-                words, starts = spaced_words(part["text"], False)
-                hashes = word_hashes(words)
-                for i in np.flatnonzero(np.diff(starts) >= window):
-                    own = hashes[starts[i] : starts[i + 1]]
-                    runs = shingle_hashes(own, np.array([0, len(own)]), short)[0]
-                    at = np.unique(_smallest(runs, width))
-                    yield pa.record_batch(
-                        {
-                            "doc_id": pa.array([part["doc_id"][i].as_py()] * len(at), pa.int64()),
-                            "_row": pa.array([part["_row"][i].as_py()] * len(at), pa.int64()),
-                            "at": pa.array(at.astype(np.int32)),
-                            "h": pa.array(runs[at].view(np.int64)),
-                        }
-                    )
-
-    def again(frame: DataFrame, name: str) -> DataFrame:
-        """The rows of ``frame`` whose hash occurs more than once."""
-        repeated = frame.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        return run.write(frame.join(repeated, "h", "left_semi"), name)
-
-    def per_row(frame: DataFrame) -> DataFrame:
-        return frame.groupBy("doc_id", "_row").agg(F.collect_set("at").alias("at"))
-
-    def with_places(frame: DataFrame) -> DataFrame:
-        """``rows`` with the places that ``frame`` lists for them; null ids meet null ids."""
-        some = frame.withColumn("_no", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
-        every = rows.withColumn("_no", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
-        return every.join(some, ["_id", "_no", "_row"], "left").select("doc_id", "_row", "text", "at")
-
-    def extend(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                words, starts = spaced_words(part["text"], False)
-                hashes = word_hashes(words)
-                for i in range(part.num_rows):
-                    own = hashes[starts[i] : starts[i + 1]]
-                    if len(own) < window:
-                        continue
-                    ends = np.array([0, len(own)])
-                    least = _smallest(shingle_hashes(own, ends, short)[0], width)
-                    begin = np.flatnonzero(np.isin(least, np.array(part["at"][i].as_py(), np.int64)))
-                    at = np.unique(np.r_[begin, begin + window - half])
-                    runs = shingle_hashes(own, ends, half)[0]
-                    yield pa.record_batch(
-                        {
-                            "doc_id": pa.array([part["doc_id"][i].as_py()] * len(at), pa.int64()),
-                            "_row": pa.array([part["_row"][i].as_py()] * len(at), pa.int64()),
-                            "at": pa.array(at.astype(np.int32)),
-                            "h": pa.array(runs[at].view(np.int64)),
-                        }
-                    )
+                texts = texts_of(part["text"])
+                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+                data = texts.buffers()[2]
+                raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] else np.zeros(0, np.uint8)
+                ids = np.asarray(pc.fill_null(part["doc_id"], 0))
+                none = np.asarray(pc.is_null(part["doc_id"])).astype(np.uint8)
+                yield pa.record_batch(
+                    {
+                        "block": pa.array([task << 32 | n], pa.int64()),
+                        "words": pa.array([len(split(texts)[0])], pa.int64()),
+                        "content": pa.array([pack_fields(ids, none, offsets - offsets[0], raw)], pa.binary()),
+                    }
+                )
+                n += 1
 
-    def keep(batches):
+    blocks = run.write(rows.mapInArrow(to_blocks, "block bigint, words bigint, content binary"), "blocks")
+    total = blocks.agg(F.sum("words")).first()[0] or 0
+    groups = max(-(-total // GROUP_WORDS), partitions(spark))
+
+    def opened(batches) -> Iterator[tuple]:
+        """Blocks one by one: number, ids, words, where texts start, and the bits of each level."""
         for batch in batches:
-            for part in steps(batch, "text"):
-                words, starts = spaced_words(part["text"], False)
-                plain = words.to_pylist()
-                out = []
-                for i, at in enumerate(part["at"].to_pylist()):
-                    own = plain[starts[i] : starts[i + 1]]
-                    n = len(own)
-                    if at:
-                        cover = np.zeros(n + 1, np.int64)
-                        np.add.at(cover, np.array(at), 1)
-                        np.add.at(cover, np.array(at) + window, -1)
-                        free = np.cumsum(cover[:-1]) == 0
-                        own = [w for w, f in zip(own, free.tolist()) if f]
-                    left = " ".join(own)
-                    out.append((n, n - len(own), hashlib.sha256(left.encode()).hexdigest(), left))
+            for i in range(batch.num_rows):
+                ids, none, offsets, raw = unpack_fields(batch["content"][i].as_py(), np.int64, np.uint8, np.int64, np.uint8)
+                texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(raw.tobytes()))
+                words, starts = split(texts)
+                done = [{} for _ in range(LEVELS)]
+                for x in batch["levels"][i].as_py() or []:
+                    done[x["level"]][x["part"]] = x["bits"]
+                yield batch["block"][i].as_py(), pa.array(ids, mask=none.astype(bool)), words, starts, done
+
+    def send(level: int):
+        def candidates(batches):
+            for block, _, words, starts, done in opened(batches):
+                values = trace(word_hashes(words), starts, window, done[:level], groups)[1]
+                hashes, n = np.unique(values, return_counts=True)
+                part = _group(hashes, groups)
+                begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+                cuts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(part)]))
                 yield pa.record_batch(
                     {
-                        "doc_id": part["doc_id"],
-                        "n_words": pa.array([x[0] for x in out], pa.int64()),
-                        "n_removed": pa.array([x[1] for x in out], pa.int64()),
-                        "kept_sha256": pa.array([x[2] for x in out], pa.string()),
-                        "kept": pa.array([x[3] for x in out], pa.string()),
+                        "block": pa.array([block] * len(cuts), pa.int64()),
+                        "part": pa.array(part[begin].astype(np.int32)),
+                        "hashes": pa.array([hashes[a:b].tobytes() for a, b in cuts], pa.binary()),
+                        "more": pa.array([np.packbits(n[a:b] > 1).tobytes() for a, b in cuts], pa.binary()),
                     }
                 )
 
-    place = "doc_id bigint, _row bigint, at int, h bigint"
-    # rows without identity of their own (same id, same text) are counted as often as they stand there
-    first = again(run.write(rows.mapInArrow(anchors, place), "anchors"), "level-1")
-    longer = with_places(per_row(first)).where("at IS NOT NULL").mapInArrow(extend, place)
-    second = again(run.write(longer, "halves"), "level-2")
-    copies = second.groupBy("doc_id", "_row", "at", "h").agg(F.count("*").alias("n"))
-    a = copies.withColumn("_no", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
-    b = a.select("_id", "_no", "_row", (F.col("at") - (window - half)).alias("at"), F.col("h").alias("h2"))
-    full = a.join(b, ["_id", "_no", "_row", "at"]).select(
-        "doc_id", "_row", "at", F.xxhash64("h", "h2").alias("h"), "n"
-    )
-    full = run.write(full, "windows")
-    repeated = full.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    last = run.write(full.join(repeated, "h", "left_semi"), "level-3")
-    return with_places(per_row(last)).mapInArrow(
+        return candidates
+
+    def keep(batches):
+        for _, ids, words, starts, done in opened(batches):
+            open_ = trace(word_hashes(words), starts, window, done, groups)[0]
+            cover = np.zeros(len(words) + 1, np.int64)
+            at = np.flatnonzero(open_)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + window, -1)
+            free = np.cumsum(cover[:-1]) == 0
+            ends = np.r_[0, np.cumsum(free)][starts]
+            lists = pa.LargeListArray.from_arrays(pa.array(ends), words.filter(pa.array(free)))
+            kept = pc.binary_join(lists, pa.scalar(" ", words.type))
+            yield pa.record_batch(
+                {
+                    "doc_id": ids,
+                    "n_words": pa.array(np.diff(starts)),
+                    "n_removed": pa.array(np.diff(starts) - np.diff(ends)),
+                    "kept_sha256": pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in kept], pa.string()),
+                    "kept": kept.cast(pa.string()),
+                }
+            )
+
+    def with_bits(found: list[DataFrame]) -> DataFrame:
+        """The blocks with the bits of the levels so far; the bits of a block are fewer than its words."""
+        if not found:
+            return blocks.select("block", "content", F.lit(None).cast(levels).alias("levels"))
+        bits = found[0]
+        for more in found[1:]:
+            bits = bits.unionByName(more)
+        own = bits.groupBy("block").agg(F.collect_list(F.struct("level", "part", "bits")).alias("levels"))
+        return blocks.join(own, "block", "left").select("block", "content", "levels")
+
+    levels = "array<struct<level: int, part: int, bits: binary>>"
+    found: list[DataFrame] = []
+    for level in range(LEVELS):
+        sent = with_bits(found).mapInArrow(send(level), "block bigint, part int, hashes binary, more binary")
+        counted = sent.groupBy("part").applyInArrow(_count, "block bigint, part int, bits binary")
+        found.append(run.write(counted.withColumn("level", F.lit(level)), f"level-{level}"))
+    return with_bits(found).mapInArrow(
         keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
     )
