@@ -9,8 +9,9 @@ At each level a block sends every distinct hash of its open windows once, cut by
 packed, with a bit that says whether the block itself repeats it; a range of hashes is one group, counts
 them and returns one bit per hash. So a hot passage is one value per block, and what moves is 8 bytes per
 open window and a bit back. A block replays the levels before from its bits. Groups grow in number with
-the words. The bits are joined to the blocks as a table: Spark broadcasts it below its size limit and
-shuffles otherwise.
+the words. Blocks are shuffled once, into a bucketed table, so that bits come to the blocks and not the
+other way round. ``docs`` has to give the same rows in the same order when a lost task is run again, as
+stored tables do.
 
 Windows are told apart by 64-bit hashes. Defined results: a null or empty text has no words and keeps none;
 texts of fewer words than the window keep all; equal rows repeat each other, whatever their ids; every row
@@ -20,6 +21,7 @@ of the input has a row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ WINDOW = 35
 LEVELS = 3
 # Words for each group that counts hashes.
 GROUP_WORDS = 4 << 20
+# Spark's own limit for the buckets of a table.
+MOST_BUCKETS = 100_000
 
 
 def lengths(window: int) -> tuple[int, int]:
@@ -160,7 +164,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                 )
                 n += 1
 
-    blocks = run.write(rows.mapInArrow(to_blocks, "block bigint, words bigint, content binary"), "blocks")
+    buckets = max(partitions(spark), min(rows.rdd.getNumPartitions(), MOST_BUCKETS))
+    packed = rows.mapInArrow(to_blocks, "block bigint, words bigint, content binary").repartition(buckets, "block")
+    name = f"blocks_{uuid.uuid4().hex}"
+    packed.write.bucketBy(buckets, "block").option("path", f"{run.path}/blocks").saveAsTable(name)
+    blocks = spark.table(name)
     total = blocks.agg(F.sum("words")).first()[0] or 0
     groups = max(-(-total // GROUP_WORDS), partitions(spark))
 
