@@ -104,6 +104,38 @@ def test_language_model(docs, rows):
         assert r.score < 0
 
 
+def test_language_model_keeps_every_ngram(spark):
+    """Scores of a brute-force model at the defaults, on enough tokens that a frequency floor would cut."""
+    rng = np.random.default_rng(9)
+    rare = [(i, " ".join(f"r{j}" for j in rng.integers(0, 60, int(n)))) for i, n in enumerate(rng.integers(0, 40, 120))]
+    rare += [(500, None), (501, ""), (None, "r1 r2 r3"), (3, "r1 r2 r3"), (3, "r1 r2 r3")]
+    filler = [(1000 + i, "f1 f2 f3 f4 f5 f6 f7 f8 f9 f0 " * 5000) for i in range(140)]
+    counts, texts = [Counter(), Counter(), Counter()], [(i, [b"", *words(t, SPACED), b""]) for i, t in rare + filler]
+    for i, w in texts:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            for n, c in enumerate(counts):
+                c.update(zip(*(w[k:] for k in range(n + 1))) if n else w[1:])
+    one, two, three = counts
+    total = sum(one.values())
+    assert total > 4_000_000  # half of a millionth of it is more than two occurrences
+
+    def score(w):
+        out = 0.0
+        for k in range(1, len(w)):
+            p = (one[w[k]] + 0.1) / (total + 0.1 * (len(one) + 1))
+            p = (two[tuple(w[k - 1 : k + 1])] + 20 * p) / (one[w[k - 1]] + 20)
+            if k > 1:
+                p = (three[tuple(w[k - 2 : k + 1])] + 20 * p) / (two[tuple(w[k - 2 : k])] + 20)
+            out += math.log10(p)
+        return round(out, 6)
+
+    docs = spark.createDataFrame(rare + filler, "doc_id bigint, text string").repartition(5)
+    found = sorted(((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in ngram_lm.train_and_score(docs).collect()))
+    expected = sorted((i or -1, len(w) - 1, score(w)) for i, w in texts)
+    assert [x[:2] for x in found] == [x[:2] for x in expected]
+    assert [x[2] for x in found] == pytest.approx([x[2] for x in expected], rel=1e-6, abs=1e-5)
+
+
 def test_trie_is_a_distribution():
     """For every context the probabilities of all words and one unseen word add up to 1."""
     hashes = np.array([50, 20, 40, 10], np.uint64)

@@ -1,17 +1,18 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Word counts are exact and cover all training texts. The trie holds the words, pairs and triples whose
-relative frequency is at least ``share``: at most 1 / share of each, whatever the corpus, which bounds
-what is sent to every executor. A pair can only qualify if both words do, and a triple if both pairs do,
-so each level counts only what the level before lets through; nothing that qualifies is missed.
+Every word, pair and triple of the training texts counts, however rare, so the model grows with them. No
+task holds all of it: words and pairs are dealt to shards by their hash, and a triple goes with the pair of its
+first two words. Blocks of texts send their own counts to the shards; a shard adds them up to its part of
+the trie, looks up what the blocks sent and gives every block the counts over all training texts.
 
-Each node stores its smoothed probability share count / (count of the context + mass) as a 16-bit
-logarithm, rounded down; what the stored shares of a context leave of 1 goes to the shorter context, and
-at last to the smoothed word frequencies, so the words' probabilities add up to 1.
+With c the counts, m the mass and f the smoothed word frequency, and p(w) = f(w) for the shortest context,
+``p(w | v) = (c(v w) + m f(w)) / (c(v) + m)`` and ``p(w | u v) = (c(u v w) + m p(w | v)) / (c(u v) + m)``:
+every occurrence of a context has a word after it, so the words' probabilities add up to 1. The first word
+of a text has the end token before it and no longer context.
 
 Levels are memory-mapped files of Elias-Fano sequences: children of a node are words made monotone by
-adding the last value of the node before, pointers are monotone as they are, and a word is found by
-successor search relative to its context.
+adding the last value of the node before, pointers and running sums of counts are monotone as they are,
+and a word is found by successor search relative to its context.
 
 Defined results: null and empty texts are one end token; texts with a null id are trained on and not
 held out; repeated rows count as often as they occur; other columns are ignored. Words are told apart by
@@ -28,16 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.tables import pack, partitions, remainder, unpack
+from topicloom.llm.tables import pack, pack_fields, partitions, remainder, unpack, unpack_fields
 from topicloom.llm.text import mix, spaced_words, steps, word_hashes
 from topicloom.session import RunFolder
 
-SHARE = 5e-7
 MASS = 20.0
 FLOOR = 0.1
 BLOCK_BYTES = 12 << 20
-_SCALE = 2048.0
-_BITS = 21
+SHARD_TOKENS = 2_000_000
 END = np.uint64(1)
 
 
@@ -52,7 +51,9 @@ class EliasFano:
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
         low = max((top // max(n, 1)).bit_length() - 1, 0)
         head = np.array([n, low], np.int64)
-        bits = ((values[:, None] >> np.arange(low)) & 1).astype(np.uint8)
+        bits = np.empty((n, low), np.uint8)
+        for i in range(low):
+            bits[:, i] = (values >> i) & 1
         lows = np.packbits(bits.ravel(), bitorder="little")
         unary = np.zeros(n + (top >> low) + 2, np.uint8)
         unary[(values >> low) + np.arange(n)] = 1
@@ -62,7 +63,9 @@ class EliasFano:
 
     def __init__(self, head, lows, highs, ranks):
         self.n, self.low = int(head[0]), int(head[1])
-        self.lows, self.highs, self.ranks = lows, highs, ranks
+        self.highs, self.ranks = highs, ranks
+        # eight bytes from every byte on, so that up to 57 low bits are read at once
+        self.words = np.lib.stride_tricks.as_strided(lows[:8].view(np.uint64), (len(lows) - 7,), (1,))
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         at = np.asarray(at, np.int64)
@@ -76,11 +79,8 @@ class EliasFano:
             left -= np.where(right, ones, 0)
             place += np.where(right, half, 0)
         high = word * 64 + place - at
-        low = np.zeros(len(at), np.int64)
         begin = at * self.low
-        for i in range(self.low):
-            b = begin + i
-            low |= ((self.lows[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(np.int64) << i
+        low = (self.words[begin >> 3] >> (begin & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.low) - 1)
         return (high << self.low) | low
 
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -96,27 +96,23 @@ class EliasFano:
             end[open_[~less]] = middle[~less]
 
 
-def _decode(codes: np.ndarray) -> np.ndarray:
-    return np.exp2(-codes.astype(float) / _SCALE)
-
-
 class Trie:
     """Levels of nodes; level 0 is the words 0..n-1 themselves."""
 
     @staticmethod
     def build(words: np.ndarray, counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], mass: float) -> bytes:
         """``levels``: (parent node, word, count) sorted by parent and word; parents are nodes of the level above."""
-        out = [np.sort(words), np.argsort(words, kind="stable").astype(np.int32)]
+        out = [np.sort(words), np.argsort(words, kind="stable").astype(np.int32), counts.astype(np.int64), np.array([mass])]
         above = counts.astype(float)
         for parent, word, count in levels:
             n = len(above)
             pointer = np.searchsorted(parent, np.arange(n + 1)).astype(np.int64)
             widest = np.int64(len(words) + 1)
-            code = np.minimum(np.ceil(-np.log2(count / (above[parent] + mass)) * _SCALE), 65535).astype(np.uint16)
-            rest = 1 - np.bincount(parent, _decode(code), minlength=n) if len(parent) else np.ones(n)
+            rest = 1 - np.bincount(parent, count / (above[parent] + mass), minlength=n) if len(parent) else np.ones(n)
             # the node before a range ends at a value of its own: ranges follow each other in one sequence
             filled = np.cumsum(np.diff(pointer) > 0) - 1
-            out += [*EliasFano.encode(pointer), *EliasFano.encode(word + filled[parent] * widest), code, rest.astype(np.float32), filled.astype(np.int32)]
+            sums = np.r_[0, np.cumsum(count)].astype(np.int64)
+            out += [*EliasFano.encode(pointer), *EliasFano.encode(word + filled[parent] * widest), *EliasFano.encode(sums), rest, filled.astype(np.int32)]
             above = count.astype(float)
         head = np.array([(a.nbytes, np.dtype(a.dtype).num) for a in out], np.int64)
         return np.array([len(out)], np.int64).tobytes() + head.tobytes() + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in out)
@@ -133,12 +129,12 @@ class Trie:
         kinds[np.dtype(np.uint64).num] = np.uint64
         parts, at = [], 8 + 16 * n
         for size, kind in head.tolist():
-            parts.append(mapped[at : at + size].view(kinds[kind]))
+            parts.append(np.asarray(mapped[at : at + size]).view(kinds[kind]))
             at += size + -size % 8
-        self.hashes, self.order = parts[0], parts[1]
+        self.hashes, self.order, self.counts, self.mass = *parts[:3], float(parts[3][0])
         self.levels = [
-            (EliasFano(*p[:4]), EliasFano(*p[4:8]), p[8], p[9], p[10])
-            for p in (parts[i : i + 11] for i in range(2, len(parts), 11))
+            (EliasFano(*p[:4]), EliasFano(*p[4:8]), EliasFano(*p[8:12]), p[12], p[13])
+            for p in (parts[i : i + 14] for i in range(4, len(parts), 14))
         ]
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
@@ -148,14 +144,11 @@ class Trie:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.order[at], -1).astype(np.int64)
 
-    def child(self, level: int, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Child node (-1 if absent), its stored share, and what the context leaves to a shorter one."""
-        pointer, value, code, rest, filled = self.levels[level]
+    def find(self, level: int, node: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Child of each node by a word, -1 if absent."""
+        pointer, value, _, _, filled = self.levels[level]
         child = np.full(len(node), -1, np.int64)
-        share, left = np.zeros(len(node)), np.ones(len(node))
-        known = node >= 0
-        left[known] = rest[node[known]]
-        ask = np.flatnonzero(known & (word >= 0))
+        ask = np.flatnonzero((node >= 0) & (word >= 0))
         if len(ask):
             key, back = np.unique(node[ask] << 32 | word[ask], return_inverse=True)
             context, w = key >> 32, key & 0xFFFFFFFF
@@ -164,15 +157,32 @@ class Trie:
             at = value.find(target, begin, end)
             inside = np.flatnonzero(at < end)
             hit = inside[value[at[inside]] == target[inside]]
-            found, p = np.full(len(key), -1, np.int64), np.zeros(len(key))
-            found[hit], p[hit] = at[hit], _decode(code[at[hit]])
-            child[ask], share[ask] = found[back], p[back]
+            found = np.full(len(key), -1, np.int64)
+            found[hit] = at[hit]
+            child[ask] = found[back]
+        return child
+
+    def count(self, level: int, node: np.ndarray) -> np.ndarray:
+        """Occurrences of each node that :meth:`find` gave at this level, 0 for -1."""
+        sums, n = self.levels[level][2], np.zeros(len(node), np.int64)
+        known = np.flatnonzero(node >= 0)
+        n[known] = sums[node[known] + 1] - sums[node[known]]
+        return n
+
+    def child(self, level: int, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Child node (-1 if absent), its share, and what the context leaves to a shorter one."""
+        child, known = self.find(level, node, word), np.flatnonzero(node >= 0)
+        share, left = np.zeros(len(node)), np.ones(len(node))
+        above = self.count(level - 1, node[known]) if level else self.counts[node[known]]
+        share[known] = self.count(level, child)[known] / (above + self.mass)
+        left[known] = self.levels[level][3][node[known]]
         return child, share, left
 
 
 # --- blocks of texts ---------------------------------------------------------------------------------
 
-_BLOCK = "block bigint, doc_id array<bigint>, starts binary, codes binary, hashes binary"
+_BLOCK = "block bigint, doc_id array<bigint>, tokens bigint, starts binary, codes binary, hashes binary"
+_NUMBERED = "block bigint, doc_id array<bigint>, starts binary, codes binary, numbers binary, counts binary"
 
 
 def _blocks(docs: DataFrame, run: RunFolder, doc_id: str, text: str) -> DataFrame:
@@ -200,6 +210,7 @@ def _blocks(docs: DataFrame, run: RunFolder, doc_id: str, text: str) -> DataFram
                     {
                         "block": pa.array([(task << 32) + n], pa.int64()),
                         "doc_id": pa.array([part["doc_id"].to_pylist()], pa.list_(pa.int64())),
+                        "tokens": pa.array([len(sequence)], pa.int64()),
                         "starts": pa.array([pack(np.r_[0, ends + 1])], pa.binary()),
                         "codes": pa.array([pack(sequence)], pa.binary()),
                         "hashes": pa.array([pack(np.r_[hashes[:1], hashes[1:][order]])], pa.binary()),
@@ -216,20 +227,50 @@ class _Block:
         self.doc_id = row["doc_id"]
         self.starts = unpack(row["starts"], np.int64)
         self.codes = unpack(row["codes"], np.int32)
-        self.hashes = unpack(row["hashes"], np.uint64)
         self.n = np.diff(self.starts)
 
     def trained(self, fold: int) -> np.ndarray:
         return np.repeat(remainder(self.doc_id, fold) != 0, self.n)
 
-    def sequences(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the two words before each token and of the token; the end token stands before a text."""
-        w = word[self.codes]
-        v = np.r_[word[:1], w[:-1]]
-        v[self.starts[:-1]] = word[0]
-        u = np.r_[np.array([-1]), v[:-1]]
-        u[self.starts[:-1]] = -1
-        return u, v, w
+
+def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys by the shard of their hash, and where each shard begins in it."""
+    shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+class _Grams:
+    """The distinct pairs of a block, by shard and number, and its triples, by the pair of their first two words.
+
+    A pair is ``first * width + second`` and a triple ``place of its pair * width + third``, in the numbers of
+    the words; ``pair`` and ``triple`` are the places of each token's own (of ``long`` tokens, which have two
+    words before them).
+    """
+
+    def __init__(self, b: _Block, numbers: np.ndarray, width: int, shards: int):
+        w = numbers[b.codes].astype(np.int64)
+        v = np.r_[w[:0], numbers[:1].astype(np.int64), w[:-1]][: len(w)]
+        v[b.starts[:-1]] = numbers[0]
+        pairs, at = np.unique(v * width + w, return_inverse=True)
+        order, self.cuts = _dealt(pairs, shards)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pairs, self.pair = pairs[order], place[at]
+        first = np.zeros(len(w), bool)
+        first[b.starts[:-1]] = True
+        self.long = np.flatnonzero(~first)
+        self.triples, self.triple = np.unique(self.pair[self.long - 1] * width + w[self.long], return_inverse=True)
+        self.triple_cuts = np.searchsorted(self.triples, self.cuts * width)
+
+
+def _pack_rising(values: np.ndarray) -> np.ndarray:
+    """Bytes of the steps of a rising sequence, the lowest bytes of all of them first; they compress well."""
+    return np.diff(values, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def _unpack_rising(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view(np.int64).ravel())
 
 
 def _rows(batches):
@@ -238,62 +279,141 @@ def _rows(batches):
 
 
 def train_and_score(
-    docs: DataFrame, fold: int = 10, share: float = SHARE, mass: float = MASS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, fold: int = 10, share: float = 0.0, mass: float = MASS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Learn from rows whose crc32(id as text) mod ``fold`` is not 0 and score every row.
 
-    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; scores are log10.
+    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; scores are log10. ``share`` was
+    the smallest frequency of an entry; it has no effect, as every n-gram is kept.
     """
     spark = docs.sparkSession
     run = RunFolder(spark, "lm")
     blocks = _blocks(docs, run, doc_id, text)
     parts = partitions(spark)
 
-    def block_words(batches):
+    shards = max(parts, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // SHARD_TOKENS))
+
+    def send_words(batches):
         for row in _rows(batches):
-            b = _Block(row)
-            n = np.bincount(b.codes[b.trained(fold)], minlength=len(b.hashes))
+            b, hashes = _Block(row), unpack(row["hashes"], np.uint64)
+            n = np.bincount(b.codes[b.trained(fold)], minlength=len(hashes))
+            order, cuts = _dealt(hashes, shards)
+            use = np.flatnonzero(np.diff(cuts)).tolist()
+            mine = [order[cuts[s] : cuts[s + 1]] for s in use]
             yield pa.record_batch(
                 {
-                    "block": pa.array(np.full(len(n), row["block"])),
-                    "code": pa.array(np.arange(len(n), dtype=np.int32)),
-                    "h": pa.array(b.hashes.view(np.int64)),
-                    "n": pa.array(n.astype(np.int64)),
+                    "block": pa.array(np.full(len(use), row["block"])),
+                    "shard": pa.array(use, pa.int64()),
+                    "words": pa.array([pack_fields(hashes[m], n[m]) for m in mine], pa.binary()),
                 }
             )
 
-    words = blocks.mapInArrow(block_words, "block bigint, code int, h bigint, n bigint")
-    counts = run.write(words.groupBy("h").agg(F.sum("n").alias("c")), "words")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    total, distinct = sums.n, sums.v
-    least = max(share * total, 1.0)
-    kept = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "h").toArrow()  # at most 1 / share rows
-    kept_hash = np.asarray(kept["h"]).view(np.uint64)
-    kept_count = np.asarray(kept["c"])
-    if len(kept_hash) >= 1 << _BITS:
-        raise ValueError(f"share must be at least {1 / (1 << _BITS):.1e}")
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    model = Trie.build(kept_hash, kept_count, levels, mass)
-    for order in (2, 3):
-        parent, word, count = _count_level(blocks, run, spark.sparkContext.broadcast(model), order, fold, least, parts)
-        levels.append((parent, word, count))
-        model = Trie.build(kept_hash, kept_count, levels, mass)
-    shared = spark.sparkContext.broadcast(model)
+    def count_words(table: pa.Table) -> pa.Table:
+        sent = [unpack_fields(x, np.uint64, np.int64) for x in table["words"].to_pylist()]
+        cuts = np.cumsum([0] + [len(x[0]) for x in sent])
+        held, at = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([x[1] for x in sent]), len(held)).astype(np.int64)
+        # numbers are small for frequent words, so that they pack well
+        number = np.empty(len(held), np.int64)
+        number[np.lexsort((held, -c))] = np.arange(len(held)) * shards + table["shard"][0].as_py()
+        once = np.arange(len(sent)) == 0
+        return pa.table(
+            {
+                "at": table["block"],
+                "shard": table["shard"],
+                "reply": pa.array([pack_fields(number[at[a:b]], c[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                "total": pa.array(np.where(once, c.sum(), 0)),
+                "words": pa.array(np.where(once, (c > 0).sum(), 0)),
+                "width": pa.array(np.full(len(sent), number.max() + 1)),
+            }
+        )
+
+    known = run.write(
+        blocks.mapInArrow(send_words, "block bigint, shard bigint, words binary")
+        .groupBy("shard")
+        .applyInArrow(count_words, "at bigint, shard bigint, reply binary, total bigint, words bigint, width bigint"),
+        "words",
+    )
+    total, distinct, width = (x or 0 for x in known.agg(F.sum("total"), F.sum("words"), F.max("width")).first())
+    if width >= 1 << 31:
+        raise ValueError("more than two thousand million different words")
     below = total + FLOOR * (distinct + 1)
 
-    def score(block: pa.Table, found: pa.Table) -> pa.Table:
-        trie = Trie(shared.value)
-        b = _Block(block.to_pylist()[0])
-        c = np.zeros(len(b.hashes), np.int64)
-        c[np.asarray(found["code"])] = np.asarray(found["c"])
+    def number(block: pa.Table, replies: pa.Table) -> pa.Table:
+        order, cuts = _dealt(unpack(block["hashes"][0].as_py(), np.uint64), shards)
+        numbers, c = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
+        for s, reply in zip(replies["shard"].to_pylist(), replies["reply"].to_pylist()):
+            mine = order[cuts[s] : cuts[s + 1]]
+            numbers[mine], c[mine] = unpack_fields(reply, np.int64, np.int64)
+        out = block.select(["block", "doc_id", "starts", "codes"])
+        return out.append_column("numbers", pa.array([pack(numbers)], pa.binary())).append_column("counts", pa.array([pack(c)], pa.binary()))
+
+    numbered = run.write(
+        blocks.drop("tokens")
+        .repartition(parts, "block")
+        .groupBy("block")
+        .cogroup(known.select("at", "shard", "reply").repartition(parts, "at").groupBy("at"))
+        .applyInArrow(number, _NUMBERED),
+        "numbered",
+    )
+
+    def send(batches):
+        for row in _rows(batches):
+            b = _Block(row)
+            g = _Grams(b, unpack(row["numbers"], np.int32), width, shards)
+            trained = b.trained(fold)
+            n2 = np.bincount(g.pair[trained], minlength=len(g.pairs)).astype(np.int32)
+            n3 = np.bincount(g.triple[trained[g.long]], minlength=len(g.triples)).astype(np.int32)
+            use = np.flatnonzero(np.diff(g.cuts)).tolist()
+            grams = []
+            for s in use:
+                two, three = slice(*g.cuts[s : s + 2]), slice(*g.triple_cuts[s : s + 2])
+                triples = g.triples[three] - g.cuts[s] * width
+                grams.append(pack_fields(_pack_rising(g.pairs[two]), n2[two], _pack_rising(triples), n3[three]))
+            yield pa.record_batch(
+                {
+                    "block": pa.array(np.full(len(use), row["block"])),
+                    "shard": pa.array(use, pa.int64()),
+                    "grams": pa.array(grams, pa.binary()),
+                }
+            )
+
+    def answer(table: pa.Table) -> pa.Table:
+        sent = [unpack_fields(x, np.uint8, np.int32, np.uint8, np.int32) for x in table["grams"].to_pylist()]
+        pairs, triples = ([_unpack_rising(x[i]) for x in sent] for i in (0, 2))
+        two = np.cumsum([0] + [len(x) for x in pairs])
+        three = np.cumsum([0] + [len(x) for x in triples])
+        pairs, triples = np.concatenate(pairs), np.concatenate(triples)
+        n2, n3 = (np.concatenate([x[i] for x in sent]) for i in (1, 3))
+        mine = triples // width + np.repeat(two[:-1], np.diff(three))
+        trie, u, v, w = _shard(pairs, n2, mine, triples % width, n3, width, mass)
+        node = trie.find(0, u, v)
+        c2 = trie.count(0, node)
+        c3 = trie.count(1, trie.find(1, node[mine], w))
+        replies = [
+            pack_fields(c2[a:b], c3[c:d]) for a, b, c, d in zip(two[:-1], two[1:], three[:-1], three[1:])
+        ]
+        return pa.table({"at": table["block"], "shard": table["shard"], "reply": pa.array(replies, pa.binary())})
+
+    answers = (
+        numbered.mapInArrow(send, "block bigint, shard bigint, grams binary")
+        .groupBy("shard")
+        .applyInArrow(answer, "at bigint, shard bigint, reply binary")
+    )
+
+    def score(block: pa.Table, replies: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        b, c = _Block(row), unpack(row["counts"], np.int64)
+        g = _Grams(b, unpack(row["numbers"], np.int32), width, shards)
+        c2, c3 = np.zeros(len(g.pairs), np.int64), np.zeros(len(g.triples), np.int64)
+        for s, reply in zip(replies["shard"].to_pylist(), replies["reply"].to_pylist()):
+            two, three = unpack_fields(reply, np.int64, np.int64)
+            c2[g.cuts[s] : g.cuts[s + 1]], c3[g.triple_cuts[s] : g.triple_cuts[s + 1]] = two, three
         base = (c + FLOOR) / below
-        u, v, w = b.sequences(trie.words(b.hashes))
-        p = base[b.codes]
-        two, share2, left2 = trie.child(0, v, w)
-        p = share2 + left2 * p
-        context, _, _ = trie.child(0, u, v)
-        _, share3, left3 = trie.child(1, context, w)
-        p = share3 + left3 * p
+        before = np.r_[0, b.codes[:-1]][: len(b.codes)]
+        before[b.starts[:-1]] = 0
+        p = (c2[g.pair] + mass * base[b.codes]) / (c[before] + mass)
+        p[g.long] = (c3[g.triple] + mass * p[g.long]) / (c2[g.pair[g.long - 1]] + mass)
         add = lambda x: np.add.reduceat(x, b.starts[:-1]) if len(b.n) else x[:0]
         return pa.table(
             {
@@ -307,11 +427,10 @@ def train_and_score(
             }
         )
 
-    known = words.select("block", "code", "h").join(counts, "h").select(F.col("block").alias("at"), "code", "c")
     return (
-        blocks.repartition(parts, "block")
+        numbered.repartition(parts, "block")
         .groupBy("block")
-        .cogroup(known.repartition(parts, "at").groupBy("at"))
+        .cogroup(answers.repartition(parts, "at").groupBy("at"))
         .applyInArrow(
             score,
             "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint,"
@@ -320,45 +439,22 @@ def train_and_score(
     )
 
 
-def _count_level(blocks, run, shared, order, fold, least, parts):
-    """Nodes of the next level of the trie: (parent node, word, count), sorted.
+def _shard(pairs, n2, mine, third, n3, width, mass):
+    """The trie of one shard from what all blocks sent, and the word numbers of it that they ask for.
 
-    A block sends its own counts as packed arrays, cut by the hash of the whole n-gram, so that no context
-    gathers in one task.
+    ``mine`` is the place in ``pairs`` of the pair that a triple begins with, ``third`` its last word.
     """
-
-    def send(batches):
-        trie = Trie(shared.value)
-        for row in _rows(batches):
-            b = _Block(row)
-            u, v, w = b.sequences(trie.words(b.hashes))
-            node = v
-            use = b.trained(fold) & (w >= 0) & (v >= 0)
-            if order == 3:
-                node = trie.child(0, u, v)[0]
-                use &= (node >= 0) & (trie.child(0, v, w)[0] >= 0)
-            key, n = np.unique(node[use] << 32 | w[use], return_counts=True)
-            shard = (mix(key) % np.uint64(parts)).astype(np.int64)
-            for s in np.unique(shard):
-                mine = shard == s
-                yield pa.record_batch(
-                    {
-                        "shard": pa.array([s], pa.int64()),
-                        "keys": pa.array([pack(key[mine])], pa.binary()),
-                        "counts": pa.array([pack(n[mine].astype(np.int32))], pa.binary()),
-                    }
-                )
-
-    def add(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpack(x, np.int64) for x in table["keys"].to_pylist()])
-        counts = np.concatenate([unpack(x, np.int32) for x in table["counts"].to_pylist()])
-        key, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, counts).astype(np.int64)
-        return pa.table({"key": pa.array(key[n >= least]), "n": pa.array(n[n >= least])})
-
-    summed = blocks.mapInArrow(send, "shard bigint, keys binary, counts binary").groupBy("shard").applyInArrow(add, "key bigint, n bigint")
-    rows = run.write(summed, f"level-{order}").toArrow()  # at most 1 / share rows
-    key, n = np.asarray(rows["key"]), np.asarray(rows["n"])
-    sort = np.argsort(key)
-    key, n = key[sort], n[sort]
-    return key >> 32, key & 0xFFFFFFFF, n
+    held, at = np.unique(pairs, return_inverse=True)
+    words, local = np.unique(np.r_[held // width, held % width, third], return_inverse=True)
+    first, second, last = np.split(local, [len(held), 2 * len(held)])
+    count = np.bincount(at, n2, len(held)).astype(np.int64)
+    seen = count > 0
+    node = np.cumsum(seen) - 1
+    level2 = (first[seen], second[seen], count[seen])
+    key, back = np.unique(at[mine] << 32 | last, return_inverse=True)
+    count = np.bincount(back, n3, len(key)).astype(np.int64)
+    key, count = key[count > 0], count[count > 0]
+    level3 = (node[key >> 32], key & 0xFFFFFFFF, count)
+    above = np.bincount(level2[0], level2[2], len(words)).astype(np.int64)
+    trie = Trie(Trie.build(words, above, [level2, level3], mass))
+    return trie, first[at], second[at], last
