@@ -19,11 +19,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows without an id all stay."""
-    found = ngram_jaccard.shingle_components(docs)
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    keep = RunFolder(spark, "groups").write(dropped, "dropped")
-    return docs.join(keep, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest id; one without an id only if none has one.
+
+    Rows are told apart by a key of their own, so repeated rows are a group, and an id that stands on
+    several texts has each of them decided by itself.
+    """
+    folder = RunFolder(spark, "groups")
+    rows = folder.write(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    found = ngram_jaccard.shingle_components(rows, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    kept = found.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first"))
+    keep = folder.write(kept.select("first.row_key"), "kept")
+    return rows.join(keep, "row_key", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

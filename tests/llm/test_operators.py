@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from topicloom.llm import (
     decontaminate,
     embedding_pairs,
@@ -362,6 +363,25 @@ def test_licenses(docs, rows):
     assert "mit-release" in next(r.labels for r in found.values() if r.base_labels == "mit")
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 60))
+    a, b, c, d, e = (draw() for _ in range(5))
+    rows = [
+        (1, a), (2, a + " more"), (None, a),  # a null id goes if the group has another
+        (None, b), (None, b), (None, b + " more"),  # without any id one row stays
+        (4, c), (4, c),  # repeated rows
+        (2, d),  # the id of a copy on a clean text
+        (7, e), (5, e), (None, ""), (None, None), (9, ""),  # without words: linked with nothing
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    out = corpus_pipeline.one_per_group(spark, docs, "")
+    assert out.schema == docs.schema
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert sum(got.pop((None, t), 0) for t in (b, b + " more")) == 1
+    assert got == Counter([(1, a), (4, c), (2, d), (5, e), (None, ""), (None, None), (9, "")])
+
+
 @pytest.mark.parametrize(
     "operator",
     [
