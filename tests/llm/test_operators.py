@@ -297,6 +297,16 @@ def test_decontamination(spark, docs, rows):
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
+def test_items_without_id_are_matched(spark):
+    leak = " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([(None, leak), (None, "p1 p2"), (3, leak), (None, None)], "item_id bigint, text string")
+    texts = spark.createDataFrame([(1, f"a {leak} b c"), (2, "x p1 p2 y z"), (3, "clean")], "doc_id bigint, text string")
+    found = by_id(decontaminate.contamination(texts, items))
+    assert [(found[i].n_hit, found[i].n_items, found[i].contaminated) for i in (1, 2, 3)] == [(12, 1, True), (2, 0, True), (0, 0, False)]
+    assert found[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert "p1" not in by_id(decontaminate.remove_spans(texts, items))[2].text
+
+
 def test_spans_removed(spark):
     docs = spark.createDataFrame([(1, "keep this, A b c! and that"), (2, "a b c"), (3, None)], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")

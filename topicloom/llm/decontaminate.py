@@ -4,8 +4,9 @@ Every word of a document extends or shortens the longest match that ends at it.
 words, or of a whole shorter item, is a hit. Items are cut into slices of a bounded number of words, one
 automaton and one pass each, so that a benchmark of any size is matched whole with bounded memory.
 
-Defined results: a null or empty text has no words and is clean; null or empty items match nothing;
-repeated items are separate items with the same matches; rows with the same id are judged on their own;
+Defined results: a null or empty text has no words and is clean; items without
+text match nothing; an item without an id is matched like any other and only left out of ``n_items`` and
+``items_sha256``; repeated items are separate items with the same matches; rows with the same id are judged on their own;
 columns other than the named ones are carried by :func:`remove_spans` and ignored elsewhere.
 """
 
@@ -122,10 +123,10 @@ class Automaton:
         return ranges, names
 
 
-def _slices(items: DataFrame, item_id: str, text: str, slice_words: int) -> Iterator[list[tuple[str, bytes]]]:
+def _slices(items: DataFrame, item_id: str, text: str, slice_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in slices that hold a bounded number of words; read one partition at a time."""
     chosen = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where(
-        "t IS NOT NULL AND i IS NOT NULL"
+        "t IS NOT NULL"
     )
     part, size = [], 0
     for row in chosen.toLocalIterator():
@@ -200,7 +201,7 @@ def contamination(
                         found.setdefault(owner, set()).update(more)
                 total = np.r_[0, np.cumsum(covered)]
                 n_hit = np.diff(total[starts])
-                lists = [sorted(found.get(i, ())) for i in range(part.num_rows)]
+                lists = [sorted(found.get(i, set()) - {None}) for i in range(part.num_rows)]
                 yield pa.record_batch(
                     {
                         "doc_id": part["doc_id"],
