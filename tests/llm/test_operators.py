@@ -392,6 +392,28 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert got == Counter([(1, a), (4, c), (2, d), (5, e), (None, ""), (None, None), (9, "")])
 
 
+def test_standard_license_passages(spark):
+    gpl = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or later"
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including",
+        "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "gpl-3.0": gpl.format("", "3"),
+        "gpl-2.0": gpl.format("", "2"),
+        "lgpl-3.0": gpl.format("Lesser ", "3"),
+        "lgpl-2.1": gpl.format("Lesser ", "2.1"),
+        "agpl-3.0": gpl.format("Affero ", "3"),
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc0-1.0": "The author has waived all copyright and related or neighboring rights to this work.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "": "a permission to deal with software and the public domain, no license",
+    }
+    frame = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    found = by_id(licenses.scan(frame))
+    for i, label in enumerate(texts):
+        assert set(found[i].labels.split(",")) - set(found[i].base_labels.split(",")) - {label} == set()
+        assert label in found[i].labels.split(",")
+
+
 @pytest.mark.parametrize(
     "operator",
     [
