@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from topicloom.llm import (
     decontaminate,
     embedding_pairs,
+    filter_audit,
     licenses,
     mixing,
     ngram_jaccard,
     ngram_lm,
+    periodic_runs,
     quality,
     substrings,
     token_shards,
+    toxicity,
     warc,
 )
 from topicloom.llm.tables import table
@@ -61,7 +64,24 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_score, op2_ngram_jaccard, op3_substring_dedup, op4_warc, op5_token_shards, op6_embedding_pairs,
-    op7_decontamination, op8_quality, op9_mixing, op10_licenses,
+    op7_decontamination, op8_quality, op9_mixing, op10_licenses, op11_filter_audit, op12_toxicity,
+    op13_periodic_runs,
 )}
+
+# Twins in plain SQL, for the queries that SQL can express.
+ORACLES = {"op11_filter_audit": filter_audit.SQL}
