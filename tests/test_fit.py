@@ -95,7 +95,7 @@ def test_short_cut_bound_equals_the_sum_of_all_terms(spark, tiny):
     seen, size = tiny.seen_terms, tiny.vocab_size
     # entropy comes from the responsibilities of the pass that made this state, the rest from the state
     logs = expected_log_topics(before.topic_terms, before.globals.totals)
-    old = bound.bound_tokens(token_scores(tiny, logs, expected_log_weights(before.doc_topics), 3), 3).first()
+    old = bound.bound_tokens(expected_counts(tiny, log_vectors(logs, expected_log_weights(before.doc_topics)), 3)).first()
     words = expected_log_topics(model.topic_terms, g.totals).join(model.topic_terms, "term_id")
     flat = model.gamma / size
     loglik = words.select(
@@ -278,3 +278,46 @@ def test_pairs_are_not_moved_by_a_token_pass(spark, sampled):
     plan = expected_counts(corpus, vectors, 3)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("FlatMapCoGroupsInArrow") :].splitlines()
     assert "InMemoryTableScan" in below[1], below[1]  # the cached pairs feed the pass without an exchange
+
+
+def test_sums_through_a_tree_are_the_same(spark, sampled):
+    from topicloom.operators import blocks
+
+    data, m, _ = sampled
+    corpus = prepare_corpus(doc_terms(spark, data), doc_ids(spark, m), block_pairs=60)
+    shares = corpus.tokens.selectExpr("1 AS kind", "term_id AS id", "array(double(cnt), 1D) AS vec")
+    plain, tree = (blocks.add_shares(corpus, shares, 2, tree=t) for t in (10**6, 1))
+    as_dict = lambda df: {r["id"]: tuple(r["vec"]) for r in df.collect()}
+    assert corpus.partitions > 4 and as_dict(plain) == as_dict(tree)
+
+
+def test_blocks_list_their_ids_without_moving_pairs(spark, sampled):
+    data, m, _ = sampled
+    corpus = prepare_corpus(doc_terms(spark, data), doc_ids(spark, m), block_pairs=300)
+    for kind, column in ((0, "doc_id"), (1, "term_id")):
+        listed = corpus.needed.where(F.col("kind") == kind).select("block", "id")
+        assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, corpus.tokens.select("block", column).distinct().collect()))
+    assert corpus.needed_rows == corpus.needed.count()
+
+
+def test_nothing_is_left_after_a_full_stick(spark):
+    rows = [(0, 0, 0.5), (0, 1, 1.0), (0, 2, 0.5), (0, 3, 1.0), (1, 0, 0.25), (1, 1, 1.0)]
+    got = updates.stick_table(spark.createDataFrame(rows, "group_id int, k int, v double")).orderBy("group_id", "k").collect()
+    assert [r["p"] for r in got] == pytest.approx([0.5, 0.5, 0.0, 0.0, 0.25, 0.75])
+    assert [r["left"] for r in got] == pytest.approx([1.0, 0.5, 0.0, 0.0, 1.0, 0.75])
+
+
+def test_pair_results_leave_the_pairs_in_place(spark, sampled):
+    data, m, _ = sampled
+    corpus = prepare_corpus(doc_terms(spark, data), doc_ids(spark, m), block_pairs=500)
+    from topicloom.operators import heldout, kmeans
+
+    seen = corpus.needed.where("kind = 1").selectExpr("id AS term_id").distinct()
+    vec = F.array(F.lit(0.5), F.lit(0.5))
+    docs, terms = corpus.docs.select("doc_id", vec.alias("theta")), seen.select("term_id", vec.alias("eta"))
+    label = corpus.docs.selectExpr("doc_id", "int(doc_id % 2) AS k")
+    scores = token_scores(corpus, terms.withColumnRenamed("eta", "elneta"), docs.withColumnRenamed("theta", "elnz"), 2)
+    for frame in (scores, heldout.plugin_loglik(corpus, terms, docs), kmeans.mean_centroids(corpus, label, 2)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("FlatMapCoGroupsInArrow") :].splitlines()
+        assert "InMemoryTableScan" in below[1], below[1]

@@ -129,3 +129,59 @@ def test_documents_without_test_words_are_returned(spark, tiny):
     assert set(rows) == {0, 1, 2} and rows[0]["loglik"] < 0
     assert all((rows[d]["words"], rows[d]["loglik"], rows[d]["per_word"]) == (0, 0.0, None) for d in (1, 2))
     assert result.summary.first()["per_word"] == rows[0]["per_word"]
+
+
+def test_log_mean_exp_merges_in_one_shuffle(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, s, float(x)) for d in range(7) for s, x in enumerate(rng.normal(-3000, 400, 50 * (d + 1)))]
+    rows += [(20, s, -np.inf) for s in range(3)] + [(21, 0, -np.inf), (21, 1, 2.0), (22, 0, None), (22, 1, 5.0), (23, 0, None)]
+    values = spark.createDataFrame(rows, "doc_id bigint, sample int, x double").repartition(6)
+    found = heldout.log_mean_exp(values)
+    got = {r["doc_id"]: r["loglik"] for r in found.collect()}
+    for d in range(7):
+        x = np.array([v for i, _, v in rows if i == d])
+        assert got[d] == pytest.approx(x.max() + np.log(np.exp(x - x.max()).mean()))
+    assert got[20] == -np.inf and got[21] == pytest.approx(2 - np.log(2)) and got[22] == 5.0 and 23 not in got
+    plain = heldout.log_mean_exp(spark.createDataFrame(rows, "doc_id bigint, sample int, x double"))
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1
+    assert heldout.log_mean_exp(values.limit(0)).count() == 0
+
+
+def test_partial_means_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(heldout, "OPEN_DOCUMENTS", 10)
+    batches = [pa.record_batch({"doc_id": pa.array(range(i, i + 8)), "x": pa.array([float(i)] * 8)}) for i in range(6)]
+    out = list(heldout._partial_means(iter(batches)))
+    assert len(out) > 1 and sum(sum(b["n"].to_pylist()) for b in out) == 48
+
+
+def test_small_shapes_stay_finite_and_whole_documents_leave_one_row(spark, sampled):
+    """Shapes of 1e-6 underflow as plain draws; long documents are spread over blocks, others are not."""
+    data, m, d = sampled
+    long = [(m, t, 1 + t % 2) for t in range(d)]
+    corpus = prepare_corpus(doc_terms(spark, data + long), doc_ids(spark, m + 1), vocab_size=d, block_pairs=160)
+    assert corpus.tokens.where(F.col("doc_id") == m).select("block").distinct().count() > 1
+    k = 3
+    tiny_shape = lambda column: F.array(*[F.lit(1e-6) if i else F.lit(2.0) for i in range(k)]).alias(column)
+    gam = corpus.needed.where("kind = 1").select(F.col("id").alias("term_id")).distinct().select("term_id", tiny_shape("gam"))
+    docs = corpus.docs.select("doc_id", F.array(*[F.lit(1e-6)] * k).alias("a"), F.array(*[F.lit(1.0)] * k).alias("b"))
+    totals = np.array([2.0 * d + 5, 1e-6 * d + 0.5, 1e-6 * d + 0.5])
+    rows = heldout.sampled_loglik(corpus, gam, docs, totals, 8, seed=3)
+    assert rows.count() == 8 * corpus.docs.where("num_words > 0").count()
+    assert all(np.isfinite(r["x"]) for r in rows.collect())
+    merged = {r["doc_id"]: r["loglik"] for r in heldout.log_mean_exp(rows).collect()}
+    direct = {r["doc_id"]: r["loglik"] for r in heldout.predictive_loglik(corpus, gam, docs, totals, 8, seed=3).collect()}
+    assert merged.keys() == direct.keys()
+    assert np.allclose([direct[i] for i in merged], [merged[i] for i in merged], rtol=1e-9)
+
+
+def test_logarithms_of_gamma_draws():
+    for shape in (0.05, 0.7, 3.0):
+        draws = heldout.log_gamma_draws(heldout._stream(1, 2, 3, 0), np.full(4, shape), 40_000)
+        assert np.exp(draws).mean() == pytest.approx(shape, rel=0.05)
+        from twin import psi
+
+        assert draws.mean() == pytest.approx(float(psi(np.array(shape))), rel=0.05, abs=0.02)
+    assert np.isfinite(heldout.log_gamma_draws(heldout._stream(1, 2, 3, 0), np.full(4, 1e-9), 1000)).all()

@@ -94,3 +94,59 @@ def test_sparse_cells_keep_their_place(spark, tmp_path):
     assert back == {(i, j): {(0, 0): 1.0, (0, 2): 3.0, (2, 1): 5.0}.get((i, j), 0.0) for i in range(3) for j in range(3)}
     gap = matrix_text.parse_matrix_lines(spark.createDataFrame([(0, "1,,3,")], "i bigint, line string"))
     assert sorted((r.j, r.value) for r in gap.collect()) == [(0, 1.0), (2, 3.0)]
+
+
+def test_sparse_products_have_dense_and_rare_inner_indices(spark):
+    """Inner index 0 is in every row, some in many, most in one or two; stored zeros and large ids stay."""
+    rng = np.random.default_rng(8)
+    rows = [(i * 10**9, 0, 1.0 + i) for i in range(200)]
+    rows += [(i * 10**9, 1 + j, float(rng.normal())) for j in range(5) for i in range(0, 200, 1 + j * 4)]
+    rows += [(int(rng.integers(200)) * 10**9, 100 + j, float(rng.integers(0, 2))) for j in range(400)]
+    rows += [(0, 5000, 0.0), (10**9, 5000, 0.0)]
+    other = [(j, int(rng.integers(150)), float(rng.normal())) for _, j, _ in rows[::2]] + [(0, c, 2.0) for c in range(150)]
+    schema = "i bigint, j bigint, value double"
+    a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    plain = {}
+    by_inner = {}
+    for i, j, v in other:
+        by_inner.setdefault(i, []).append((j, v))
+    for i, j, v in rows:
+        for c, w in by_inner.get(j, []):
+            plain[i, c] = plain.get((i, c), 0.0) + v * w
+    got = {(r["i"], r["j"]): r["value"] for r in op.matrix_multiply(a, b).collect()}
+    assert got.keys() == plain.keys() and all(np.isclose(got[k], plain[k]) for k in plain)
+
+    flipped = a.selectExpr("j AS i", "i AS j", "value")  # rows are the inner index of a Gram matrix
+    plain = {}
+    by_inner = {}
+    for i, j, v in rows:
+        by_inner.setdefault(j, []).append((i, v))
+    for cells in by_inner.values():
+        for x, v in cells:
+            for y, w in cells:
+                plain[x, y] = plain.get((x, y), 0.0) + v * w
+    got = {(r["i"], r["j"]): r["value"] for r in op.gram(flipped).collect()}
+    assert got.keys() == plain.keys() and all(np.isclose(got[k], plain[k]) for k in plain)
+
+
+def test_products_without_a_common_inner_index(spark):
+    a = spark.createDataFrame([(0, 1, 2.0)], "i bigint, j bigint, value double")
+    b = spark.createDataFrame([(2, 3, 4.0)], "i bigint, j bigint, value double")
+    assert op.matrix_multiply(a, b).count() == 0
+    assert op.gram(a.limit(0)).count() == 0
+    kept = op.matrix_multiply(a, a.selectExpr("j AS i", "i AS j", "0D AS value")).collect()
+    assert [tuple(r) for r in kept] == [(0, 0, 0.0)]
+
+
+def test_cells_outside_the_shape_are_errors(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 0, 1.0), (5, 5, 9.0)], "i bigint, j bigint, value double")
+    with pytest.raises(Exception, match="outside"):
+        matrix_text.matrix_lines(cells, (2, 2)).collect()
+    with pytest.raises(Exception, match="outside"):
+        matrix_text.matrix_lines(cells.selectExpr("i - 1 AS i", "j", "value")).collect()
+    assert matrix_text.matrix_lines(cells, (6, 6)).count() == 6
+    places = spark.createDataFrame([(0, 1.0), (4, 2.0)], "i bigint, value double")
+    with pytest.raises(Exception, match="outside"):
+        matrix_text.write_vector(places, str(tmp_path / "v"), 3)
+    matrix_text.write_vector(places, str(tmp_path / "w"), 6)
+    assert [r["value"] for r in matrix_text.read_vector(spark, str(tmp_path / "w")).orderBy("i").collect()] == [1.0, 0, 0, 0, 2.0, 0]

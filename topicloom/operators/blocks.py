@@ -1,11 +1,13 @@
 """One pass over the pairs of a corpus, with the vectors of their documents and terms at hand.
 
 Joining a topic vector to every pair would ship pairs x topics numbers. Instead each block receives the
-vector of every distinct document and term it holds once, next to its pairs, which never move.
+vector of every distinct document and term it holds once, next to its pairs, which never move. A kernel
+returns sums, or one row per document or per pair; all operators on pairs are kernels.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,9 +17,13 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.special import unpack_rows
 from topicloom.functions.vectors import sum_vectors
+from topicloom.session import shuffle_partitions
 from topicloom.sources.prepared import DOC, TERM, Corpus
 
 VECTOR_SCHEMA = "kind int, id bigint, vec array<double>"
+# Blocks beyond which sums go through a tree, and bytes of shares that one task of a sum should read.
+TREE = 512
+SHARE_BYTES = 128 << 20
 
 
 def route(corpus: Corpus, vectors: DataFrame) -> DataFrame:
@@ -41,28 +47,23 @@ def run_blocks(
     )
 
 
-def add_shares(shares: DataFrame, k: int) -> DataFrame:
+def add_shares(corpus: Corpus, shares: DataFrame, k: int, tree: int = TREE) -> DataFrame:
     """``(kind, id, vec)`` added up over the blocks.
 
-    A block sends one row per id, so there is nothing left to combine before the shuffle; placing the
-    rows first spares the map side a useless hash aggregation of wide rows.
+    A block is a task and has added up its own rows, so a task sends one row per id. Placing the rows
+    before the sum spares the map side a useless hash aggregation of wide rows. A term that every block holds
+    has as many rows as there are blocks; beyond ``tree`` blocks they are first added up in about as many
+    groups as each group has rows, so that no task reads more than the square root of them.
     """
-    return shares.repartition("kind", "id").groupBy("kind", "id").agg(sum_vectors("vec", k).alias("vec"))
-
-
-def with_vectors(corpus: Corpus, doc_vectors: DataFrame, term_vectors: DataFrame) -> DataFrame:
-    """``(doc_id, term_id, cnt, doc_vec, term_vec)`` as a relational join inside the blocks.
-
-    For results that have one row per pair anyway. The block is part of both keys, so a term or document
-    that holds a large share of all pairs is spread over as many groups as it has blocks.
-    """
-    docs = corpus.needed.where(F.col("kind") == DOC).select(F.col("block"), F.col("id").alias("doc_id"))
-    terms = corpus.needed.where(F.col("kind") == TERM).select(F.col("block"), F.col("id").alias("term_id"))
-    return (
-        corpus.tokens.join(docs.join(doc_vectors, "doc_id"), ["block", "doc_id"])
-        .join(terms.join(term_vectors, "term_id"), ["block", "term_id"])
-        .select("doc_id", "term_id", "cnt", "doc_vec", "term_vec")
-    )
+    rows = max(1, SHARE_BYTES // (8 * k + 16))
+    wide = -(-corpus.needed_rows // rows)
+    parts = (wide,) if wide > shuffle_partitions(corpus.spark) else ()
+    if corpus.partitions > tree:
+        groups = math.isqrt(corpus.partitions)
+        salted = shares.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        salted = salted.repartition(*parts, "kind", "id", "salt").groupBy("kind", "id", "salt")
+        shares = salted.agg(sum_vectors("vec", k).alias("vec")).drop("salt")
+    return shares.repartition(*parts, "kind", "id").groupBy("kind", "id").agg(sum_vectors("vec", k).alias("vec"))
 
 
 class Block:
@@ -93,21 +94,35 @@ class Block:
             self.term_vec = np.vstack([self.term_vec, np.zeros((1, k))])
 
 
+    @property
+    def pair_doc(self) -> np.ndarray:
+        """The position of every pair's document among the document vectors."""
+        return np.repeat(self.segment_doc, [hi - lo for lo, hi in self.segments])
+
+    def sums_by_document(self, values: np.ndarray) -> np.ndarray:
+        """Sums of one value per pair, one for each of ``segment_doc_id``."""
+        return np.add.reduceat(values, [lo for lo, _ in self.segments])
+
+
 def _sorted_side(ids, rows, chosen):
     ids, rows = ids[chosen], rows[chosen]
     order = np.argsort(ids)
     return ids[order], rows[order]
 
 
+def list_column(rows: np.ndarray) -> pa.ListArray:
+    n, k = rows.shape
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(np.ascontiguousarray(rows).ravel())
+    )
+
+
 def vector_table(kind: int, ids: np.ndarray, rows: np.ndarray) -> pa.Table:
     """Rows of VECTOR_SCHEMA."""
-    n, k = rows.shape
     return pa.table(
         {
-            "kind": pa.array(np.full(n, kind, dtype=np.int32)),
+            "kind": pa.array(np.full(len(rows), kind, dtype=np.int32)),
             "id": pa.array(ids.astype(np.int64)),
-            "vec": pa.ListArray.from_arrays(
-                pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(np.ascontiguousarray(rows).ravel())
-            ),
+            "vec": list_column(rows),
         }
     )

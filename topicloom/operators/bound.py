@@ -23,20 +23,19 @@ from topicloom.functions.vectors import (
     ratio_sql,
     total_sql,
 )
-from topicloom.operators.responsibilities import LOG_WEIGHT, responsibilities
+from topicloom.operators.responsibilities import LOG_WEIGHT
 from topicloom.operators.updates import normal_moments
+from topicloom.sources.prepared import ASSIGN, BLOCK
 
 
-def bound_tokens(scores: DataFrame, k: int) -> DataFrame:
-    """``(token_entropy, token_loglik)`` of ``(doc_id, term_id, cnt, score)``.
+def bound_tokens(counts: DataFrame) -> DataFrame:
+    """``(token_entropy, token_loglik)`` from the expected counts of a token pass.
 
-    The log-likelihood covers words and topic assignments: the expectation of the score.
+    The log-likelihood covers words and topic assignments. Both were summed in the blocks of the pass.
     """
-    r = responsibilities(scores.withColumn("cnt", F.struct("cnt", "score")), k).select("cnt.cnt", "cnt.score", "r")
-    minus_log = total_sql("transform(r, x -> if(x > 0, -x * ln(x), 0D))")
-    return r.agg(
-        F.expr(f"sum(cnt * {minus_log})").alias("token_entropy"),
-        F.expr(f"sum(cnt * {dot_sql('r', 'score')})").alias("token_loglik"),
+    part = lambda kind, i: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("vec")[i])), F.lit(0.0))
+    return counts.where(F.col("kind").isin(BLOCK, ASSIGN)).agg(
+        part(BLOCK, 0).alias("token_entropy"), (part(BLOCK, 1) + part(ASSIGN, 0)).alias("token_loglik")
     )
 
 

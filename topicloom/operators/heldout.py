@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import pack
-from topicloom.functions.vectors import dot_sql, literal_sql, ratio_sql, sum_vectors, total_sql
-from topicloom.operators.blocks import Block, run_blocks, with_vectors
+from topicloom.functions.vectors import literal_sql, ratio_sql, sum_vectors, total_sql
+from topicloom.operators.blocks import Block, run_blocks
 from topicloom.operators.lookup import lookup_join
+from topicloom.session import RunFolder
 from topicloom.sources.prepared import DOC, TERM, Corpus
 
 # Copies of one (document, term) pair are generated in chunks of this many, so that no array grows
@@ -18,10 +19,16 @@ from topicloom.sources.prepared import DOC, TERM, Corpus
 COPIES = 10_000
 # Tokens a single task should rank. A larger document is cut into slices by the leading bits of the hash.
 SLICE_TOKENS = 1_000_000
-# Numbers that the draws of one group of samples may hold at once.
-SAMPLE_BUDGET = 1 << 24
+# Numbers that the draws of a kernel may hold at once, for documents and for terms.
+SAMPLE_BUDGET = 1 << 23
+# Samples times topics that one random stream gives; the next samples come from a stream of their own.
+STREAM_NUMBERS = 512
 # Stream of the draws that stand for all terms that are not scored.
 REST = 3
+# Below this a product of scaled topics and weights may have lost digits; it is redone in logarithms.
+UNDERFLOW = 1e-200
+# Documents that a task of a log-mean-exp keeps before it sends their partial values on.
+OPEN_DOCUMENTS = 1 << 20
 
 
 def split_heldout(
@@ -80,15 +87,23 @@ def plugin_loglik(test: Corpus, topic_mean: DataFrame, doc_mean: DataFrame) -> D
 
     ``topic_mean(term_id, eta)`` and ``doc_mean(doc_id, theta)`` hold posterior means.
     """
-    joined = with_vectors(
-        test,
-        doc_mean.select("doc_id", F.col("theta").alias("doc_vec")),
-        topic_mean.select("term_id", F.col("eta").alias("term_vec")),
-    )
-    return joined.groupBy("doc_id").agg(
-        F.sum("cnt").alias("words"), F.expr(f"sum(cnt * ln({dot_sql('doc_vec', 'term_vec')}))").alias("loglik")
+    k = len(doc_mean.select("theta").first()["theta"]) if test.num_pairs else 1
+    vectors = doc_mean.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack("theta").alias("vec")).unionAll(
+        topic_mean.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), pack("eta").alias("vec"))
     )
 
+    def kernel(pairs, vectors):
+        block = Block(pairs, vectors, k)
+        loglik = np.empty(len(block.segments))
+        for i, ((lo, hi), d) in enumerate(zip(block.segments, block.segment_doc)):
+            loglik[i] = block.cnt[lo:hi] @ np.log(block.term_vec[block.term[lo:hi]] @ block.doc_vec[d])
+        words = block.sums_by_document(block.cnt).astype(np.int64)
+        return pa.table({"doc_id": pa.array(block.segment_doc_id), "words": pa.array(words), "loglik": pa.array(loglik)})
+
+    # one row per document and block: only documents spread over blocks have more than one
+    shares = run_blocks(test, vectors, kernel, "doc_id bigint, words bigint, loglik double")
+    return shares.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum("loglik").alias("loglik"))
+
 
 def mean_topics(gam: DataFrame, totals) -> DataFrame:
     return gam.select("term_id", F.expr(ratio_sql("gam", literal_sql(totals))).alias("eta"))
@@ -101,14 +116,53 @@ def mean_weights(docs: DataFrame) -> DataFrame:
 
 
 def log_mean_exp(values: DataFrame) -> DataFrame:
-    """``(doc_id, loglik)`` of ``(doc_id, sample, x)``: ln of the mean of exp(x), with the maximum taken out."""
-    top = values.groupBy("doc_id").agg(F.max("x").alias("top"), F.count("*").alias("samples"))
-    sizes = top.select("doc_id", F.col("samples").alias("n"))
-    return (
-        lookup_join(values, top, "doc_id", "sample", sizes)
-        .groupBy("doc_id")
-        .agg((F.first("top") + F.ln(F.sum(F.exp(F.col("x") - F.col("top")))) - F.ln(F.first("samples"))).alias("loglik"))
+    """``(doc_id, loglik)`` of ``(doc_id, sample, x)``: ln of the mean of exp(x).
+
+    A task merges its values to one (maximum, scaled sum, count) per document before anything moves, so a
+    document with any number of values sends one small row per task, and one shuffle is enough. Values of minus
+    infinity have exp 0; a document with no others has minus infinity. Nulls are left out.
+    """
+    parts = values.where("doc_id IS NOT NULL AND x IS NOT NULL").select("doc_id", F.col("x").cast("double").alias("x"))
+    merged = parts.mapInArrow(_partial_means, "doc_id bigint, top double, size double, n bigint")
+    found = merged.groupBy("doc_id").agg(
+        F.max("top").alias("top"), F.sum("n").alias("n"), F.collect_list(F.struct("top", "size")).alias("parts")
     )
+    scaled = F.expr("aggregate(parts, 0D, (s, p) -> s + if(p.top = top, p.size, p.size * exp(p.top - top)))")
+    return found.select("doc_id", (F.col("top") + F.ln(scaled) - F.ln(F.col("n"))).alias("loglik"))
+
+
+def _partial_means(batches):
+    """One (doc_id, top, size, n) per document of a task; more where it has too many documents to keep."""
+
+    def merge(rows):
+        ids, top, size, n = (np.concatenate(c) for c in zip(*rows))
+        order = np.argsort(ids, kind="stable")
+        ids, top, size, n = ids[order], top[order], size[order], n[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        best = np.maximum.reduceat(top, first)
+        at = np.repeat(best, np.diff(np.r_[first, len(ids)]))
+        with np.errstate(invalid="ignore"):
+            size = np.where(top == at, size, size * np.exp(top - at))
+        return ids[first], best, np.add.reduceat(size, first), np.add.reduceat(n, first)
+
+    def batch_of(row):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=["doc_id", "top", "size", "n"])
+
+    rows, held = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, x = batch.column("doc_id").to_numpy(), batch.column("x").to_numpy()
+        rows.append(merge([(ids, x, np.ones(len(x)), np.ones(len(x), np.int64))]))
+        held += len(rows[-1][0])
+        if held > OPEN_DOCUMENTS:
+            rows = [merge(rows)]
+            held = len(rows[0][0])
+            if 2 * held > OPEN_DOCUMENTS:
+                yield batch_of(rows[0])
+                rows, held = [], 0
+    if rows:
+        yield batch_of(merge(rows))
 
 
 def heldout_summary(values: DataFrame) -> DataFrame:
@@ -127,28 +181,49 @@ def heldout_summary(values: DataFrame) -> DataFrame:
 # --- Monte Carlo -------------------------------------------------------------------------------------
 
 
-def _stream(seed: int, kind: int, key: int) -> np.random.Generator:
+def _stream(seed: int, kind: int, key: int, group: int) -> np.random.Generator:
     """The random stream of one term or document; it does not depend on where the row is processed."""
-    return np.random.Generator(np.random.PCG64([seed, kind, key & 0xFFFFFFFFFFFFFFFF]))
+    return np.random.Generator(np.random.PCG64([seed, kind, key & 0xFFFFFFFFFFFFFFFF, group]))
+
+
+def sample_groups(samples: int, k: int) -> list[tuple[int, int]]:
+    """``[lo, hi)`` of the samples that come from one stream; a matter of sizes only, so blocks agree on it."""
+    size = max(1, STREAM_NUMBERS // k)
+    return [(lo, min(lo + size, samples)) for lo in range(0, samples, size)]
+
+
+def log_gamma_draws(stream: np.random.Generator, shape: np.ndarray, size: int) -> np.ndarray:
+    """size x K logarithms of gamma draws.
+
+    Below a shape of 1 a draw is one of shape + 1 times U^(1/shape), which underflows for small shapes; its
+    logarithm does not.
+    """
+    small = shape < 1.0
+    if not small.any():
+        return np.log(stream.standard_gamma(shape, (size, len(shape))))
+    out = np.log(stream.standard_gamma(np.where(small, shape + 1.0, shape), (size, len(shape))))
+    out[:, small] += np.log(1.0 - stream.random((size, int(small.sum())))) / shape[small]
+    return out
 
 
 def sampled_topic_norms(gam: DataFrame, totals, samples: int, seed: int) -> np.ndarray:
     """samples x K sums of a gamma draw per vocabulary entry; ``gam`` holds the held-out terms.
 
     A sum of independent gamma variables is gamma again, so one draw per sample and topic stands for all
-    the terms that are not scored. Each Arrow batch adds up its own draws.
+    the terms that are not scored. A task adds up its own draws and sends samples x K numbers.
     """
     totals = np.asarray(totals, dtype=float)
-    k = len(totals)
+    k, groups = len(totals), sample_groups(samples, len(totals))
 
     def add_up(batches):
+        table, any_row = np.zeros((samples, k)), False
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             shapes = batch.column("gam").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            table = np.zeros((samples, k))
+            any_row |= batch.num_rows > 0
             for term, shape in zip(batch.column("term_id").to_pylist(), shapes):
-                table += _stream(seed, TERM, term).standard_gamma(shape, (samples, k))
+                for g, (lo, hi) in enumerate(groups):
+                    table[lo:hi] += np.exp(log_gamma_draws(_stream(seed, TERM, term, g), shape, hi - lo))
+        if any_row:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(samples * k, dtype=np.int32)), pa.array(table.ravel())], names=["at", "value"]
             )
@@ -159,8 +234,12 @@ def sampled_topic_norms(gam: DataFrame, totals, samples: int, seed: int) -> np.n
     for r in rows:
         table[r["at"]] = r["value"]
     used = gam.agg(sum_vectors("gam", k).alias("gam")).first()
-    rest = np.maximum(totals - np.array([x or 0.0 for x in used["gam"]]), 0.0)
-    return table.reshape(samples, k) + _stream(seed, REST, 0).standard_gamma(rest, (samples, k))
+    rest = totals - np.array([x or 0.0 for x in used["gam"]])
+    table = table.reshape(samples, k)
+    some = rest > 0
+    for g, (lo, hi) in enumerate(groups):
+        table[lo:hi, some] += np.exp(log_gamma_draws(_stream(seed, REST, 0, g), rest[some], hi - lo))
+    return np.maximum(table, np.finfo(float).tiny)
 
 
 def sampled_loglik(
@@ -171,48 +250,114 @@ def sampled_loglik(
     A draw is one set of topics, Dirichlet(Gam), and one set of weights per document, gamma(a, b),
     normalised. ``gam`` has the test terms, ``docs`` the documents' ``a`` and ``b``.
     """
-    k = len(np.asarray(totals))
-    norms = sampled_topic_norms(gam, totals, samples, seed)
-    # shapes and rates travel as one vector, so topics are padded to the same width
-    both = docs.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(F.concat("a", "b")).alias("vec"))
-    padded = gam.select(
-        F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), pack(F.concat("gam", "gam")).alias("vec")
-    )
-    shares = run_blocks(
-        test, both.unionAll(padded), _sample_kernel(k, norms, seed), "doc_id bigint, sample int, x double"
-    )
+    shares = _sample_shares(test, gam, docs, totals, samples, seed, F.lit(False))
     return shares.groupBy("doc_id", "sample").agg(F.sum("x").alias("x"))
 
 
-def _sample_kernel(k: int, norms: np.ndarray, seed: int):
-    samples = len(norms)
+def predictive_loglik(
+    test: Corpus, gam: DataFrame, docs: DataFrame, totals, samples: int = 500, seed: int = 0, run: RunFolder | None = None
+) -> DataFrame:
+    """``(doc_id, loglik)``: ln of the mean likelihood of a document's test words over the draws.
 
-    def kernel(pairs, vectors):
-        block = Block(pairs, vectors, 2 * k)
-        n_terms, n_docs = len(block.term_ids), len(block.segments)
-        term_streams = [_stream(seed, TERM, int(t)) for t in block.term_ids]
-        doc_streams = [_stream(seed, DOC, int(d)) for d in block.segment_doc_id]
-        group = max(1, min(samples, SAMPLE_BUDGET // (n_terms * k)))
-        out = np.empty((n_docs, samples))
-        for lo in range(0, samples, group):
-            size = min(group, samples - lo)
-            topics = np.empty((n_terms, size, k))
-            for i, stream in enumerate(term_streams):
-                topics[i] = stream.standard_gamma(block.term_vec[i, :k], (size, k))
-            topics /= norms[lo : lo + size]
-            for i, ((start, stop), d) in enumerate(zip(block.segments, block.segment_doc)):
-                shape, rate = block.doc_vec[d, :k], block.doc_vec[d, k:]
-                theta = doc_streams[i].standard_gamma(shape, (size, k)) / rate
-                theta /= theta.sum(axis=1, keepdims=True)
-                mixed = np.einsum("tsk,sk->ts", topics[block.term[start:stop]], theta)
+    A block keeps a running maximum and scaled sum for every document it holds whole, and returns one row for
+    it. Only documents spread over several blocks return a row per draw, to be added up first.
+    """
+    run = run or RunFolder(test.spark, "samples")
+    whole = F.col("num_unique") <= test.piece
+    shares = run.write(_sample_shares(test, gam, docs, totals, samples, seed, whole), "shares")
+    spread = shares.where("sample >= 0").groupBy("doc_id", "sample").agg(F.sum("x").alias("x"))
+    done = shares.where("sample < 0").select("doc_id", F.col("x").alias("loglik"))
+    return done.unionAll(log_mean_exp(spread))
+
+
+def _sample_shares(test: Corpus, gam: DataFrame, docs: DataFrame, totals, samples: int, seed: int, whole) -> DataFrame:
+    """``(doc_id, sample, x)``; sample is -1 where x is already the log-mean over all of them."""
+    k = len(np.asarray(totals))
+    norms = np.log(sampled_topic_norms(gam, totals, samples, seed))
+    # shapes, rates and the mark of a whole document travel as one vector; topics are padded to its width
+    marked = docs.join(test.docs.select("doc_id", whole.cast("double").alias("_whole")), "doc_id")
+    both = marked.select(
+        F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(F.concat("a", "b", F.array("_whole"))).alias("vec")
+    )
+    padded = gam.select(
+        F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), pack(F.concat("gam", "gam", F.array(F.lit(0.0)))).alias("vec")
+    )
+    return run_blocks(test, both.unionAll(padded), _sample_kernel(k, norms, seed), "doc_id bigint, sample int, x double")
+
+
+def _sample_kernel(k: int, ln_norms: np.ndarray, seed: int):
+    samples, groups = len(ln_norms), sample_groups(len(ln_norms), k)
+    width = max(hi - lo for lo, hi in groups) * k
+    docs_at_once, terms_at_once = (max(1, SAMPLE_BUDGET // width),) * 2
+    pairs_at_once = max(1, SAMPLE_BUDGET // (4 * width))
+
+    def log_weights(block, docs, g, size):
+        """ln theta up to a constant per document and draw, that constant taken out, and the scaled weights."""
+        out = np.empty((len(docs), size, k))
+        for i, d in enumerate(docs):
+            shape, rate = block.doc_vec[d, :k], block.doc_vec[d, k : 2 * k]
+            out[i] = log_gamma_draws(_stream(seed, DOC, int(block.doc_ids[d]), g), shape, size) - np.log(rate)
+        out -= out.max(axis=2, keepdims=True)
+        scaled = np.exp(out)
+        return out, scaled, np.log(scaled.sum(axis=2))
+
+    def log_topics(block, terms, g, lo, hi):
+        out = np.empty((len(terms), hi - lo, k))
+        for i, t in enumerate(terms):
+            out[i] = log_gamma_draws(_stream(seed, TERM, int(block.term_ids[t]), g), block.term_vec[t, :k], hi - lo)
+        out -= ln_norms[lo:hi]
+        top = out.max(axis=2)
+        return out, np.exp(out - top[:, :, None]), top
+
+    def add_group(block, x, at, doc, begin, g, lo, hi):
+        """Adds to x (documents x draws) what the pairs ``at`` of documents from ``begin`` on contribute."""
+        ln_z, z, ln_size = log_weights(block, block.segment_doc[begin : begin + len(x)], g, hi - lo)
+        term = block.term[at]
+        terms, cut = np.unique(term, return_inverse=True)
+        for first in range(0, len(terms), terms_at_once):
+            ln_eta, eta, top = log_topics(block, terms[first : first + terms_at_once], g, lo, hi)
+            mine = np.flatnonzero((cut >= first) & (cut < first + terms_at_once))
+            for part in np.split(mine, range(pairs_at_once, len(mine), pairs_at_once)):
+                t, d = cut[part] - first, doc[part] - begin
+                mixed = np.einsum("psk,psk->ps", eta[t], z[d])
+                lost = mixed < UNDERFLOW
                 with np.errstate(divide="ignore"):
-                    out[i, lo : lo + size] = block.cnt[start:stop] @ np.log(mixed)
+                    value = np.log(mixed) + top[t] - ln_size[d]
+                if lost.any():
+                    p, s = np.nonzero(lost)
+                    both = ln_eta[t[p], s] + ln_z[d[p], s]
+                    most = both.max(axis=1)
+                    value[p, s] = most + np.log(np.exp(both - most[:, None]).sum(axis=1)) - ln_size[d[p], s]
+                value *= block.cnt[at[part], None]
+                if len(part):
+                    edge = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                    x[d[edge]] += np.add.reduceat(value, edge, axis=0)
+
+    def kernel(pairs, vectors):
+        block = Block(pairs, vectors, 2 * k + 1)
+        whole = block.doc_vec[block.segment_doc, 2 * k] > 0
+        doc = np.repeat(np.arange(len(block.segments)), [hi - lo for lo, hi in block.segments])
+        ids, draws, values = [], [], []
+        for begin in range(0, len(block.segments), docs_at_once):
+            end = min(begin + docs_at_once, len(block.segments))
+            at = np.arange(block.segments[begin][0], block.segments[end - 1][1])
+            top, size = np.full(end - begin, -np.inf), np.zeros(end - begin)
+            mine = np.flatnonzero(~whole[begin:end])
+            for g, (lo, hi) in enumerate(groups):
+                x = np.zeros((end - begin, hi - lo))
+                add_group(block, x, at, doc[at], begin, g, lo, hi)
+                best = np.maximum(top, x.max(axis=1))
+                size = size * np.exp(top - best) + np.exp(x - best[:, None]).sum(axis=1)
+                top = best
+                ids.append(np.repeat(block.segment_doc_id[begin:end][mine], hi - lo))
+                draws.append(np.tile(np.arange(lo, hi, dtype=np.int32), len(mine)))
+                values.append(x[mine].ravel())
+            done = np.flatnonzero(whole[begin:end])
+            ids.append(block.segment_doc_id[begin:end][done])
+            draws.append(np.full(len(done), -1, np.int32))
+            values.append((top + np.log(size) - np.log(samples))[done])
         return pa.table(
-            {
-                "doc_id": pa.array(np.repeat(block.segment_doc_id, samples)),
-                "sample": pa.array(np.tile(np.arange(samples, dtype=np.int32), n_docs)),
-                "x": pa.array(out.ravel()),
-            }
+            {"doc_id": pa.array(np.concatenate(ids)), "sample": pa.array(np.concatenate(draws)), "x": pa.array(np.concatenate(values))}
         )
 
     return kernel

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from topicloom.functions.special import pack
 from topicloom.functions.vectors import literal_sql, number, per_topic
 from topicloom.operators.blocks import VECTOR_SCHEMA, Block, add_shares, run_blocks, vector_table
-from topicloom.operators.lookup import lookup_join
 from topicloom.session import RunFolder, wide_expressions
 from topicloom.sources.prepared import DOC, TERM, Corpus
 
@@ -53,7 +52,7 @@ def distances(corpus: Corpus, centroids: DataFrame, k: int, p: float = 1.0) -> D
         F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(lengths).alias("vec")
     ).unionAll(centroids.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), pack("vec").alias("vec")))
     shares = run_blocks(corpus, vectors, _distance_kernel(k, p), VECTOR_SCHEMA)
-    return add_shares(shares, k).select(
+    return add_shares(corpus, shares, k).select(
         F.col("id").alias("doc_id"), F.expr(f"zip_with(vec, {alone}, (x, s) -> x + s)").alias("dist")
     )
 
@@ -87,18 +86,41 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("k").agg(F.count("*").alias("size"))
 
 
-def mean_centroids(corpus: Corpus, assigned: DataFrame) -> DataFrame:
-    """``(k, term_id, value)``: the mean frequency over all members, absent terms counting as zero."""
-    members = corpus.docs.join(assigned, "doc_id").select("doc_id", "num_words", "k")
-    sizes = corpus.docs.select("doc_id", F.col("num_unique").alias("n"))
-    sums = (
-        lookup_join(corpus.doc_terms, members, "doc_id", "term_id", sizes)
-        .groupBy("k", "term_id")
-        .agg(F.sum(F.col("cnt") / F.col("num_words")).alias("total"))
-    )
-    return sums.join(F.broadcast(cluster_sizes(assigned)), "k").select(  # at most k rows
-        "k", "term_id", (F.col("total") / F.col("size")).alias("value")
+def mean_centroids(corpus: Corpus, assigned: DataFrame, k: int) -> DataFrame:
+    """``(term_id, vec)``: per cluster the mean frequency over all members, absent terms counting as zero.
+
+    The label of a document is routed to the blocks that hold its pairs; a block adds up frequencies by
+    (cluster, term) itself and sends one vector per term, so no pair moves.
+    """
+    label = F.array(F.col("k").cast("double"), F.col("num_words").cast("double"))
+    labels = corpus.docs.join(assigned, "doc_id").select(
+        F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(label).alias("vec")
     )
+    sums = add_shares(corpus, run_blocks(corpus, labels, _member_kernel(k), VECTOR_SCHEMA), k)
+    sizes = np.ones(k)
+    for row in cluster_sizes(assigned).collect():  # at most k rows
+        sizes[row["k"]] = row["size"]
+    means = f"zip_with(vec, {literal_sql(sizes)}, (x, n) -> x / n)"
+    return sums.select(F.col("id").alias("term_id"), F.expr(means).alias("vec"))
+
+
+def centroid_rows(centroids: DataFrame) -> DataFrame:
+    """``(k, term_id, value)`` of the terms that members of a cluster hold."""
+    return centroids.select("term_id", F.posexplode("vec").alias("k", "value")).where("value <> 0").select("k", "term_id", "value")
+
+
+def _member_kernel(k: int):
+    def kernel(pairs, vectors):
+        block = Block(pairs, vectors, 2)
+        terms, term = np.unique(block.pair_term_id, return_inverse=True)
+        doc_id = np.repeat(block.segment_doc_id, [hi - lo for lo, hi in block.segments])
+        place = np.minimum(block.pair_doc, max(len(block.doc_ids) - 1, 0))
+        known = block.doc_ids[place] == doc_id if len(block.doc_ids) else np.zeros(len(doc_id), bool)
+        label, words = block.doc_vec[place[known], 0].astype(np.int64), block.doc_vec[place[known], 1]
+        sums = np.bincount(term[known] * k + label, block.cnt[known] / words, minlength=len(terms) * k)
+        return vector_table(TERM, terms, sums.reshape(len(terms), k))
+
+    return kernel
 
 
 def relabel(sizes: DataFrame, k: int) -> DataFrame:
@@ -119,9 +141,7 @@ def fit_kmeans(
         centroids = run.write(seed_centroids(corpus, seeds, k), "kmeans_centroids-0")
         for step in range(1, passes + 1):
             assigned = run.write_slot(assign(distances(corpus, centroids, k, p)), "kmeans_assigned", step)
-            centroids = run.write_slot(
-                centroid_vectors(mean_centroids(corpus, assigned), k), "kmeans_centroids", step
-            )
+            centroids = run.write_slot(mean_centroids(corpus, assigned, k), "kmeans_centroids", step)
     return centroids, assigned
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.special import digamma_array, np_digamma, pack
 from topicloom.functions.vectors import literal_sql, per_topic, sum_vectors
-from topicloom.operators.blocks import VECTOR_SCHEMA, Block, add_shares, run_blocks, vector_table, with_vectors
-from topicloom.sources.prepared import BLOCK, DOC, TERM, Corpus
+from topicloom.operators.blocks import VECTOR_SCHEMA, Block, add_shares, list_column, run_blocks, vector_table
+from topicloom.sources.prepared import ASSIGN, BLOCK, DOC, TERM, Corpus
 
 # E[ln Z] from digamma of the shape and the rate.
 LOG_WEIGHT = "zip_with(psi_a, b, (x, y) -> x - ln(y))"
@@ -41,14 +41,20 @@ def expected_log_weights(docs: DataFrame) -> DataFrame:
 
 
 def token_scores(corpus: Corpus, elneta: DataFrame, elnz: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, term_id, cnt, score)``: the unnormalised log responsibility of every pair."""
-    joined = with_vectors(
-        corpus,
-        elnz.select("doc_id", F.col("elnz").alias("doc_vec")),
-        elneta.select("term_id", F.col("elneta").alias("term_vec")),
-    )
-    score = per_topic(k, lambda i: f"doc_vec[{i}] + term_vec[{i}]")
-    return joined.select("doc_id", "term_id", "cnt", score.alias("score"))
+    """``(doc_id, term_id, cnt, score)``: the unnormalised log responsibility of every pair, computed in the blocks."""
+
+    def kernel(pairs, vectors):
+        block = Block(pairs, vectors, k)
+        return pa.table(
+            {
+                "doc_id": pa.array(block.doc_ids[block.pair_doc]),
+                "term_id": pa.array(block.pair_term_id),
+                "cnt": pa.array(block.cnt.astype(np.int64)),
+                "score": list_column(block.doc_vec[block.pair_doc] + block.term_vec[block.term]),
+            }
+        )
+
+    return run_blocks(corpus, log_vectors(elneta, elnz), kernel, "doc_id bigint, term_id bigint, cnt bigint, score array<double>")
 
 
 def responsibilities(scores: DataFrame, k: int) -> DataFrame:
@@ -73,10 +79,10 @@ def expected_counts(corpus: Corpus, vectors: DataFrame, k: int, shift=0.0) -> Da
     ``vectors`` hold E[ln Z] per document and per term E[ln eta], up to the ``shift`` to be subtracted.
 
     One pass gives both. Rows of kind BLOCK carry two sums of their block instead: the entropy of the
-    responsibilities and the expected log-probability of the words. Each block adds up its own share
-    first; one shuffle by id adds the shares.
+    responsibilities and the expected log-probability of the words; rows of kind ASSIGN that of the topic
+    assignments. Each block adds up its own share first; one shuffle by id adds the shares.
     """
-    return add_shares(run_blocks(corpus, vectors, _count_kernel(k, shift), VECTOR_SCHEMA), k)
+    return add_shares(corpus, run_blocks(corpus, vectors, _count_kernel(k, shift), VECTOR_SCHEMA), k)
 
 
 def _count_kernel(k: int, shift):
@@ -109,15 +115,17 @@ def _count_kernel(k: int, shift):
             term_weights[t] += w[:, None] * z[d]  # a term occurs once in a document's part of the block
             entropy += n @ (np.log(norm) + ln_norm)
         term_counts = term_weights * eta + exact_terms
-        words = (term_counts * ln_eta).sum()
-        first = np.zeros((1, k))
-        first[0, :2] = entropy - (doc_counts * ln_z).sum() - words, words
-        block_id = pairs["block"][0].as_py()
+        words, assigned = (term_counts * ln_eta).sum(), (doc_counts * ln_z).sum()
+        first, second = np.zeros((1, k)), np.zeros((1, k))
+        first[0, :2] = entropy - assigned - words, words
+        second[0, 0] = assigned
+        block_id = np.array([pairs["block"][0].as_py()])
         return pa.concat_tables(
             [
                 vector_table(DOC, block.doc_ids, doc_counts),
                 vector_table(TERM, block.term_ids, term_counts),
-                vector_table(BLOCK, np.array([block_id]), first),
+                vector_table(BLOCK, block_id, first),
+                vector_table(ASSIGN, block_id, second),
             ]
         )
 

@@ -181,10 +181,13 @@ def uniform_sticks(k: int) -> np.ndarray:
 def stick_table(sticks: DataFrame) -> DataFrame:
     """``(group_id, k, v, left, p)`` of many stick sets ``(group_id, k, v)`` at once.
 
-    ``left`` is what earlier breaks leave over, a running product; v = 1 is allowed in the last stick.
+    ``left`` is what earlier breaks leave over, a running product. It is taken in logarithms; where a break took
+    all (v = 1, or above it by rounding), nothing is left for later sticks.
     """
     before = Window.partitionBy("group_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.exp(F.coalesce(F.sum(F.ln(1.0 - F.col("v"))).over(before), F.lit(0.0)))
+    product = F.exp(F.coalesce(F.sum(F.ln(1.0 - F.col("v"))).over(before), F.lit(0.0)))
+    gone = F.coalesce(F.max(F.col("v") >= 1.0).over(before), F.lit(False))
+    left = F.when(gone, F.lit(0.0)).otherwise(product)
     return sticks.select("group_id", "k", "v", left.alias("left")).withColumn("p", F.col("v") * F.col("left"))
 
 

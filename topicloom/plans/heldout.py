@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.special import digamma_packed, np_digamma
 from topicloom.functions.vectors import literal
 from topicloom.operators.bound import bound_topics, gaussian_value, with_logs
-from topicloom.operators.heldout import heldout_summary, log_mean_exp, sampled_loglik, split_heldout
+from topicloom.operators.heldout import heldout_summary, predictive_loglik, split_heldout
 from topicloom.operators.responsibilities import expected_counts
 from topicloom.operators.updates import gamma_posterior, normal_moments, normal_update
 from topicloom.plans.fit import (
@@ -134,11 +134,9 @@ def evaluate_heldout(
     )
     fold = fold_in(model, train, **fold_args)
     gam = run.write(model_topics(model, test), "test_topics")
-    values = run.write(
-        sampled_loglik(test, gam, fold.docs, model.globals.totals, num_samples, seed), "samples"
-    )
+    values = predictive_loglik(test, gam, fold.docs, model.globals.totals, num_samples, seed, run)
     words = (test if per == "test" else train).docs.select("doc_id", F.col("num_words").alias("words"))
-    scored = words.join(log_mean_exp(values), "doc_id", "left")
+    scored = words.join(values, "doc_id", "left")
     per_word = F.when(F.col("words") > 0, F.col("loglik") / F.col("words"))
     docs = run.write(
         scored.select("doc_id", "words", F.coalesce("loglik", F.lit(0.0)).alias("loglik"), per_word.alias("per_word")),

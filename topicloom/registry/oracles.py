@@ -296,7 +296,18 @@ UNION ALL SELECT doc_id, -1000000, 'declared_differs', n FROM written WHERE decl
         "fn_digamma": with_(CORPUS, arguments, select=f"SELECT doc_id, term_id, {r(psi('x'))} AS value FROM args"),
         "fn_lgamma": with_(CORPUS, arguments, select=f"SELECT doc_id, term_id, {r('lgamma(x)')} AS value FROM args"),
         "doc_elnz": with_(*STATE, select=f"SELECT doc_id, {each(r('z{k}') + ' AS elnz{k}')} FROM dlog"),
-        "topic_elneta": with_(*STATE, select=f"SELECT term_id, {each(r('l{k}') + ' AS elneta{k}')} FROM tlog"),
+        # needs the vocabulary only: no counts, no documents, totals by scalar subqueries
+        "topic_elneta": with_(
+            r"""terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents)""",
+            "ids AS MATERIALIZED (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id FROM terms)",
+            f"gams AS MATERIALIZED (SELECT term_id, {each('(1 + (term_id * 7 + 3 * {k}) % 5)::DOUBLE AS g{k}')} FROM ids)",
+            f"tots AS MATERIALIZED (SELECT {each(psi('sum(g{k})') + ' AS p{k}')} FROM gams)",
+            # a parameter takes one of five values, so its digamma is taken five times
+            f"logs AS MATERIALIZED (SELECT g, {psi('g')} AS l FROM (SELECT unnest([1, 2, 3, 4, 5])::DOUBLE AS g))",
+            select="SELECT term_id, "
+            + each(r("(SELECT max(l) FROM logs WHERE g = g{k}) - (SELECT p{k} FROM tots)") + " AS elneta{k}")
+            + " FROM gams",
+        ),
         "token_scores": with_(
             *STATE, SCORES, select=f"SELECT doc_id, term_id, cnt, {each(r('s{k}') + ' AS score{k}')} FROM scores"
         ),
@@ -420,6 +431,18 @@ parts AS (SELECT doc_id, term_id, CASE WHEN rank <= floor(num_words * 0.5) THEN
             select=f"SELECT l.j AS i, r.j AS j, {r('sum(l.value * r.value)')} AS value"
             " FROM a AS l JOIN a AS r USING (i) GROUP BY l.j, r.j",
         ),
+        "matrix_multiply_terms": with_(
+            CORPUS,
+            "langs AS (SELECT doc_id, ascii(lang)::BIGINT AS j FROM documents)",
+            "b AS (SELECT term_id, j, sum(cnt)::DOUBLE AS value FROM tok JOIN langs USING (doc_id) GROUP BY term_id, j)",
+            select=f"SELECT tok.doc_id AS i, b.j, {r('sum(tok.cnt * b.value)', 3)} AS value"
+            " FROM tok JOIN b USING (term_id) GROUP BY tok.doc_id, b.j",
+        ),
+        "matrix_gram_terms": with_(
+            CORPUS,
+            select=f"SELECT x.doc_id AS i, y.doc_id AS j, {r('sum(x.cnt * y.cnt)::DOUBLE', 3)} AS value"
+            " FROM tok AS x JOIN tok AS y USING (term_id) GROUP BY x.doc_id, y.doc_id",
+        ),
         "matrix_sums": with_(
             CELLS,
             select=f"SELECT 1::INTEGER AS dim, j AS i, {r('sum(value)')} AS value FROM a GROUP BY j"

@@ -231,7 +231,8 @@ def kmeans_assign(spark, folder):
 @query
 def kmeans_centroids(spark, folder):
     corpus, dist = _first_pass(spark, folder)
-    centroids = kmeans.mean_centroids(corpus, kmeans.assign(dist))
+    assigned = RunFolder(spark, "query").write(kmeans.assign(dist), "assigned")
+    centroids = kmeans.centroid_rows(kmeans.mean_centroids(corpus, assigned, K))
     return centroids.select("k", "term_id", rounded("value", 9).alias("value"))
 
 
@@ -318,7 +319,7 @@ def _bound_parts(corpus) -> dict[str, DataFrame]:
     docs, topics = inputs.document_state(corpus), inputs.topic_state(corpus)
     totals, gamma = inputs.topic_state_totals(corpus), 0.5 * corpus.vocab_size
     return {
-        "tokens": bound.bound_tokens(_scores(corpus), K),
+        "tokens": bound.bound_tokens(_counts(corpus)),
         "topics": bound.bound_topics(topics, totals, corpus.seen_terms, corpus.vocab_size, gamma),
         "docs": bound.bound_docs(docs),
         "global": bound.bound_global(updates.global_sums(docs, K), WEIGHTS, STICKS, ALPHA, BETA),
@@ -412,10 +413,7 @@ def fold_in_(spark, folder):
 @query
 def heldout_loglik(spark, folder):
     corpus = text_corpus(spark, folder).corpus
-    scored = evaluate_heldout(
-        _state_model(corpus), corpus.doc_terms, num_samples=20, doc_ids=corpus.docs, max_iter=2
-    )
-    return scored.docs
+    return evaluate_heldout(_state_model(corpus), corpus.doc_terms, doc_ids=corpus.docs).docs
 
 
 def _plugin(corpus):
@@ -471,6 +469,26 @@ def matrix_gram(spark, folder):
     return matrix.gram(inputs.embedding_matrix(spark, folder)).select("i", "j", rounded("value").alias("value"))
 
 
+@query
+def matrix_multiply_terms(spark, folder):
+    """Documents x terms times terms x languages: a sparse product with common and rare inner indices."""
+    corpus = text_corpus(spark, folder).corpus
+    lang = table(spark, folder, "documents").select("doc_id", F.ascii(F.col("lang")).cast("bigint").alias("j"))
+    terms = corpus.doc_terms.select(F.col("doc_id").alias("i"), F.col("term_id").alias("j"), F.col("cnt").cast("double").alias("value"))
+    by_lang = corpus.doc_terms.join(lang, "doc_id").groupBy(F.col("term_id").alias("i"), "j").agg(F.sum("cnt").cast("double").alias("value"))
+    run = RunFolder(spark, "query")
+    product = matrix.matrix_multiply(run.write(terms, "terms"), run.write(by_lang, "languages"))
+    return product.select("i", "j", rounded("value", 3).alias("value"))
+
+
+@query
+def matrix_gram_terms(spark, folder):
+    """What documents share: products of their term counts, for all pairs with a term in common."""
+    corpus = text_corpus(spark, folder).corpus
+    terms = corpus.doc_terms.select(F.col("term_id").alias("i"), F.col("doc_id").alias("j"), F.col("cnt").cast("double").alias("value"))
+    return matrix.gram(RunFolder(spark, "query").write(terms, "terms")).select("i", "j", rounded("value", 3).alias("value"))
+
+
 @query
 def matrix_sums(spark, folder):
     a = inputs.embedding_matrix(spark, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.sources.corpus import read_lines
@@ -42,10 +42,12 @@ def matrix_lines(matrix: DataFrame, shape: tuple[int, int] | None = None) -> Dat
     """``(i, line)`` of a matrix: every row's values in column order, a comma after each.
 
     Absent cells are zero, absent rows are rows of zeros; without ``shape`` the matrix ends at its last
-    row and column. A line is one row of the matrix, K or another model-sized number of values; documents
+    row and column. Cells outside of it are an error when the lines are computed. A line is one row of the matrix, K or another model-sized number of values; documents
     are rows.
     """
     rows, columns = shape or matrix_shape(matrix).first()
+    inside = (F.col("i") >= 0) & (F.col("i") < rows) & (F.col("j") >= 0) & (F.col("j") < columns)
+    matrix = matrix.select("i", "j", _only(inside, "a cell lies outside of the matrix").alias("value"))
     cells = matrix.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("cells"))
     places = F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))
     values = F.transform(places, lambda j: F.format_string(VALUE_FORMAT, F.coalesce(F.try_element_at("cells", j), F.lit(0.0))))
@@ -54,15 +56,23 @@ def matrix_lines(matrix: DataFrame, shape: tuple[int, int] | None = None) -> Dat
     return every.join(cells, "i", "left").select("i", line.alias("line"))
 
 
+def _only(inside: Column, message: str) -> Column:
+    """The value of a cell that is inside; an error for any other."""
+    return F.when(inside, F.col("value")).otherwise(F.raise_error(F.lit(message)).cast("double"))
+
+
 def write_matrix(matrix: DataFrame, path: str, shape: tuple[int, int] | None = None) -> None:
     matrix_lines(matrix, shape).orderBy("i").select("line").write.mode("overwrite").text(path)
 
 
 def write_vector(vector: DataFrame, path: str, size: int | None = None) -> None:
-    """One value per line; absent places are zero."""
+    """One value per line; absent places are zero, places outside are an error."""
     if size is None:
         size = vector.agg(F.coalesce(F.max("i"), F.lit(-1)) + 1).first()[0]
-    every = vector.sparkSession.range(size).withColumnRenamed("id", "i").join(vector.select("i", "value"), "i", "left")
+    inside = (F.col("i") >= 0) & (F.col("i") < size)
+    # a full join, so that no place is left out before it is checked
+    values = vector.select("i", "value").join(vector.sparkSession.range(size).withColumnRenamed("id", "i"), "i", "full")
+    every = values.select("i", _only(inside, "a place lies outside of the vector").alias("value"))
     text = F.format_string(VALUE_FORMAT, F.coalesce("value", F.lit(0.0))).alias("line")
     every.orderBy("i").select(text).write.mode("overwrite").text(path)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +13,16 @@ from topicloom.operators.lookup import lookup_join
 from topicloom.session import RunFolder, shuffle_partitions
 from topicloom.sources.corpus import doc_stats
 
-DOC, TERM, BLOCK = 0, 1, 2
+DOC, TERM, BLOCK, ASSIGN = 0, 1, 2, 3
 BLOCK_PAIRS = 500_000
 MIN_BLOCK_PAIRS = 20_000
 BLOCKS_PER_TASK = 4
+NEEDED_PER_PARTITION = 2_000_000
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """``tokens`` is partitioned by block and cached; ``needed`` lists the ids each block must look up."""
+    """``tokens`` has one block per partition and is cached; ``needed`` lists the ids each block must look up."""
 
     spark: SparkSession
     run: RunFolder
@@ -27,6 +30,8 @@ class Corpus:
     needed: DataFrame  # block, kind, id
     docs: DataFrame  # doc_id, num_words, num_unique; documents without terms included
     partitions: int
+    needed_rows: int
+    piece: int  # documents of more distinct terms are spread over blocks
     num_docs: int
     num_words: int
     num_pairs: int
@@ -50,9 +55,11 @@ def prepare_corpus(
 ) -> Corpus:
     """Cut a corpus into blocks and write it once.
 
-    A block is the unit a pass hands to one task: all pairs of many documents, about ``block_pairs`` of
-    them. A document that is itself larger is cut by the hash of the term, so no document and no term
+    A block is what a pass hands to one task: all pairs of many documents, about ``block_pairs`` of
+    them while the session has a task for each, and up to BLOCKS_PER_TASK times as many beyond. A document that is itself larger is cut by the hash of the term, so no document and no term
     can overfill a task: a pair occurs once, and a term at most once per document of a block.
+    Every block is one partition, so a task ships the vector of an id, and the sums of an id, once. The ids
+    of a block are listed where its pairs are; listing them moves none.
     Repeated pairs are added up first; nulls, negative term ids and negative counts are errors.
     """
     spark = doc_terms.sparkSession
@@ -67,10 +74,8 @@ def prepare_corpus(
         F.coalesce(F.sum("num_unique"), F.lit(0)).alias("pairs"),
     ).first()
     cores = spark.sparkContext.defaultParallelism
-    n_blocks = max(-(-sizes.pairs // block_pairs), min(cores, -(-sizes.pairs // MIN_BLOCK_PAIRS)), 1)
-    # a task holds a bounded number of blocks, however few partitions the session asks for
-    partitions = min(n_blocks, max(shuffle_partitions(spark), cores, -(-n_blocks // BLOCKS_PER_TASK)))
-
+    least = max(-(-sizes.pairs // block_pairs), min(cores, -(-sizes.pairs // MIN_BLOCK_PAIRS)), 1)
+    n_blocks = min(least, max(shuffle_partitions(spark), cores, -(-least // BLOCKS_PER_TASK)))
     piece = max(block_pairs // 4, 1)
     pieces = lookup_join(
         pairs,
@@ -89,15 +94,16 @@ def prepare_corpus(
     )
     # written as it comes, then placed once: a layout before the write would have to be shuffled again to be known
     numbered = run.write(blocked, "tokens")
-    tokens = numbered.repartitionById(partitions, "block").sortWithinPartitions("block", "doc_id").persist()
-    ids = tokens.select("block", F.lit(DOC).alias("kind"), F.col("doc_id").alias("id")).unionAll(
-        tokens.select("block", F.lit(TERM).alias("kind"), F.col("term_id").alias("id"))
-    )
-    needed = run.write(ids.distinct(), "needed").repartition("kind", "id").persist()
-    terms = needed.where(F.col("kind") == TERM).agg(
-        F.count_distinct("id").alias("seen"), (F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("size")
+    tokens = numbered.repartitionById(n_blocks, "block").sortWithinPartitions("block", "doc_id").persist()
+    listed = run.write(tokens.select("block", "doc_id", "term_id").mapInArrow(_ids_of_blocks, "block int, kind int, id bigint"), "needed")
+    is_term = F.col("kind") == TERM
+    terms = listed.agg(
+        F.count_distinct(F.when(is_term, F.col("id"))).alias("seen"),
+        (F.coalesce(F.max(F.when(is_term, F.col("id"))), F.lit(-1)) + 1).alias("size"),
+        F.count("*").alias("rows"),
     )
     seen = terms.first()
+    needed = listed.repartition(max(shuffle_partitions(spark), -(-seen["rows"] // NEEDED_PER_PARTITION)), "kind", "id").persist()
     if vocab_size is not None and vocab_size < seen["size"]:
         raise ValueError(f"vocab_size {vocab_size} is smaller than the largest term id + 1 ({seen['size']})")
     return Corpus(
@@ -106,10 +112,32 @@ def prepare_corpus(
         tokens=tokens,
         needed=needed,
         docs=stats,
-        partitions=partitions,
+        partitions=n_blocks,
+        needed_rows=seen["rows"],
+        piece=piece,
         num_docs=sizes.docs,
         num_words=sizes.words,
         num_pairs=sizes.pairs,
         seen_terms=seen["seen"],
         vocab_size=vocab_size if vocab_size is not None else seen["size"],
     )
+
+
+def _ids_of_blocks(batches):
+    """The distinct document and term ids of the blocks of one partition."""
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        for kind, name in ((DOC, "doc_id"), (TERM, "term_id")):
+            ids = batch.column(name).to_numpy()
+            for b in np.unique(block).tolist():
+                before = found.get((b, kind), np.zeros(0, np.int64))
+                found[b, kind] = np.union1d(before, ids[block == b])
+    for (b, kind), ids in found.items():
+        yield pa.record_batch(
+            {
+                "block": pa.array(np.full(len(ids), b, np.int32)),
+                "kind": pa.array(np.full(len(ids), kind, np.int32)),
+                "id": pa.array(ids),
+            }
+        )
