@@ -196,8 +196,9 @@ def test_few_jobs_per_iteration(spark, tiny):
     fit_topics(tiny, 3, correlated=True, max_iter=2)
     extra = len(tracker.getJobIdsForGroup("two")) - len(tracker.getJobIdsForGroup("one"))
     spark.sparkContext.setJobGroup("rest", "rest")
-    # five actions an iteration; adaptive execution turns each into a few jobs, one per shuffle
-    assert extra <= 20
+    # three actions an iteration; adaptive execution turns each into a few jobs, one per shuffle
+    print("jobs", extra)
+    assert extra <= 14
 
 
 # --- arithmetic on K numbers --------------------------------------------------------------------------
@@ -321,3 +322,63 @@ def test_pair_results_leave_the_pairs_in_place(spark, sampled):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         below = plan[plan.index("FlatMapCoGroupsInArrow") :].splitlines()
         assert "InMemoryTableScan" in below[1], below[1]
+
+
+@pytest.mark.parametrize("correlated", [False, True])
+def test_an_interrupted_run_goes_on_as_a_straight_one(spark, tiny, tmp_path, correlated):
+    straight = fit_topics(tiny, 3, correlated=correlated, max_iter=4, learn_beta=True)
+    folder = str(tmp_path / "run")
+    fit_topics(tiny, 3, correlated=correlated, max_iter=2, learn_beta=True, folder=folder)
+    # the third iteration was cut off: its slot is there, but not complete
+    (tmp_path / "run" / "docs-1" / "_SUCCESS").unlink()
+    again = fit_topics(tiny, 3, correlated=correlated, max_iter=4, learn_beta=True, folder=folder)
+    assert [t[0] for t in again.trace_rows] == [1, 2, 3, 4]
+    assert np.allclose([t[1] for t in again.trace_rows], [t[1] for t in straight.trace_rows], rtol=1e-12)
+    for name in ("v", "p", "u", "cov", "alpha", "beta", "totals"):
+        assert np.allclose(getattr(again.globals, name), getattr(straight.globals, name), rtol=1e-9)
+    a, b = (matrix(m.doc_topics, "doc_id", "a", 6) for m in (again, straight))
+    assert np.allclose(a, b, rtol=1e-9)
+    with pytest.raises(ValueError, match="another"):
+        fit_topics(tiny, 4, correlated=correlated, max_iter=4, folder=folder)
+
+
+def test_stop_rule_is_shared_and_looks_at_the_last_change():
+    from topicloom.plans.loop import iterate_until, settled
+
+    bounds = iter([-100.0, -50.0, -49.99, -49.98, -49.97])
+    trace = iterate_until(lambda i: next(bounds), [], 10, 1e-2, 1)
+    assert [t[0] for t in trace] == [1, 2, 3] and trace[0][2] is None
+    assert not settled(trace, 1e-2, 5) and settled(trace, 1e-2, 3) and not settled(trace, None, 1)
+
+
+def test_document_pass_is_the_plain_steps_with_their_sums(spark):
+    """One fused pass against the operators that do each step by itself."""
+    from topicloom.operators import document_pass as dp
+
+    rng = np.random.default_rng(3)
+    k, m = 3, 40
+    rows = [
+        (d, int(rng.integers(0, 50)) if d else 0, *[[float(x) for x in rng.uniform(0.5, 3, k)] for _ in range(5)]) for d in range(m)
+    ]
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, num_words bigint, n array<double>, a array<double>, b array<double>, mu array<double>, sig array<double>"
+    ).repartition(3)
+    bp, u, inv = np.array([1.0, 0.5, 2.0]), np.array([0.2, -0.1, 0.4]), np.eye(3) * 1.5 + 0.2
+    slot = dp.move_documents(docs, bp, u, inv, 2, "n").persist()
+    plain = updates.normal_update(updates.gamma_posterior(docs, bp), bp, u, inv, 2)
+    for name in ("a", "b", "mu", "sig"):
+        assert np.allclose(matrix(dp.moved_documents(slot), "doc_id", name, m), matrix(plain, "doc_id", name, m), rtol=1e-12)
+    counts = spark.createDataFrame(
+        [(1, 0, [1.0, 2.0, 0.0], 0.5), (2, 0, [3.0, 4.0, 0.0], 9.0), (2, 1, [5.0, 6.0, 0.0], 9.0), (3, 0, [7.0, 0.0, 0.0], 9.0), (0, 0, [8.0, 8.0, 8.0], 9.0)],
+        "kind int, id bigint, vec array<double>, lng double",
+    )
+    sums = dp.collect_sums(slot, counts, k)
+    assert (sums["lng"], sums["token_entropy"], sums["token_words"]) == (0.5, 8.0, 10.0)
+    terms = bound.doc_terms_of_bound(bound.with_logs(plain)).agg(
+        *[F.sum(c).alias(c) for c in ("settled", "normaliser", "rate")], *[F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(c) for c in ("n", "mu", "elnz")]
+    ).first()
+    for name in ("settled", "normaliser", "rate", "n", "mu", "elnz"):
+        assert np.allclose(sums[name], terms[name], rtol=1e-10)
+    for r in updates.normal_moments(plain, u).collect():
+        assert sums["moments"][r["i"], r["j"]] == pytest.approx(r["value"], rel=1e-9)
+    assert slot.where("part = 1 AND note = 'n'").count() == 1

@@ -185,3 +185,14 @@ def test_logarithms_of_gamma_draws():
 
         assert draws.mean() == pytest.approx(float(psi(np.array(shape))), rel=0.05, abs=0.02)
     assert np.isfinite(heldout.log_gamma_draws(heldout._stream(1, 2, 3, 0), np.full(4, 1e-9), 1000)).all()
+
+
+def test_an_interrupted_fold_in_goes_on(spark, sampled, tmp_path):
+    data, m, d = sampled
+    corpus = prepare_corpus(doc_terms(spark, data), doc_ids(spark, m), vocab_size=d)
+    model = fit_topics(corpus, 3, max_iter=1)
+    straight = fold_in(model, corpus, max_iter=3, tol=None)
+    fold_in(model, corpus, max_iter=2, tol=None, folder=str(tmp_path / "f"))
+    again = fold_in(model, corpus, max_iter=3, tol=None, folder=str(tmp_path / "f"))
+    assert np.allclose([t[1] for t in again.trace], [t[1] for t in straight.trace], rtol=1e-10)
+    assert np.allclose(matrix(again.docs, "doc_id", "a", m), matrix(straight.docs, "doc_id", "a", m), rtol=1e-8)

@@ -112,11 +112,10 @@ def bound_global(sums: DataFrame, p, v, alpha: float, beta: float) -> DataFrame:
     return sums.select(F.expr(weight_prior).alias("weight_prior"), F.lit(stick_prior(v, alpha)).alias("stick_prior"))
 
 
-def gaussian_value(moments: dict[tuple[int, int], float], center, u, cov, num_docs: int) -> float:
-    """The Gaussian term from the sums of ``normal_moments`` around ``center``."""
+def gaussian_value(m: np.ndarray, center, u, cov, num_docs: int) -> float:
+    """The Gaussian term from the K x (K + 3) sums of ``normal_moments`` around ``center``."""
     u, center = np.asarray(u, dtype=float), np.asarray(center, dtype=float)
     k = len(u)
-    m = np.array([[moments[i, j] for j in range(k + 3)] for i in range(k)])
     inv = np.linalg.inv(cov)
     delta, off = u - center, m[:, k]
     scatter = m[:, :k] - np.outer(off, delta) - np.outer(delta, off) + num_docs * np.outer(delta, delta)

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.special import digamma_packed, lgamma_array_sum, np_digamma, np_lgamma, pack
+from topicloom.functions.special import digamma_packed, lgamma_array_sum, np_digamma, np_lgamma
 from topicloom.functions.vectors import literal, literal_sql, number, ratio_sql, sum_vectors, total_sql
-from topicloom.operators.bound import doc_terms_of_bound, gaussian_value, stick_prior, with_logs
+from topicloom.operators.bound import gaussian_value, stick_prior
+from topicloom.operators.document_pass import SCHEMA as DOCUMENT_SCHEMA
+from topicloom.operators.document_pass import collect_sums, move_documents, moved_documents
 from topicloom.operators.kmeans import cluster_sizes, fit_kmeans, initial_topics, relabel
-from topicloom.operators.responsibilities import LOG_WEIGHT, expected_counts, topic_totals
+from topicloom.operators.responsibilities import expected_counts, topic_totals
 from topicloom.operators.updates import (
-    gamma_posterior,
-    normal_moments,
-    normal_update,
     stick_weights,
     uniform_sticks,
     update_alpha,
@@ -25,12 +23,14 @@ from topicloom.operators.updates import (
     update_sticks,
     SMALLEST_WEIGHT,
 )
+from topicloom.plans.loop import add_to_trace, iterate_until, newest_slot, note_of
 from topicloom.session import RunFolder, wide_expressions
-from topicloom.sources.prepared import BLOCK, DOC, TERM, Corpus, prepare_corpus
+from topicloom.sources.prepared import DOC, TERM, Corpus, prepare_corpus
 
 # Starting shape and rate of every document's weights.
 START_SHAPE = 10.0
 START_RATE = 10.0
+COUNT_SCHEMA = "kind int, id bigint, vec array<double>, lng double, psi binary"
 
 
 @dataclass
@@ -49,6 +49,14 @@ class Globals:
     def beta_p(self) -> np.ndarray:
         return self.beta * self.p
 
+    def as_note(self) -> dict:
+        return {name: np.asarray(value).tolist() for name, value in vars(self).items()}
+
+    @classmethod
+    def of_note(cls, note: dict) -> Globals:
+        scalars = ("alpha", "beta")
+        return cls(**{name: value if name in scalars else np.array(value) for name, value in note.items()})
+
 
 @dataclass(frozen=True)
 class Model:
@@ -159,36 +167,59 @@ def fit_topics(
     kmeans_iter: int = 1,
     seed: int = 0,
     sort_topics: bool = True,
+    folder: str | None = None,
 ) -> Model:
     """Fit k topics by coordinate ascent on one evidence bound.
 
     ``correlated=False`` gives the hierarchical Dirichlet process. The loop stops after ``max_iter``
     iterations, or once the fractional change of the bound is below ``tol`` and ``min_iter`` are done.
+
+    With ``folder`` the run keeps its tables there. If an earlier run of the same corpus and model was cut off (or
+    stopped sooner), the loop goes on after its last complete iteration.
     """
     _check_arguments(k, max_iter, tol, gamma, kmeans_iter)
     if isinstance(corpus, DataFrame):
         corpus = prepare_corpus(corpus)
-    spark, run = corpus.spark, RunFolder(corpus.spark, "fit")
+    spark, run = corpus.spark, RunFolder(corpus.spark, "fit", folder)
     gamma = gamma if gamma is not None else 0.5 * corpus.vocab_size
+    about = [k, correlated, float(gamma), corpus.num_docs, corpus.num_words, corpus.vocab_size]
+    flat, trace = gamma / corpus.vocab_size, []
+
+    def settle(at, state, step) -> float:
+        """The arithmetic after the tables of an iteration are written; needs one action."""
+        slot, counts = at
+        sums = collect_sums(slot, counts, k)
+        center, bp_made = state.u, state.beta_p
+        update_globals(state, sums, sums["moments"] if correlated else None, corpus.num_docs, gamma, learn_alpha, learn_beta)
+        return coherent_bound(corpus, state, sums, sums["moments"] if correlated else None, center, bp_made, gamma)
+
     with wide_expressions(spark):
-        terms = start_topics(corpus, k, gamma, kmeans_iter, seed, sort_topics, run)
-        terms = terms.withColumn("psi", digamma_packed("gam"))
-        docs = run.write_slot(with_logs(start_documents(corpus.docs, k, correlated)), "docs", 0)
-        v = uniform_sticks(k)
-        totals = topic_totals(terms, k, corpus.seen_terms, corpus.vocab_size, gamma / corpus.vocab_size)
-        state = Globals(v, stick_weights(v), np.zeros(k), np.eye(k), alpha, beta, totals)
-        trace: list[tuple] = []
-        for step in range(1, max_iter + 1):
-            began = time.monotonic()
-            terms, docs, bound = iterate(
-                corpus, terms, docs, state, gamma, correlated, learn_alpha, learn_beta, run, step
-            )
-            change = abs((bound - trace[-1][1]) / trace[-1][1]) if trace else None
-            trace.append((step, bound, change, time.monotonic() - began))
-            if tol is not None and change is not None and change < tol and step >= min_iter:
-                break
-    terms, docs = terms.select("term_id", "gam"), docs.drop("psi_a", "lng_a")
-    return Model(spark, terms, docs, state, gamma, corpus.vocab_size, correlated, trace)
+        found = newest_slot(run, ("docs", "counts")) if folder else None
+        if found:
+            at, note = found
+            if note["about"] != about:
+                raise ValueError("the folder holds a run of another corpus or model")
+            state, trace = Globals.of_note(note["state"]), [tuple(row) for row in note["trace"]]
+            written = run.read_slot("docs", at, DOCUMENT_SCHEMA), run.read_slot("counts", at, COUNT_SCHEMA)
+            add_to_trace(trace, settle(written, state, at), None)
+            docs, terms = moved_documents(written[0]), topics_of(written[1], flat)
+        else:
+            terms = start_topics(corpus, k, gamma, kmeans_iter, seed, sort_topics, run)
+            terms = terms.withColumn("psi", digamma_packed("gam"))
+            docs = start_documents(corpus.docs, k, correlated)
+            v = uniform_sticks(k)
+            totals = topic_totals(terms, k, corpus.seen_terms, corpus.vocab_size, flat)
+            state = Globals(v, stick_weights(v), np.zeros(k), np.eye(k), alpha, beta, totals)
+
+        def step(number: int) -> float:
+            nonlocal docs, terms
+            note = note_of(number, trace, state=state.as_note(), about=about)
+            written = write_iteration(corpus, terms, docs, state, gamma, correlated, run, number, note)
+            docs, terms = moved_documents(written[0]), topics_of(written[1], flat)
+            return settle(written, state, number)
+
+        iterate_until(step, trace, max_iter, tol, min_iter)
+    return Model(spark, terms.select("term_id", "gam"), docs.drop("lnz"), state, gamma, corpus.vocab_size, correlated, trace)
 
 
 def _check_arguments(k, max_iter, tol, gamma, kmeans_iter) -> None:
@@ -214,6 +245,7 @@ def start_topics(corpus, k, gamma, kmeans_iter, seed, sort_topics, run) -> DataF
 
 
 def start_documents(stats: DataFrame, k: int, correlated: bool) -> DataFrame:
+    log_weight = float(np_digamma(START_SHAPE) - np.log(START_RATE))
     fill = lambda x: literal(np.full(k, x))
     return stats.select(
         "doc_id",
@@ -223,6 +255,7 @@ def start_documents(stats: DataFrame, k: int, correlated: bool) -> DataFrame:
         fill(START_RATE).alias("b"),
         fill(0.0).alias("mu"),
         fill(1.0 if correlated else 0.0).alias("sig"),
+        F.lit(bytearray(np.full(k, log_weight).tobytes())).alias("lnz"),
     )
 
 
@@ -233,14 +266,6 @@ def with_counts(docs: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     return joined.withColumn("n", F.coalesce("n", literal(np.zeros(k)))).select(*docs.columns)
 
 
-def document_sums(docs: DataFrame, k: int) -> DataFrame:
-    """One row with everything the global updates and the bound need from the documents."""
-    return doc_terms_of_bound(docs).agg(
-        *[F.sum(c).alias(c) for c in ("settled", "normaliser", "rate")],
-        *[sum_vectors(c, k).alias(c) for c in ("n", "mu", "elnz")],
-    )
-
-
 def settled_documents_value(sums, num_docs: int, bp_made, bp_now) -> float:
     """The documents' part of the bound right after their update under ``bp_made``, priced at ``bp_now``.
 
@@ -252,37 +277,26 @@ def settled_documents_value(sums, num_docs: int, bp_made, bp_now) -> float:
     return sums["settled"] + sums["normaliser"] + sums["rate"] + float(prior)
 
 
-def iterate(corpus, terms, docs, state: Globals, gamma, correlated, learn_alpha, learn_beta, run, step):
-    """One iteration: token pass, document pass, sums, global updates. Returns the new tables and bound."""
+def write_iteration(corpus, terms, docs, state: Globals, gamma, correlated, run, step, note):
+    """The two tables of an iteration, each written by one action: counts and topics, then documents and sums."""
     k, flat = len(state.p), gamma / corpus.vocab_size
     counted = expected_counts(corpus, packed_logs(terms, docs), k, np_digamma(state.totals))
     counts = run.write_slot(with_topic_logs(counted, flat), "counts", step, partition_by="kind")
-    terms = counts.where(F.col("kind") == TERM).select(
-        F.col("id").alias("term_id"), F.expr(f"transform(vec, x -> x + {number(flat)})").alias("gam"), "psi"
-    )
-    moved = gamma_posterior(with_counts(docs, counts, k), state.beta_p)
-    if correlated:
-        moved = normal_update(moved, state.beta_p, state.u, np.linalg.inv(state.cov))
-    docs = run.write_slot(with_logs(moved), "docs", step)
-
-    sums = document_sums(docs, k).first()
-    topic_sums = counts.where(F.col("kind") != DOC).agg(
-        F.sum(F.when(F.col("kind") == TERM, F.col("lng"))).alias("lng"),
-        F.sum(F.when(F.col("kind") == BLOCK, F.col("vec")[0])).alias("token_entropy"),
-    ).first()
-    moments = None
-    if correlated:
-        moments = {(r["i"], r["j"]): r["value"] for r in normal_moments(docs, state.u).collect()}  # K x (K+3) rows
-    center, bp_made = state.u, state.beta_p
-    update_globals(state, sums, moments, corpus.num_docs, gamma, learn_alpha, learn_beta)
-    bound = coherent_bound(corpus, state, sums, topic_sums, moments, center, bp_made, gamma)
-    return terms, docs, bound
+    precision = np.linalg.inv(state.cov) if correlated else None
+    moved = move_documents(with_counts(docs, counts, k), state.beta_p, state.u, precision, 1, note)
+    return run.write_slot(moved, "docs", step, partition_by="part"), counts
+
+
+def topics_of(counts: DataFrame, flat: float) -> DataFrame:
+    """``(term_id, gam, psi)`` of written counts."""
+    gam = F.expr(f"transform(vec, x -> x + {number(flat)})")
+    return counts.where(F.col("kind") == TERM).select(F.col("id").alias("term_id"), gam.alias("gam"), "psi")
 
 
 def packed_logs(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """The vectors of a token pass from ``terms(term_id, psi)`` and documents with digamma at hand."""
-    elnz = docs.select(F.lit(DOC).alias("kind"), F.col("doc_id").alias("id"), pack(F.expr(LOG_WEIGHT)).alias("vec"))
-    return elnz.unionAll(terms.select(F.lit(TERM).alias("kind"), F.col("term_id").alias("id"), F.col("psi").alias("vec")))
+    """The vectors of a token pass from ``terms(term_id, psi)`` and documents, both with packed logs at hand."""
+    side = lambda df, kind, key, vec: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(vec).alias("vec"))
+    return side(docs, DOC, "doc_id", "lnz").unionAll(side(terms, TERM, "term_id", "psi"))
 
 
 def with_topic_logs(counted: DataFrame, flat: float) -> DataFrame:
@@ -297,8 +311,8 @@ def with_topic_logs(counted: DataFrame, flat: float) -> DataFrame:
 
 def update_globals(state: Globals, sums, moments, num_docs, gamma, learn_alpha, learn_beta) -> None:
     k = len(state.p)
-    pull = np.array(sums["mu"]) + np.array(sums["elnz"])
-    state.totals = gamma + np.array(sums["n"])
+    pull = sums["mu"] + sums["elnz"]
+    state.totals = gamma + sums["n"]
     state.v = update_sticks(state.v, state.alpha, state.beta, pull, num_docs)
     state.p = np.maximum(stick_weights(state.v), SMALLEST_WEIGHT)
     if learn_alpha:
@@ -306,13 +320,12 @@ def update_globals(state: Globals, sums, moments, num_docs, gamma, learn_alpha,
     if learn_beta:
         state.beta = update_beta(state.beta, state.p, pull, num_docs)
     if moments is not None:
-        m = np.array([[moments[i, j] for j in range(k + 2)] for i in range(k)])
-        delta = m[:, k] / num_docs
+        delta = moments[:, k] / num_docs
         state.u = state.u + delta
-        state.cov = m[:, :k] / num_docs - np.outer(delta, delta) + np.diag(m[:, k + 1] / num_docs)
+        state.cov = moments[:, :k] / num_docs - np.outer(delta, delta) + np.diag(moments[:, k + 1] / num_docs)
 
 
-def coherent_bound(corpus, state: Globals, sums, topic_sums, moments, center, bp_made, gamma) -> float:
+def coherent_bound(corpus, state: Globals, sums, moments, center, bp_made, gamma) -> float:
     """The bound at the end of an iteration, from sums that are already there.
 
     The topics were just set to prior + counts, so their expected log-probabilities cancel between the
@@ -323,7 +336,7 @@ def coherent_bound(corpus, state: Globals, sums, topic_sums, moments, center, bp
     topics = (
         k * float(np_lgamma(gamma) - corpus.vocab_size * np_lgamma(flat))
         - float(np_lgamma(state.totals).sum())
-        + (topic_sums["lng"] or 0.0)
+        + sums["lng"]
         + unseen * k * float(np_lgamma(flat))
     )
     docs = settled_documents_value(sums, corpus.num_docs, bp_made, state.beta_p)
@@ -331,4 +344,4 @@ def coherent_bound(corpus, state: Globals, sums, topic_sums, moments, center, bp
     gaussian = 0.0
     if moments is not None:
         gaussian = gaussian_value(moments, center, state.u, state.cov, corpus.num_docs)
-    return topics + (topic_sums["token_entropy"] or 0.0) + docs + sticks + gaussian
+    return topics + sums["token_entropy"] + docs + sticks + gaussian

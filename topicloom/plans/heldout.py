@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,21 +10,17 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.special import digamma_packed, np_digamma
 from topicloom.functions.vectors import literal
-from topicloom.operators.bound import bound_topics, gaussian_value, with_logs
+from topicloom.operators.bound import bound_topics, gaussian_value
+from topicloom.operators.document_pass import SCHEMA as DOCUMENT_SCHEMA
+from topicloom.operators.document_pass import collect_sums, move_documents, moved_documents
+from topicloom.operators.blocks import VECTOR_SCHEMA
 from topicloom.operators.heldout import heldout_summary, predictive_loglik, split_heldout
 from topicloom.operators.responsibilities import expected_counts
-from topicloom.operators.updates import gamma_posterior, normal_moments, normal_update
-from topicloom.plans.fit import (
-    Model,
-    document_sums,
-    packed_logs,
-    settled_documents_value,
-    start_documents,
-    with_counts,
-)
+from topicloom.plans.fit import Model, packed_logs, settled_documents_value, start_documents, with_counts
+from topicloom.plans.loop import add_to_trace, iterate_until, newest_slot, note_of
 from topicloom.session import RunFolder, wide_expressions
 from topicloom.sources.corpus import doc_stats
-from topicloom.sources.prepared import BLOCK, TERM, Corpus, prepare_corpus
+from topicloom.sources.prepared import TERM, Corpus, prepare_corpus
 
 FOLD_IN_STEPS = 5
 
@@ -59,30 +54,44 @@ def fold_in(
     tol: float | None = 1e-3,
     min_iter: int = 26,
     normal_steps: int = FOLD_IN_STEPS,
+    folder: str | None = None,
 ) -> FoldIn:
-    """Posteriors of new documents with topics, sticks, scale, mean and covariance held fixed."""
-    k, g, run = model.k, model.globals, RunFolder(corpus.spark, "fold_in")
+    """Posteriors of new documents with topics, sticks, scale, mean and covariance held fixed.
+
+    With ``folder`` the run keeps its tables there and goes on where an earlier one was cut off.
+    """
+    k, g, run = model.k, model.globals, RunFolder(corpus.spark, "fold_in", folder)
+    precision = np.linalg.inv(g.cov) if model.correlated else None
+    about = [k, model.correlated, float(model.gamma), corpus.num_docs, corpus.num_words]
     trace: list[tuple] = []
     with wide_expressions(corpus.spark):
         terms = run.write(
             model_topics(model, corpus).select("term_id", digamma_packed("gam").alias("psi")), "topics"
         )
-        docs = run.write_slot(with_logs(start_documents(corpus.docs, k, model.correlated)), "docs", 0)
+        docs = start_documents(corpus.docs, k, model.correlated)
         fixed = frozen_topics_bound(model)
-        for step in range(1, max_iter + 1):
-            began = time.monotonic()
+        found = newest_slot(run, ("docs", "counts")) if folder else None
+        if found:
+            at, note = found
+            if note["about"] != about:
+                raise ValueError("the folder holds a run of other documents or another model")
+            slot, trace = run.read_slot("docs", at, DOCUMENT_SCHEMA), [tuple(row) for row in note["trace"]]
+            bound = fixed + _document_bound(model, corpus, run.read_slot("counts", at, VECTOR_SCHEMA), slot)
+            add_to_trace(trace, bound, None)
+            docs = moved_documents(slot)
+
+        def step(number: int) -> float:
+            nonlocal docs
             counted = expected_counts(corpus, packed_logs(terms, docs), k, np_digamma(g.totals))
-            counts = run.write_slot(counted, "counts", step, partition_by="kind")
-            moved = gamma_posterior(with_counts(docs, counts, k), g.beta_p)
-            if model.correlated:
-                moved = normal_update(moved, g.beta_p, g.u, np.linalg.inv(g.cov), normal_steps)
-            docs = run.write_slot(with_logs(moved), "docs", step)
-            bound = fixed + _document_bound(model, corpus, counts, docs)
-            change = abs((bound - trace[-1][1]) / trace[-1][1]) if trace else None
-            trace.append((step, bound, change, time.monotonic() - began))
-            if tol is not None and change is not None and change < tol and step >= min_iter:
-                break
-    return FoldIn(docs.drop("psi_a", "lng_a"), trace)
+            counts = run.write_slot(counted, "counts", number, partition_by="kind")
+            note = note_of(number, trace, about=about)
+            moved = move_documents(with_counts(docs, counts, k), g.beta_p, g.u, precision, normal_steps, note)
+            slot = run.write_slot(moved, "docs", number, partition_by="part")
+            docs = moved_documents(slot)
+            return fixed + _document_bound(model, corpus, counts, slot)
+
+        iterate_until(step, trace, max_iter, tol, min_iter)
+    return FoldIn(docs.drop("lnz"), trace)
 
 
 def frozen_topics_bound(model: Model) -> float:
@@ -92,15 +101,14 @@ def frozen_topics_bound(model: Model) -> float:
     return row["topic_prior"] + row["topic_entropy"]
 
 
-def _document_bound(model: Model, corpus: Corpus, counts: DataFrame, docs: DataFrame) -> float:
+def _document_bound(model: Model, corpus: Corpus, counts: DataFrame, slot: DataFrame) -> float:
     g = model.globals
-    sums = document_sums(docs, model.k).first()
+    sums = collect_sums(slot, counts, model.k)
     # the block rows carry the entropy of the responsibilities and the expected log-probability of the words
-    tokens = counts.where(F.col("kind") == BLOCK).agg(F.sum(F.col("vec")[0] + F.col("vec")[1]).alias("x")).first()
-    value = (tokens["x"] or 0.0) + settled_documents_value(sums, corpus.num_docs, g.beta_p, g.beta_p)
+    tokens = sums["token_entropy"] + sums["token_words"]
+    value = tokens + settled_documents_value(sums, corpus.num_docs, g.beta_p, g.beta_p)
     if model.correlated:
-        moments = {(r["i"], r["j"]): r["value"] for r in normal_moments(docs, g.u).collect()}  # K x (K+3) rows
-        value += gaussian_value(moments, g.u, g.u, g.cov, corpus.num_docs)
+        value += gaussian_value(sums["moments"], g.u, g.u, g.cov, corpus.num_docs)
     return value
 
 

@@ -60,15 +60,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class RunFolder:
-    """One job's own folder below the checkpoint root.
+    """One job's own folder below the checkpoint root, or the folder ``path`` of a job to be taken up.
 
     A table written here is a cut in the lineage that survives the loss of any executor. Loops write to
     two alternating slots, so a run never holds more than its last two states.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
         self.spark = spark
-        self.path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = path.rstrip("/") if path else f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         target = f"{self.path}/{name}"
@@ -80,3 +80,11 @@ class RunFolder:
 
     def write_slot(self, df: DataFrame, name: str, step: int, partition_by: str | None = None) -> DataFrame:
         return self.write(df, f"{name}-{step % 2}", partition_by)
+
+    def complete(self, name: str) -> bool:
+        """Whether the table was written to its end."""
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
+    def read_slot(self, name: str, step: int, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}-{step % 2}")
