@@ -1,4 +1,4 @@
-"""The registered queries of this folder and their SQL twins."""
+"""The registered queries of this folder; their SQL twins are in ``oracles``."""
 
 from __future__ import annotations
 
@@ -82,6 +82,3 @@ QUERIES = {f.__name__: f for f in (
     op7_decontamination, op8_quality, op9_mixing, op10_licenses, op11_filter_audit, op12_toxicity,
     op13_periodic_runs,
 )}
-
-# Twins in plain SQL, for the queries that SQL can express.
-ORACLES = {"op11_filter_audit": filter_audit.SQL}
