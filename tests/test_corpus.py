@@ -135,3 +135,26 @@ def test_partitions_grow_with_the_blocks(spark):
     assert corpus.partitions == 25 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(tuple(r) for r in corpus.doc_terms.collect()) == sorted(tuple(r) for r in pairs.collect())
     corpus.release()
+
+
+def test_unreadable_pairs_are_set_aside(spark, tmp_path):
+    (tmp_path / "f").write_text("2 1:2 x:4\n1 5\n0\n3 1:1 2:z 7:3\n")
+    pairs, rejects = source.read_counts_and_rejects(spark, str(tmp_path / "f"))
+    assert sorted(map(tuple, pairs.collect())) == [(0, 1, 2), (3, 1, 1), (3, 7, 3)]
+    assert sorted(map(tuple, rejects.collect())) == [(0, 1, "x:4"), (1, 0, "5"), (3, 1, "2:z")]
+
+
+def test_line_positions_need_no_window_over_all_splits(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"part-{i}").write_text("".join(f"1 {i}:{j + 1}\n" for j in range(30)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        lines = source.read_lines(spark, str(tmp_path))
+        got = [r["line"] for r in lines.orderBy("doc_id").collect()]
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"1 {i}:{j + 1}" for i in range(5) for j in range(30)]
+    windows = [row for row in plan.splitlines() if "Window [" in row]
+    assert windows and all("[_part#" in row for row in windows)

@@ -382,3 +382,25 @@ def test_document_pass_is_the_plain_steps_with_their_sums(spark):
     for r in updates.normal_moments(plain, u).collect():
         assert sums["moments"][r["i"], r["j"]] == pytest.approx(r["value"], rel=1e-9)
     assert slot.where("part = 1 AND note = 'n'").count() == 1
+
+
+def test_a_model_is_exported_as_text(spark, tiny, tmp_path):
+    from topicloom.sources.matrix_text import read_matrix, read_vector
+
+    model = fit_topics(tiny, 3, correlated=True, max_iter=2)
+    model.export_text(str(tmp_path))
+
+    def read(name, shape):
+        out = np.full(shape, np.nan)
+        for r in read_matrix(spark, f"{tmp_path}/{name}").collect():
+            out[r["i"], r["j"]] = r["value"]
+        return out
+
+    assert np.allclose(read("gam", (8, 3)), matrix(model.topic_terms, "term_id", "gam", 8, model.gamma / 8), atol=1e-6)
+    for name in ("a", "b", "mu", "sig"):
+        assert np.allclose(read(name, (6, 3)), matrix(model.doc_topics, "doc_id", name, 6), atol=1e-6)
+    assert np.allclose(read("cov", (3, 3)), model.globals.cov, atol=1e-6)
+    vector = lambda name: [r["value"] for r in read_vector(spark, f"{tmp_path}/{name}").orderBy("i").collect()]
+    assert np.allclose(vector("u"), model.globals.u, atol=1e-6) and np.allclose(vector("v"), model.globals.v, atol=1e-6)
+    assert np.allclose(vector("bound"), [t[1] for t in model.trace_rows], atol=1e-6)
+    assert np.allclose([vector("alpha")[0], vector("beta")[0]], [model.globals.alpha, model.globals.beta], atol=1e-6)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from topicloom.registry.oracles import all_oracles
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "documents embeddings".split()
@@ -21,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query_matches_sql(spark, duck, name):
     got = contract.queries()[name](spark, FOLDER)
     columns = sorted(got.columns)

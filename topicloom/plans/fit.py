@@ -25,6 +25,7 @@ from topicloom.operators.updates import (
 )
 from topicloom.plans.loop import add_to_trace, iterate_until, newest_slot, note_of
 from topicloom.session import RunFolder, wide_expressions
+from topicloom.sources.matrix_text import write_matrix, write_vector
 from topicloom.sources.prepared import DOC, TERM, Corpus, prepare_corpus
 
 # Starting shape and rate of every document's weights.
@@ -130,6 +131,31 @@ class Model:
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def export_text(self, path: str) -> None:
+        """The model as text files of six decimals below ``path``, for programs that do not read Parquet.
+
+        A document or a term is a row and a topic a column (``a``, ``b``, ``mu``, ``sig``, ``gam``; rows by id, an id
+        without words holding the prior); ``cov`` is a matrix, ``v``, ``u`` and ``bound`` are vectors, ``alpha`` and
+        ``beta`` single values. ``mu``, ``sig``, ``u`` and ``cov`` only for the correlated model.
+        """
+        g = self.globals
+        long = lambda df, key, column: df.select(F.col(key).alias("i"), F.posexplode(column).alias("j", "value")).select(
+            "i", F.col("j").cast("bigint").alias("j"), "value"
+        )
+        unseen = self.spark.range(self.vocab_size).withColumnRenamed("id", "term_id").join(self.topic_terms, "term_id", "left")
+        flat = literal(np.full(self.k, self.gamma / self.vocab_size))
+        terms = unseen.select("term_id", F.coalesce("gam", flat).alias("gam"))
+        write_matrix(long(terms, "term_id", "gam"), f"{path}/gam", (self.vocab_size, self.k))
+        for name in ("a", "b", "mu", "sig") if self.correlated else ("a", "b"):
+            write_matrix(long(self.doc_topics, "doc_id", name), f"{path}/{name}")
+        vectors = {"v": g.v, "alpha": [g.alpha], "beta": [g.beta], "bound": [t[1] for t in self.trace_rows]}
+        if self.correlated:
+            vectors["u"] = g.u
+            write_matrix(self.topic_cov.selectExpr("bigint(i) AS i", "bigint(j) AS j", "value"), f"{path}/cov", (self.k, self.k))
+        for name, values in vectors.items():
+            rows = [(i, float(x)) for i, x in enumerate(values)]
+            write_vector(self.spark.createDataFrame(rows, "i bigint, value double"), f"{path}/{name}", len(rows))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
         read = lambda name: spark.read.parquet(f"{path}/{name}")

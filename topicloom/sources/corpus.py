@@ -19,6 +19,7 @@ NOT_LETTERS = r"[^\p{L}]+"
 PAIR_SEPARATOR = " "
 WHITE_SPACE = r"\s+"
 COUNT_SEPARATOR = ":"
+UNREADABLE = "position IS NOT NULL AND (term_id IS NULL OR cnt IS NULL)"
 
 
 # --- count files -------------------------------------------------------------------------------------
@@ -29,7 +30,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     The reader hands out file splits. Rows of one split are consecutive within one partition, so a line's
     position is the number of lines in earlier splits plus its place in its own split: one narrow counting
-    job over the splits replaces a global ordering of the lines.
+    job over the splits replaces a global ordering of the lines. The splits themselves are added up range by
+    range of their order, so no task reads all of them.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("line"),
@@ -37,23 +39,41 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("seen_as"),
     )
-    splits = lines.groupBy("file", "split_start").agg(
-        F.count("*").alias("n"), F.min("seen_as").alias("first_seen_as")
-    )
-    earlier = Window.orderBy("file", "split_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "file", "split_start", "first_seen_as", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
-    )
-    return lines.join(offsets, ["file", "split_start"]).select(
+    splits = lines.groupBy("file", "split_start").agg(F.count("*").alias("n"), F.min("seen_as").alias("first_seen_as"))
+    order = ["file", "split_start"]
+    ordered = RunFolder(spark, "lines").write(splits.orderBy(*order).withColumn("_part", F.spark_partition_id()), "splits")
+    earlier = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col("_start") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    offsets = ordered.join(F.broadcast(_starts(ordered, "n")), "_part").select(*order, "first_seen_as", offset.alias("offset"))
+    return lines.join(offsets, order).select(
         (F.col("offset") + F.col("seen_as") - F.col("first_seen_as")).alias("doc_id"), "line"
     )
 
 
+def _starts(ordered: DataFrame, size: str) -> DataFrame:
+    """``(_part, _start)``: the sum of ``size`` over all partitions before each; one number of each meets the driver."""
+    rows = ordered.groupBy("_part").agg(F.sum(size).alias("n")).collect()
+    starts, total = [], 0
+    for part, n in sorted((r["_part"], r["n"]) for r in rows):
+        starts.append((part, total))
+        total += n
+    return ordered.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+
+
 def parse_lines(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line") -> DataFrame:
     """Raw ``(doc_id, declared, position, term_id, cnt)``, one row per written pair, nothing repaired.
 
     A document without pairs yields one row with a null position.
     """
+    return _written_pairs(lines, id_col, line_col).drop("pair")
+
+
+def unreadable_pairs(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line") -> DataFrame:
+    """``(doc_id, position, pair)``: what stands where a pair should, but is not term:count."""
+    return _written_pairs(lines, id_col, line_col).where(UNREADABLE).select("doc_id", "position", "pair")
+
+
+def _written_pairs(lines: DataFrame, id_col: str, line_col: str) -> DataFrame:
     parts = F.split(F.regexp_replace(F.col(line_col), r"^\s+|\s+$", ""), WHITE_SPACE)
     pair = F.split(F.col("pair"), COUNT_SEPARATOR)
     return lines.select(
@@ -64,6 +84,7 @@ def parse_lines(lines: DataFrame, id_col: str = "doc_id", line_col: str = "line"
         "doc_id",
         "declared",
         F.col("position").cast("bigint").alias("position"),
+        "pair",
         F.get(pair, F.lit(0)).try_cast("bigint").alias("term_id"),
         F.get(pair, F.lit(1)).try_cast("bigint").alias("cnt"),
     )
@@ -78,11 +99,16 @@ def read_counts(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     pairs = parse_lines(read_lines(spark, path))
     if strict and not check_pairs(pairs).isEmpty():
         raise ValueError(f"{path} breaks the count format; check_pairs() lists the rows")
-    unread = F.expr("position IS NOT NULL AND (term_id IS NULL OR cnt IS NULL)")
-    number = F.when(unread, F.raise_error(F.lit("a pair is not term:count"))).otherwise(F.col("cnt"))
+    number = F.when(F.expr(UNREADABLE), F.raise_error(F.lit("a pair is not term:count"))).otherwise(F.col("cnt"))
     return sum_pairs(pairs.withColumn("cnt", number))
 
 
+def read_counts_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_terms`` of the pairs of a count file that can be read, and the others as ``(doc_id, position, pair)``."""
+    lines = read_lines(spark, path)
+    return sum_pairs(parse_lines(lines)), unreadable_pairs(lines)
+
+
 def sum_pairs(pairs: DataFrame) -> DataFrame:
     """``doc_terms`` of the pairs that could be read; :func:`check_pairs` lists the others."""
     return (
@@ -211,18 +237,11 @@ def dense_ids(table: DataFrame, order_col: str, id_col: str, run: RunFolder) ->
     ordered = run.write(
         table.orderBy(order_col).withColumn("_running", F.monotonically_increasing_id()), f"ordered_{order_col}-{uuid.uuid4().hex[:8]}"
     )
-    part = F.shiftright("_running", 33).alias("_part")
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ordered.groupBy(part)
-        .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    )
+    numbered = ordered.withColumn("_part", F.shiftright("_running", 33).cast("int")).withColumn("_one", F.lit(1))
     return (
-        ordered.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
+        numbered.join(F.broadcast(_starts(numbered, "_one")), "_part")
         .withColumn(id_col, F.col("_start") + F.col("_running").bitwiseAND((1 << 33) - 1))
-        .drop("_part", "_running", "_start")
+        .drop("_part", "_running", "_start", "_one")
     )
 
 
