@@ -1,17 +1,22 @@
 """N-gram Jaccard join: size-banded tiles with bitmap signatures, then exact intersection.
 
-Documents are sets of word shingles. Equal sets become one class. A tile holds the classes that share one
-shingle of their prefix (the smallest hashes, as many as a pair over the threshold cannot all miss); in a
-tile, sorted by size, only the band of sizes within the threshold is compared. The bits that differ
-between two bitmaps bound the overlap from above; pairs that pass are intersected exactly.
+Documents are sets of word shingles. Equal sets become one class, known by a number made of its set. A tile holds
+the classes that share one shingle of their prefix (the smallest hashes, as many as a pair over the threshold cannot
+all miss); in a tile, sorted by size, only the band of sizes within the threshold is compared. The bits that differ
+between two bitmaps bound the overlap from above; only for pairs that pass are the shingles themselves
+computed again, moved and intersected exactly.
+
+Most shingles stand in one class only and never become rows: a block of classes sends its prefix hashes packed, by
+hash range, one entry for each hash however many of its classes hold it, and a range returns the entries of
+hashes that several blocks hold.
 
 Links of a tile's first class are tried first and what they connect is labelled, so a group of near
 copies is joined by a star; after that only pairs between different labels are compared. Big tiles are
 compared chunk by chunk in tasks of their own.
 
 Defined results: texts with fewer words than a shingle are one shingle, null and empty texts link with
-nothing; rows with the same id share a class with their own text only and the id's component is the
-smaller; null ids have no component; other columns are ignored.
+nothing; rows with the same id are linked by their own texts only; a component is named by the smallest id
+on any of its rows; null ids have no component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.graph import components
-from topicloom.llm.tables import partitions
+from topicloom.llm.tables import pack, pack_fields, partitions, unpack, unpack_fields
 from topicloom.llm.text import mix, shingle_hashes, spaced_words, steps, word_hashes
 from topicloom.session import RunFolder
 
@@ -30,6 +35,9 @@ SIZE = 5
 PERCENT = 80
 CHUNK = 1024
 STARS = 3
+# Classes in a block, and prefix hashes that one range should hold.
+BLOCK = 4096
+RANGE = 2_000_000
 
 
 def _sets(part: pa.RecordBatch, size: int):
@@ -49,6 +57,31 @@ def _bitmap(values: np.ndarray) -> bytes:
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
 
+def _allowed(bits_a: bytes, bits_b: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether sizes and bits leave two sets a chance to be over the threshold."""
+    if na * 100 < nb * percent or nb * 100 < na * percent:
+        return False
+    a, b = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    width = min(len(a), len(b))
+    differ = int(np.bitwise_count(_fold(a, width) ^ _fold(b, width)).sum())
+    return (na + nb - differ) // 2 * (100 + percent) >= percent * (na + nb)
+
+
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Sorted values as first value and differences, which compress better."""
+    return np.diff(values, prepend=np.zeros(1, values.dtype))
+
+
+def _shared_in_block(hashes: np.ndarray, owner: np.ndarray):
+    """Splits the (hash, class) entries of a block: those of hashes met twice here, and one entry for each hash."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[first, len(hashes)])
+    again = np.repeat(count > 1, count)
+    return (hashes[again], owner[again]), (hashes[first], owner[first], count > 1)
+
+
 def _fold(bitmap: np.ndarray, width: int) -> np.ndarray:
     """A bitmap of fewer bits: parities add up, since the bit is the hash modulo a power of two."""
     return np.bitwise_xor.reduce(bitmap.reshape(-1, width), axis=0)
@@ -115,93 +148,150 @@ def shingle_components(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
-    run = RunFolder(docs.sparkSession, "jaccard")
+    spark = docs.sparkSession
+    run = RunFolder(spark, "jaccard")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    number = F.xxhash64("n", "f1", "f2").alias("cid")
+
+    def sums(sets):
+        """Two hashes of each set that do not depend on the order of its members."""
+        f1 = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+        f2 = [int(np.bitwise_xor.reduce(mix(s + np.uint64(7))).astype(np.int64)) if len(s) else 0 for s in sets]
+        return {"n": pa.array([len(s) for s in sets], pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64())}
 
     def describe(batches):
         for batch in batches:
             for part in steps(batch, "text"):
                 sets = _sets(part, size)
-                n = np.array([len(s) for s in sets], np.int64)
                 least = [len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0 for s in sets]
                 yield pa.record_batch(
                     {
                         "doc_id": part["doc_id"],
-                        "n": pa.array(n),
-                        "f1": pa.array([int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()),
-                        "f2": pa.array([int(np.bitwise_xor.reduce(mix(s + np.uint64(7))).astype(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
-                        "prefix": pa.array([s[:k].view(np.int64) for s, k in zip(sets, least)], pa.list_(pa.int64())),
+                        **sums(sets),
+                        "bits": pa.array([_bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
+                        "prefix": pa.array([pack(_gaps(s[:k])) for s, k in zip(sets, least)], pa.binary()),
                     }
-                )
+                )
+
+    described = rows.mapInArrow(describe, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bits binary, prefix binary")
+    described = run.write(described.select("doc_id", "n", number, "bits", "prefix"), "sets")
+    sound = described.where("n > 0 AND doc_id IS NOT NULL")
+    classes = run.write(sound.dropDuplicates(["cid"]), "classes")
+    held = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    ranges = max(1, -(-int(held) // RANGE))
 
-    described = run.write(
-        rows.mapInArrow(describe, "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>"), "sets"
+    def send(batches):
+        """Tile rows of hashes shared inside a block, and its packed entries by range."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                cid, n = np.asarray(part["cid"]), np.asarray(part["n"])
+                sets = [np.cumsum(unpack(p, np.uint64), dtype=np.uint64) for p in part["prefix"].to_pylist()]
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                (h, own), (one, first, local) = _shared_in_block(np.concatenate(sets), owner)
+                yield _tile_rows(h, cid[own], n[own])
+                # ranges of equal width of the hash, so that one is a slice of the sorted entries
+                place = ((one >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                edge = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
+                for r in np.flatnonzero(np.diff(edge)).tolist():
+                    cut = slice(edge[r], edge[r + 1])
+                    names, index = np.unique(first[cut], return_inverse=True)
+                    piece = pack_fields(_gaps(one[cut]), index.astype(np.uint16), cid[names], n[names], local[cut])
+                    yield pa.record_batch(
+                        {
+                            "h": pa.nulls(1, pa.int64()),
+                            "cid": pa.nulls(1, pa.int64()),
+                            "n": pa.nulls(1, pa.int64()),
+                            "place": pa.array([r], pa.int32()),
+                            "piece": pa.array([piece], pa.binary()),
+                        }
+                    )
+
+    def meet(pieces: pa.Table) -> pa.Table:
+        """Tile rows of the entries that are not alone with their hash, but for those their block has already."""
+        h, cid, n, local = [], [], [], []
+        for piece in pieces["piece"].to_pylist():
+            gaps, index, names, sizes, own = unpack_fields(piece, np.uint64, np.uint16, np.int64, np.int64, bool)
+            h.append(np.cumsum(gaps, dtype=np.uint64))
+            cid.append(names[index])
+            n.append(sizes[index])
+            local.append(own)
+        h, cid, n, local = map(np.concatenate, (h, cid, n, local))
+        order = np.argsort(h, kind="stable")
+        h, cid, n, local = h[order], cid[order], n[order], local[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        count = np.diff(np.r_[first, len(h)])
+        wanted = np.repeat(count > 1, count) & ~local
+        return pa.table({"h": pa.array(h[wanted].view(np.int64)), "cid": pa.array(cid[wanted]), "n": pa.array(n[wanted])})
+
+    sent = run.write(
+        classes.select("cid", "n", "prefix").mapInArrow(send, "h bigint, cid bigint, n bigint, place int, piece binary"), "sent"
     )
-    key = ["n", "f1", "f2"]
-    classes = run.write(
-        described.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes"
+    pieces = sent.where("place IS NOT NULL").select("place", "piece")
+    tiles = run.write(
+        sent.where("place IS NULL").select("h", "cid", "n").unionAll(
+            pieces.groupBy("place").applyInArrow(meet, "h bigint, cid bigint, n bigint")
+        ),
+        "tiles",
     )
-    reps = described.join(classes, key).where("doc_id = rep").dropDuplicates(["rep", *key])
-    tiles = run.write(reps.select("rep", "n", F.explode("prefix").alias("h")), "prefixes")
-    shared = tiles.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    tiles = run.write(tiles.join(shared, "h", "left_semi"), "tiles")
-    active = run.write(tiles.select("rep").distinct(), "active")
+    run.drop("sent")
+    signatures = classes.select("cid", "n", "bits")
 
     def content(batches):
         for batch in batches:
             for part in steps(batch, "text"):
                 sets = _sets(part, size)
-                yield pa.record_batch(
-                    {
-                        "rep": part["doc_id"],
-                        "n": pa.array([len(s) for s in sets], pa.int64()),
-                        "bits": pa.array([_bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
-                        "members": pa.array([s.tobytes() for s in sets], pa.binary()),
-                    }
-                )
-
-    contents = run.write(
-        rows.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(content, "rep bigint, n bigint, bits binary, members binary")
-        .dropDuplicates(["rep", "n"]),
-        "contents",
-    )
+                members = pa.array([pack(_gaps(s)) for s in sets], pa.binary())
+                yield pa.record_batch({"doc_id": part["doc_id"], **sums(sets), "members": members})
 
     def verify(batches):
         for batch in batches:
-            a, b = batch["ma"].to_pylist(), batch["mb"].to_pylist()
             good = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch["ma"].to_pylist(), batch["mb"].to_pylist()):
+                x, y = (np.cumsum(unpack(m, np.uint64), dtype=np.uint64) for m in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = contents.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-        right = contents.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-        with_left = run.write(pairs.distinct(), f"{name}-pairs").join(left, "a")
-        return run.write(
-            with_left.join(right, "b").where("na * 100 >= nb * {0} AND nb * 100 >= na * {0}".format(percent)).select("a", "b", "ma", "mb").mapInArrow(verify, "a bigint, b bigint"),
-            name,
+        """The links among candidate pairs; the members of classes that no pair names are never computed."""
+        pairs = run.write(pairs.distinct(), f"{name}-pairs")
+        named = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
+        source = named.join(classes.select("cid", "doc_id"), "cid")
+        texts = rows.join(source.select("doc_id").distinct(), "doc_id", "left_semi")
+        found = texts.mapInArrow(content, "doc_id bigint, n bigint, f1 bigint, f2 bigint, members binary")
+        members = run.write(
+            found.select(number, "members").join(named, "cid", "left_semi").dropDuplicates(["cid"]), f"{name}-members"
         )
+        left = members.select(F.col("cid").alias("a"), F.col("members").alias("ma"))
+        right = members.select(F.col("cid").alias("b"), F.col("members").alias("mb"))
+        links = run.write(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(verify, "a bigint, b bigint"), name)
+        run.drop(f"{name}-members")
+        run.drop(f"{name}-pairs")
+        return links
+
+    def likely(batches):
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("ba", "bb", "na", "nb"))
+            good = pa.array([_allowed(*row, percent) for row in zip(*columns)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(good)
 
     # stars: in every tile the class that a keyed hash puts first, and all others of the tile within its
     # size band; each class takes part through its smallest shared shingles only
-    head = tiles.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("h")), 1, STARS).alias("hs"))
-    head = head.select("rep", F.explode("hs").alias("h"))
-    centre = head.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep")).alias("a"))
-    stars = head.join(centre, "h").where("a <> rep").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-    links = verified(stars, "stars")
+    head = tiles.groupBy("cid", "n").agg(F.slice(F.array_sort(F.collect_list("h")), 1, STARS).alias("hs"))
+    head = head.select("cid", "n", F.explode("hs").alias("h"))
+    centre = head.groupBy("h").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("cid")).alias("c"))
+    band = f"cid <> c.cid AND n * 100 >= c.n * {percent} AND c.n * 100 >= n * {percent}"
+    stars = head.join(centre, "h").where(band)
+    stars = stars.select(F.least("c.cid", "cid").alias("a"), F.greatest("c.cid", "cid").alias("b")).distinct()
+    bits_of = lambda x: signatures.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    links = verified(stars.join(bits_of("a"), "a").join(bits_of("b"), "b").mapInArrow(likely, "a bigint, b bigint"), "stars")
     label = components(links, run, "labels")
 
     def open_tiles(label: DataFrame, name: str) -> DataFrame:
         """Rows of the tiles that hold different labels, one row for each chunk pair that they take part in."""
-        labelled = run.write(
-            tiles.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-                "h", "rep", "n", F.coalesce("label", "rep").alias("label")
-            ),
-            f"{name}-labelled",
+        labelled = tiles.join(label.withColumnRenamed("id", "cid"), "cid", "left").select(
+            "h", F.col("cid").alias("rep"), "n", F.coalesce("label", "cid").alias("label")
         )
         sizes = labelled.groupBy("h").agg(
             F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"), F.min("label").alias("x"), F.max("label").alias("y")
@@ -211,8 +301,8 @@ def shingle_components(
         )
         spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         tasks = spread.select("h", "rep", "n", "label", "cut", F.least("cut", "with").alias("c1"), F.greatest("cut", "with").alias("c2"))
-        with_bits = tasks.join(contents.select("rep", "n", "bits"), ["rep", "n"])
-        return with_bits.repartition(partitions(docs.sparkSession), "h", "c1", "c2").sortWithinPartitions("h", "c1", "c2")
+        with_bits = tasks.join(signatures.select(F.col("cid").alias("rep"), "bits"), "rep")
+        return with_bits.repartition(partitions(spark), "h", "c1", "c2").sortWithinPartitions("h", "c1", "c2")
 
     def compare(batches, forest):
         """Tiles one after another; rows arrive sorted by tile, and a tile may go on in the next batch."""
@@ -238,11 +328,25 @@ def shingle_components(
         found = open_tiles(label, name).mapInArrow(lambda b, f=forest: compare(b, f), "a bigint, b bigint")
         links = links.unionByName(verified(found, name))
         label = components(links, run, f"{name}-joined")
-    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-        *key, F.coalesce("label", "rep").alias("component")
-    )
-    return described.join(named, key, "left").select(
+    smallest = sound.groupBy("cid").agg(F.min("doc_id").alias("first"))
+    labelled = smallest.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    labelled = run.write(labelled, "labelled")
+    names = labelled.groupBy("label").agg(F.min("first").alias("component"))
+    named = labelled.join(names, "label").select("cid", "component")
+    return described.select("doc_id", "n", "cid").join(named, "cid", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"),
+    )
+
+
+def _tile_rows(h: np.ndarray, cid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch(
+        {
+            "h": pa.array(h.view(np.int64)),
+            "cid": pa.array(cid),
+            "n": pa.array(n),
+            "place": pa.nulls(len(h), pa.int32()),
+            "piece": pa.nulls(len(h), pa.binary()),
+        }
     )
