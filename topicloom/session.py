@@ -88,3 +88,8 @@ class RunFolder:
 
     def read_slot(self, name: str, step: int, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}-{step % 2}")
+
+    def drop(self, name: str) -> None:
+        """Removes a table that nothing needs any more."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
