@@ -11,8 +11,9 @@ hash range, one entry for each hash however many of its classes hold it, and a r
 hashes that several blocks hold.
 
 Links of a tile's first class are tried first and what they connect is labelled, so a group of near
-copies is joined by a star; after that only pairs between different labels are compared. Big tiles are
-compared chunk by chunk in tasks of their own.
+copies is joined by a star; after that only pairs between different labels are compared, first those that would
+join all labels, then, in the tiles that had others, whatever is still undecided. Big tiles are compared chunk by
+chunk in tasks of their own, small ones many at a time.
 
 Defined results: texts with fewer words than a shingle are one shingle, null and empty texts link with
 nothing; rows with the same id are linked by their own texts only; a component is named by the smallest id
@@ -38,6 +39,8 @@ STARS = 3
 # Classes in a block, and prefix hashes that one range should hold.
 BLOCK = 4096
 RANGE = 2_000_000
+# Tiles of up to so many classes are compared many at a time.
+SMALL = 32
 
 
 def _sets(part: pa.RecordBatch, size: int):
@@ -113,35 +116,71 @@ def _candidates(n: np.ndarray, bitmaps: list[bytes], label: np.ndarray, cut: np.
     return out
 
 
-def _compare(parts: list, percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Candidate pairs of one tile, or of two chunks of it; as a ``forest`` only those that join labels."""
+def _compare(parts: list, percent: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Candidate pairs of one tile, or of two chunks of it; as a ``forest`` only those that join labels, and
+    whether there were others."""
     if not parts:
-        return []
+        return [], False
     cut, n, label, rep = (np.concatenate([p[i] for p in parts]) for i in range(4))
     bits = [b for p in parts for b in p[4]]
     pairs = _candidates(n, bits, label, cut, percent)
-    if forest:
-        top = {x: x for x in label.tolist()}
-        chosen = []
-        for i, j in pairs:
-            x, y = _root(top, int(label[i])), _root(top, int(label[j]))
-            if x != y:
-                top[x] = y
-                chosen.append((i, j))
-        pairs = chosen
-    return [(int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))) for i, j in pairs]
+    chosen = _joining([(label[i], label[j]) for i, j in pairs], {}) if forest else [True] * len(pairs)
+    out = [(int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))) for (i, j), c in zip(pairs, chosen) if c]
+    return out, len(out) < len(pairs)
+
+
+def _joining(labels: list[tuple[int, int]], top: dict[int, int]) -> list[bool]:
+    """For each pair of labels whether it joins what earlier pairs have not joined yet."""
+    out = []
+    for a, b in labels:
+        x, y = _root(top, int(a)), _root(top, int(b))
+        out.append(x != y)
+        top[x] = y
+    return out
+
+
+def _compare_small(tiles: list[tuple[int, int]], columns, two: np.ndarray, percent: int, forest: bool):
+    """Candidate pairs of many tiles, each ``[begin, end)`` of the columns, and a row of every tile with others left."""
+    cut, n, label, rep, bits = columns
+    span = np.array(tiles, np.int64).reshape(-1, 2)
+    size, left, right = span[:, 1] - span[:, 0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in np.unique(size).tolist():
+        i, j = np.triu_indices(m, 1)
+        begin = span[size == m, :1]
+        left.append((begin + i).ravel())
+        right.append((begin + j).ravel())
+    i, j = np.concatenate(left), np.concatenate(right)
+    fits = (label[i] != label[j]) & (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent)
+    fits &= ~two[i] | (cut[i] != cut[j])
+    i, j = i[fits], j[fits]
+    # a pair may share many tiles; it is tried once
+    low, high = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+    _, once = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+    good = [k for k in once.tolist() if _allowed(bits[i[k]], bits[j[k]], int(n[i[k]]), int(n[j[k]]), percent)]
+    chosen = _joining([(label[i[k]], label[j[k]]) for k in good], {}) if forest else [True] * len(good)
+    pairs = [(int(low[k]), int(high[k])) for k, c in zip(good, chosen) if c]
+    return pairs, [int(i[k]) for k, c in zip(good, chosen) if not c]
 
 
 def _root(top: dict[int, int], x: int) -> int:
+    top.setdefault(x, x)
     while top[x] != x:
         top[x] = top[top[x]]
         x = top[x]
     return x
 
 
-def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(rows: list[tuple[int, int]], left: set[int]) -> pa.RecordBatch:
+    """Rows ``a, b`` of pairs and rows ``h`` of tiles that have others left."""
     at = np.array(sorted(set(rows)), np.int64).reshape(-1, 2)
-    return pa.record_batch({"a": pa.array(at[:, 0].copy()), "b": pa.array(at[:, 1].copy())})
+    none = lambda k: pa.nulls(k, pa.int64())
+    return pa.record_batch(
+        {
+            "a": pa.concat_arrays([pa.array(at[:, 0].copy()), none(len(left))]),
+            "b": pa.concat_arrays([pa.array(at[:, 1].copy()), none(len(left))]),
+            "h": pa.concat_arrays([none(len(at)), pa.array(sorted(left), pa.int64())]),
+        }
+    )
 
 
 def shingle_components(
@@ -288,7 +327,7 @@ def shingle_components(
     links = verified(stars.join(bits_of("a"), "a").join(bits_of("b"), "b").mapInArrow(likely, "a bigint, b bigint"), "stars")
     label = components(links, run, "labels")
 
-    def open_tiles(label: DataFrame, name: str) -> DataFrame:
+    def open_tiles(tiles: DataFrame, label: DataFrame) -> DataFrame:
         """Rows of the tiles that hold different labels, one row for each chunk pair that they take part in."""
         labelled = tiles.join(label.withColumnRenamed("id", "cid"), "cid", "left").select(
             "h", F.col("cid").alias("rep"), "n", F.coalesce("label", "cid").alias("label")
@@ -308,26 +347,36 @@ def shingle_components(
         """Tiles one after another; rows arrive sorted by tile, and a tile may go on in the next batch."""
         kept, at = [], None
         for batch in batches:
-            key = [np.asarray(batch[c]) for c in ("h", "c1", "c2")]
-            new = np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)]
-            begins = np.flatnonzero(new).tolist()
-            out = []
+            h, c1, c2 = (np.asarray(batch[c]) for c in ("h", "c1", "c2"))
+            new = np.r_[True, (h[1:] != h[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]
+            begins = np.flatnonzero(new)
+            ends = np.r_[begins[1:], batch.num_rows]
             columns = [np.asarray(batch[c]) for c in ("cut", "n", "label", "rep")] + [batch["bits"].to_pylist()]
-            for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
-                tile = tuple(int(k[begin]) for k in key)
-                part = [c[begin:end] for c in columns]
+            out, left, small = [], set(), []
+            for t, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist())):
+                tile = int(h[begin]), int(c1[begin]), int(c2[begin])
                 if tile != at:
-                    out += _compare(kept, percent, forest)
-                    kept, at = [], tile
-                kept.append(part)
-            yield _pairs(out)
-        yield _pairs(_compare(kept, percent, forest))
+                    found, more = _compare(kept, percent, forest)
+                    out += found
+                    left |= {at[0]} if more else set()
+                    kept, at = [], None
+                    if t + 1 < len(begins) and end - begin <= SMALL:  # it ends in this batch
+                        small.append((begin, end))
+                        continue
+                kept, at = [*kept, [c[begin:end] for c in columns]], tile
+            found, others = _compare_small(small, columns, c1 != c2, percent, forest)
+            yield _pairs(out + found, left | {int(h[row]) for row in others})
+        found, more = _compare(kept, percent, forest)
+        yield _pairs(found, {at[0]} if more else set())
 
     # first what would join the labels of a tile if all of it were links, then whatever is left undecided
+    undecided = tiles
     for name, forest in (("forest", True), ("rest", False)):
-        found = open_tiles(label, name).mapInArrow(lambda b, f=forest: compare(b, f), "a bigint, b bigint")
-        links = links.unionByName(verified(found, name))
+        compared = open_tiles(undecided, label).mapInArrow(lambda b, f=forest: compare(b, f), "a bigint, b bigint, h bigint")
+        compared = run.write(compared, f"{name}-compared")
+        links = links.unionByName(verified(compared.where("h IS NULL").select("a", "b"), name))
         label = components(links, run, f"{name}-joined")
+        undecided = tiles.join(compared.where("h IS NOT NULL").select("h").distinct(), "h", "left_semi")
     smallest = sound.groupBy("cid").agg(F.min("doc_id").alias("first"))
     labelled = smallest.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     labelled = run.write(labelled, "labelled")
