@@ -39,6 +39,8 @@ STARS = 3
 # Classes in a block, and prefix hashes that one range should hold.
 BLOCK = 4096
 RANGE = 2_000_000
+# Ids of texts to read again that may be broadcast.
+LISTED = 1_000_000
 # Tiles of up to so many classes are compared many at a time.
 SMALL = 32
 
@@ -54,8 +56,12 @@ def _sets(part: pa.RecordBatch, size: int):
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    """Parity of the members that fall on each bit; four times as many bits as members, a power of two."""
-    bits = max(1 << (4 * len(values) - 1).bit_length(), 64)
+    """Parity of the members that fall on each bit; a bit or two for each member, a power of two.
+
+    Unrelated sets of n members then differ in about half of the bits, far more than the n / 9 or so that two sets
+    over the threshold may have alone, so wider maps would reject little more and be moved with every tile.
+    """
+    bits = max(1 << (len(values) - 1).bit_length(), 64)
     ones = np.bincount((mix(values) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
@@ -296,8 +302,9 @@ def shingle_components(
         """The links among candidate pairs; the members of classes that no pair names are never computed."""
         pairs = run.write(pairs.distinct(), f"{name}-pairs")
         named = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
-        source = named.join(classes.select("cid", "doc_id"), "cid")
-        texts = rows.join(source.select("doc_id").distinct(), "doc_id", "left_semi")
+        ids = run.write(named.join(classes.select("cid", "doc_id"), "cid").select("doc_id").distinct(), f"{name}-ids")
+        # a list of checked size goes to the texts; beyond it the texts are shuffled to the list
+        texts = rows.join(F.broadcast(ids) if ids.count() <= LISTED else ids, "doc_id", "left_semi")
         found = texts.mapInArrow(content, "doc_id bigint, n bigint, f1 bigint, f2 bigint, members binary")
         members = run.write(
             found.select(number, "members").join(named, "cid", "left_semi").dropDuplicates(["cid"]), f"{name}-members"
