@@ -39,10 +39,12 @@ STARS = 3
 # Classes in a block, and prefix hashes that one range should hold.
 BLOCK = 4096
 RANGE = 2_000_000
+# Bytes of text whose shingles are held at once.
+STEP = 2 << 20
 # Ids of texts to read again that may be broadcast.
 LISTED = 1_000_000
 # Tiles of up to so many classes are compared many at a time.
-SMALL = 32
+SMALL = 128
 
 
 def _sets(part: pa.RecordBatch, size: int):
@@ -66,14 +68,20 @@ def _bitmap(values: np.ndarray) -> bytes:
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
 
-def _allowed(bits_a: bytes, bits_b: bytes, na: int, nb: int, percent: int) -> bool:
-    """Whether sizes and bits leave two sets a chance to be over the threshold."""
-    if na * 100 < nb * percent or nb * 100 < na * percent:
-        return False
-    a, b = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
-    width = min(len(a), len(b))
-    differ = int(np.bitwise_count(_fold(a, width) ^ _fold(b, width)).sum())
-    return (na + nb - differ) // 2 * (100 + percent) >= percent * (na + nb)
+def _allowed(bits: list[bytes], i: np.ndarray, j: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and bits leave the sets ``i[k]`` and ``j[k]`` a chance to be over the threshold."""
+    na, nb = n[i], n[j]
+    out = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+    wide = np.array([len(b) for b in bits], np.int64)
+    shape = wide[i] << 32 | wide[j]
+    for one in np.unique(shape[out]).tolist():
+        pairs = np.flatnonzero(out & (shape == one))
+        width = min(one >> 32, one & 0xFFFFFFFF)
+        for at in np.split(pairs, range(4096, len(pairs), 4096)):
+            a, b = (np.frombuffer(b"".join(bits[k] for k in side[at]), np.uint8).reshape(len(at), -1, width) for side in (i, j))
+            differ = np.bitwise_count(np.bitwise_xor.reduce(a, axis=1) ^ np.bitwise_xor.reduce(b, axis=1)).sum(axis=1, dtype=np.int64)
+            out[at] = (na[at] + nb[at] - differ) // 2 * (100 + percent) >= percent * (na[at] + nb[at])
+    return out
 
 
 def _gaps(values: np.ndarray) -> np.ndarray:
@@ -161,8 +169,9 @@ def _compare_small(tiles: list[tuple[int, int]], columns, two: np.ndarray, perce
     i, j = i[fits], j[fits]
     # a pair may share many tiles; it is tried once
     low, high = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-    _, once = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
-    good = [k for k in once.tolist() if _allowed(bits[i[k]], bits[j[k]], int(n[i[k]]), int(n[j[k]]), percent)]
+    order = np.lexsort((high, low))
+    once = order[np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])][: len(order)]]
+    good = once[_allowed(bits, i[once], j[once], n, percent)].tolist()
     chosen = _joining([(label[i[k]], label[j[k]]) for k in good], {}) if forest else [True] * len(good)
     pairs = [(int(low[k]), int(high[k])) for k, c in zip(good, chosen) if c]
     return pairs, [int(i[k]) for k, c in zip(good, chosen) if not c]
@@ -206,7 +215,7 @@ def shingle_components(
 
     def describe(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 sets = _sets(part, size)
                 least = [len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0 for s in sets]
                 yield pa.record_batch(
@@ -284,7 +293,7 @@ def shingle_components(
 
     def content(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 sets = _sets(part, size)
                 members = pa.array([pack(_gaps(s)) for s in sets], pa.binary())
                 yield pa.record_batch({"doc_id": part["doc_id"], **sums(sets), "members": members})
@@ -318,9 +327,10 @@ def shingle_components(
 
     def likely(batches):
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("ba", "bb", "na", "nb"))
-            good = pa.array([_allowed(*row, percent) for row in zip(*columns)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(good)
+            rows = np.arange(batch.num_rows)
+            n = np.r_[np.asarray(batch["na"]), np.asarray(batch["nb"])]
+            good = _allowed(batch["ba"].to_pylist() + batch["bb"].to_pylist(), rows, rows + len(rows), n, percent)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # stars: in every tile the class that a keyed hash puts first, and all others of the tile within its
     # size band; each class takes part through its smallest shared shingles only
