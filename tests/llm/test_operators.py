@@ -247,6 +247,37 @@ def test_tokens(docs, rows):
     assert texts == {i: encoder.encode_ordinary(t or "") for i, t, *_ in rows}
 
 
+def test_shards_are_taken_up_and_read_from_a_slot(spark, tmp_path):
+    texts = [(None, "no id"), (-1, "below zero " * 40), (7, None), (7, ""), (8, "same row"), (8, "same row"), (9, "a b c " * 900)]
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in texts], "doc_id bigint, text string, slot int, data string")
+    options = dict(length=8, shard=32, folder=str(tmp_path / "run"))
+    layout = token_shards.build_shards(docs, **options)
+    order = lambda frame: [tuple(r) for r in frame.orderBy("slot").collect()]
+    whole = order(token_shards.read_slots(spark, layout))
+    assert len(whole) == layout.count and [r[0] for r in whole] == list(range(layout.count))
+    assert {r[3] for r in whole} == {None, -1, 7, 8, 9} and sum(r[3] == 8 for r in whole) == 2
+    for start, stop in ((0, 5), (31, 33), (40, None), (layout.count - 1, None), (layout.count, None)):
+        assert order(token_shards.read_slots(spark, layout, start, stop)) == whole[start:stop]
+    # a run that stopped: one file lacks its end, one is gone, the token table is still there
+    again = dict(options, folder=str(tmp_path / "second"))
+    first = token_shards.build_shards(docs, **again | {"folder": str(tmp_path / "third")})
+    drop, token_shards.RunFolder.drop = token_shards.RunFolder.drop, lambda *_: None
+    try:
+        second = token_shards.build_shards(docs, **again)
+    finally:
+        token_shards.RunFolder.drop = drop
+    files = sorted((tmp_path / "second" / "binary").glob("shard-*.bin"))
+    kept = files[2].stat().st_mtime_ns
+    files[0].write_bytes(files[0].read_bytes()[:-5])
+    files[1].unlink()
+    assert token_shards.standing(spark, second).tolist() == [False, False] + [True] * (second.files - 2)
+    assert token_shards.build_shards(docs, **again) == second
+    assert order(token_shards.read_slots(spark, second)) == order(token_shards.read_slots(spark, first))
+    assert files[2].stat().st_mtime_ns == kept and not (tmp_path / "second" / "tokens").exists()
+    with pytest.raises(ValueError, match="another layout"):
+        token_shards.build_shards(docs, **again | {"length": 9})
+
+
 @pytest.mark.parametrize("count", [1, 2, 3, 17, 1000])
 def test_feistel(count):
     slots = token_shards.feistel(np.arange(count), count, 9)

@@ -24,10 +24,10 @@ def remainder(doc_ids: Sequence[int | None], divisor: int) -> np.ndarray:
     return np.array([-1 if i is None else zlib.crc32(str(i).encode()) % divisor for i in doc_ids], np.int64)
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """Compressed bytes of an array; its length travels in front."""
     raw = np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", level).compress(raw, asbytes=True) if raw else b"")
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
@@ -37,9 +37,9 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype)
 
 
-def pack_fields(*arrays: np.ndarray) -> bytes:
+def pack_fields(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Several arrays in one value; see :func:`unpack_fields`."""
-    parts = [pack(a) for a in arrays]
+    parts = [pack(a, level) for a in arrays]
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
