@@ -142,13 +142,13 @@ def _place(doc_id: str, text_hash: str) -> Column:
 
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` takes it."""
-    rows = docs.withColumn("_text", F.xxhash64("source", "text")).withColumn("place", _place("doc_id", "_text"))
-    chosen = mixed.where("copies > 0").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no"), "place", "copies")
-    return (
-        rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
-        .withColumn("_no", F.col("doc_id").isNull())
-        .join(chosen, ["_id", "_no", "place"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*docs.columns)
+    """The rows of ``docs``, each as often as ``mixed`` takes it, with whatever columns they have."""
+    # the row is one value, so no column of it can meet a helper column
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = whole.select("row", F.col("row.doc_id").cast("bigint").alias("id"), F.xxhash64("row.source", "row.text").alias("hash"))
+    rows = keyed.select("row", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), _place("id", "hash").alias("place"))
+    chosen = mixed.where("copies > 0").select(
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "place", F.col("copies").cast("int").alias("copies")
     )
+    taken = rows.join(chosen, ["id", "no_id", "place"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")
