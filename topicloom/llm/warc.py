@@ -7,7 +7,9 @@ header block first and inflates a payload only for records that pass and only if
 
 Defined results: a null html is an empty payload; of rows with equal payloads the largest page_id is the
 response and equal ids are all responses; a null id is the smallest and is written as an absent header;
-null urls are absent headers; an empty table gives an archive without files; other columns are ignored.
+null urls are absent headers; a url that no header line can hold as it is (line breaks, white space at its
+ends) is written percent-encoded, with a header that says so, and read back as it was; a file that was cut
+raises; an empty table gives an archive without files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.dataset
@@ -52,15 +55,17 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _clean(value: str) -> str:
-    return value.replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n")
+_ENCODED = "X-Target-URI-Encoded"
 
 
 def record(fields: dict, payload: bytes) -> bytes:
     lines = ["WARC/1.1", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(fields, sort_keys=True))}>"]
     for header, column in _HEADERS.items():
         if fields.get(column) is not None:
-            value = _clean(str(fields[column]))
+            value = str(fields[column])
+            if column == "url" and (value != value.strip() or "\r" in value or "\n" in value):
+                value = quote(value)
+                lines.append(f"{_ENCODED}: true")
             lines.append(f"{header}: {'sha1:' if column == 'payload_digest' else ''}{value}")
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"Content-Length: {len(payload)}", "", ""]
     plain = "\r\n".join(lines).encode() + payload + b"\r\n\r\n"
@@ -79,7 +84,10 @@ def records(data: bytes, wanted, with_payload: bool) -> Iterator[dict]:
         inflate = zlib.decompressobj(-15)
         head, rest = b"", body
         while b"\r\n\r\n" not in head:
-            head += inflate.decompress(rest, 1024)
+            more = inflate.decompress(rest, 1024)
+            if not more:
+                raise ValueError("a record ends inside its header block")
+            head += more
             rest = inflate.unconsumed_tail
         top, _, begun = head.partition(b"\r\n\r\n")
         lines = dict(x.split(": ", 1) for x in top.decode().split("\r\n")[1:])
@@ -87,10 +95,14 @@ def records(data: bytes, wanted, with_payload: bool) -> Iterator[dict]:
         for header, column in _HEADERS.items():
             if (value := lines.get(header)) is not None:
                 value = value.removeprefix("sha1:") if column == "payload_digest" else value
+                value = unquote(value) if column == "url" and _ENCODED in lines else value
                 out[column] = int(value) if column in _NUMBERS else value
         if wanted(out):
             if with_payload:
-                out["payload"] = (begun + inflate.decompress(rest))[: int(lines["Content-Length"])]
+                size_of = int(lines["Content-Length"])
+                out["payload"] = (begun + inflate.decompress(rest))[:size_of]
+                if len(out["payload"]) < size_of:
+                    raise ValueError("a record ends inside its payload")
             yield out
         at += 24 + size + 8
 
