@@ -40,6 +40,7 @@ class Automaton:
             for w in words:
                 last = self._extend(last, w)
             ends.append(last)
+        self.ancestor = self._ancestors()
         self.window_items: dict[int, set[str]] = {}
         self.short: dict[tuple[int, int], set[str]] = {}
         for (name, words), _ in zip(items, ends):
@@ -53,7 +54,7 @@ class Automaton:
             for w in words:
                 state, matched = self.step(state, matched, w)
                 if matched >= window:
-                    self.window_items.setdefault(self.at_length(state, window), set()).add(name)
+                    self.window_items.setdefault(self.ancestor[state], set()).add(name)
         # the shorter items that end in a state, along its suffix links
         by_state: dict[int, list[tuple[int, set[str]]]] = {}
         for (state, size), names in self.short.items():
@@ -97,10 +98,13 @@ class Automaton:
         target = self.next[state].get(w)
         return (target, matched + 1) if target is not None else (0, 0)
 
-    def at_length(self, state: int, size: int) -> int:
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
+    def _ancestors(self) -> list[int]:
+        """For each state the one on its suffix links that holds its last ``window`` words."""
+        out = list(range(len(self.next)))
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            if self.length[self.link[state]] >= self.window:
+                out[state] = out[self.link[state]]
+        return out
 
     def matches(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Covered ranges of word positions, and the items whose windows occur."""
@@ -113,7 +117,7 @@ class Automaton:
             size = 0
             if matched >= self.window:
                 size = self.window
-                names |= self.window_items.get(self.at_length(state, size), set())
+                names |= self.window_items.get(self.ancestor[state], set())
             for length, items in self.short_at[state]:
                 if length <= matched:
                     size = max(size, length)
