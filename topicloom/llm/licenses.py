@@ -143,8 +143,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: flo
     )
     rows = rows.withColumn("_v", votes)
     for t in range(len(TEMPLATES)):
-        begin = f"filter(_v, x -> x.t = {t})"
-        best = f"array_max(transform(array_distinct(transform({begin}, x -> x.o)), o -> aggregate(filter({begin}, x -> x.o = o), 0D, (a, x) -> a + x.g)))"
+        # in order of the beginning they vote for, votes are summed by one fold
+        own_votes = f"array_sort(transform(filter(_v, x -> x.t = {t}), x -> struct(x.o, x.g)))"
+        total_here = "IF(a.o = x.o, a.s, 0D) + x.g"
+        best = (
+            f"aggregate({own_votes}, named_struct('o', {-(1 << 31)}, 's', 0D, 'b', 0D), (a, x) -> "
+            f"named_struct('o', x.o, 's', {total_here}, 'b', greatest(a.b, {total_here})), a -> a.b)"
+        )
         rows = rows.withColumn(
             f"_s{t}", F.when(keyed[t], F.coalesce(F.expr(best) / F.lit(weight[t]), F.lit(0.0))).otherwise(F.lit(0.0))
         )
