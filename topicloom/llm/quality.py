@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
-A text is read as tokens: runs of word bytes and runs of other visible bytes. Words and their neighbours
-are hashed as they are (unigrams, lower-cased) and by shape (one- to three-grams of upper, lower, digit,
-mark), so that layout counts as well as vocabulary. A feature's value is its share of the text's tokens.
+A text is read as tokens: runs of word bytes and runs of other visible bytes. One to three neighbours are
+hashed as they are (lower-cased) and by shape (upper, lower, digit, mark), so that word order and layout
+count as well as vocabulary. A feature's value is its share of the text's tokens.
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``, the smallest by hash of the id)
 and has a fixed size; scoring reads every row once and moves nothing.
@@ -73,8 +73,11 @@ def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     two = pair_hash(shape[:-1], shape[1:])[~edge[1:]]
     ok3 = ~(edge[1:-1] | edge[2:]) if len(shape) > 2 else np.zeros(0, bool)
     three = pair_hash(pair_hash(shape[:-2], shape[1:-1]), shape[2:])[ok3] if len(shape) > 2 else np.zeros(0, np.uint64)
-    hashes = [words, mix(shape + np.uint64(1 << 40)), mix(two + np.uint64(1)), mix(three + np.uint64(2))]
-    owners = [owner, owner, owner[:-1][~edge[1:]], owner[:-2][ok3] if len(shape) > 2 else owner[:0]]
+    words2 = pair_hash(words[:-1], words[1:])
+    words3 = pair_hash(words2[:-1], words[2:])[ok3] if len(shape) > 2 else np.zeros(0, np.uint64)
+    owner2, owner3 = owner[:-1][~edge[1:]], owner[:-2][ok3] if len(shape) > 2 else owner[:0]
+    hashes = [words, mix(shape + np.uint64(1 << 40)), mix(two + np.uint64(1)), mix(three + np.uint64(2)), words2[~edge[1:]], words3]
+    owners = [owner, owner, owner2, owner3, owner2, owner3]
     buckets = (np.concatenate(hashes) >> np.uint64(64 - bits)).astype(np.int64)
     return buckets, np.concatenate(owners), np.bincount(owner, minlength=len(texts))
 
