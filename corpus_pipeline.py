@@ -25,12 +25,16 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     several texts has each of them decided by itself.
     """
     folder = RunFolder(spark, "groups")
-    rows = folder.write(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    found = ngram_jaccard.shingle_components(rows, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    # the row is one value, so that no column of it can meet the key
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = folder.write(docs.select(F.monotonically_increasing_id().alias("row_key"), whole), "rows")
+    texts = rows.select("row_key", F.col("row.text").alias("text"))
+    found = ngram_jaccard.shingle_components(texts, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
-    kept = found.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first"))
+    ids = rows.select("row_key", F.col("row.doc_id").alias("doc_id"))
+    kept = found.join(ids, "row_key").groupBy("component_id").agg(first.alias("first"))
     keep = folder.write(kept.select("first.row_key"), "kept")
-    return rows.join(keep, "row_key", "left_semi").select(*docs.columns)
+    return rows.join(keep, "row_key", "left_semi").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
