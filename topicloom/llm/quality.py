@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.text import LOWER, mix, pair_hash, steps, texts_of
-from topicloom.llm.tables import pack, remainder, unpack
+from topicloom.llm.tables import pack_fields, remainder, unpack_fields
 
 BITS = 18
 SAMPLE_ROWS = 20_000
@@ -109,6 +109,17 @@ def _sigmoid(x):
 SCALE = 10.0
 
 
+def _example(at: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted buckets and their counts; steps between buckets by byte planes, which compress best."""
+    steps_ = np.diff(at, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return pack_fields(steps_, count.astype("<i4"))
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes, count = unpack_fields(data, np.uint8, "<i4")
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()), count
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -135,7 +146,7 @@ def train(
                 rows = []
                 for i in range(part.num_rows):
                     at, count = np.unique(buckets[(ends[i - 1] if i else 0) : ends[i]], return_counts=True)
-                    rows.append(pack(np.stack([at, count]).astype(np.int32)))
+                    rows.append(_example(at, count))
                 yield pa.record_batch(
                     {"doc_id": part["doc_id"], "label": part["label"], "n": pa.array(n), "x": pa.array(rows, pa.binary())}
                 )
@@ -143,12 +154,16 @@ def train(
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # at most sample_rows (id, label) pairs are sent to the tasks that hold the texts
     examples = text.join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id bigint, label int, n bigint, x binary")
-    rows = sorted(examples.collect(), key=lambda r: (hash((r.doc_id * 2654435761) % (1 << 32)), r.doc_id, r.label))
+    # the driver holds the examples packed and opens one at a time
+    held = examples.toArrow()
+    keys = [(hash((i * 2654435761) % (1 << 32)), i, y) for i, y in zip(held["doc_id"].to_pylist(), held["label"].to_pylist())]
+    packed, sizes = held["x"].combine_chunks(), np.maximum(np.asarray(held["n"]), 1)
+    order = sorted(range(len(keys)), key=keys.__getitem__)
     model = Ftrl(1 << bits)
-    decoded = [(unpack(r.x, np.int32).reshape(2, -1), max(r.n, 1), r.label) for r in rows]
     for _ in range(epochs):
-        for (at, count), n, y in ((a, b, c) for a, b, c in decoded):
-            model.learn(np.r_[at, 1 << bits], np.r_[count * (SCALE / n), 1.0], y)
+        for i in order:
+            at, count = _opened(packed[i].as_py())
+            model.learn(np.r_[at, 1 << bits], np.r_[count * (SCALE / sizes[i]), 1.0], keys[i][2])
     return model.weights().astype(np.float32)
 
 
