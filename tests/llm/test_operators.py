@@ -95,7 +95,7 @@ def test_language_model(docs, rows):
         if i is None or zlib.crc32(str(i).encode()) % 10:
             counts.update(tokens)
     total, distinct = sum(counts.values()), len(counts)
-    found = by_id(ngram_lm.train_and_score(docs, share=1e-3))
+    found = by_id(ngram_lm.train_and_score(docs))
     assert set(found) == set(n)
     for i, tokens in n.items():
         r = found[i]
@@ -137,6 +137,32 @@ def test_language_model_keeps_every_ngram(spark):
     assert [x[2] for x in found] == pytest.approx([x[2] for x in expected], rel=1e-6, abs=1e-5)
 
 
+def test_stored_language_model_scores_other_texts(spark, docs, tmp_path):
+    """The model read from its folder gives what training gave, and scores texts it has not seen."""
+    folder = str(tmp_path / "model")
+    learnt = sorted(map(str, ngram_lm.train_and_score(docs, folder=folder).collect()))
+    model = ngram_lm.NgramModel(spark, folder)
+    assert model.error() == 0
+    assert sorted(map(str, model.score(docs).collect())) == learnt
+    other = spark.createDataFrame([(1, "never seen here"), (2, None), (None, "words"), (2, None)], "doc_id bigint, text string")
+    found = sorted((r.doc_id or -1, r.n_tokens, r.score < 0) for r in model.score(other).collect())
+    assert found == [(-1, 2, True), (1, 4, True), (2, 1, True), (2, 1, True)]
+    assert ngram_lm.train(docs, fold=7).score(other.limit(0)).count() == 0
+    empty = ngram_lm.train(docs.limit(0)).score(other)
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score for r in empty.collect())
+
+
+def test_quantised_values():
+    """Few values are kept as they are; with more, neighbours share a code within the stated error."""
+    rng = np.random.default_rng(5)
+    values = 10 ** -rng.uniform(0, 11, 20_000)
+    book, code, error = ngram_lm.quantise(values)
+    assert error == 0 and (book[code] == values).all()
+    book, code, error = ngram_lm.quantise(values, 1000)
+    off = np.abs(np.log10(book[code]) - np.log10(values)).max()
+    assert len(book) == 1000 and 0 < off <= error * (1 + 1e-9) < 0.05
+
+
 def test_trie_is_a_distribution():
     """For every context the probabilities of all words and one unseen word add up to 1."""
     hashes = np.array([50, 20, 40, 10], np.uint64)

@@ -2,21 +2,25 @@
 
 Every word, pair and triple of the training texts counts, however rare, so the model grows with them. No
 task holds all of it: words and pairs are dealt to shards by their hash, and a triple goes with the pair of its
-first two words. Blocks of texts send their own counts to the shards; a shard adds them up to its part of
-the trie, looks up what the blocks sent and gives every block the counts over all training texts.
+first two words. A shard adds up what blocks of texts send, stores its part of the trie in the model's folder
+and answers from it. :func:`train` leaves a model that :meth:`NgramModel.score` applies to any other texts;
+:func:`train_and_score` answers the blocks it learnt from in the same pass.
 
 With c the counts, m the mass and f the smoothed word frequency, and p(w) = f(w) for the shortest context,
-``p(w | v) = (c(v w) + m f(w)) / (c(v) + m)`` and ``p(w | u v) = (c(u v w) + m p(w | v)) / (c(u v) + m)``:
+``p(w | v) = s(v w) + r(v) f(w)`` and ``p(w | u v) = s(u v w) + r(u v) p(w | v)``. A node stores its share
+``s(v w) = c(v w) / (c(v) + m)``, and ``r``, what its context leaves to the shorter one, is ``m / (c(v) + m)``:
 every occurrence of a context has a word after it, so the words' probabilities add up to 1. The first word
 of a text has the end token before it and no longer context.
 
 Levels are memory-mapped files of Elias-Fano sequences: children of a node are words made monotone by
-adding the last value of the node before, pointers and running sums of counts are monotone as they are,
-and a word is found by successor search relative to its context.
+adding the last value of the node before, pointers are monotone as they are, and a word is found by successor
+search relative to its context. Shares and rests are quantised: 16 bits into a codebook for each level of a shard.
+A level of no more than 65,536 different values is exact; else neighbours share a code, and the largest error, in
+log10, stands beside the shard (``NgramModel.error``).
 
 Defined results: null and empty texts are one end token; texts with a null id are trained on and not
-held out; repeated rows count as often as they occur; other columns are ignored. Words are told apart by
-64-bit hashes.
+held out; repeated rows count as often as they occur; other columns are ignored; a model of no texts gives every
+token the frequency of an unseen one. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,17 +30,18 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.tables import pack, pack_fields, partitions, remainder, unpack, unpack_fields
+from topicloom.llm.tables import bucket_count, bucketed, pack, pack_fields, partitions, remainder, unpack, unpack_fields
 from topicloom.llm.text import mix, spaced_words, steps, word_hashes
 from topicloom.session import RunFolder
 
 MASS = 20.0
 FLOOR = 0.1
 BLOCK_BYTES = 12 << 20
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 500_000
+CODES = 1 << 16
 END = np.uint64(1)
 
 
@@ -96,24 +101,38 @@ class EliasFano:
             end[open_[~less]] = middle[~less]
 
 
+def quantise(values: np.ndarray, size: int = CODES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Codebook, code of each positive value, and the largest error in log10."""
+    held, at = np.unique(values, return_inverse=True)
+    if len(held) <= size:
+        return held, at.astype(np.uint16), 0.0
+    group = np.arange(len(held)) * size // len(held)
+    starts = np.searchsorted(group, np.arange(size))
+    low, high = np.log10(held[starts]), np.log10(held[np.r_[starts[1:], len(held)] - 1])
+    return 10 ** ((low + high) / 2), group[at].astype(np.uint16), float((high - low).max() / 2)
+
+
 class Trie:
     """Levels of nodes; level 0 is the words 0..n-1 themselves."""
 
     @staticmethod
     def build(words: np.ndarray, counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], mass: float) -> bytes:
         """``levels``: (parent node, word, count) sorted by parent and word; parents are nodes of the level above."""
-        out = [np.sort(words), np.argsort(words, kind="stable").astype(np.int32), counts.astype(np.int64), np.array([mass])]
-        above = counts.astype(float)
+        out = [np.sort(words), np.argsort(words, kind="stable").astype(np.int32)]
+        above, errors = counts.astype(float), [0.0]
         for parent, word, count in levels:
             n = len(above)
             pointer = np.searchsorted(parent, np.arange(n + 1)).astype(np.int64)
             widest = np.int64(len(words) + 1)
-            rest = 1 - np.bincount(parent, count / (above[parent] + mass), minlength=n) if len(parent) else np.ones(n)
+            share, share_of, off = quantise(count / (above[parent] + mass))
+            rest, rest_of, off_rest = quantise(1 - np.bincount(parent, count / (above[parent] + mass), minlength=n) if len(parent) else np.ones(n))
             # the node before a range ends at a value of its own: ranges follow each other in one sequence
             filled = np.cumsum(np.diff(pointer) > 0) - 1
-            sums = np.r_[0, np.cumsum(count)].astype(np.int64)
-            out += [*EliasFano.encode(pointer), *EliasFano.encode(word + filled[parent] * widest), *EliasFano.encode(sums), rest, filled.astype(np.int32)]
+            out += [*EliasFano.encode(pointer), *EliasFano.encode(word + filled[parent] * widest)]
+            out += [share, share_of, rest, rest_of, filled.astype(np.int32)]
             above = count.astype(float)
+            errors += [off, off_rest]
+        out.append(np.array([max(errors)]))
         head = np.array([(a.nbytes, np.dtype(a.dtype).num) for a in out], np.int64)
         return np.array([len(out)], np.int64).tobytes() + head.tobytes() + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in out)
 
@@ -131,11 +150,8 @@ class Trie:
         for size, kind in head.tolist():
             parts.append(np.asarray(mapped[at : at + size]).view(kinds[kind]))
             at += size + -size % 8
-        self.hashes, self.order, self.counts, self.mass = *parts[:3], float(parts[3][0])
-        self.levels = [
-            (EliasFano(*p[:4]), EliasFano(*p[4:8]), EliasFano(*p[8:12]), p[12], p[13])
-            for p in (parts[i : i + 14] for i in range(4, len(parts), 14))
-        ]
+        self.hashes, self.order, self.error = parts[0], parts[1], float(parts[-1][0])
+        self.levels = [(EliasFano(*p[:4]), EliasFano(*p[4:8]), *p[8:13]) for p in (parts[i : i + 13] for i in range(2, len(parts) - 1, 13))]
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, -1 for those not held."""
@@ -146,37 +162,33 @@ class Trie:
 
     def find(self, level: int, node: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Child of each node by a word, -1 if absent."""
-        pointer, value, _, _, filled = self.levels[level]
+        pointer, value, *_, filled = self.levels[level]
         child = np.full(len(node), -1, np.int64)
         ask = np.flatnonzero((node >= 0) & (word >= 0))
         if len(ask):
-            key, back = np.unique(node[ask] << 32 | word[ask], return_inverse=True)
-            context, w = key >> 32, key & 0xFFFFFFFF
+            context = node[ask]
             begin, end = pointer[context], pointer[context + 1]
-            target = w + filled[context].astype(np.int64) * np.int64(len(self.hashes) + 1)
+            target = word[ask] + filled[context].astype(np.int64) * np.int64(len(self.hashes) + 1)
             at = value.find(target, begin, end)
             inside = np.flatnonzero(at < end)
             hit = inside[value[at[inside]] == target[inside]]
-            found = np.full(len(key), -1, np.int64)
-            found[hit] = at[hit]
-            child[ask] = found[back]
+            child[ask[hit]] = at[hit]
         return child
 
-    def count(self, level: int, node: np.ndarray) -> np.ndarray:
-        """Occurrences of each node that :meth:`find` gave at this level, 0 for -1."""
-        sums, n = self.levels[level][2], np.zeros(len(node), np.int64)
-        known = np.flatnonzero(node >= 0)
-        n[known] = sums[node[known] + 1] - sums[node[known]]
-        return n
+    def rest(self, level: int, node: np.ndarray) -> np.ndarray:
+        """What each context of a level leaves to the shorter one; all of it if it is not held."""
+        _, _, _, _, book, code, _ = self.levels[level]
+        left, known = np.ones(len(node)), np.flatnonzero(node >= 0)
+        left[known] = book[code[node[known]]]
+        return left
 
     def child(self, level: int, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Child node (-1 if absent), its share, and what the context leaves to a shorter one."""
-        child, known = self.find(level, node, word), np.flatnonzero(node >= 0)
-        share, left = np.zeros(len(node)), np.ones(len(node))
-        above = self.count(level - 1, node[known]) if level else self.counts[node[known]]
-        share[known] = self.count(level, child)[known] / (above + self.mass)
-        left[known] = self.levels[level][3][node[known]]
-        return child, share, left
+        _, _, book, code, *_ = self.levels[level]
+        child = self.find(level, node, word)
+        share, known = np.zeros(len(node)), np.flatnonzero(child >= 0)
+        share[known] = book[code[child[known]]]
+        return child, share, self.rest(level, node)
 
 
 # --- blocks of texts ---------------------------------------------------------------------------------
@@ -185,8 +197,8 @@ _BLOCK = "block bigint, doc_id array<bigint>, tokens bigint, starts binary, code
 _NUMBERED = "block bigint, doc_id array<bigint>, starts binary, codes binary, numbers binary, counts binary"
 
 
-def _blocks(docs: DataFrame, run: RunFolder, doc_id: str, text: str) -> DataFrame:
-    """Texts as numbers into a small dictionary per block; every text ends in the end token."""
+def _blocks(docs: DataFrame, run: RunFolder, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """Texts as numbers into a small dictionary per block, and the buckets they lie in; every text ends in the end token."""
 
     def encode(batches):
         task, n = TaskContext.get().partitionId(), 0
@@ -219,7 +231,8 @@ def _blocks(docs: DataFrame, run: RunFolder, doc_id: str, text: str) -> DataFram
                 n += 1
 
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return run.write(chosen.mapInArrow(encode, _BLOCK), "blocks")
+    buckets = bucket_count(chosen)
+    return bucketed(chosen.mapInArrow(encode, _BLOCK), run, "blocks", "block", buckets), buckets
 
 
 class _Block:
@@ -229,15 +242,22 @@ class _Block:
         self.codes = unpack(row["codes"], np.int32)
         self.n = np.diff(self.starts)
 
+    def before(self) -> np.ndarray:
+        """The code before each token; the end token stands before a text."""
+        before = np.r_[0, self.codes[:-1]][: len(self.codes)]
+        before[self.starts[:-1]] = 0
+        return before
+
     def trained(self, fold: int) -> np.ndarray:
         return np.repeat(remainder(self.doc_id, fold) != 0, self.n)
 
 
-def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by the shard of their hash, and where each shard begins in it."""
+def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of keys by the shard of their hash, the shards that occur, and where each begins in the order."""
     shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    use, starts = np.unique(shard[order], return_index=True)
+    return order, use, np.r_[starts, len(order)].astype(np.int64)
 
 
 class _Grams:
@@ -245,24 +265,30 @@ class _Grams:
 
     A pair is ``first * width + second`` and a triple ``place of its pair * width + third``, in the numbers of
     the words; ``pair`` and ``triple`` are the places of each token's own (of ``long`` tokens, which have two
-    words before them).
+    words before them). Words the model does not know share the last number.
     """
 
     def __init__(self, b: _Block, numbers: np.ndarray, width: int, shards: int):
-        w = numbers[b.codes].astype(np.int64)
-        v = np.r_[w[:0], numbers[:1].astype(np.int64), w[:-1]][: len(w)]
-        v[b.starts[:-1]] = numbers[0]
-        pairs, at = np.unique(v * width + w, return_inverse=True)
-        order, self.cuts = _dealt(pairs, shards)
+        self.numbers = np.where(numbers < 0, width - 1, numbers).astype(np.int64)
+        w = self.numbers[b.codes]
+        before = b.before()
+        pairs, first, at = np.unique(self.numbers[before] * width + w, return_index=True, return_inverse=True)
+        order, self.use, self.cuts = _dealt(pairs, shards)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pairs, self.pair = pairs[order], place[at]
-        first = np.zeros(len(w), bool)
-        first[b.starts[:-1]] = True
-        self.long = np.flatnonzero(~first)
+        self.context = before[first][order]  # the code of each pair's first word
+        inner = np.ones(len(w), bool)
+        inner[b.starts[:-1]] = False
+        self.long = np.flatnonzero(inner)
         self.triples, self.triple = np.unique(self.pair[self.long - 1] * width + w[self.long], return_inverse=True)
         self.triple_cuts = np.searchsorted(self.triples, self.cuts * width)
 
+    def slices(self):
+        """Shard, its pairs and its triples, for every shard that occurs."""
+        for i, shard in enumerate(self.use.tolist()):
+            yield shard, slice(*self.cuts[i : i + 2]), slice(*self.triple_cuts[i : i + 2])
+
 
 def _pack_rising(values: np.ndarray) -> np.ndarray:
     """Bytes of the steps of a rising sequence, the lowest bytes of all of them first; they compress well."""
@@ -273,147 +299,142 @@ def _unpack_rising(data: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view(np.int64).ravel())
 
 
+def _pack_values(*arrays: np.ndarray) -> bytes:
+    """Arrays of few different values."""
+    fields = []
+    for a in arrays:
+        held, at = np.unique(a, return_inverse=True)
+        fields += [held, at.astype(np.uint32)]
+    return pack_fields(*fields)
+
+
+def _unpack_values(data: bytes, n: int) -> list[np.ndarray]:
+    fields = unpack_fields(data, *[np.float64, np.uint32] * n)
+    return [held[at] for held, at in zip(fields[::2], fields[1::2])]
+
+
 def _rows(batches):
     for batch in batches:
         yield from batch.to_pylist()
 
 
-def train_and_score(
-    docs: DataFrame, fold: int = 10, share: float = 0.0, mass: float = MASS, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Learn from rows whose crc32(id as text) mod ``fold`` is not 0 and score every row.
+_SENT = "block bigint, shard bigint, data binary"
+
+
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    block, shard, data = zip(*rows) if rows else ((), (), ())
+    return pa.record_batch({"block": pa.array(block, pa.int64()), "shard": pa.array(shard, pa.int64()), "data": pa.array(data, pa.binary())})
 
-    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; scores are log10. ``share`` was
-    the smallest frequency of an entry; it has no effect, as every n-gram is kept.
-    """
-    spark = docs.sparkSession
-    run = RunFolder(spark, "lm")
-    blocks = _blocks(docs, run, doc_id, text)
-    parts = partitions(spark)
 
-    shards = max(parts, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // SHARD_TOKENS))
+def _send_words(blocks: DataFrame, shards: int, fold: int) -> DataFrame:
+    """What each block holds of each shard's words, with their counts in training texts."""
 
-    def send_words(batches):
+    def send(batches):
         for row in _rows(batches):
             b, hashes = _Block(row), unpack(row["hashes"], np.uint64)
             n = np.bincount(b.codes[b.trained(fold)], minlength=len(hashes))
-            order, cuts = _dealt(hashes, shards)
-            use = np.flatnonzero(np.diff(cuts)).tolist()
-            mine = [order[cuts[s] : cuts[s + 1]] for s in use]
-            yield pa.record_batch(
-                {
-                    "block": pa.array(np.full(len(use), row["block"])),
-                    "shard": pa.array(use, pa.int64()),
-                    "words": pa.array([pack_fields(hashes[m], n[m]) for m in mine], pa.binary()),
-                }
-            )
+            order, use, cuts = _dealt(hashes, shards)
+            parts = [order[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+            yield _sent([(row["block"], s, pack_fields(hashes[m], n[m])) for s, m in zip(use.tolist(), parts)])
 
-    def count_words(table: pa.Table) -> pa.Table:
-        sent = [unpack_fields(x, np.uint64, np.int64) for x in table["words"].to_pylist()]
-        cuts = np.cumsum([0] + [len(x[0]) for x in sent])
-        held, at = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([x[1] for x in sent]), len(held)).astype(np.int64)
-        # numbers are small for frequent words, so that they pack well
-        number = np.empty(len(held), np.int64)
-        number[np.lexsort((held, -c))] = np.arange(len(held)) * shards + table["shard"][0].as_py()
-        once = np.arange(len(sent)) == 0
-        return pa.table(
-            {
-                "at": table["block"],
-                "shard": table["shard"],
-                "reply": pa.array([pack_fields(number[at[a:b]], c[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                "total": pa.array(np.where(once, c.sum(), 0)),
-                "words": pa.array(np.where(once, (c > 0).sum(), 0)),
-                "width": pa.array(np.full(len(sent), number.max() + 1)),
-            }
-        )
+    return blocks.mapInArrow(send, _SENT)
 
-    known = run.write(
-        blocks.mapInArrow(send_words, "block bigint, shard bigint, words binary")
-        .groupBy("shard")
-        .applyInArrow(count_words, "at bigint, shard bigint, reply binary, total bigint, words bigint, width bigint"),
-        "words",
-    )
-    total, distinct, width = (x or 0 for x in known.agg(F.sum("total"), F.sum("words"), F.max("width")).first())
-    if width >= 1 << 31:
-        raise ValueError("more than two thousand million different words")
-    below = total + FLOOR * (distinct + 1)
+
+def _number(blocks: DataFrame, replies: DataFrame, shards: int, run: RunFolder, buckets: int) -> DataFrame:
+    """Blocks with the number (-1: unknown) and the count of every word of their dictionary."""
 
     def number(block: pa.Table, replies: pa.Table) -> pa.Table:
-        order, cuts = _dealt(unpack(block["hashes"][0].as_py(), np.uint64), shards)
-        numbers, c = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
-        for s, reply in zip(replies["shard"].to_pylist(), replies["reply"].to_pylist()):
-            mine = order[cuts[s] : cuts[s + 1]]
-            numbers[mine], c[mine] = unpack_fields(reply, np.int64, np.int64)
+        order, use, cuts = _dealt(unpack(block["hashes"][0].as_py(), np.uint64), shards)
+        numbers, c = np.full(len(order), -1, np.int32), np.zeros(len(order), np.int64)
+        for s, reply in zip(replies["shard"].to_pylist(), replies["data"].to_pylist()):
+            i = int(np.searchsorted(use, s))
+            mine = order[cuts[i] : cuts[i + 1]]
+            numbers[mine], c[mine] = unpack_fields(reply, np.int32, np.int64)
         out = block.select(["block", "doc_id", "starts", "codes"])
         return out.append_column("numbers", pa.array([pack(numbers)], pa.binary())).append_column("counts", pa.array([pack(c)], pa.binary()))
 
-    numbered = run.write(
-        blocks.drop("tokens")
-        .repartition(parts, "block")
-        .groupBy("block")
-        .cogroup(known.select("at", "shard", "reply").repartition(parts, "at").groupBy("at"))
-        .applyInArrow(number, _NUMBERED),
-        "numbered",
-    )
+    found = blocks.drop("tokens").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(number, _NUMBERED)
+    return bucketed(found, run, "numbered", "block", buckets, dealt=True)
+
+
+def _send_grams(numbered: DataFrame, width: int, shards: int, fold: int) -> DataFrame:
+    """What each block holds of each shard's pairs and triples; a negative ``fold`` sends no counts."""
 
     def send(batches):
         for row in _rows(batches):
-            b = _Block(row)
+            b, c = _Block(row), unpack(row["counts"], np.int64)
             g = _Grams(b, unpack(row["numbers"], np.int32), width, shards)
-            trained = b.trained(fold)
-            n2 = np.bincount(g.pair[trained], minlength=len(g.pairs)).astype(np.int32)
-            n3 = np.bincount(g.triple[trained[g.long]], minlength=len(g.triples)).astype(np.int32)
-            use = np.flatnonzero(np.diff(g.cuts)).tolist()
-            grams = []
-            for s in use:
-                two, three = slice(*g.cuts[s : s + 2]), slice(*g.triple_cuts[s : s + 2])
-                triples = g.triples[three] - g.cuts[s] * width
-                grams.append(pack_fields(_pack_rising(g.pairs[two]), n2[two], _pack_rising(triples), n3[three]))
-            yield pa.record_batch(
-                {
-                    "block": pa.array(np.full(len(use), row["block"])),
-                    "shard": pa.array(use, pa.int64()),
-                    "grams": pa.array(grams, pa.binary()),
-                }
+            n2 = n3 = c2 = np.zeros(0, np.int32)
+            if fold > 0:
+                trained = b.trained(fold)
+                n2 = np.bincount(g.pair[trained], minlength=len(g.pairs)).astype(np.int32)
+                n3 = np.bincount(g.triple[trained[g.long]], minlength=len(g.triples)).astype(np.int32)
+                c2 = np.where(n2 > 0, c[g.context], 0)
+            yield _sent(
+                [
+                    (
+                        row["block"],
+                        s,
+                        pack_fields(_pack_rising(g.pairs[two]), n2[two], c2[two], _pack_rising(g.triples[three] - two.start * width), n3[three]),
+                    )
+                    for s, two, three in g.slices()
+                ]
             )
 
-    def answer(table: pa.Table) -> pa.Table:
-        sent = [unpack_fields(x, np.uint8, np.int32, np.uint8, np.int32) for x in table["grams"].to_pylist()]
-        pairs, triples = ([_unpack_rising(x[i]) for x in sent] for i in (0, 2))
-        two = np.cumsum([0] + [len(x) for x in pairs])
-        three = np.cumsum([0] + [len(x) for x in triples])
-        pairs, triples = np.concatenate(pairs), np.concatenate(triples)
-        n2, n3 = (np.concatenate([x[i] for x in sent]) for i in (1, 3))
-        mine = triples // width + np.repeat(two[:-1], np.diff(three))
-        trie, u, v, w = _shard(pairs, n2, mine, triples % width, n3, width, mass)
-        node = trie.find(0, u, v)
-        c2 = trie.count(0, node)
-        c3 = trie.count(1, trie.find(1, node[mine], w))
-        replies = [
-            pack_fields(c2[a:b], c3[c:d]) for a, b, c, d in zip(two[:-1], two[1:], three[:-1], three[1:])
-        ]
-        return pa.table({"at": table["block"], "shard": table["shard"], "reply": pa.array(replies, pa.binary())})
-
-    answers = (
-        numbered.mapInArrow(send, "block bigint, shard bigint, grams binary")
-        .groupBy("shard")
-        .applyInArrow(answer, "at bigint, shard bigint, reply binary")
-    )
+    return numbered.mapInArrow(send, _SENT)
+
+
+def _opened(data: bytes):
+    """Pairs, their counts, the counts of their first words, triples and their counts."""
+    pairs, n2, c, triples, n3 = unpack_fields(data, np.uint8, np.int32, np.int64, np.uint8, np.int32)
+    return _unpack_rising(pairs), n2, c, _unpack_rising(triples), n3
+
+
+def _answer(trie: Trie, data: bytes, width: int) -> bytes:
+    """Shares and rests of a block's pairs and shares of its triples, looked up in the trie of their shard."""
+    pairs, _, _, triples, _ = _opened(data)
+    held = lambda numbers: trie.words(numbers.astype(np.uint64))
+    node, share, _ = trie.child(0, held(pairs // width), held(pairs % width))
+    _, longer, _ = trie.child(1, node[triples // width], held(triples % width))
+    return _pack_values(share, trie.rest(1, node), longer)
+
+
+def _shard(sent: list[bytes], width: int, mass: float) -> bytes:
+    """The trie of one shard from what all blocks sent."""
+    opened = [_opened(data) for data in sent]
+    size = np.cumsum([0] + [len(x[0]) for x in opened])
+    pairs, n2, c, _, n3 = (np.concatenate([x[i] for x in opened]) for i in range(5))
+    mine = np.concatenate([x[3] // width + begin for x, begin in zip(opened, size[:-1])])
+    third = np.concatenate([x[3] % width for x in opened])
+    held, at = np.unique(pairs[n2 > 0], return_inverse=True)
+    node = np.full(len(pairs), -1, np.int64)
+    node[n2 > 0] = at
+    count = np.bincount(at, n2[n2 > 0], len(held)).astype(np.int64)
+    node, third, n3 = node[mine][n3 > 0], third[n3 > 0], n3[n3 > 0]
+    words, local = np.unique(np.r_[held // width, held % width, third], return_inverse=True)
+    first, second, last = np.split(local, [len(held), 2 * len(held)])
+    above = np.zeros(len(words), np.int64)
+    np.maximum.at(above, first[at], c[n2 > 0])
+    key, back = np.unique(node << 32 | last, return_inverse=True)
+    total = np.bincount(back, n3, len(key)).astype(np.int64)
+    return Trie.build(words.astype(np.uint64), above, [(first, second, count), (key >> 32, key & 0xFFFFFFFF, total)], mass)
+
+
+def _scores(numbered: DataFrame, answers: DataFrame, fold: int, shards: int, width: int, total: int, distinct: int, mass: float) -> DataFrame:
+    below = total + FLOOR * (distinct + 1)
 
     def score(block: pa.Table, replies: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         b, c = _Block(row), unpack(row["counts"], np.int64)
         g = _Grams(b, unpack(row["numbers"], np.int32), width, shards)
-        c2, c3 = np.zeros(len(g.pairs), np.int64), np.zeros(len(g.triples), np.int64)
-        for s, reply in zip(replies["shard"].to_pylist(), replies["reply"].to_pylist()):
-            two, three = unpack_fields(reply, np.int64, np.int64)
-            c2[g.cuts[s] : g.cuts[s + 1]], c3[g.triple_cuts[s] : g.triple_cuts[s + 1]] = two, three
+        share, rest, longer = np.zeros(len(g.pairs)), np.ones(len(g.pairs)), np.zeros(len(g.triples))
+        places = {s: (two, three) for s, two, three in g.slices()}
+        for s, reply in zip(replies["shard"].to_pylist(), replies["data"].to_pylist()):
+            two, three = places[s]
+            share[two], rest[two], longer[three] = _unpack_values(reply, 3)
         base = (c + FLOOR) / below
-        before = np.r_[0, b.codes[:-1]][: len(b.codes)]
-        before[b.starts[:-1]] = 0
-        p = (c2[g.pair] + mass * base[b.codes]) / (c[before] + mass)
-        p[g.long] = (c3[g.triple] + mass * p[g.long]) / (c2[g.pair[g.long - 1]] + mass)
+        p = share[g.pair] + mass / (c[b.before()] + mass) * base[b.codes]
+        p[g.long] = longer[g.triple] + rest[g.pair[g.long - 1]] * p[g.long]
         add = lambda x: np.add.reduceat(x, b.starts[:-1]) if len(b.n) else x[:0]
         return pa.table(
             {
@@ -428,9 +449,8 @@ def train_and_score(
         )
 
     return (
-        numbered.repartition(parts, "block")
-        .groupBy("block")
-        .cogroup(answers.repartition(parts, "at").groupBy("at"))
+        numbered.groupBy("block")
+        .cogroup(answers.groupBy("block"))
         .applyInArrow(
             score,
             "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint,"
@@ -439,22 +459,130 @@ def train_and_score(
     )
 
 
-def _shard(pairs, n2, mine, third, n3, width, mass):
-    """The trie of one shard from what all blocks sent, and the word numbers of it that they ask for.
+# --- models ------------------------------------------------------------------------------------------
+
+
+class NgramModel:
+    """A model in its folder: ``words`` and ``grams`` hold one packed part per shard, ``totals`` one row of sums."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder = folder.rstrip("/")
+        self.words, self.grams = (spark.read.parquet(f"{self.folder}/{name}") for name in ("words", "grams"))
+        self.grams = self.grams.where("block is null")
+        self.totals = spark.read.parquet(f"{self.folder}/totals").first().asDict()
+
+    def error(self) -> float:
+        """The largest error of a stored share or rest, in log10."""
+        return self.grams.agg(F.max("error")).first()[0] or 0.0
+
+    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """What :func:`train_and_score` returns, for texts that need not be those the model learnt from."""
+        run, t = RunFolder(docs.sparkSession, "lm-score"), self.totals
+        shards, width = t["shards"], t["width"]
+        blocks, buckets = _blocks(docs, run, doc_id, text)
+
+        def find_words(asked: pa.Table, held: pa.Table) -> pa.Table:
+            hashes, numbers, counts = (np.concatenate(x) for x in zip(*(unpack_fields(d, np.uint64, np.int32, np.int64) for d in [*held["data"].to_pylist(), pack_fields(*[np.zeros(0, np.uint8)] * 3)])))
+            out = []
+            for data in asked["data"].to_pylist():
+                ask = unpack_fields(data, np.uint64, np.int64)[0]
+                at = np.minimum(np.searchsorted(hashes, ask), max(len(hashes) - 1, 0))
+                hit = hashes[at] == ask if len(hashes) else np.zeros(len(ask), bool)
+                number, count = np.full(len(ask), -1, np.int32), np.zeros(len(ask), np.int64)
+                number[hit], count[hit] = numbers[at[hit]], counts[at[hit]]
+                out.append(pack_fields(number, count))
+            return asked.set_column(2, "data", pa.array(out, pa.binary()))
+
+        def find_grams(asked: pa.Table, held: pa.Table) -> pa.Table:
+            tries = [Trie(x) for x in held["data"].to_pylist()]
+            if not tries:
+                return asked.slice(0, 0)
+            return asked.set_column(2, "data", pa.array([_answer(tries[0], x, width) for x in asked["data"].to_pylist()], pa.binary()))
+
+        found = _send_words(blocks, shards, t["fold"]).groupBy("shard").cogroup(self.words.groupBy("shard")).applyInArrow(find_words, _SENT)
+        numbered = _number(blocks, found, shards, run, buckets)
+        asked = _send_grams(numbered, width, shards, -1).groupBy("shard")
+        answers = asked.cogroup(self.grams.select("shard", "data").groupBy("shard")).applyInArrow(find_grams, _SENT)
+        return _scores(numbered, answers, t["fold"], shards, width, t["total"], t["distinct"], t["mass"])
+
+
+def _learn(docs: DataFrame, folder: str | None, fold: int, mass: float, doc_id: str, text: str, reply: bool):
+    """The model, the numbered blocks, and, with ``reply``, what the tries answer to each block."""
+    spark = docs.sparkSession
+    run = RunFolder(spark, "lm", folder)
+    blocks, buckets = _blocks(docs, run, doc_id, text)
+    shards = max(partitions(spark), -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // SHARD_TOKENS))
+
+    def count_words(table: pa.Table) -> pa.Table:
+        sent = [unpack_fields(x, np.uint64, np.int64) for x in table["data"].to_pylist()]
+        cuts = np.cumsum([0] + [len(x[0]) for x in sent])
+        held, at = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([x[1] for x in sent]), len(held)).astype(np.int64)
+        # numbers are small for frequent words, so that they pack well
+        number = np.empty(len(held), np.int64)
+        number[np.lexsort((held, -c))] = np.arange(len(held)) * shards + table["shard"][0].as_py()
+        number[c == 0] = -1
+        known = c > 0
+        packed = np.minimum(number, (1 << 31) - 1).astype(np.int32)
+        data = [pack_fields(packed[at[a:b]], c[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        none = [None] * len(sent)
+        return pa.table(
+            {
+                "block": pa.array([None, *table["block"].to_pylist()], pa.int64()),
+                "shard": pa.array([table["shard"][0].as_py()] * (len(sent) + 1), pa.int64()),
+                "data": pa.array([pack_fields(held[known], packed[known], c[known]), *data], pa.binary()),
+                "total": pa.array([int(c.sum()), *none], pa.int64()),
+                "words": pa.array([int(known.sum()), *none], pa.int64()),
+                "width": pa.array([int(number.max()) + 1, *none], pa.int64()),
+            }
+        )
+
+    known = run.write(
+        _send_words(blocks, shards, fold).groupBy("shard").applyInArrow(count_words, f"{_SENT}, total bigint, words bigint, width bigint"),
+        "replies",
+    )
+    total, distinct, width = (x or 0 for x in known.agg(F.sum("total"), F.sum("words"), F.max("width")).first())
+    width += 1  # the last number is that of all unknown words
+    if width >= 1 << 31:
+        raise ValueError("more than two thousand million different words")
+    run.write(known.where("block is null").select("shard", "data"), "words")
+    numbered = _number(blocks, known.where("block is not null").select("block", "shard", "data"), shards, run, buckets)
+    run.drop("replies")
+    run.drop("blocks")
+
+    def answer(table: pa.Table) -> pa.Table:
+        sent = table["data"].to_pylist()
+        data = _shard(sent, width, mass)
+        trie = Trie(data)
+        replies = [_answer(trie, x, width) for x in sent] if reply else []
+        return pa.table(
+            {
+                "block": pa.array([None, *(table["block"].to_pylist() if reply else [])], pa.int64()),
+                "shard": pa.array([table["shard"][0].as_py()] * (len(replies) + 1), pa.int64()),
+                "data": pa.array([data, *replies], pa.binary()),
+                "error": pa.array([trie.error, *[None] * len(replies)], pa.float64()),
+            }
+        )
+
+    grams = run.write(_send_grams(numbered, width, shards, fold).groupBy("shard").applyInArrow(answer, f"{_SENT}, error double"), "grams")
+    totals = (total, distinct, width, shards, fold, mass)
+    run.write(spark.createDataFrame([totals], "total bigint, distinct bigint, width bigint, shards bigint, fold bigint, mass double"), "totals")
+    return NgramModel(spark, run.path), numbered, grams.where("block is not null").select("block", "shard", "data")
+
+
+def train(docs: DataFrame, folder: str | None = None, fold: int = 10, mass: float = MASS, doc_id: str = "doc_id", text: str = "text") -> NgramModel:
+    """Learn from rows whose crc32(id as text) mod ``fold`` is not 0; the model stays in ``folder``."""
+    return _learn(docs, folder, fold, mass, doc_id, text, False)[0]
+
 
-    ``mine`` is the place in ``pairs`` of the pair that a triple begins with, ``third`` its last word.
+def train_and_score(
+    docs: DataFrame, fold: int = 10, mass: float = MASS, doc_id: str = "doc_id", text: str = "text", folder: str | None = None
+) -> DataFrame:
+    """Learn from rows whose crc32(id as text) mod ``fold`` is not 0 and score every row.
+
+    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; scores are log10. The model can be
+    read from ``folder`` afterwards.
     """
-    held, at = np.unique(pairs, return_inverse=True)
-    words, local = np.unique(np.r_[held // width, held % width, third], return_inverse=True)
-    first, second, last = np.split(local, [len(held), 2 * len(held)])
-    count = np.bincount(at, n2, len(held)).astype(np.int64)
-    seen = count > 0
-    node = np.cumsum(seen) - 1
-    level2 = (first[seen], second[seen], count[seen])
-    key, back = np.unique(at[mine] << 32 | last, return_inverse=True)
-    count = np.bincount(back, n3, len(key)).astype(np.int64)
-    key, count = key[count > 0], count[count > 0]
-    level3 = (node[key >> 32], key & 0xFFFFFFFF, count)
-    above = np.bincount(level2[0], level2[2], len(words)).astype(np.int64)
-    trie = Trie(Trie.build(words, above, [level2, level3], mass))
-    return trie, first[at], second[at], last
+    model, numbered, answers = _learn(docs, folder, fold, mass, doc_id, text, True)
+    t = model.totals
+    return _scores(numbered, answers, fold, t["shards"], t["width"], t["total"], t["distinct"], mass)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Sequence
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.session import RunFolder
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -19,6 +22,30 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+# Spark's own limit for the buckets of a table.
+MOST_BUCKETS = 100_000
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """Buckets for rows that a scan gives: as many as it has partitions, or a shuffle would have."""
+    return max(partitions(rows.sparkSession), min(rows.rdd.getNumPartitions(), MOST_BUCKETS))
+
+
+def bucketed(rows: DataFrame, run: RunFolder, name: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
+    """A written table that lies by ``key``, so that groups by it meet other rows without being moved again.
+
+    ``dealt``: the rows come from groups by the same key in as many buckets, and need no shuffle either. The name
+    in the catalogue is given up at once; the files stay.
+    """
+    spark = rows.sparkSession
+    held = f"{name}_{uuid.uuid4().hex}"
+    (rows if dealt else rows.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", f"{run.path}/{name}").saveAsTable(held)
+    table = spark.table(held)
+    table.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {held}")
+    return table
+
+
 def remainder(doc_ids: Sequence[int | None], divisor: int) -> np.ndarray:
     """crc32 of each id as text, modulo ``divisor``; -1 for a null id."""
     return np.array([-1 if i is None else zlib.crc32(str(i).encode()) % divisor for i in doc_ids], np.int64)
