@@ -15,7 +15,7 @@ of a text has the end token before it and no longer context.
 Levels are memory-mapped files of Elias-Fano sequences: children of a node are words made monotone by
 adding the last value of the node before, pointers are monotone as they are, and a word is found by successor
 search relative to its context. Shares and rests are quantised: 16 bits into a codebook for each level of a shard.
-A level of no more than 65,536 different values is exact; else neighbours share a code, and the largest error, in
+A level of no more than 65,535 different values is exact; else neighbours share a code, and the largest error, in
 log10, stands beside the shard (``NgramModel.error``).
 
 Defined results: null and empty texts are one end token; texts with a null id are trained on and not
@@ -39,9 +39,9 @@ from topicloom.session import RunFolder
 
 MASS = 20.0
 FLOOR = 0.1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 SHARD_TOKENS = 500_000
-CODES = 1 << 16
+CODES = (1 << 16) - 1  # the code 0 is left for what is absent
 END = np.uint64(1)
 
 
@@ -72,33 +72,48 @@ class EliasFano:
         # eight bytes from every byte on, so that up to 57 low bits are read at once
         self.words = np.lib.stride_tricks.as_strided(lows[:8].view(np.uint64), (len(lows) - 7,), (1,))
 
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        at = np.asarray(at, np.int64)
-        word = np.searchsorted(self.ranks, at, "right") - 1
-        left = (at - self.ranks[word]).astype(np.int64)
-        bits, place = self.highs[word], np.zeros(len(at), np.int64)
+        self.zeros = np.arange(len(ranks)) * 64 - ranks
+
+    @staticmethod
+    def _select(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Place of the one in each word that has ``left`` ones before it."""
+        place = np.zeros(len(left), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
             mask = np.uint64((1 << half) - 1)
             ones = np.bitwise_count((bits >> place.astype(np.uint64)) & mask).astype(np.int64)
             right = left >= ones
-            left -= np.where(right, ones, 0)
+            left = left - np.where(right, ones, 0)
             place += np.where(right, half, 0)
-        high = word * 64 + place - at
+        return place
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        at = np.asarray(at, np.int64)
+        word = np.searchsorted(self.ranks, at, "right") - 1
+        high = word * 64 + self._select(self.highs[word], at - self.ranks[word]) - at
         begin = at * self.low
         low = (self.words[begin >> 3] >> (begin & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.low) - 1)
         return (high << self.low) | low
 
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many elements have high bits of at most ``high``: the ones before that zero."""
+        out = np.where(high < 0, 0, self.n)
+        ask = np.flatnonzero((high >= 0) & (high < self.zeros[-1]))
+        word = np.searchsorted(self.zeros, high[ask], "right") - 1
+        out[ask] = word * 64 + self._select(~self.highs[word], high[ask] - self.zeros[word]) - high[ask]
+        return out
+
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Place of the first element >= value in [begin, end)."""
-        begin, end = begin.copy(), end.copy()
+        """Place of the first element >= value in [begin, end): among those that share its high bits."""
+        high = value >> self.low
+        left, right = np.clip(self._below(high - 1), begin, end), np.clip(self._below(high), begin, end)
         while True:
-            open_ = np.flatnonzero(begin < end)
+            open_ = np.flatnonzero(left < right)
             if not len(open_):
-                return begin
-            middle = (begin[open_] + end[open_]) // 2
+                return left
+            middle = (left[open_] + right[open_]) // 2
             less = self[middle] < value[open_]
-            begin[open_[less]] = middle[less] + 1
-            end[open_[~less]] = middle[~less]
+            left[open_[less]] = middle[less] + 1
+            right[open_[~less]] = middle[~less]
 
 
 def quantise(values: np.ndarray, size: int = CODES) -> tuple[np.ndarray, np.ndarray, float]:
@@ -175,20 +190,26 @@ class Trie:
             child[ask[hit]] = at[hit]
         return child
 
-    def rest(self, level: int, node: np.ndarray) -> np.ndarray:
-        """What each context of a level leaves to the shorter one; all of it if it is not held."""
-        _, _, _, _, book, code, _ = self.levels[level]
-        left, known = np.ones(len(node)), np.flatnonzero(node >= 0)
-        left[known] = book[code[node[known]]]
-        return left
+    def shares(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codebook, with 0 for what is absent, and the code of each node below a level."""
+        return np.r_[0.0, self.levels[level][2]], self.levels[level][3]
+
+    def rests(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codebook, with 1 for what is absent, and the code of each context of a level."""
+        return np.r_[1.0, self.levels[level][4]], self.levels[level][5]
 
     def child(self, level: int, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Child node (-1 if absent), its share, and what the context leaves to a shorter one."""
-        _, _, book, code, *_ = self.levels[level]
         child = self.find(level, node, word)
-        share, known = np.zeros(len(node)), np.flatnonzero(child >= 0)
-        share[known] = book[code[child[known]]]
-        return child, share, self.rest(level, node)
+        (share, of), (rest, rest_of) = self.shares(level), self.rests(level)
+        return child, share[_coded(of, child)], rest[_coded(rest_of, node)]
+
+
+def _coded(codes: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Places in a codebook; -1 is at 0."""
+    out, known = np.zeros(len(node), np.uint16), np.flatnonzero(node >= 0)
+    out[known] = codes[node[known]] + np.uint16(1)
+    return out
 
 
 # --- blocks of texts ---------------------------------------------------------------------------------
@@ -271,19 +292,22 @@ class _Grams:
     def __init__(self, b: _Block, numbers: np.ndarray, width: int, shards: int):
         self.numbers = np.where(numbers < 0, width - 1, numbers).astype(np.int64)
         w = self.numbers[b.codes]
-        before = b.before()
-        pairs, first, at = np.unique(self.numbers[before] * width + w, return_index=True, return_inverse=True)
+        pairs, at = np.unique(self.numbers[b.before()] * width + w, return_inverse=True)
         order, self.use, self.cuts = _dealt(pairs, shards)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pairs, self.pair = pairs[order], place[at]
-        self.context = before[first][order]  # the code of each pair's first word
         inner = np.ones(len(w), bool)
         inner[b.starts[:-1]] = False
         self.long = np.flatnonzero(inner)
         self.triples, self.triple = np.unique(self.pair[self.long - 1] * width + w[self.long], return_inverse=True)
         self.triple_cuts = np.searchsorted(self.triples, self.cuts * width)
 
+    def contexts(self, width: int) -> np.ndarray:
+        """The code of each pair's first word, if the model knows it."""
+        order = np.argsort(self.numbers, kind="stable")
+        return order[np.searchsorted(self.numbers[order], self.pairs // width)]
+
     def slices(self):
         """Shard, its pairs and its triples, for every shard that occurs."""
         for i, shard in enumerate(self.use.tolist()):
@@ -299,17 +323,18 @@ def _unpack_rising(data: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view(np.int64).ravel())
 
 
-def _pack_values(*arrays: np.ndarray) -> bytes:
-    """Arrays of few different values."""
+def _pack_values(*coded: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Values as codebook and codes, each with the part of the codebook that occurs."""
     fields = []
-    for a in arrays:
-        held, at = np.unique(a, return_inverse=True)
-        fields += [held, at.astype(np.uint32)]
+    for book, codes in coded:
+        seen = np.zeros(len(book), bool)
+        seen[codes] = True
+        fields += [book[seen], (np.cumsum(seen) - 1)[codes].astype(np.uint16)]
     return pack_fields(*fields)
 
 
 def _unpack_values(data: bytes, n: int) -> list[np.ndarray]:
-    fields = unpack_fields(data, *[np.float64, np.uint32] * n)
+    fields = unpack_fields(data, *[np.float64, np.uint16] * n)
     return [held[at] for held, at in zip(fields[::2], fields[1::2])]
 
 
@@ -369,7 +394,7 @@ def _send_grams(numbered: DataFrame, width: int, shards: int, fold: int) -> Data
                 trained = b.trained(fold)
                 n2 = np.bincount(g.pair[trained], minlength=len(g.pairs)).astype(np.int32)
                 n3 = np.bincount(g.triple[trained[g.long]], minlength=len(g.triples)).astype(np.int32)
-                c2 = np.where(n2 > 0, c[g.context], 0)
+                c2 = np.where(n2 > 0, c[g.contexts(width)], 0)
             yield _sent(
                 [
                     (
@@ -384,40 +409,47 @@ def _send_grams(numbered: DataFrame, width: int, shards: int, fold: int) -> Data
     return numbered.mapInArrow(send, _SENT)
 
 
-def _opened(data: bytes):
-    """Pairs, their counts, the counts of their first words, triples and their counts."""
-    pairs, n2, c, triples, n3 = unpack_fields(data, np.uint8, np.int32, np.int64, np.uint8, np.int32)
-    return _unpack_rising(pairs), n2, c, _unpack_rising(triples), n3
-
-
-def _answer(trie: Trie, data: bytes, width: int) -> bytes:
-    """Shares and rests of a block's pairs and shares of its triples, looked up in the trie of their shard."""
-    pairs, _, _, triples, _ = _opened(data)
-    held = lambda numbers: trie.words(numbers.astype(np.uint64))
-    node, share, _ = trie.child(0, held(pairs // width), held(pairs % width))
-    _, longer, _ = trie.child(1, node[triples // width], held(triples % width))
-    return _pack_values(share, trie.rest(1, node), longer)
-
-
-def _shard(sent: list[bytes], width: int, mass: float) -> bytes:
-    """The trie of one shard from what all blocks sent."""
-    opened = [_opened(data) for data in sent]
-    size = np.cumsum([0] + [len(x[0]) for x in opened])
-    pairs, n2, c, _, n3 = (np.concatenate([x[i] for x in opened]) for i in range(5))
-    mine = np.concatenate([x[3] // width + begin for x, begin in zip(opened, size[:-1])])
-    third = np.concatenate([x[3] % width for x in opened])
-    held, at = np.unique(pairs[n2 > 0], return_inverse=True)
-    node = np.full(len(pairs), -1, np.int64)
-    node[n2 > 0] = at
-    count = np.bincount(at, n2[n2 > 0], len(held)).astype(np.int64)
-    node, third, n3 = node[mine][n3 > 0], third[n3 > 0], n3[n3 > 0]
-    words, local = np.unique(np.r_[held // width, held % width, third], return_inverse=True)
-    first, second, last = np.split(local, [len(held), 2 * len(held)])
-    above = np.zeros(len(words), np.int64)
-    np.maximum.at(above, first[at], c[n2 > 0])
-    key, back = np.unique(node << 32 | last, return_inverse=True)
-    total = np.bincount(back, n3, len(key)).astype(np.int64)
-    return Trie.build(words.astype(np.uint64), above, [(first, second, count), (key >> 32, key & 0xFFFFFFFF, total)], mass)
+class _Shard:
+    """What all blocks sent to one shard: its different pairs and triples, and where each block has them."""
+
+    def __init__(self, sent: list[bytes], width: int):
+        opened = [unpack_fields(data, np.uint8, np.int32, np.int64, np.uint8, np.int32) for data in sent]
+        pairs, triples = ([_unpack_rising(x[i]) for x in opened] for i in (0, 3))
+        self.two, self.three = (np.cumsum([0] + [len(x) for x in y]) for y in (pairs, triples))
+        self.n2, self.c, self.n3 = (np.concatenate([x[i] for x in opened]) for i in (1, 2, 4))
+        mine = np.concatenate([x // width + begin for x, begin in zip(triples, self.two[:-1])])
+        third = np.concatenate([x % width for x in triples])
+        pairs, self.pair = np.unique(np.concatenate(pairs), return_inverse=True)
+        self.first, self.second = pairs // width, pairs % width
+        triples, self.triple = np.unique(self.pair[mine] * width + third, return_inverse=True)
+        self.of, self.third = triples // width, triples % width
+
+    def build(self, mass: float) -> bytes:
+        """The trie of what occurs in training texts."""
+        count2 = np.bincount(self.pair, self.n2, len(self.first)).astype(np.int64)
+        count3 = np.bincount(self.triple, self.n3, len(self.of)).astype(np.int64)
+        context = np.zeros(len(self.first), np.int64)
+        np.maximum.at(context, self.pair, self.c)
+        two, three = count2 > 0, count3 > 0
+        node = np.cumsum(two) - 1
+        words, local = np.unique(np.r_[self.first[two], self.second[two], self.third[three]], return_inverse=True)
+        first, second, last = np.split(local, [two.sum(), 2 * two.sum()])
+        above = np.zeros(len(words), np.int64)
+        above[first] = context[two]
+        levels = [(first, second, count2[two]), (node[self.of[three]], last, count3[three])]
+        return Trie.build(words.astype(np.uint64), above, levels, mass)
+
+    def answers(self, trie: Trie) -> list[bytes]:
+        """For each block the shares and rests of its pairs and the shares of its triples, looked up in the trie."""
+        held = lambda numbers: trie.words(numbers.astype(np.uint64))
+        node = trie.find(0, held(self.first), held(self.second))
+        leaf = trie.find(1, node[self.of], held(self.third))
+        (share, of), (rest, rest_of), (longer, longer_of) = trie.shares(0), trie.rests(1), trie.shares(1)
+        share_at, rest_at, longer_at = _coded(of, node)[self.pair], _coded(rest_of, node)[self.pair], _coded(longer_of, leaf)[self.triple]
+        return [
+            _pack_values((share, share_at[a:b]), (rest, rest_at[a:b]), (longer, longer_at[c:d]))
+            for a, b, c, d in zip(self.two[:-1], self.two[1:], self.three[:-1], self.three[1:])
+        ]
 
 
 def _scores(numbered: DataFrame, answers: DataFrame, fold: int, shards: int, width: int, total: int, distinct: int, mass: float) -> DataFrame:
@@ -495,9 +527,9 @@ class NgramModel:
 
         def find_grams(asked: pa.Table, held: pa.Table) -> pa.Table:
             tries = [Trie(x) for x in held["data"].to_pylist()]
-            if not tries:
+            if not tries or not asked.num_rows:
                 return asked.slice(0, 0)
-            return asked.set_column(2, "data", pa.array([_answer(tries[0], x, width) for x in asked["data"].to_pylist()], pa.binary()))
+            return asked.set_column(2, "data", pa.array(_Shard(asked["data"].to_pylist(), width).answers(tries[0]), pa.binary()))
 
         found = _send_words(blocks, shards, t["fold"]).groupBy("shard").cogroup(self.words.groupBy("shard")).applyInArrow(find_words, _SENT)
         numbered = _number(blocks, found, shards, run, buckets)
@@ -551,10 +583,10 @@ def _learn(docs: DataFrame, folder: str | None, fold: int, mass: float, doc_id:
     run.drop("blocks")
 
     def answer(table: pa.Table) -> pa.Table:
-        sent = table["data"].to_pylist()
-        data = _shard(sent, width, mass)
+        part = _Shard(table["data"].to_pylist(), width)
+        data = part.build(mass)
         trie = Trie(data)
-        replies = [_answer(trie, x, width) for x in sent] if reply else []
+        replies = part.answers(trie) if reply else []
         return pa.table(
             {
                 "block": pa.array([None, *(table["block"].to_pylist() if reply else [])], pa.int64()),
