@@ -39,8 +39,10 @@ from topicloom.session import RunFolder
 
 MASS = 20.0
 FLOOR = 0.1
-BLOCK_BYTES = 5 << 20
-SHARD_TOKENS = 500_000
+BLOCK_BYTES = 3 << 20
+SHARD_TOKENS = 300_000
+# Rows that go back to Spark at once.
+REPLIES = 16
 CODES = (1 << 16) - 1  # the code 0 is left for what is absent
 END = np.uint64(1)
 
@@ -395,16 +397,18 @@ def _send_grams(numbered: DataFrame, width: int, shards: int, fold: int) -> Data
                 n2 = np.bincount(g.pair[trained], minlength=len(g.pairs)).astype(np.int32)
                 n3 = np.bincount(g.triple[trained[g.long]], minlength=len(g.triples)).astype(np.int32)
                 c2 = np.where(n2 > 0, c[g.contexts(width)], 0)
-            yield _sent(
-                [
-                    (
-                        row["block"],
-                        s,
-                        pack_fields(_pack_rising(g.pairs[two]), n2[two], c2[two], _pack_rising(g.triples[three] - two.start * width), n3[three]),
-                    )
-                    for s, two, three in g.slices()
-                ]
-            )
+            slices = list(g.slices())
+            for i in range(0, len(slices), REPLIES):
+                yield _sent(
+                    [
+                        (
+                            row["block"],
+                            s,
+                            pack_fields(_pack_rising(g.pairs[two]), n2[two], c2[two], _pack_rising(g.triples[three] - two.start * width), n3[three]),
+                        )
+                        for s, two, three in slices[i : i + REPLIES]
+                    ]
+                )
 
     return numbered.mapInArrow(send, _SENT)
 
@@ -587,13 +591,23 @@ def _learn(docs: DataFrame, folder: str | None, fold: int, mass: float, doc_id:
         data = part.build(mass)
         trie = Trie(data)
         replies = part.answers(trie) if reply else []
-        return pa.table(
-            {
-                "block": pa.array([None, *(table["block"].to_pylist() if reply else [])], pa.int64()),
-                "shard": pa.array([table["shard"][0].as_py()] * (len(replies) + 1), pa.int64()),
-                "data": pa.array([data, *replies], pa.binary()),
-                "error": pa.array([trie.error, *[None] * len(replies)], pa.float64()),
-            }
+        shard, blocks = table["shard"][0].as_py(), table["block"].to_pylist() if reply else []
+        parts = [([None], [data], [trie.error])]
+        for i in range(0, len(replies), REPLIES):
+            some = replies[i : i + REPLIES]
+            parts.append((blocks[i : i + REPLIES], some, [None] * len(some)))
+        return pa.Table.from_batches(
+            [
+                pa.record_batch(
+                    {
+                        "block": pa.array(block, pa.int64()),
+                        "shard": pa.array([shard] * len(block), pa.int64()),
+                        "data": pa.array(values, pa.binary()),
+                        "error": pa.array(error, pa.float64()),
+                    }
+                )
+                for block, values, error in parts
+            ]
         )
 
     grams = run.write(_send_grams(numbered, width, shards, fold).groupBy("shard").applyInArrow(answer, f"{_SENT}, error double"), "grams")
