@@ -330,6 +330,69 @@ def test_embeddings(spark, monkeypatch):
     assert all((found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True) for i, _ in odd)
 
 
+def clustered(rng, centres, each, size, noise):
+    x = np.repeat(rng.normal(size=(centres, size)), each, axis=0)
+    return (x + rng.normal(size=x.shape) * noise).astype(np.float32).astype(float)
+
+
+def brute_links(x, cosine=0.9):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= cosine
+    np.fill_diagonal(links, False)
+    return links
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.1, 0.35])
+def test_dual_traversal_prunes_and_stays_exact(noise):
+    """Clusters that are tight, at the threshold and loose; a tree with itself and with another."""
+    x = clustered(np.random.default_rng(4), 60, 30, 16, noise)
+    links = brute_links(x)
+    build = lambda rows: embedding_pairs.CoverTree.build(embedding_pairs._units(rows))
+    whole = build(x)
+    for radius_level in whole.levels[:-1]:
+        assert radius_level[0][-1] == len(x) and (np.diff(radius_level[0]) > 0).all()
+    one = np.ones(len(x), np.int64)
+    found = embedding_pairs._Links(whole, whole, one, one)
+    looked = embedding_pairs.dual_traversal(whole, whole, 0.9, found)
+    assert (found.degree == links.sum(1)[whole.order]).all()
+    assert noise > 0.1 or looked < len(x) ** 2 / 8
+    order = whole.order[found.label]
+    label = np.array(union_find(len(x), list(zip(*np.nonzero(links)))))
+    assert (label[whole.order] == label[order]).all() and len(set(found.label.tolist())) == len(set(label.tolist()))
+    a, b = build(x[::2]), build(x[1::2])
+    half = np.ones(len(x) // 2, np.int64)
+    found = embedding_pairs._Links(a, b, half, 3 * half)
+    embedding_pairs.dual_traversal(a, b, 0.9, found)
+    across = links[::2, 1::2]
+    assert (found.degree == np.r_[3 * across.sum(1)[a.order], across.sum(0)[b.order]]).all()
+
+
+def test_embeddings_at_cell_borders(spark, monkeypatch):
+    """Many cells and parts, repeated vectors and ids, other lengths, a pair exactly at the threshold."""
+    monkeypatch.setattr(embedding_pairs, "CHUNK", 25)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([clustered(rng, 12, 20, 6, 0.3), clustered(rng, 1, 60, 6, 0.02)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1000, rows[7][1]), (1001, rows[7][1]), (7, rows[100][1])]
+    rows += [(2000 + i, v.tolist()) for i, v in enumerate(clustered(rng, 3, 10, 4, 0.1))]
+    # powers of two: parallel vectors are equal in direction without rounding
+    rows += [(3000, [3.0, 4.0]), (3001, [24.0, 32.0]), (3002, [-3.0, -4.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    edges, degree = [], [0] * len(rows)
+    for size in (6, 4, 2):
+        at = [i for i, r in enumerate(rows) if len(r[1]) == size]
+        for i, j in zip(*np.nonzero(brute_links(np.array([rows[i][1] for i in at])))):
+            edges.append((at[i], at[j]))
+            degree[at[i]] += 1
+    label = union_find(len(rows), edges)
+    least = {}
+    for (vec_id, _), c in zip(rows, label):
+        least[c] = min(vec_id, least.get(c, vec_id))
+    expected = sorted((r[0], n, least[c]) for r, n, c in zip(rows, degree, label))
+    found = embedding_pairs.vector_links(frame).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == expected
+
+
 def test_decontamination(spark, docs, rows):
     long = words(rows[5][1] or "", PLAIN)
     items = [(1, rows[31][1]), (2, "one"), (3, None), (4, ""), (5, " ".join(w.decode() for w in long[:9])), (6, "MIT license"), (7, rows[35][1])]
