@@ -153,7 +153,7 @@ class Trie:
         head = np.array([(a.nbytes, np.dtype(a.dtype).num) for a in out], np.int64)
         return np.array([len(out)], np.int64).tobytes() + head.tobytes() + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in out)
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | np.ndarray):
         self.file = tempfile.TemporaryFile()
         self.file.write(data)
         self.file.flush()
@@ -214,6 +214,15 @@ def _coded(codes: np.ndarray, node: np.ndarray) -> np.ndarray:
     return out
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all values, then the next ones: small numbers compress well like that."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.ravel() if len(values) else np.zeros(0, np.uint8)
+
+
+def _values(planes: np.ndarray, dtype) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 # --- blocks of texts ---------------------------------------------------------------------------------
 
 _BLOCK = "block bigint, doc_id array<bigint>, tokens bigint, starts binary, codes binary, hashes binary"
@@ -247,7 +256,7 @@ def _blocks(docs: DataFrame, run: RunFolder, doc_id: str, text: str) -> tuple[Da
                         "doc_id": pa.array([part["doc_id"].to_pylist()], pa.list_(pa.int64())),
                         "tokens": pa.array([len(sequence)], pa.int64()),
                         "starts": pa.array([pack(np.r_[0, ends + 1])], pa.binary()),
-                        "codes": pa.array([pack(sequence)], pa.binary()),
+                        "codes": pa.array([pack(_planes(sequence))], pa.binary()),
                         "hashes": pa.array([pack(np.r_[hashes[:1], hashes[1:][order]])], pa.binary()),
                     }
                 )
@@ -262,7 +271,7 @@ class _Block:
     def __init__(self, row: dict):
         self.doc_id = row["doc_id"]
         self.starts = unpack(row["starts"], np.int64)
-        self.codes = unpack(row["codes"], np.int32)
+        self.codes = _values(unpack(row["codes"], np.uint8), np.int32)
         self.n = np.diff(self.starts)
 
     def before(self) -> np.ndarray:
@@ -331,13 +340,13 @@ def _pack_values(*coded: tuple[np.ndarray, np.ndarray]) -> bytes:
     for book, codes in coded:
         seen = np.zeros(len(book), bool)
         seen[codes] = True
-        fields += [book[seen], (np.cumsum(seen) - 1)[codes].astype(np.uint16)]
+        fields += [book[seen], _planes((np.cumsum(seen) - 1)[codes].astype(np.uint16))]
     return pack_fields(*fields)
 
 
 def _unpack_values(data: bytes, n: int) -> list[np.ndarray]:
-    fields = unpack_fields(data, *[np.float64, np.uint16] * n)
-    return [held[at] for held, at in zip(fields[::2], fields[1::2])]
+    fields = unpack_fields(data, *[np.float64, np.uint8] * n)
+    return [held[_values(at, np.uint16)] for held, at in zip(fields[::2], fields[1::2])]
 
 
 def _rows(batches):
@@ -376,9 +385,10 @@ def _number(blocks: DataFrame, replies: DataFrame, shards: int, run: RunFolder,
         for s, reply in zip(replies["shard"].to_pylist(), replies["data"].to_pylist()):
             i = int(np.searchsorted(use, s))
             mine = order[cuts[i] : cuts[i + 1]]
-            numbers[mine], c[mine] = unpack_fields(reply, np.int32, np.int64)
+            small, large = unpack_fields(reply, np.uint8, np.uint8)
+            numbers[mine], c[mine] = _values(small, np.int32), _values(large, np.int64)
         out = block.select(["block", "doc_id", "starts", "codes"])
-        return out.append_column("numbers", pa.array([pack(numbers)], pa.binary())).append_column("counts", pa.array([pack(c)], pa.binary()))
+        return out.append_column("numbers", pa.array([pack(_planes(numbers))], pa.binary())).append_column("counts", pa.array([pack(_planes(c))], pa.binary()))
 
     found = blocks.drop("tokens").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(number, _NUMBERED)
     return bucketed(found, run, "numbered", "block", buckets, dealt=True)
@@ -389,8 +399,8 @@ def _send_grams(numbered: DataFrame, width: int, shards: int, fold: int) -> Data
 
     def send(batches):
         for row in _rows(batches):
-            b, c = _Block(row), unpack(row["counts"], np.int64)
-            g = _Grams(b, unpack(row["numbers"], np.int32), width, shards)
+            b, c = _Block(row), _values(unpack(row["counts"], np.uint8), np.int64)
+            g = _Grams(b, _values(unpack(row["numbers"], np.uint8), np.int32), width, shards)
             n2 = n3 = c2 = np.zeros(0, np.int32)
             if fold > 0:
                 trained = b.trained(fold)
@@ -404,7 +414,7 @@ def _send_grams(numbered: DataFrame, width: int, shards: int, fold: int) -> Data
                         (
                             row["block"],
                             s,
-                            pack_fields(_pack_rising(g.pairs[two]), n2[two], c2[two], _pack_rising(g.triples[three] - two.start * width), n3[three]),
+                            pack_fields(_pack_rising(g.pairs[two]), *map(_planes, (n2[two], c2[two])), _pack_rising(g.triples[three] - two.start * width), _planes(n3[three])),
                         )
                         for s, two, three in slices[i : i + REPLIES]
                     ]
@@ -417,10 +427,10 @@ class _Shard:
     """What all blocks sent to one shard: its different pairs and triples, and where each block has them."""
 
     def __init__(self, sent: list[bytes], width: int):
-        opened = [unpack_fields(data, np.uint8, np.int32, np.int64, np.uint8, np.int32) for data in sent]
+        opened = [unpack_fields(data, *[np.uint8] * 5) for data in sent]
         pairs, triples = ([_unpack_rising(x[i]) for x in opened] for i in (0, 3))
         self.two, self.three = (np.cumsum([0] + [len(x) for x in y]) for y in (pairs, triples))
-        self.n2, self.c, self.n3 = (np.concatenate([x[i] for x in opened]) for i in (1, 2, 4))
+        self.n2, self.c, self.n3 = (np.concatenate([_values(x[i], t) for x in opened]) for i, t in ((1, np.int32), (2, np.int64), (4, np.int32)))
         mine = np.concatenate([x // width + begin for x, begin in zip(triples, self.two[:-1])])
         third = np.concatenate([x % width for x in triples])
         pairs, self.pair = np.unique(np.concatenate(pairs), return_inverse=True)
@@ -461,8 +471,8 @@ def _scores(numbered: DataFrame, answers: DataFrame, fold: int, shards: int, wid
 
     def score(block: pa.Table, replies: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        b, c = _Block(row), unpack(row["counts"], np.int64)
-        g = _Grams(b, unpack(row["numbers"], np.int32), width, shards)
+        b, c = _Block(row), _values(unpack(row["counts"], np.uint8), np.int64)
+        g = _Grams(b, _values(unpack(row["numbers"], np.uint8), np.int32), width, shards)
         share, rest, longer = np.zeros(len(g.pairs)), np.ones(len(g.pairs)), np.zeros(len(g.triples))
         places = {s: (two, three) for s, two, three in g.slices()}
         for s, reply in zip(replies["shard"].to_pylist(), replies["data"].to_pylist()):
@@ -526,11 +536,11 @@ class NgramModel:
                 hit = hashes[at] == ask if len(hashes) else np.zeros(len(ask), bool)
                 number, count = np.full(len(ask), -1, np.int32), np.zeros(len(ask), np.int64)
                 number[hit], count[hit] = numbers[at[hit]], counts[at[hit]]
-                out.append(pack_fields(number, count))
+                out.append(pack_fields(_planes(number), _planes(count)))
             return asked.set_column(2, "data", pa.array(out, pa.binary()))
 
         def find_grams(asked: pa.Table, held: pa.Table) -> pa.Table:
-            tries = [Trie(x) for x in held["data"].to_pylist()]
+            tries = [Trie(unpack(x, np.uint8)) for x in held["data"].to_pylist()]
             if not tries or not asked.num_rows:
                 return asked.slice(0, 0)
             return asked.set_column(2, "data", pa.array(_Shard(asked["data"].to_pylist(), width).answers(tries[0]), pa.binary()))
@@ -560,7 +570,7 @@ def _learn(docs: DataFrame, folder: str | None, fold: int, mass: float, doc_id:
         number[c == 0] = -1
         known = c > 0
         packed = np.minimum(number, (1 << 31) - 1).astype(np.int32)
-        data = [pack_fields(packed[at[a:b]], c[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        data = [pack_fields(_planes(packed[at[a:b]]), _planes(c[at[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])]
         none = [None] * len(sent)
         return pa.table(
             {
@@ -592,7 +602,7 @@ def _learn(docs: DataFrame, folder: str | None, fold: int, mass: float, doc_id:
         trie = Trie(data)
         replies = part.answers(trie) if reply else []
         shard, blocks = table["shard"][0].as_py(), table["block"].to_pylist() if reply else []
-        parts = [([None], [data], [trie.error])]
+        parts = [([None], [pack(np.frombuffer(data, np.uint8))], [trie.error])]
         for i in range(0, len(replies), REPLIES):
             some = replies[i : i + REPLIES]
             parts.append((blocks[i : i + REPLIES], some, [None] * len(some)))
