@@ -150,3 +150,15 @@ def test_cells_outside_the_shape_are_errors(spark, tmp_path):
         matrix_text.write_vector(places, str(tmp_path / "v"), 3)
     matrix_text.write_vector(places, str(tmp_path / "w"), 6)
     assert [r["value"] for r in matrix_text.read_vector(spark, str(tmp_path / "w")).orderBy("i").collect()] == [1.0, 0, 0, 0, 2.0, 0]
+
+
+def test_text_rounds_exact_values_as_c_does(spark, tmp_path):
+    """0.0078125 and 0.0234375 are halves at six decimals: the nearest even digit. 0.1234565 is a little less than a half."""
+    values = [0.0078125, 0.0234375, -0.0078125, 0.1234565, -1e-9, float("nan"), float("inf")]
+    rows = [(0, j, x) for j, x in enumerate(values)]
+    expected = ",".join("%.6f" % x for x in values) + ","
+    assert expected.startswith("0.007812,0.023438,-0.007812,")
+    matrix = spark.createDataFrame(rows, "i bigint, j bigint, value double")
+    assert [r["line"] for r in matrix_text.matrix_lines(matrix).collect()] == [expected]
+    matrix_text.write_vector(vector(spark, values[:4]), str(tmp_path / "v"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "v")).collect()) == sorted("%.6f" % x for x in values[:4])
