@@ -129,6 +129,23 @@ def test_repeats_and_empty_corpora(spark):
         prepare_corpus(twice.selectExpr("doc_id", "term_id", "-cnt AS cnt"))
 
 
+def test_pairs_that_do_not_repeat_move_once(spark):
+    docs = spark.createDataFrame([(0, "cat dog cat"), (1, "dog"), (0, "Cat é")], "doc_id bigint, text string")
+    pairs = source.corpus_from_text(docs)
+    assert rows(pairs, "doc_id", "term", "cnt") == [(0, "cat", 3), (0, "dog", 1), (0, "é", 1), (1, "dog", 1)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == 1 and "hashpartitioning(doc_id#" in plan and "term#" not in plan.split("hashpartitioning")[1].split(")")[0]
+    big = [(0, t, 1 + t % 3) for t in range(400)] + [(d, d, 2) for d in range(1, 60)]
+    known = prepare_corpus(doc_terms(spark, big), doc_ids(spark, 61), block_pairs=40, unique=True)
+    plain = prepare_corpus(doc_terms(spark, big), doc_ids(spark, 61), block_pairs=40)
+    assert rows(known.tokens, "block", "doc_id", "term_id", "cnt") == rows(plain.tokens, "block", "doc_id", "term_id", "cnt")
+    assert rows(known.needed, "block", "kind", "id") == rows(plain.needed, "block", "kind", "id")
+    listed = {(r["block"], 0, r["doc_id"]) for r in known.tokens.collect()} | {(r["block"], 1, r["term_id"]) for r in known.tokens.collect()}
+    assert set(rows(known.needed, "block", "kind", "id")) == listed
+    with pytest.raises(Exception, match="negative"):
+        prepare_corpus(doc_terms(spark, [(0, 1, -1)]), unique=True)
+
+
 def test_partitions_grow_with_the_blocks(spark):
     pairs = doc_terms(spark, [(d, t, 1) for d in range(100) for t in range(10)])
     corpus = prepare_corpus(pairs, block_pairs=10)

@@ -137,7 +137,7 @@ def evaluate_heldout(
         split_heldout(doc_terms, doc_stats(doc_terms), test_fraction, seed), "parts", partition_by="part"
     )
     train, test = (
-        prepare_corpus(parts.where(F.col("part") == part).drop("part"), ids, model.vocab_size)
+        prepare_corpus(parts.where(F.col("part") == part).drop("part"), ids, model.vocab_size, unique=True)
         for part in ("train", "test")
     )
     fold = fold_in(model, train, **fold_args)
