@@ -196,3 +196,56 @@ def test_an_interrupted_fold_in_goes_on(spark, sampled, tmp_path):
     again = fold_in(model, corpus, max_iter=3, tol=None, folder=str(tmp_path / "f"))
     assert np.allclose([t[1] for t in again.trace], [t[1] for t in straight.trace], rtol=1e-10)
     assert np.allclose(matrix(again.docs, "doc_id", "a", m), matrix(straight.docs, "doc_id", "a", m), rtol=1e-8)
+
+
+@pytest.mark.parametrize("correlated", [False, True])
+def test_all_iterations_at_once_are_those_one_by_one(spark, sampled, tmp_path, monkeypatch, correlated):
+    """A fold-in with a folder keeps every iteration; without one they are a single pass. Two documents have no words."""
+    from topicloom.operators import fold_pass
+    from topicloom.plans import heldout as plan
+
+    data, m, d = sampled
+    corpus = prepare_corpus(doc_terms(spark, data), doc_ids(spark, m + 2), vocab_size=d, block_pairs=1500)
+    model = fit_topics(corpus, 3, correlated=correlated, max_iter=2)
+    monkeypatch.setattr(fold_pass, "AT_ONCE", 400)
+    made = []
+    monkeypatch.setattr(plan, "fold_blocks", lambda *args: made.append(args[-1]) or fold_pass.fold_blocks(*args))
+    for number, (stop, passes) in enumerate(((dict(max_iter=5, tol=None), [5]), (dict(max_iter=9, tol=2e-3, min_iter=2), None))):
+        made.clear()
+        slow = fold_in(model, corpus, folder=str(tmp_path / f"f{number}"), **stop)
+        assert not made
+        fast = fold_in(model, corpus, **stop)
+        assert made[-1] == len(fast.trace) and (passes is None or made == passes)
+        assert len(fast.trace) == len(slow.trace)
+        assert np.allclose([t[1] for t in fast.trace], [t[1] for t in slow.trace], rtol=1e-10)
+        assert fast.docs.columns == slow.docs.columns and fast.docs.count() == m + 2
+        for name in ("n", "a", "b", "mu", "sig"):
+            assert np.allclose(matrix(fast.docs, "doc_id", name, m + 2), matrix(slow.docs, "doc_id", name, m + 2), rtol=1e-8)
+
+
+def test_streams_are_apart_and_come_again():
+    draw = lambda *at: heldout._stream(*at).standard_gamma(2.0, 3).tolist()
+    places = [(s, kind, key, g) for s in (0, 1) for kind in (1, 3) for key in (-1, 0, 5) for g in (0, 1)]
+    assert len({tuple(draw(*at)) for at in places}) == len(places)
+    shared = heldout._Streams()
+    shared(1, 1, 5, 0).integers(0, 9, 3, dtype=np.int32)
+    assert [shared(*at).standard_gamma(2.0, 3).tolist() for at in places] == [draw(*at) for at in places]
+
+
+def test_topic_norms_are_drawn_by_all_tasks(spark):
+    """The table of terms is one file, so it used to be one task."""
+    gam = spark.range(40).coalesce(1).select(F.col("id").alias("term_id"), F.array(F.lit(2.0), F.lit(0.5)).alias("gam"))
+    seen, collect = [], type(gam).mapInArrow
+
+    def watched(df, *args):
+        seen.append(df.rdd.getNumPartitions())
+        return collect(df, *args)
+
+    type(gam).mapInArrow = watched
+    try:
+        norms = heldout.sampled_topic_norms(gam, [80.0, 20.0], 4, 0)
+    finally:
+        type(gam).mapInArrow = collect
+    assert seen and seen[0] >= spark.sparkContext.defaultParallelism
+    direct = sum(np.exp(heldout.log_gamma_draws(heldout._stream(0, 1, t, 0), np.array([2.0, 0.5]), 4)) for t in range(40))
+    assert np.allclose(norms, direct)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,12 +13,13 @@ from topicloom.functions.special import digamma_packed, np_digamma
 from topicloom.functions.vectors import literal
 from topicloom.operators.bound import bound_topics, gaussian_value
 from topicloom.operators.document_pass import SCHEMA as DOCUMENT_SCHEMA
-from topicloom.operators.document_pass import collect_sums, move_documents, moved_documents
+from topicloom.operators.document_pass import collect_sums, move_documents, moved_documents, named_sums
 from topicloom.operators.blocks import VECTOR_SCHEMA
+from topicloom.operators.fold_pass import collect_fold_sums, fold_blocks
 from topicloom.operators.heldout import heldout_summary, predictive_loglik, split_heldout
 from topicloom.operators.responsibilities import expected_counts
-from topicloom.plans.fit import Model, packed_logs, settled_documents_value, start_documents, with_counts
-from topicloom.plans.loop import add_to_trace, iterate_until, newest_slot, note_of
+from topicloom.plans.fit import START_RATE, START_SHAPE, Model, packed_logs, settled_documents_value, start_documents, with_counts
+from topicloom.plans.loop import add_to_trace, iterate_until, newest_slot, note_of, settled
 from topicloom.session import RunFolder, wide_expressions
 from topicloom.sources.corpus import doc_stats
 from topicloom.sources.prepared import TERM, Corpus, prepare_corpus
@@ -58,7 +60,9 @@ def fold_in(
 ) -> FoldIn:
     """Posteriors of new documents with topics, sticks, scale, mean and covariance held fixed.
 
-    With ``folder`` the run keeps its tables there and goes on where an earlier one was cut off.
+    With ``folder`` the run keeps its tables there, one state for each iteration, and goes on where an earlier one was
+    cut off. Without it, and where every document lies whole in a block, all iterations up to the first at which the loop
+    may stop are one pass; should it not stop there, a longer pass starts anew.
     """
     k, g, run = model.k, model.globals, RunFolder(corpus.spark, "fold_in", folder)
     precision = np.linalg.inv(g.cov) if model.correlated else None
@@ -70,6 +74,8 @@ def fold_in(
         )
         docs = start_documents(corpus.docs, k, model.correlated)
         fixed = frozen_topics_bound(model)
+        if not folder and corpus.docs.where(F.col("num_unique") > corpus.piece).isEmpty():
+            return _fold_in_at_once(model, corpus, terms, fixed, max_iter, tol, min_iter, normal_steps, run)
         found = newest_slot(run, ("docs", "counts")) if folder else None
         if found:
             at, note = found
@@ -94,6 +100,27 @@ def fold_in(
     return FoldIn(docs.drop("lnz"), trace)
 
 
+def _fold_in_at_once(model, corpus, terms, fixed, max_iter, tol, min_iter, normal_steps, run) -> FoldIn:
+    k, g = model.k, model.globals
+    precision = np.linalg.inv(g.cov) if model.correlated else None
+    start = (START_SHAPE, START_RATE, 0.0, 1.0 if model.correlated else 0.0)
+    upto, number = max_iter if tol is None else min(max_iter, max(min_iter, 2)), 0
+    while True:
+        began = time.monotonic()
+        moved = fold_blocks(corpus, terms, np_digamma(g.totals), start, g.beta_p, g.u, precision, normal_steps, upto)
+        slot = run.write_slot(moved, "docs", number, partition_by="part")
+        trace: list[tuple] = []
+        for row in collect_fold_sums(slot, upto):
+            value = fixed + _folded_bound(model, corpus, row[0], named_sums(row[1:], k))
+            add_to_trace(trace, value, (time.monotonic() - began) / upto)
+            if settled(trace, tol, min_iter):
+                break
+        # a pass that went too far is done again up to where the loop stops
+        if len(trace) == upto and (upto == max_iter or settled(trace, tol, min_iter)):
+            return FoldIn(moved_documents(slot).drop("lnz"), trace)
+        upto, number = (min(max_iter, 2 * upto) if len(trace) == upto else len(trace)), number + 1
+
+
 def frozen_topics_bound(model: Model) -> float:
     """The topics' part of the bound, a constant during fold-in; unseen ids in closed form."""
     seen = model.topic_terms.count()
@@ -102,10 +129,13 @@ def frozen_topics_bound(model: Model) -> float:
 
 
 def _document_bound(model: Model, corpus: Corpus, counts: DataFrame, slot: DataFrame) -> float:
-    g = model.globals
     sums = collect_sums(slot, counts, model.k)
     # the block rows carry the entropy of the responsibilities and the expected log-probability of the words
-    tokens = sums["token_entropy"] + sums["token_words"]
+    return _folded_bound(model, corpus, sums["token_entropy"] + sums["token_words"], sums)
+
+
+def _folded_bound(model: Model, corpus: Corpus, tokens: float, sums: dict) -> float:
+    g = model.globals
     value = tokens + settled_documents_value(sums, corpus.num_docs, g.beta_p, g.beta_p)
     if model.correlated:
         value += gaussian_value(sums["moments"], g.u, g.u, g.cov, corpus.num_docs)
