@@ -162,3 +162,26 @@ def test_text_rounds_exact_values_as_c_does(spark, tmp_path):
     assert [r["line"] for r in matrix_text.matrix_lines(matrix).collect()] == [expected]
     matrix_text.write_vector(vector(spark, values[:4]), str(tmp_path / "v"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "v")).collect()) == sorted("%.6f" % x for x in values[:4])
+
+
+def test_gram_of_many_columns_shuffles_no_products(spark, monkeypatch):
+    """Common and rare inner indices, a stored zero, strips of rows; nothing is grouped after the products."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 5, (40, 300)).astype(float)
+    a[rng.random(a.shape) < np.linspace(0.1, 0.99, 40)[:, None]] = 0
+    rows = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))] + [(100, 0, 0.0), (100, 1, 2.0)]
+    cells = spark.createDataFrame(rows, "i bigint, j bigint, value double")
+    expected = a.T @ a
+    present = ((a > 0).astype(int).T @ (a > 0).astype(int)) > 0
+    present[:2, :2] = True
+    for budget in (1 << 22, 500):
+        monkeypatch.setattr(op, "PRODUCT_CELLS", budget)
+        out = op._finished_products(cells.select(cells.i.alias("at"), cells.j.alias("out"), "value"), 5)
+        got = {(r["i"], r["j"]): r["value"] for r in out.collect()}
+        assert len(got) == out.count() and all(i <= j for i, j in got)
+        more = {(0, 0): 0.0, (0, 1): 0.0, (1, 1): 4.0}
+        assert got == {(i, j): expected[i, j] + more.get((i, j), 0.0) for i, j in zip(*np.nonzero(np.triu(present)))}
+    gram = op.gram(cells)
+    plan = gram._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+    assert gram.count() == present.sum()
