@@ -249,3 +249,23 @@ def test_topic_norms_are_drawn_by_all_tasks(spark):
     assert seen and seen[0] >= spark.sparkContext.defaultParallelism
     direct = sum(np.exp(heldout.log_gamma_draws(heldout._stream(0, 1, t, 0), np.array([2.0, 0.5]), 4)) for t in range(40))
     assert np.allclose(norms, direct)
+
+
+def test_split_moves_pairs_and_not_tokens(spark, monkeypatch):
+    """Batches that end within documents, repeated pairs, counts of many tokens; the same as by slices."""
+    rng = np.random.default_rng(4)
+    rows = [(d, int(t), int(n)) for d in range(30) for t, n in zip(rng.integers(0, 50, 40), rng.integers(0, 6, 40))] + [(40, 1, 3000)]
+    table = doc_terms(spark, rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = heldout.split_heldout(table, doc_stats(table), 0.3, seed=2)
+        assert got.count() == len(parts(got))
+        assert parts(got) == parts(heldout.split_heldout(table, doc_stats(table), 0.3, seed=2, slice_tokens=20))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    usual = plan[plan.index("MapInArrow") : plan.index("Window")]
+    assert "Window" not in plan[: plan.index("MapInArrow")] and usual.index("hashpartitioning(doc_id") > 0
+    made = list(heldout._split_documents(0, 0.5)([]))
+    assert made == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,6 @@ from pyspark.sql import functions as F
 from topicloom.functions.special import pack
 from topicloom.functions.vectors import literal_sql, ratio_sql, sum_vectors, total_sql
 from topicloom.operators.blocks import Block, run_blocks
-from topicloom.operators.lookup import lookup_join
 from topicloom.session import RunFolder, shuffle_partitions
 from topicloom.sources.prepared import DOC, TERM, Corpus
 
@@ -19,6 +20,8 @@ from topicloom.sources.prepared import DOC, TERM, Corpus
 COPIES = 10_000
 # Tokens a single task should rank. A larger document is cut into slices by the leading bits of the hash.
 SLICE_TOKENS = 1_000_000
+# Tokens that a task of the split orders at once, more where a document has more.
+SPLIT_TOKENS = 1 << 18
 # Numbers that the draws of a kernel may hold at once, for documents and for terms.
 SAMPLE_BUDGET = 1 << 23
 # Samples times topics that one random stream gives; the next samples come from a stream of their own.
@@ -41,12 +44,83 @@ def split_heldout(
     """``(doc_id, term_id, part, cnt)``: every document's tokens cut into ``test`` and ``train``.
 
     Tokens are put in the order of md5(seed|doc|term|copy); the first floor(fraction * tokens) are test.
-    A document with more than ``slice_tokens`` tokens is ranked in slices of the hash's range. Slices are
-    in hash order, so a token's rank is its rank in the slice plus the sizes of the earlier slices.
+    The pairs move once, by document, and a task draws and orders the tokens of whole documents. Only a document with
+    more than ``slice_tokens`` tokens is ranked as a table, in slices of the hash's range. Slices are in hash order, so a
+    token's rank is its rank in the slice plus the sizes of the earlier slices.
     """
-    sizes = stats.select("doc_id", F.col("num_unique").alias("n"))
-    lengths = stats.select("doc_id", "num_words", F.ceil(F.col("num_words") / slice_tokens).alias("slices"))
-    pairs = lookup_join(doc_terms.where("cnt > 0"), lengths, "doc_id", "term_id", sizes)
+    # at most one in slice_tokens tokens starts such a document, so the list of them is short
+    large = stats.where(F.col("num_words") > slice_tokens)
+    lengths = large.select("doc_id", "num_words", F.ceil(F.col("num_words") / slice_tokens).alias("slices"))
+    written = doc_terms.where("doc_id IS NOT NULL AND term_id IS NOT NULL AND cnt > 0").select("doc_id", "term_id", F.col("cnt").cast("bigint"))
+    usual = written.join(F.broadcast(large.select("doc_id")), "doc_id", "left_anti")
+    small = usual.repartition("doc_id").sortWithinPartitions("doc_id")
+    parts = small.mapInArrow(_split_documents(seed, float(test_fraction)), "doc_id bigint, term_id bigint, part string, cnt bigint")
+    return parts.unionByName(_split_in_slices(written, lengths, float(test_fraction), seed))
+
+
+def _split_documents(seed: int, fraction: float):
+    def table(doc, term, cnt):
+        """The parts of some whole documents."""
+        head = [b"%d|%d|%d|" % (seed, d, t) for d, t in zip(doc.tolist(), term.tolist())]
+        digests = b"".join([md5(b"%b%d" % (h, c)).digest() for h, n in zip(head, cnt.tolist()) for c in range(1, n + 1)])
+        key = np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64)
+        pair = np.repeat(np.arange(len(doc)), cnt)
+        # tokens lie in the order of document and, within a pair, of copy; sorts are stable
+        order = np.lexsort((term[pair], key[:, 1], key[:, 0], doc[pair]))
+        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        sizes = np.add.reduceat(cnt, edge)
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        tests = order[rank < np.repeat(np.floor(sizes * fraction), sizes)]
+        in_test = np.bincount(pair[tests], minlength=len(doc))
+        rows = []
+        for part, n in (("test", in_test), ("train", cnt - in_test)):
+            some = n > 0
+            rows.append(pa.table({"doc_id": doc[some], "term_id": term[some], "part": [part] * int(some.sum()), "cnt": n[some]}))
+        every = pa.concat_tables(rows)
+        if len(doc) > 1 and (np.diff(np.sort(term)) == 0).any():  # a pair may be written in several rows
+            every = every.group_by(["doc_id", "term_id", "part"]).aggregate([("cnt", "sum")]).rename_columns(["doc_id", "term_id", "part", "cnt"])
+        return every.cast(pa.schema([("doc_id", pa.int64()), ("term_id", pa.int64()), ("part", pa.string()), ("cnt", pa.int64())]))
+
+    def whole(doc, term, cnt):
+        """Documents in groups of about SPLIT_TOKENS tokens."""
+        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        ends, reached = np.r_[edge[1:], len(doc)], np.cumsum(cnt)
+        begin = 0
+        while begin < len(edge):
+            done = reached[edge[begin] - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(reached[ends - 1], done + SPLIT_TOKENS, side="right")))
+            at = slice(edge[begin], ends[end - 1])
+            yield from table(doc[at], term[at], cnt[at]).to_batches()
+            begin = end
+
+    def split(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("doc_id", "term_id", "cnt")]
+            starts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            if not len(starts) and (not held or held[-1][0][-1] == rows[0][0]):
+                held.append(rows)
+                continue
+            # the last document may go on in the next batch
+            if held and held[-1][0][-1] != rows[0][0]:
+                yield from whole(*(np.concatenate(c) for c in zip(*held)))
+                held = []
+            cut = starts[-1] if len(starts) else 0
+            if cut:
+                yield from whole(*(np.concatenate(c) for c in zip(*held, [c[:cut] for c in rows])))
+                held = []
+            held.append([c[cut:] for c in rows])
+        if held:
+            yield from whole(*(np.concatenate(c) for c in zip(*held)))
+
+    return split
+
+
+def _split_in_slices(doc_terms: DataFrame, lengths: DataFrame, test_fraction: float, seed: int) -> DataFrame:
+    """The split of the documents of ``lengths(doc_id, num_words, slices)``."""
+    pairs = doc_terms.join(F.broadcast(lengths), "doc_id")
     chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("cnt") - 1) / COPIES).cast("int")))
     copies = pairs.select("*", chunk.alias("chunk"))
     first = F.col("chunk").cast("bigint") * COPIES + 1
@@ -73,7 +147,7 @@ def split_heldout(
         .select("doc_id", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     )
     rank = F.col("rank") + F.coalesce("earlier", F.lit(0))
-    is_test = rank <= F.floor(F.col("num_words") * F.lit(float(test_fraction)))
+    is_test = rank <= F.floor(F.col("num_words") * F.lit(test_fraction))
     return (
         ranked.join(earlier, ["doc_id", "slice"], "left")
         .withColumn("part", F.when(is_test, "test").otherwise("train"))
