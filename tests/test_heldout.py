@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import TINY, counts_matrix, doc_ids, doc_terms
 from pyspark.sql import functions as F
@@ -267,5 +268,7 @@ def test_split_moves_pairs_and_not_tokens(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     usual = plan[plan.index("MapInArrow") : plan.index("Window")]
     assert "Window" not in plan[: plan.index("MapInArrow")] and usual.index("hashpartitioning(doc_id") > 0
-    made = list(heldout._split_documents(0, 0.5)([]))
-    assert made == []
+    split = heldout._split_documents(0, 0.5)
+    assert list(split([])) == []
+    one = pa.record_batch({"doc_id": [7], "term_id": [3], "cnt": [1]})
+    assert [r for b in split([one]) for r in b.to_pylist()] == [{"doc_id": 7, "term_id": 3, "part": "train", "cnt": 1}]

@@ -75,7 +75,7 @@ def _split_documents(seed: int, fraction: float):
         rows = []
         for part, n in (("test", in_test), ("train", cnt - in_test)):
             some = n > 0
-            rows.append(pa.table({"doc_id": doc[some], "term_id": term[some], "part": [part] * int(some.sum()), "cnt": n[some]}))
+            rows.append(pa.table({"doc_id": doc[some], "term_id": term[some], "part": pa.array([part] * int(some.sum()), pa.string()), "cnt": n[some]}))
         every = pa.concat_tables(rows)
         if len(doc) > 1 and (np.diff(np.sort(term)) == 0).any():  # a pair may be written in several rows
             every = every.group_by(["doc_id", "term_id", "part"]).aggregate([("cnt", "sum")]).rename_columns(["doc_id", "term_id", "part", "cnt"])
