@@ -175,3 +175,23 @@ def test_line_positions_need_no_window_over_all_splits(spark, tmp_path):
     assert got == [f"1 {i}:{j + 1}" for i in range(5) for j in range(30)]
     windows = [row for row in plan.splitlines() if "Window [" in row]
     assert windows and all("[_part#" in row for row in windows)
+
+
+def test_words_are_counted_inside_their_row(spark):
+    """No table of words is shuffled or aggregated; ids on several rows, null ids and null texts still count."""
+    once = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "Ä1ä z")], "doc_id bigint, text string")
+    found = source.corpus_from_text(once)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", 1), (1, "b", 2), (4, "z", 1), (4, "ä", 2)]
+    again = once.unionAll(spark.createDataFrame([(1, "b c"), (None, "x y"), (None, "x")], once.schema))
+    rows = {(r["doc_id"], r["term"]): r["cnt"] for r in source.corpus_from_text(again).collect()}
+    assert rows == {(1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (4, "z"): 1, (4, "ä"): 2, (None, "x"): 2, (None, "y"): 1}
+
+
+def test_encoding_does_not_sort_the_pairs(spark):
+    pairs = spark.range(2000).selectExpr("id AS doc_id", "concat('t', id % 7) AS term", "1L AS cnt")
+    vocab = spark.range(7).selectExpr("concat('t', id) AS term", "id AS term_id", "286L AS n")
+    joined = source.encode_terms(pairs, vocab)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert joined.count() == 2000 and joined.where("doc_id % 7 <> term_id").isEmpty()
