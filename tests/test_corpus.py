@@ -195,3 +195,15 @@ def test_encoding_does_not_sort_the_pairs(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert joined.count() == 2000 and joined.where("doc_id % 7 <> term_id").isEmpty()
+
+
+def test_pairs_of_a_count_file_do_not_move(spark, tmp_path):
+    """A document is one line: its repeated pairs are added up there. Only listed documents are written."""
+    (tmp_path / "f").write_text("3 5:1 5:2 7:1 5:4\n0\n1 2:9\n")
+    back = read_counts(spark, str(tmp_path / "f"))
+    assert rows(back, "doc_id", "term_id", "cnt") == [(0, 5, 7), (0, 7, 1), (2, 2, 9)]
+    assert "hashpartitioning(doc_id" not in back._jdf.queryExecution().executedPlan().toString()
+    listed = spark.createDataFrame([(9,), (3,), (3,), (4,)], "doc_id bigint")
+    source.write_counts(doc_terms(spark, [(3, 8, 1), (3, 2, 5), (7, 1, 1), (9, 0, 2)]), listed, str(tmp_path / "w"))
+    lines = [r["line"] for r in source.read_lines(spark, str(tmp_path / "w")).orderBy("doc_id").collect()]
+    assert lines == ["2 2:5 8:1", "2 2:5 8:1", "0", "1 0:2"]
