@@ -185,3 +185,16 @@ def test_gram_of_many_columns_shuffles_no_products(spark, monkeypatch):
     plan = gram._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan
     assert gram.count() == present.sum()
+
+
+def test_left_cells_of_a_narrow_product_are_not_sorted(spark, monkeypatch):
+    """Dense and sparse inner indices, listed to the tasks or looked up; the narrow side is held, the other passes."""
+    rng = np.random.default_rng(5)
+    a = (rng.random((60, 90)) < np.where(np.arange(90) < 8, 0.9, 0.05)) * rng.integers(1, 5, (60, 90)).astype(float)
+    b = (rng.random((90, 2)) < 0.6) * rng.integers(1, 5, (90, 2)).astype(float)
+    left, right = table(spark, a), table(spark, b)
+    for listed in (op.LISTED, 0):
+        monkeypatch.setattr(op, "LISTED", listed)
+        product = op.matrix_multiply(left, right)
+        assert "ShuffledHashJoin" in product._jdf.queryExecution().executedPlan().toString()
+        assert np.allclose(back(product, (60, 2)), a @ b)
