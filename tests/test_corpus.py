@@ -207,3 +207,10 @@ def test_pairs_of_a_count_file_do_not_move(spark, tmp_path):
     source.write_counts(doc_terms(spark, [(3, 8, 1), (3, 2, 5), (7, 1, 1), (9, 0, 2)]), listed, str(tmp_path / "w"))
     lines = [r["line"] for r in source.read_lines(spark, str(tmp_path / "w")).orderBy("doc_id").collect()]
     assert lines == ["2 2:5 8:1", "2 2:5 8:1", "0", "1 0:2"]
+
+
+def test_rules_about_documents_take_one_pass(spark):
+    pairs = doc_terms(spark, [(0, 1, 2), (1, 4, 1)]).selectExpr("doc_id", "2L AS declared", "0L AS position", "term_id", "cnt")
+    problems = source.check_pairs(pairs)
+    assert problems._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [doc_id") == 2
+    assert rows(problems, "doc_id", "problem", "n") == [(0, "declared_differs", 1), (1, "declared_differs", 1)]
