@@ -24,6 +24,8 @@ from topicloom.llm.tables import pack_fields, remainder, unpack_fields
 BITS = 18
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
+# Bytes of text whose features are held at once; a byte takes about 70 bytes while it becomes features.
+STEP = 512 << 10
 
 # byte classes: 0 space, 1 lower and beyond ASCII, 2 upper, 3 digit, 4 mark
 _CLASS = np.full(256, 4, np.uint8)
@@ -139,7 +141,7 @@ def train(
 
     def extract(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 buckets, owner, n = features(part["text"], bits)
                 order = np.argsort(owner, kind="stable")
                 buckets, ends = buckets[order], np.cumsum(np.bincount(owner, minlength=part.num_rows))
@@ -173,8 +175,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
-                values = _scores(part["text"], shared.value)
+            for part, values in _scored(batch, shared.value):
                 yield pa.record_batch(
                     {
                         "doc_id": part["doc_id"],
@@ -194,12 +195,18 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
-                yield part.filter(pa.array(_scores(part["text"], shared.value) >= threshold))
+            for part, values in _scored(batch, shared.value):
+                yield part.filter(pa.array(values >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _scored(batch: pa.RecordBatch, weights: np.ndarray):
+    """Slices of a batch with their scores."""
+    for part in steps(batch, "text", STEP):
+        yield part, _scores(part["text"], weights)
+
+
 def _scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     buckets, owner, n = features(column, (len(weights) - 1).bit_length() - 1)
     sums = np.bincount(owner, weights[buckets].astype(float), minlength=len(n))
