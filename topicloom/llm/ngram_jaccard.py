@@ -38,13 +38,15 @@ CHUNK = 1024
 STARS = 3
 # Classes in a block, and prefix hashes that one range should hold.
 BLOCK = 4096
-RANGE = 2_000_000
+RANGE = 1_000_000
 # Bytes of text whose shingles are held at once.
 STEP = 2 << 20
 # Ids of texts to read again that may be broadcast.
 LISTED = 1_000_000
 # Tiles of up to so many classes are compared many at a time.
 SMALL = 128
+# Tiles by which a class tells, at the last comparison, whether it has met another class before.
+MET = 32
 
 
 def _sets(part: pa.RecordBatch, size: int):
@@ -130,14 +132,22 @@ def _candidates(n: np.ndarray, bitmaps: list[bytes], label: np.ndarray, cut: np.
     return out
 
 
-def _compare(parts: list, percent: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Candidate pairs of one tile, or of two chunks of it; as a ``forest`` only those that join labels, and
-    whether there were others."""
+def _earlier(met: list[list[int]], h) -> list[set[int]]:
+    """The tiles of each class that come before the tile of its row."""
+    return [{x for x in tiles if x < at} for tiles, at in zip(met, h)]
+
+
+def _compare(parts: list, percent: int, forest: bool, h: int) -> tuple[list[tuple[int, int]], bool]:
+    """Candidate pairs of tile ``h``, or of two chunks of it; as a ``forest`` only those that join labels, and
+    whether there were others, else those that are not known to meet in an earlier tile."""
     if not parts:
         return [], False
     cut, n, label, rep = (np.concatenate([p[i] for p in parts]) for i in range(4))
     bits = [b for p in parts for b in p[4]]
     pairs = _candidates(n, bits, label, cut, percent)
+    if not forest:
+        met = _earlier([tiles for p in parts for tiles in p[5]], [h] * len(n))
+        pairs = [(i, j) for i, j in pairs if met[i].isdisjoint(met[j])]
     chosen = _joining([(label[i], label[j]) for i, j in pairs], {}) if forest else [True] * len(pairs)
     out = [(int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))) for (i, j), c in zip(pairs, chosen) if c]
     return out, len(out) < len(pairs)
@@ -153,9 +163,9 @@ def _joining(labels: list[tuple[int, int]], top: dict[int, int]) -> list[bool]:
     return out
 
 
-def _compare_small(tiles: list[tuple[int, int]], columns, two: np.ndarray, percent: int, forest: bool):
+def _compare_small(tiles: list[tuple[int, int]], columns, two: np.ndarray, percent: int, forest: bool, h: np.ndarray):
     """Candidate pairs of many tiles, each ``[begin, end)`` of the columns, and a row of every tile with others left."""
-    cut, n, label, rep, bits = columns
+    cut, n, label, rep, bits = columns[:5]
     span = np.array(tiles, np.int64).reshape(-1, 2)
     size, left, right = span[:, 1] - span[:, 0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in np.unique(size).tolist():
@@ -167,11 +177,14 @@ def _compare_small(tiles: list[tuple[int, int]], columns, two: np.ndarray, perce
     fits = (label[i] != label[j]) & (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent)
     fits &= ~two[i] | (cut[i] != cut[j])
     i, j = i[fits], j[fits]
-    # a pair may share many tiles; it is tried once
+    # a pair may share many tiles; it is tried once, in the first of them
     low, high = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-    order = np.lexsort((high, low))
+    order = np.lexsort((h[i], high, low))
     once = order[np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])][: len(order)]]
     good = once[_allowed(bits, i[once], j[once], n, percent)].tolist()
+    if not forest:
+        met = _earlier(columns[5], h.tolist())
+        good = [k for k in good if met[i[k]].isdisjoint(met[j[k]])]
     chosen = _joining([(label[i[k]], label[j[k]]) for k in good], {}) if forest else [True] * len(good)
     pairs = [(int(low[k]), int(high[k])) for k, c in zip(good, chosen) if c]
     return pairs, [int(i[k]) for k, c in zip(good, chosen) if not c]
@@ -203,7 +216,7 @@ def shingle_components(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     spark = docs.sparkSession
-    run = RunFolder(spark, "jaccard")
+    run = RunFolder(spark, "jaccard", passing=True)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     number = F.xxhash64("n", "f1", "f2").alias("cid")
 
@@ -263,20 +276,23 @@ def shingle_components(
 
     def meet(pieces: pa.Table) -> pa.Table:
         """Tile rows of the entries that are not alone with their hash, but for those their block has already."""
-        h, cid, n, local = [], [], [], []
+        h, index, local, names, sizes = [], [], [], [], []
         for piece in pieces["piece"].to_pylist():
-            gaps, index, names, sizes, own = unpack_fields(piece, np.uint64, np.uint16, np.int64, np.int64, bool)
-            h.append(np.cumsum(gaps, dtype=np.uint64))
-            cid.append(names[index])
-            n.append(sizes[index])
-            local.append(own)
-        h, cid, n, local = map(np.concatenate, (h, cid, n, local))
+            gaps, at, cid, n, own = unpack_fields(piece, np.uint64, np.uint16, np.int64, np.int64, bool)
+            for held, part in zip((h, index, local, names, sizes), (np.cumsum(gaps, dtype=np.uint64), at, own, cid, n)):
+                held.append(part)
+        # a class of a piece is told by its place among those of all pieces, until it is known which entries meet
+        starts, lengths = np.cumsum([0] + [len(x) for x in names[:-1]]), [len(x) for x in h]
+        h = np.concatenate(h)
         order = np.argsort(h, kind="stable")
-        h, cid, n, local = h[order], cid[order], n[order], local[order]
+        h = h[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[first, len(h)])
-        wanted = np.repeat(count > 1, count) & ~local
-        return pa.table({"h": pa.array(h[wanted].view(np.int64)), "cid": pa.array(cid[wanted]), "n": pa.array(n[wanted])})
+        wanted = np.flatnonzero(np.repeat(count > 1, count) & ~np.concatenate(local)[order])
+        h, order = h[wanted], order[wanted]
+        at = np.concatenate(index)[order] + starts[np.searchsorted(np.cumsum(lengths), order, "right")]
+        cid, n = np.concatenate(names)[at], np.concatenate(sizes)[at]
+        return pa.table({"h": pa.array(h.view(np.int64)), "cid": pa.array(cid), "n": pa.array(n)})
 
     sent = run.write(
         classes.select("cid", "n", "prefix").mapInArrow(send, "h bigint, cid bigint, n bigint, place int, piece binary"), "sent"
@@ -344,20 +360,32 @@ def shingle_components(
     links = verified(stars.join(bits_of("a"), "a").join(bits_of("b"), "b").mapInArrow(likely, "a bigint, b bigint"), "stars")
     label = components(links, run, "labels")
 
-    def open_tiles(tiles: DataFrame, label: DataFrame) -> DataFrame:
-        """Rows of the tiles that hold different labels, one row for each chunk pair that they take part in."""
+    def open_tiles(tiles: DataFrame, label: DataFrame, forest: bool) -> DataFrame:
+        """Rows of the tiles that hold different labels, one row for each chunk pair that they take part in.
+
+        Near copies share most of their prefixes, so many tiles hold the same classes (told by their number and two
+        hashes): one of them is compared for all. Other tiles overlap, so but for a ``forest`` a class brings the
+        first of its tiles: a pair that has one of them in common before a tile is left to that one.
+        """
         labelled = tiles.join(label.withColumnRenamed("id", "cid"), "cid", "left").select(
             "h", F.col("cid").alias("rep"), "n", F.coalesce("label", "cid").alias("label")
         )
         sizes = labelled.groupBy("h").agg(
-            F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"), F.min("label").alias("x"), F.max("label").alias("y")
+            F.count("*").alias("m"),
+            F.min("label").alias("x"),
+            F.max("label").alias("y"),
+            *[F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"s{i}") for i in range(2)],
         )
-        placed = labelled.join(sizes.where("x <> y").select("h", "cuts"), "h").withColumn(
+        chosen = sizes.where("x <> y").groupBy("m", "x", "y", "s0", "s1").agg(F.min("h").alias("h"))
+        placed = labelled.join(chosen.select("h", F.ceil(F.col("m") / CHUNK).cast("int").alias("cuts")), "h").withColumn(
             "cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
         )
         spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         tasks = spread.select("h", "rep", "n", "label", "cut", F.least("cut", "with").alias("c1"), F.greatest("cut", "with").alias("c2"))
         with_bits = tasks.join(signatures.select(F.col("cid").alias("rep"), "bits"), "rep")
+        if not forest:
+            met = placed.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("h")), 1, MET).alias("met"))
+            with_bits = with_bits.join(met, "rep")
         return with_bits.repartition(partitions(spark), "h", "c1", "c2").sortWithinPartitions("h", "c1", "c2")
 
     def compare(batches, forest):
@@ -369,11 +397,12 @@ def shingle_components(
             begins = np.flatnonzero(new)
             ends = np.r_[begins[1:], batch.num_rows]
             columns = [np.asarray(batch[c]) for c in ("cut", "n", "label", "rep")] + [batch["bits"].to_pylist()]
+            columns += [] if forest else [batch["met"].to_pylist()]
             out, left, small = [], set(), []
             for t, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist())):
                 tile = int(h[begin]), int(c1[begin]), int(c2[begin])
                 if tile != at:
-                    found, more = _compare(kept, percent, forest)
+                    found, more = _compare(kept, percent, forest, at and at[0])
                     out += found
                     left |= {at[0]} if more else set()
                     kept, at = [], None
@@ -381,15 +410,15 @@ def shingle_components(
                         small.append((begin, end))
                         continue
                 kept, at = [*kept, [c[begin:end] for c in columns]], tile
-            found, others = _compare_small(small, columns, c1 != c2, percent, forest)
+            found, others = _compare_small(small, columns, c1 != c2, percent, forest, h)
             yield _pairs(out + found, left | {int(h[row]) for row in others})
-        found, more = _compare(kept, percent, forest)
+        found, more = _compare(kept, percent, forest, at and at[0])
         yield _pairs(found, {at[0]} if more else set())
 
     # first what would join the labels of a tile if all of it were links, then whatever is left undecided
     undecided = tiles
     for name, forest in (("forest", True), ("rest", False)):
-        compared = open_tiles(undecided, label).mapInArrow(lambda b, f=forest: compare(b, f), "a bigint, b bigint, h bigint")
+        compared = open_tiles(undecided, label, forest).mapInArrow(lambda b, f=forest: compare(b, f), "a bigint, b bigint, h bigint")
         compared = run.write(compared, f"{name}-compared")
         links = links.unionByName(verified(compared.where("h IS NULL").select("a", "b"), name))
         label = components(links, run, f"{name}-joined")
