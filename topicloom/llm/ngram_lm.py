@@ -523,7 +523,7 @@ class NgramModel:
 
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """What :func:`train_and_score` returns, for texts that need not be those the model learnt from."""
-        run, t = RunFolder(docs.sparkSession, "lm-score"), self.totals
+        run, t = RunFolder(docs.sparkSession, "lm-score", passing=True), self.totals
         shards, width = t["shards"], t["width"]
         blocks, buckets = _blocks(docs, run, doc_id, text)
 
@@ -555,7 +555,7 @@ class NgramModel:
 def _learn(docs: DataFrame, folder: str | None, fold: int, mass: float, doc_id: str, text: str, reply: bool):
     """The model, the numbered blocks, and, with ``reply``, what the tries answer to each block."""
     spark = docs.sparkSession
-    run = RunFolder(spark, "lm", folder)
+    run = RunFolder(spark, "lm", folder, passing=True)
     blocks, buckets = _blocks(docs, run, doc_id, text)
     shards = max(partitions(spark), -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // SHARD_TOKENS))
 
