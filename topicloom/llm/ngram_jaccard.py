@@ -1,11 +1,15 @@
 """N-gram Jaccard join: size-banded tiles with bitmap signatures, then exact intersection.
 
 Documents are sets of word shingles. Equal sets become one class, known by a number made of its set. A tile holds
-the classes that share one shingle of their prefix (the smallest hashes, as many as a pair over the threshold cannot
-all miss); in a tile, sorted by size, only the band of sizes within the threshold is compared. The bits that differ
-between two bitmaps bound the overlap from above; only for pairs that pass are the shingles themselves
+the classes that share one shingle of their prefix (the first in a fixed order of all shingles, as many as a pair over
+the threshold cannot all miss); in a tile, sorted by size, only the band of sizes within the threshold is compared. The
+bits that differ between two bitmaps bound the overlap from above; only for pairs that pass are the shingles themselves
 computed again, moved and intersected exactly.
 
+Any one order of the shingles gives the same links. Here common shingles stand last, so that a line which a fixed share
+of all documents holds is in the prefix of those only that hold little else, and its tile does not grow with the square
+of the input. How common a shingle is, is estimated from some of the texts; the others are by hash.
+
 Most shingles stand in one class only and never become rows: a block of classes sends its prefix hashes packed, by
 hash range, one entry for each hash however many of its classes hold it, and a range returns the entries of
 hashes that several blocks hold.
@@ -36,6 +40,11 @@ SIZE = 5
 PERCENT = 80
 CHUNK = 1024
 STARS = 3
+# One text in so many tells which shingles are common: those that this many of these texts hold, and how many of them
+# may be listed to every task.
+ESTIMATED = 64
+OFTEN = 4
+COMMON = 1 << 20
 # Classes in a block, and prefix hashes that one range should hold.
 BLOCK = 4096
 RANGE = 1_000_000
@@ -59,6 +68,77 @@ def _sets(part: pa.RecordBatch, size: int):
     return np.split(hashes, np.cumsum(np.bincount(owner, minlength=part.num_rows))[:-1])
 
 
+class _Order:
+    """The order of all shingles: by how common they are, then by hash."""
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.levels = hashes[order], levels[order]
+        # most shingles are not listed, which one look at their last bits tells
+        self.mask = np.uint64((1 << max(16, (8 * len(hashes)).bit_length())) - 1)
+        self.listed = np.zeros(int(self.mask) + 1, bool)
+        self.listed[(self.hashes & self.mask).astype(np.int64)] = True
+
+    def level(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values), np.uint8)
+        some = np.flatnonzero(self.listed[(values & self.mask).astype(np.int64)])
+        place = np.searchsorted(self.hashes, values[some])
+        found = place < len(self.hashes)
+        found[found] = self.hashes[place[found]] == values[some[found]]
+        out[some[found]] = self.levels[place[found]]
+        return out
+
+    def first(self, sets: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
+        """The first ``counts[i]`` members of each sorted set."""
+        if not len(self.hashes) or not len(sets):
+            return [s[:k] for s, k in zip(sets, counts)]
+        level = self.level(np.concatenate(sets))
+        out, end = [], 0
+        for s, k in zip(sets, counts):
+            begin, end = end, end + len(s)
+            mine = level[begin:end]
+            out.append(s[np.argsort(mine, kind="stable")[:k]] if mine[:k].any() else s[:k])
+        return out
+
+
+def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts seem to hold, and the logarithm of how many; at most COMMON in all."""
+    ranges = partitions(rows.sparkSession)
+
+    def send(batches):
+        for batch in batches:
+            for part in steps(batch, "text", STEP):
+                h = np.sort(np.concatenate([np.zeros(0, np.uint64), *_sets(part, size)]))
+                yield from _by_range(h, ranges)
+
+    def count(pieces: pa.Table) -> pa.Table:
+        h = np.concatenate([np.cumsum(unpack(p, np.uint64), dtype=np.uint64) for p in pieces["piece"].to_pylist()])
+        h, n = np.unique(h, return_counts=True)
+        often = np.flatnonzero(n >= OFTEN)
+        often = often[np.argsort(-n[often], kind="stable")[: -(-COMMON // ranges)]]
+        level = np.log2(n[often]).astype(np.uint8)
+        return pa.table({"h": pa.array([h[often].tobytes()], pa.binary()), "level": pa.array([level.tobytes()], pa.binary())})
+
+    # copies of a text count once
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(ESTIMATED)) == 0).select("text").distinct()
+    found = some.mapInArrow(send, "place int, piece binary").groupBy("place").applyInArrow(count, "h binary, level binary").collect()
+    return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in found), t) for c, t in (("h", "<u8"), ("level", "u1")))
+
+
+def _places(values: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of ``ranges`` ranges of equal width begins among sorted hashes, and the end of the last."""
+    place = ((values >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
+
+
+def _by_range(values: np.ndarray, ranges: int):
+    """Sorted hashes packed, a row for each range that has some."""
+    edge = _places(values, ranges)
+    some = np.flatnonzero(np.diff(edge)).tolist()
+    pieces = [pack(_gaps(values[edge[r] : edge[r + 1]])) for r in some]
+    yield pa.record_batch({"place": pa.array(some, pa.int32()), "piece": pa.array(pieces, pa.binary())})
+
+
 def _bitmap(values: np.ndarray) -> bytes:
     """Parity of the members that fall on each bit; a bit or two for each member, a power of two.
 
@@ -226,7 +306,10 @@ def shingle_components(
         f2 = [int(np.bitwise_xor.reduce(mix(s + np.uint64(7))).astype(np.int64)) if len(s) else 0 for s in sets]
         return {"n": pa.array([len(s) for s in sets], pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64())}
 
+    listed = spark.sparkContext.broadcast(_common(rows, size))
+
     def describe(batches):
+        order = _Order(*listed.value)
         for batch in batches:
             for part in steps(batch, "text", STEP):
                 sets = _sets(part, size)
@@ -236,7 +319,8 @@ def shingle_components(
                         "doc_id": part["doc_id"],
                         **sums(sets),
                         "bits": pa.array([_bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
-                        "prefix": pa.array([pack(_gaps(s[:k])) for s, k in zip(sets, least)], pa.binary()),
+                        # scrambled, as the first by hash are the smallest and would meet in few ranges
+                        "prefix": pa.array([pack(_gaps(np.sort(mix(s)))) for s in order.first(sets, least)], pa.binary()),
                     }
                 )
 
@@ -258,8 +342,7 @@ def shingle_components(
                 (h, own), (one, first, local) = _shared_in_block(np.concatenate(sets), owner)
                 yield _tile_rows(h, cid[own], n[own])
                 # ranges of equal width of the hash, so that one is a slice of the sorted entries
-                place = ((one >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                edge = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
+                edge = _places(one, ranges)
                 for r in np.flatnonzero(np.diff(edge)).tolist():
                     cut = slice(edge[r], edge[r + 1])
                     names, index = np.unique(first[cut], return_inverse=True)
