@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import decontaminate, mixing, ngram_jaccard, quality, token_shards
 from topicloom.llm.tables import table
-from topicloom.session import RunFolder
+from topicloom.session import RunFolder, bounded_batches
 
 # No SQL: a trained classifier, random rounding and a tokenizer are not expressible; see tests/llm.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(take: Stage) -> Stage:
+    """A stage whose Python workers get few texts at once."""
+
+    @wraps(take)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return take(spark, docs, sf_dir)
+
+    return staged
+
+
+@_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id; one without an id only if none has one.
 
@@ -37,17 +56,20 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(keep, "row_key", "left_semi").select("row.*")
 
 
+@_stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of test items taken out; documents that are mostly such passages go."""
     clean = decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.take(docs, RunFolder(spark, "mixed").write(mixing.mix(docs), "mix"))
 
 
+@_stage
 def token_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-length token sequences in training order, read from their shards."""
     return token_shards.write_shards(docs)

@@ -1,8 +1,10 @@
 """Common shingles, and what else grew faster than the input or was held at once."""
 
 import numpy as np
+import pyarrow as pa
 
-from topicloom.llm import ngram_jaccard
+import corpus_pipeline
+from topicloom.llm import ngram_jaccard, token_shards
 from topicloom.session import RunFolder
 
 
@@ -63,3 +65,37 @@ def test_first_of_a_set_are_its_rarest():
     assert [x.tolist() for x in order.first(sets, [3, 1, 0])] == [[2, 9, 1 << 63], [8], []]
     none = ngram_jaccard._Order(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     assert [x.tolist() for x in none.first(sets, [2, 1, 0])] == [[2, 5], [5], []]
+
+
+def test_distinct_pieces_are_encoded_in_one_call(monkeypatch):
+    words = [f"w{i}" for i in range(300)] + ["it's", "3,14", "(a)", "end.\n\nNew", "x  y", "été", "\tq"]
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(20)]
+    texts += ["", None, " ", "a", " a", "a ", "  b", "b\n", " \n c d ", "'s 's", " a b c d", "é f g", "z" * 3000]
+    encoder, calls = token_shards._encoder(token_shards.VOCABULARY), []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return encoder.encode_ordinary(text)
+
+    token_shards._widths(token_shards.VOCABULARY)
+    monkeypatch.setattr(token_shards, "_encoder", lambda path: Counted())
+    ids, starts = token_shards.encode(pa.array(texts), token_shards.VOCABULARY)
+    found = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
+    assert found == [encoder.encode_ordinary(t or "") for t in texts]
+    # ends of texts by themselves, whatever lies inside together
+    assert len(calls) < 3 * len(texts)
+
+
+def test_stages_send_few_texts_at_once(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    before = spark.conf.get(key)
+    try:
+        for given, after in (("64m", 4 << 20), ("2m", None)):
+            spark.conf.set(key, given)
+            corpus_pipeline.token_sequences(spark, docs, "")
+            assert spark.conf.get(key) == (given if after is None else str(after))
+    finally:
+        spark.conf.set(key, before)

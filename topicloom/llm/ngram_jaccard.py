@@ -49,7 +49,7 @@ COMMON = 1 << 20
 BLOCK = 4096
 RANGE = 1_000_000
 # Bytes of text whose shingles are held at once.
-STEP = 2 << 20
+STEP = 1 << 20
 # Ids of texts to read again that may be broadcast.
 LISTED = 1_000_000
 # Tiles of up to so many classes are compared many at a time.

@@ -53,6 +53,8 @@ LEVEL = 6
 BLOCK_SEQUENCES = 4096
 DEALT_BLOCKS = 16
 TASK_SHARDS = 8
+# Bytes of distinct pieces that are encoded at once; their tokens come as a list of numbers.
+ENCODED_BYTES = 512 << 10
 # Fixed value: how this vocabulary cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -66,6 +68,16 @@ def _encoder(path: str):
     return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _widths(path: str) -> np.ndarray:
+    """How many bytes each token id stands for."""
+    encoder = _encoder(path)
+    out = np.zeros(encoder.n_vocab, np.int64)
+    for token in encoder.token_byte_values():
+        out[encoder.encode_single_token(token)] = len(token)
+    return out
+
+
 def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All token ids in a row, and where each text's begin.
 
@@ -87,10 +99,8 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     places = np.flatnonzero(cut)
     pieces = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw.tobytes()))
     coded = pieces.dictionary_encode()
-    encoder = _encoder(path)
-    lists = [encoder.encode_ordinary(p) for p in coded.dictionary.to_pylist()]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([t for x in lists for t in x], np.uint16)
+    found = [_encode_pieces(p["piece"], path) for p in steps(pa.record_batch({"piece": coded.dictionary}), "piece", ENCODED_BYTES)]
+    sizes, flat = (np.concatenate(x) for x in zip(*found))
     begins = np.cumsum(sizes) - sizes
     code = np.asarray(coded.indices).astype(np.int64)
     n = sizes[code]
@@ -99,6 +109,33 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, total[np.searchsorted(places, edges)]
 
 
+def _encode_pieces(pieces: pa.LargeStringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The number of tokens of each piece, and all tokens in a row.
+
+    Pieces that begin with a space before a visible byte and end in a visible byte are cut from each other wherever they
+    meet, so they are encoded as one text, whose tokens fall to them by their bytes; any other piece is encoded by itself.
+    """
+    encoder, widths = _encoder(path), _widths(path)
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    raw = np.frombuffer(pieces.buffers()[2], np.uint8)
+    first, last = offsets[:-1], offsets[1:] - 1
+    seen = lambda at: (raw[at] > 32) & (raw[at] < 127)
+    inner = (last > first) & (raw[first] == 32)
+    inner[inner] = seen(first[inner] + 1) & seen(last[inner])
+    sized = np.diff(offsets)
+    text = raw[offsets[0] : offsets[-1]][np.repeat(inner, sized)].tobytes().decode()
+    joined = np.array(encoder.encode_ordinary(text), np.uint16)
+    ends, bounds = np.r_[0, np.cumsum(widths[joined])], np.r_[0, np.cumsum(sized[inner])]
+    others = [encoder.encode_ordinary(p) for p in pieces.filter(pa.array(~inner)).to_pylist()]
+    sizes = np.zeros(len(pieces), np.int64)
+    sizes[inner] = np.diff(np.searchsorted(ends, bounds))
+    sizes[~inner] = [len(x) for x in others]
+    flat, mine = np.zeros(sizes.sum(), np.uint16), np.repeat(inner, sizes)
+    flat[mine] = joined
+    flat[~mine] = np.array([t for x in others for t in x], np.uint16)
+    return sizes, flat
+
+
 def feistel(numbers: np.ndarray, count: int, key: int, inverse: bool = False) -> np.ndarray:
     """A keyed permutation of 0..count-1; values outside are walked on until they fall inside."""
     half = max((max(count - 1, 1).bit_length() + 1) // 2, 1)
@@ -135,12 +172,17 @@ def _by_count(counts: np.ndarray) -> np.ndarray:
     return np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype(np.uint16)
 
 
-def _packed(at: np.ndarray, doc_ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, order=None) -> bytes:
-    """Sequences in one value, token ids as places in ``order``; without it, in an order that travels along."""
-    own = _by_count(np.bincount(ids, minlength=CODES)) if order is None else np.zeros(0, np.uint16)
+def _ranks(order: np.ndarray) -> np.ndarray:
+    """The place of each token id in ``order``."""
     rank = np.zeros(CODES, np.uint16)
-    rank[own if order is None else order] = np.arange(len(own if order is None else order))
-    arrays = (at, doc_ids, parts, sizes, own, rank[ids])
+    rank[order] = np.arange(len(order))
+    return rank
+
+
+def _packed(at: np.ndarray, doc_ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, rank=None) -> bytes:
+    """Sequences in one value, token ids by their ``rank``; without it, by an order that travels along."""
+    own = _by_count(np.bincount(ids, minlength=CODES)) if rank is None else np.zeros(0, np.uint16)
+    arrays = (at, doc_ids, parts, sizes, own, (_ranks(own) if rank is None else rank)[ids])
     return pack_fields(*(a.astype(t) for a, t in zip(arrays, _FIELDS)), level=LEVEL)
 
 
@@ -282,7 +324,7 @@ def _cutter(length: int, vocabulary: str):
 def _dealer(layout: Layout, known):
     def deal(batches):
         starts, bits, order = known.value
-        done = np.unpackbits(bits, count=layout.files).astype(bool)
+        done, rank = np.unpackbits(bits, count=layout.files).astype(bool), _ranks(order)
         for batch in batches:
             for a in range(0, batch.num_rows, DEALT_BLOCKS):
                 part = batch.slice(a, DEALT_BLOCKS)
@@ -302,7 +344,7 @@ def _dealer(layout: Layout, known):
                 shards, at = slot // layout.shard, slot % layout.shard
                 cuts = np.r_[np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]), len(shards)]
                 values = [
-                    _packed(at[a:b], doc_ids[a:b], parts[a:b], sizes[a:b], ids[ends[a] : ends[b]], order)
+                    _packed(at[a:b], doc_ids[a:b], parts[a:b], sizes[a:b], ids[ends[a] : ends[b]], rank)
                     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())
                 ]
                 yield pa.record_batch({"shard": pa.array(shards[cuts[:-1]]), "data": pa.array(values, pa.binary())})
