@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from topicloom.operators import matrix as op
+from topicloom.session import RunFolder
 from topicloom.sources import matrix_text
 
 
@@ -198,3 +201,39 @@ def test_left_cells_of_a_narrow_product_are_not_sorted(spark, monkeypatch):
         product = op.matrix_multiply(left, right)
         assert "ShuffledHashJoin" in product._jdf.queryExecution().executedPlan().toString()
         assert np.allclose(back(product, (60, 2)), a @ b)
+
+
+def test_tiles_of_a_gram_matrix_travel_packed(spark, monkeypatch):
+    """Tiles move once for every other tile; unpacked, each cell takes 24 bytes."""
+    rng = np.random.default_rng(12)
+    rows = sorted({(int(i), int(j)) for i, j in zip(rng.zipf(1.5, 40_000) % 3000 - 5, rng.integers(0, 900, 40_000))})
+    cells = spark.createDataFrame([(i, j, float(1 + (i + j) % 4)) for i, j in rows], "i bigint, j bigint, value double")
+    tables, write = {}, RunFolder.write
+
+    def noted(self, df, name, partition_by=None):
+        tables[name] = write(self, df, name, partition_by)
+        return tables[name]
+
+    monkeypatch.setattr(RunFolder, "write", noted)
+    found = {(r.i, r.j): r.value for r in op.gram(cells).collect()}
+    dense = np.zeros((3006, 900))
+    for i, j in rows:
+        dense[i, j] = 1 + (i + j) % 4
+    expected = dense.T @ dense
+    there = (dense > 0).astype(np.float32)
+    assert set(found) == set(zip(*(x.tolist() for x in np.nonzero(there.T @ there))))
+    assert all(abs(v - expected[at]) < 1e-9 for at, v in found.items())
+    columns = [c for c in tables["tiles"].columns if c != "tile"]
+    moved = sum(len(r[c]) for r in tables["tiles"].collect() for c in columns)
+    assert moved < 8 * len(rows)
+
+
+def test_a_gram_kernel_holds_few_products():
+    rng = np.random.default_rng(13)
+    at, out = np.sort(rng.integers(0, 3000, 250_000)), rng.integers(0, 2000, 250_000)
+    tile = [out, at, np.ones(len(at))]
+    tracemalloc.start()
+    cells = sum(part.num_rows for part in op._tile_products(tile, tile, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cells and peak < 150 << 20
